@@ -230,12 +230,11 @@ def freight_share_corrected(df: DataFrame) -> DataFrame:
     """The like-for-like variant: category mean of freight *share* and the difference to it."""
     from .windows import with_group_stats
 
-    j = with_group_stats(
-        df, "category", [F.avg("freight_share_pct").alias("cat_avg_freight_share_pct")]
-    )
-    return j.withColumn(
-        "freight_share_pct_diff", F.col("freight_share_pct") - F.col("cat_avg_freight_share_pct")
-    )
+    j = with_group_stats(df, "category", [F.avg("freight_share_pct").alias("__cat_fsp")])
+    # a mean of doubles depends on summation order in its last bits: publish 9 places
+    return j.withColumn("freight_share_pct_diff", round_to(F.col("freight_share_pct") - F.col("__cat_fsp"), 9)).withColumn(
+        "cat_avg_freight_share_pct", round_to(F.col("__cat_fsp"), 9)
+    ).drop("__cat_fsp")
 
 
 def pareto(df: DataFrame, value: str = "product_revenue", by: str = "category", cutoff: Decimal = Decimal("0.8")) -> DataFrame:

@@ -329,7 +329,7 @@ SEL_YEARS = "(1996, 1997, 1998)"
 
 def _hist(src: str, col: str, width: float, start: float = 0.0) -> str:
     b = f"CAST(floor((CAST({col} AS DOUBLE) - {start}) / {width}) AS BIGINT)"
-    return f"""SELECT bin, bin * {width} + {start} AS bin_start, bin * {width} + {start} + {width} AS bin_end, count
+    return f"""SELECT bin, CAST(bin AS DOUBLE) * {width} + {start} AS bin_start, CAST(bin AS DOUBLE) * {width} + {start} + {width} AS bin_end, count
 FROM (SELECT {b} AS bin, count(*) AS count FROM {src} WHERE {col} IS NOT NULL GROUP BY 1)"""
 
 
@@ -481,8 +481,8 @@ FINAL: dict[str, str] = {
     "category_benchmarks": "SELECT * FROM category_benchmarks",
     "total_cost_z_score": "SELECT product_id, category, total_cost_z_score FROM cost_features",
     "price_rebalanced": "SELECT product_id, sales_count, is_price_rebalanced FROM cost_features",
-    "freight_deviation": """SELECT f.product_id, f.freight_pct_diff_from_avg, g.cat_avg_freight_share_pct,
-        f.freight_share_pct - g.cat_avg_freight_share_pct AS freight_share_pct_diff
+    "freight_deviation": f"""SELECT f.product_id, f.freight_pct_diff_from_avg, {rnd('g.cat_avg_freight_share_pct', 9)} AS cat_avg_freight_share_pct,
+        {rnd('f.freight_share_pct - g.cat_avg_freight_share_pct', 9)} AS freight_share_pct_diff
         FROM cost_features f LEFT JOIN (SELECT category, avg(freight_share_pct) AS cat_avg_freight_share_pct FROM cost_features GROUP BY 1) g USING (category)""",
     "cost_cv": "SELECT product_id, total_cost_cv FROM cost_features",
     "product_revenue": "SELECT product_id, avg_price, sales_count, product_revenue FROM cost_features",

@@ -40,7 +40,7 @@ def build_session(
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    builder = builder.config("spark.ui.enabled", "false")
+    builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     for k, v in SQL_DEFAULTS.items():
         builder = builder.config(k, v)
     if shuffle_partitions:
@@ -74,13 +74,22 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; pick a scratch folder only when unset.
+    """Use the cluster's checkpoint folder; pick a scratch folder only when none is set.
 
-    A scratch folder is only correct in local mode (tests, bench); on a cluster the
-    setting must point at shared storage and is read from the session as is.
+    ``SparkContext.setCheckpointDir`` appends a unique subfolder, so it is called
+    at most once per context.  A scratch folder is only right in local mode
+    (tests, bench); on a cluster the setting points at shared storage.
     """
-    d = checkpoint_dir(spark)
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    d = None
+    try:
+        d = spark.conf.get("spark.checkpoint.dir", None)
+    except Exception:
+        d = None
     if not d:
         d = tempfile.mkdtemp(prefix="basketry-ckpt-", dir=os.environ.get("BASKETRY_SCRATCH", "/tmp"))
-    spark.sparkContext.setCheckpointDir(d)
-    return spark.sparkContext.getCheckpointDir() or d
+    sc.setCheckpointDir(d)
+    return sc.getCheckpointDir() or d
