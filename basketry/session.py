@@ -50,6 +50,7 @@ def build_session(
     spark = builder.getOrCreate()
     apply_sql_defaults(spark)
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -93,3 +94,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         d = tempfile.mkdtemp(prefix="basketry-ckpt-", dir=os.environ.get("BASKETRY_SCRATCH", "/tmp"))
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in executor Python workers (pandas UDFs).
+
+    Zips the package once per driver process and registers it with
+    ``addPyFile``, which distributes it to every executor.
+    """
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    import shutil
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="basketry-pyfiles-")
+    archive = shutil.make_archive(
+        os.path.join(out, "basketry"), "zip", root_dir=os.path.dirname(pkg_dir), base_dir=os.path.basename(pkg_dir)
+    )
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
