@@ -22,6 +22,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,13 +122,15 @@ def fit_isolation_forest(
     trees: int = 100,
     psi: int = 256,
     seed: int = 42,
+    n: int | None = None,
 ) -> tuple[pd.DataFrame, int]:
     """Fit the forest; returns (node table, effective subsample size).
 
     The node table is bounded by the parameters (≤ trees · 511 rows for psi = 256).
+    ``n`` is the training row count when the caller already knows it.
     """
     feats = anomaly_features(df, features, key)
-    n = feats.count()
+    n = feats.count() if n is None else n
     psi_eff = int(min(psi, max(n, 1)))
     height = int(math.ceil(math.log2(max(psi_eff, 2))))
     sample = _sample_for_trees(feats, key, trees, psi_eff, seed, n)
@@ -202,11 +205,15 @@ def with_forest_score(
 
 
 def contamination_cut(
-    scored: DataFrame, contamination: float, exact_quantile_rows: int = 1_000_000, score_col: str = "anomaly_score"
+    scored: DataFrame,
+    contamination: float,
+    exact_quantile_rows: int = 1_000_000,
+    score_col: str = "anomaly_score",
+    n: int | None = None,
 ) -> DataFrame:
     """One-row frame with the ``contamination`` quantile of −score (linear interpolation),
     exact up to ``exact_quantile_rows`` rows, approximate beyond."""
-    n = scored.count()
+    n = scored.count() if n is None else n
     neg = -F.col(score_col)
     q = F.percentile(neg, contamination) if n <= exact_quantile_rows else F.percentile_approx(neg, contamination, 100_000)
     return scored.agg(q.alias("__cut"))
@@ -226,9 +233,11 @@ def isolation_forest_scores(
     Rows whose −score is strictly below the ``contamination`` quantile are
     anomalies — the cut the reference model applies to its sample scores.
     """
-    nodes, psi_eff = fit_isolation_forest(df, features, key, trees, psi, seed)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)  # counted, sampled and scored
+    n = df.count()
+    nodes, psi_eff = fit_isolation_forest(df, features, key, trees, psi, seed, n=n)
     scored = with_forest_score(df.select(key, *features), nodes, psi_eff, features)
-    cut = contamination_cut(scored, contamination)
+    cut = contamination_cut(scored, contamination, n=n)
     j = scored.crossJoin(F.broadcast(cut))
     return j.select(key, "anomaly_score", (-F.col("anomaly_score") < F.col("__cut")).alias("is_anomaly"))
 
@@ -248,13 +257,14 @@ def detect_anomalies(
     input's by construction; the cut is computed over the trainable rows only.
     """
     reliable_pred = F.col("reliability_score") != RELIABILITY_SINGLE
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)  # counted, sampled, scored and labelled
     reliable = df.where(reliable_pred)
     n = reliable.count()
     if n < min_rows:
         return df.withColumn("Result", F.lit(RESULT_UNSCORED))
-    nodes, psi_eff = fit_isolation_forest(reliable, features, key, seed=seed)
+    nodes, psi_eff = fit_isolation_forest(reliable, features, key, seed=seed, n=n)
     scored = with_forest_score(df, nodes, psi_eff, features)
-    cut = contamination_cut(scored.where(reliable_pred), contamination)
+    cut = contamination_cut(scored.where(reliable_pred), contamination, n=n)
     label = (
         F.when(~F.coalesce(reliable_pred, F.lit(False)), F.lit(RESULT_UNSCORED))
         .when(-F.col("anomaly_score") < F.col("__cut"), F.lit(RESULT_ANOMALY))

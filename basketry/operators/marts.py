@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -202,6 +203,7 @@ def is_price_rebalanced(ratio: Decimal = Decimal("0.3")):
 
 def cost_features(base: DataFrame, corrected: bool = False) -> DataFrame:
     """Freight share, category benchmarks (group aggregate joined back), z-score, CV, revenue."""
+    base = base.persist(StorageLevel.MEMORY_AND_DISK)  # feeds the benchmark size check and the join
     bench = category_benchmarks(base)
     j = join_small(base, bench, "category", "left")
     freight_share = safe_divide(F.col("avg_freight"), F.col("avg_total_cost")) * 100.0

@@ -162,45 +162,56 @@ def _row_failure(c: Check) -> Column:
 def run_checks(tables: dict[str, DataFrame], checks: Iterable[Check] = CHECKS) -> DataFrame:
     """One summary row per check: (model, column_name, test_name, failures, status).
 
-    Row-level checks of one table share a single ``agg`` of ``count_if``s;
-    each uniqueness check is one grouped aggregate counting duplicated values.
+    One pass per table.  A table with a uniqueness check is grouped by that
+    column once; the row-level failure counts ride along in the same grouped
+    aggregate and are summed afterwards, and the duplicate count is the number
+    of non-NULL groups with more than one row.  When the table is already
+    partitioned by that column (a mart keyed by it) the grouping adds no
+    exchange.  Tables without a uniqueness check get a single global ``agg``.
     """
     checks = [c for c in checks if c.model in tables]
-    parts: list[DataFrame] = []
     by_model: dict[str, list[Check]] = {}
     for c in checks:
         by_model.setdefault(c.model, []).append(c)
+    parts: list[DataFrame] = []
     for model, cs in by_model.items():
         df = tables[model]
         row_checks = [c for c in cs if c.test != "unique"]
-        if row_checks:
-            aggs = [F.count_if(_row_failure(c)).alias(f"f{i}") for i, c in enumerate(row_checks)]
-            counted = df.agg(*aggs)
-            stack = F.explode(
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(c.model).alias("model"),
-                            F.lit(c.column).alias("column_name"),
-                            F.lit(c.test).alias("test_name"),
-                            F.col(f"f{i}").cast("bigint").alias("failures"),
-                        )
-                        for i, c in enumerate(row_checks)
-                    ]
-                )
-            ).alias("r")
-            parts.append(counted.select(stack).select("r.*"))
-        for c in cs:
-            if c.test == "unique":
-                dup = check_unique(df, c.column).agg(F.count(F.lit(1)).cast("bigint").alias("failures"))
-                parts.append(
-                    dup.select(
+        uniq = [c for c in cs if c.test == "unique"]
+        counts = [F.count_if(_row_failure(c)).alias(f"f{i}") for i, c in enumerate(row_checks)]
+        if len(uniq) == 1:
+            u = uniq[0].column
+            grouped = df.groupBy(u).agg(F.count(F.lit(1)).alias("__n"), *counts)
+            totals = grouped.agg(
+                *[F.sum(f"f{i}").alias(f"f{i}") for i in range(len(row_checks))],
+                F.count_if(F.col(u).isNotNull() & (F.col("__n") > 1)).alias("u0"),
+            )
+            order = row_checks + uniq
+            names = [f"f{i}" for i in range(len(row_checks))] + ["u0"]
+        else:
+            extra = [
+                check_unique(df, c.column).agg(F.count(F.lit(1)).alias(f"u{j}"))
+                for j, c in enumerate(uniq)
+            ]
+            totals = df.agg(*counts) if counts else None
+            for e in extra:
+                totals = e if totals is None else totals.crossJoin(e)
+            order = row_checks + uniq
+            names = [f"f{i}" for i in range(len(row_checks))] + [f"u{j}" for j in range(len(uniq))]
+        stack = F.explode(
+            F.array(
+                *[
+                    F.struct(
                         F.lit(c.model).alias("model"),
                         F.lit(c.column).alias("column_name"),
                         F.lit(c.test).alias("test_name"),
-                        "failures",
+                        F.coalesce(F.col(n), F.lit(0)).cast("bigint").alias("failures"),
                     )
-                )
+                    for c, n in zip(order, names)
+                ]
+            )
+        ).alias("r")
+        parts.append(totals.select(stack).select("r.*"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

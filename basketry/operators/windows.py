@@ -185,5 +185,6 @@ def with_group_stats(df: DataFrame, by: str | list[str], aggs: list[Column]) ->
     join is a shuffle join with adaptive skew splitting.
     """
     keys = [by] if isinstance(by, str) else list(by)
-    stats = df.groupBy(*keys).agg(*aggs)
-    return join_small(df, stats, keys, "left")
+    base = df.persist(StorageLevel.MEMORY_AND_DISK)  # read by the size check and by the join
+    stats = base.groupBy(*keys).agg(*aggs)
+    return join_small(base, stats, keys, "left")

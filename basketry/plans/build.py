@@ -82,7 +82,7 @@ def build(
 ) -> dict[str, DataFrame]:
     """Build the models; with ``root``, write each mart and continue from the written table."""
     models: dict[str, DataFrame] = dict(stage(raw))
-    spark = next(iter(raw.values())).sparkSession
+    spark = next(iter(models.values())).sparkSession
     for name in _closure(select if select is not None else MARTS):
         df = MARTS[name][1](models)
         if root is not None:

@@ -12,6 +12,8 @@ two must stay in step.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,17 +141,37 @@ def purchase_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """All raw inputs the models read, keyed like the declared raw tables."""
-    return {
-        "orders": raw_orders(spark, sf_dir),
-        "order_items": raw_order_items(spark, sf_dir),
-        "customers": raw_customers(spark, sf_dir),
-        "products": raw_products(spark, sf_dir),
-        "sellers": raw_sellers(spark, sf_dir),
-        "product_category_name_translation": raw_category_translation(spark),
+class RawTables(Mapping):
+    """The raw inputs keyed like the declared raw tables, each built on first use."""
+
+    _BUILDERS = {
+        "orders": raw_orders,
+        "order_items": raw_order_items,
+        "customers": raw_customers,
+        "products": raw_products,
+        "sellers": raw_sellers,
+        "product_category_name_translation": lambda spark, _sf: raw_category_translation(spark),
     }
 
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._spark, self._sf, self._built = spark, sf_dir, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._BUILDERS[name](self._spark, self._sf)
+        return self._built[name]
+
+    def __iter__(self):
+        return iter(self._BUILDERS)
+
+    def __len__(self) -> int:
+        return len(self._BUILDERS)
+
+
+def raw_tables(spark: SparkSession, sf_dir: str) -> RawTables:
+    """All raw inputs the models read (lazy mapping)."""
+    return RawTables(spark, sf_dir)
+
 
 def adapter_schemas():
     """Declared raw schemas as the adapters produce them: numeric (bigint) keys.
