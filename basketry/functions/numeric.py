@@ -54,17 +54,27 @@ def exact_rounded_mean(c: Column | str) -> Column:
     return rounded_mean_from_parts(F.sum(cents(c)), F.count(c))
 
 
+def _square_cents(k: Column) -> Column:
+    """k² exactly as DECIMAL(20,0): a bigint product while |k| < 3·10⁹ cents (no overflow),
+    decimal multiplication beyond (never reached by item prices, but exact if it is)."""
+    small = F.abs(k) < F.lit(3_000_000_000)
+    kd = k.cast("decimal(20,0)")
+    return F.when(small, (k * k).cast("decimal(20,0)")).otherwise((kd * kd).cast("decimal(20,0)"))
+
+
 def exact_sample_stddev(c: Column | str) -> Column:
     """stddev_samp of a DECIMAL(·,2) column from exact integer moments; NULL when n < 2.
 
-    variance = (n·Σk² − (Σk)²) / (n·(n−1)) over cents k, numerator and
-    denominator exact in DECIMAL(38,0); one double division, sqrt, then /100.
+    variance = (n·Σk² − (Σk)²) / (n·(n−1)) over cents k.  Σk is a bigint sum and
+    Σk² a DECIMAL sum of per-row bigint squares, so the hot per-row path stays
+    in long arithmetic and no partial sum can overflow; numerator and
+    denominator are exact, then one double division, sqrt and /100.
     """
     c = _c(c)
-    k = cents(c).cast("decimal(38,0)")
+    k = cents(c)
     n = F.count(c).cast("decimal(38,0)")
-    s1 = F.sum(k)
-    s2 = F.sum(k * k)
+    s1 = F.sum(k).cast("decimal(38,0)")
+    s2 = F.sum(_square_cents(k)).cast("decimal(38,0)")
     num = n * s2 - s1 * s1
     den = n * (n - 1)
     return F.when(F.count(c) > 1, F.sqrt(num.cast("double") / den.cast("double")) / 100.0)

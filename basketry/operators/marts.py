@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +36,7 @@ from .aggregates import (
 )
 from .filters import exclude_status, positive_amount
 from .joins import attach_order_totals, join_small, with_global
-from .windows import ordered_sequence, running_total
+from .windows import ordered_sequence, reused, running_total
 
 UNKNOWN_CATEGORY = "Unknown"
 EXCLUDED_STATUSES = ("canceled", "unavailable")
@@ -203,7 +202,7 @@ def is_price_rebalanced(ratio: Decimal = Decimal("0.3")):
 
 def cost_features(base: DataFrame, corrected: bool = False) -> DataFrame:
     """Freight share, category benchmarks (group aggregate joined back), z-score, CV, revenue."""
-    base = base.persist(StorageLevel.MEMORY_AND_DISK)  # feeds the benchmark size check and the join
+    base = reused(base)  # feeds the benchmark size check and the join
     bench = category_benchmarks(base)
     j = join_small(base, bench, "category", "left")
     freight_share = safe_divide(F.col("avg_freight"), F.col("avg_total_cost")) * 100.0
@@ -275,6 +274,7 @@ def retention_facts(mapping: DataFrame) -> DataFrame:
     order id so results are deterministic.  The dataset max is a one-row
     aggregate joined by broadcast.
     """
+    mapping = reused(mapping)  # read by the dataset max and by the sequence windows
     seq = ordered_sequence(
         mapping,
         "customer_unique_id",
@@ -284,7 +284,7 @@ def retention_facts(mapping: DataFrame) -> DataFrame:
         prev="previous_order_at",
         group_rows="total_customer_orders",
     )
-    maxd = max_value(seq, "purchase_at", "max_data_date")
+    maxd = max_value(mapping, "purchase_at", "max_data_date")
     j = with_global(seq, maxd)
     gap = micros_between(F.col("purchase_at"), F.col("previous_order_at"))
     return j.select(

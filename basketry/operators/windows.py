@@ -49,6 +49,17 @@ def skew_limits(df: DataFrame) -> tuple[int, int]:
     return heavy, max(1, min(bucket, heavy))
 
 
+def reused(df: DataFrame) -> DataFrame:
+    """Persist a frame that several jobs read (memory, spilling to disk), unless it already is.
+
+    A lost cached block is recomputed from lineage, so this survives executor loss.
+    """
+    lvl = df.storageLevel
+    if lvl.useMemory or lvl.useDisk:
+        return df
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _order_number(c: Column, kind: str) -> Column:
     """A double that is monotone in the order column (for bucket boundaries only)."""
     if kind == "timestamp":
@@ -102,7 +113,7 @@ def ordered_sequence(
         row_number() / lag(order) / count(*) OVER (PARTITION BY by ORDER BY order, tie)
     """
     kind = "timestamp" if dict(df.dtypes)[order].startswith("timestamp") else "number"
-    base = df.withColumn(_K, F.struct(by)).persist(StorageLevel.MEMORY_AND_DISK)
+    base = reused(df).withColumn(_K, F.struct(by))
     b = _with_buckets(base, _K, _order_number(F.col(order), kind))
     w = Window.partitionBy(_K, _B).orderBy(F.asc_nulls_last(order), F.asc(tie))
     local = b.select(
@@ -148,7 +159,7 @@ def running_total(
     Skew-safe form of ``sum(v) OVER (PARTITION BY by ORDER BY v DESC)`` and
     ``sum(v) OVER (PARTITION BY by)``.
     """
-    base = df.withColumn(_K, F.struct(by)).persist(StorageLevel.MEMORY_AND_DISK)
+    base = reused(df).withColumn(_K, F.struct(by))
     # descending order: bucket on -value so bucket order is ascending
     b = _with_buckets(base, _K, -F.col(value).cast("double"))
     b = b.withColumn(_B, F.when(F.col(value).isNull(), F.lit(-1)).otherwise(F.col(_B)))
@@ -185,6 +196,6 @@ def with_group_stats(df: DataFrame, by: str | list[str], aggs: list[Column]) ->
     join is a shuffle join with adaptive skew splitting.
     """
     keys = [by] if isinstance(by, str) else list(by)
-    base = df.persist(StorageLevel.MEMORY_AND_DISK)  # read by the size check and by the join
+    base = reused(df)  # read by the size check and by the join
     stats = base.groupBy(*keys).agg(*aggs)
     return join_small(base, stats, keys, "left")
