@@ -165,8 +165,8 @@ def _ingest_csv(m: Models) -> DataFrame:
     for name in ("orders", "customers"):
         df = m.raw[name]
         df = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
-        df.write.mode("overwrite").option("header", True).csv(f"{d}/olist_{name}_dataset.csv")
-    tables = FS.ingest_dir(m.spark, d, FX.adapter_schemas())
+        df.write.mode("overwrite").option("header", True).csv(f"{d}/shop_{name}_dataset.csv")
+    tables = FS.ingest_dir(m.spark, d, FX.adapter_schemas(), prefix="shop_")
     return S.stg_order(tables["orders"])
 
 

@@ -27,7 +27,7 @@ def normalize_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[normalize_name(c) for c in df.columns])
 
 
-def table_name_for(file_name: str, prefix: str = "olist_") -> str:
+def table_name_for(file_name: str, prefix: str = "") -> str:
     """File name → table name: drop the dataset prefix, '_dataset.csv' and '.csv'."""
     n = file_name
     if prefix:
@@ -65,7 +65,7 @@ def ingest_dir(
     spark: SparkSession,
     path: str,
     schemas: dict[str, T.StructType] | None = None,
-    prefix: str = "olist_",
+    prefix: str = "",
 ) -> dict[str, DataFrame]:
     """Read every ``*.csv`` in ``path`` as one table per file.
 

@@ -49,17 +49,17 @@ def test_declared_suite_size():
 def test_ingest_dir_and_normalisation(spark, tmp_path):
     d = tmp_path / "data"
     d.mkdir()
-    (d / "olist_sellers_dataset.csv").write_text("Seller Id,seller.zip code prefix,seller_city,seller_state\ns1,01234,rio,RJ\n")
+    (d / "shop_sellers_dataset.csv").write_text("Seller Id,seller.zip code prefix,seller_city,seller_state\ns1,01234,rio,RJ\n")
     (d / "product_category_name_translation.csv").write_text(
         "product_category_name,product_category_name_english\nbeleza,beauty\n")
     (d / "notes.txt").write_text("ignored")
-    tables = FS.ingest_dir(spark, str(d))
+    tables = FS.ingest_dir(spark, str(d), prefix="shop_")
     assert set(tables) == {"sellers", "product_category_name_translation"}
     s = tables["sellers"].first()
     assert tables["sellers"].columns == ["seller_id", "seller_zip_code_prefix", "seller_city", "seller_state"]
     assert s.seller_zip_code_prefix == "01234"  # declared string: leading zero kept
     assert FS.ingest_dir(spark, str(tmp_path / "missing")) == {}
-    assert FS.table_name_for("olist_order_items_dataset.csv") == "order_items"
+    assert FS.table_name_for("shop_order_items_dataset.csv", "shop_") == "order_items"
     assert FS.normalize_name("Customer Zip.Code") == "customer_zip_code"
 
 
