@@ -15,6 +15,8 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+STRICT = bool(os.environ.get("ORACLE_STRICT"))
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
@@ -42,7 +44,7 @@ def canon(v) -> str:
         d = decimal.Decimal(v)
         return format(d.normalize(), "f") if d == d.to_integral_value() or True else str(d)
     if isinstance(v, float):
-        return repr(float(f"{v:.12g}"))
+        return repr(v) if STRICT else repr(float(f"{v:.12g}"))
     if isinstance(v, dt.datetime):
         return v.replace(tzinfo=None).isoformat()
     if isinstance(v, dt.date):
@@ -71,6 +73,19 @@ def duck_rows(con, sql):
     return cols, [tuple(r[i] for i in idx) for r in data], types
 
 
+_TYPE_MAP = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+             "date": "DATE", "timestamp_ntz": "TIMESTAMP", "smallint": "SMALLINT", "float": "FLOAT"}
+
+
+def type_mismatches(st: dict, dt_: dict) -> list[str]:
+    out = []
+    for c, t in st.items():
+        want = _TYPE_MAP.get(t, t.upper())
+        if dt_.get(c) != want:
+            out.append(f"{c}: spark {t} vs duck {dt_.get(c)}")
+    return out
+
+
 def main(argv: list[str]) -> int:
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
     only = set(argv[1:])
@@ -118,7 +133,8 @@ def main(argv: list[str]) -> int:
             print(f"FAIL {k}: " + "; ".join(msgs))
             print(f"     types spark={st}\n           duck={dtypes}")
         else:
-            print(f"ok   {k}: {len(sr)} rows ({ts:.1f}s)")
+            tm = type_mismatches(st, dtypes)
+            print(f"ok   {k}: {len(sr)} rows ({ts:.1f}s)" + (f"  TYPES {tm}" if tm else ""))
     print(f"{bad} failing")
     return 1 if bad else 0
 
