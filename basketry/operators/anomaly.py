@@ -4,10 +4,11 @@ MLlib has no isolation forest, so the fit and the scoring are split along
 what Spark does well:
 
 * **sampling** — each tree gets ``psi`` rows chosen by hash rank: rows pass a
-  Bernoulli gate ``xxhash64(key, seed) < q`` (``q`` keeps ≈ ``3·trees·psi``
-  candidates whatever the input size), then every tree ranks the candidates
-  by ``xxhash64(key, tree, seed)`` and keeps the lowest ``psi``.  The choice
-  depends only on keys, not on partitioning.
+  Bernoulli gate ``xxhash64(key, seed) < q`` (≈ ``3·trees·psi`` survive
+  whatever the input size), each (row, tree) pair a second gate on
+  ``xxhash64(key, tree, seed)`` (≈ ``3·psi`` candidates per tree), and every
+  tree keeps its ``psi`` lowest-hash candidates.  The choice depends only on
+  keys, not on partitioning.
 * **fit** — ``groupBy("tree").applyInPandas``: one small numpy build per tree.
 * **model** — at most ``trees · (2^(h+1) − 1)`` nodes (h = ⌈log2 psi⌉), a size
   fixed by the parameters, shipped to executors as a broadcast variable.
@@ -55,12 +56,22 @@ def _uniform(h) -> F.Column:
 
 
 def _sample_for_trees(feats: DataFrame, key: str, trees: int, psi: int, seed: int, n: int) -> DataFrame:
-    q = min(1.0, 3.0 * trees * psi / max(n, 1)) if n > psi else 1.0
-    gated = feats.where(_uniform(F.xxhash64(F.col(key), F.lit(seed))) < F.lit(q)) if q < 1.0 else feats
-    exploded = gated.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    ranked = exploded.withColumn("__h", F.xxhash64(F.col(key), F.col("tree"), F.lit(seed)))
+    """Rows per tree: the ``psi`` candidates with the lowest hash rank.
+
+    Two hash gates keep every step bounded whatever ``n`` is: a row gate
+    (≈ 3·trees·psi rows survive) and a per-(row, tree) gate (≈ 3·psi
+    candidates per tree); the ranking window then sorts ≈ 3·psi rows per tree.
+    """
     from pyspark.sql import Window
 
+    q_row = min(1.0, 3.0 * trees * psi / max(n, 1))
+    survivors = max(n * q_row, 1.0)
+    q_tree = min(1.0, 3.0 * psi / survivors)
+    gated = feats.where(_uniform(F.xxhash64(F.col(key), F.lit(seed))) < F.lit(q_row)) if q_row < 1.0 else feats
+    exploded = gated.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    ranked = exploded.withColumn("__h", F.xxhash64(F.col(key), F.col("tree"), F.lit(seed)))
+    if q_tree < 1.0:
+        ranked = ranked.where(_uniform(F.col("__h")) < F.lit(q_tree))
     w = Window.partitionBy("tree").orderBy("__h", key)
     return ranked.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= psi).drop("__r", "__h")
 
