@@ -384,7 +384,7 @@ def _kpi_repeat_rate(m: Models) -> DataFrame:
     return K.repeat_rate(m.retention)
 
 
-@query("kpi_customer_repeat_rate")
+@query("customer_repeat_rate")
 def _kpi_customer_repeat_rate(m: Models) -> DataFrame:
     return K.customer_repeat_rate(m.retention)
 

@@ -418,7 +418,7 @@ FINAL: dict[str, str] = {
     "distinct_years": "SELECT DISTINCT CAST(revenue_year AS INTEGER) AS revenue_year FROM monthly_revenue_by_cat",
     "kpi_repeat_rate": f"""SELECT orders, repeat_orders, {rnd(sdiv('repeat_orders', 'orders') + ' * 100.0', 2)} AS repeat_rate_pct
         FROM (SELECT count(*) AS orders, count(*) FILTER (WHERE order_sequence > 1) AS repeat_orders FROM customer_retention)""",
-    "kpi_customer_repeat_rate": f"""SELECT customers, repeat_customers, {rnd(sdiv('repeat_customers', 'customers') + ' * 100.0', 2)} AS customer_repeat_rate_pct
+    "customer_repeat_rate": f"""SELECT customers, repeat_customers, {rnd(sdiv('repeat_customers', 'customers') + ' * 100.0', 2)} AS customer_repeat_rate_pct
         FROM (SELECT count(*) AS customers, count(*) FILTER (WHERE n > 1) AS repeat_customers
               FROM (SELECT customer_unique_id, max(total_customer_orders) AS n FROM customer_retention GROUP BY 1))""",
     "lifecycle_distribution": f"""SELECT lifecycle_stage, orders, {rnd(sdiv('orders', 'total') + ' * 100.0', 2)} AS share_pct
