@@ -6,9 +6,10 @@ job.  The operators here give the same results as the plain windows but cut
 heavy keys into order-preserving sub-buckets:
 
 1. per-key row counts and the order-value range (a partial aggregate);
-2. keys with more than ``heavy_rows`` rows get ``ceil(n / bucket_rows)``
-   equal-width buckets over their order-value range (monotone in the order
-   value, so ties share a bucket); light keys have one bucket;
+2. keys with more than ``heavy_rows`` rows get count-balanced buckets of
+   about ``bucket_rows`` rows from a fine histogram of their order values
+   (monotone in the order value, so ties share a bucket); light keys have
+   one bucket;
 3. the window runs per (key, bucket) — bounded groups;
 4. a per-(key, bucket) summary (count, sum, last value) gets prefix offsets
    with a window over buckets of one key (a heavy key has few buckets);
@@ -29,6 +30,7 @@ from .joins import join_small
 
 DEFAULT_HEAVY_ROWS = 2_000_000
 DEFAULT_BUCKET_ROWS = 500_000
+DEFAULT_RESOLUTION = 32  # fine histogram bins per target bucket
 _EPOCH = "1970-01-01 00:00:00"
 
 _B = "__bkt"
@@ -68,11 +70,17 @@ def _order_number(c: Column, kind: str) -> Column:
 
 
 def _with_buckets(df: DataFrame, by: str, order_num: Column) -> DataFrame:
-    """Add ``__bkt``: 0 for light keys, an order-preserving bucket for heavy keys.
-
-    NULL order values get the bucket after all others (they sort last ascending).
+    """Add ``__bkt``: 0 for light keys, a count-balanced, order-preserving bucket for heavy keys.
+
+    For a key with n > heavy_rows rows: an equal-width fine histogram over its
+    order-value range (``ceil(n / bucket_rows) · resolution`` bins, a partial
+    aggregate), prefix counts over its bins (a window over at most that many
+    histogram rows), and bucket = rows before the bin div ``bucket_rows``.
+    Buckets are monotone in the order value and tied values share a bin, so
+    they share a bucket.  NULL order values go after all others.
     """
     heavy_rows, bucket_rows = skew_limits(df)
+    res = _conf_int(df, "basketry.skew.resolution", DEFAULT_RESOLUTION)
     tmp = df.withColumn("__ord", order_num)
     stats = (
         tmp.groupBy(by)
@@ -82,20 +90,30 @@ def _with_buckets(df: DataFrame, by: str, order_num: Column) -> DataFrame:
             by,
             "__lo",
             "__hi",
-            F.ceil(F.col("__n") / F.lit(bucket_rows)).cast("bigint").alias("__nb"),
+            (F.ceil(F.col("__n") / F.lit(bucket_rows)) * res).cast("bigint").alias("__nf"),
         )
     )
     joined = join_small(tmp, stats, by, "left")
+    light = joined.where(F.col("__nf").isNull()).withColumn(_B, F.lit(0).cast("bigint"))
+    heavy = joined.where(F.col("__nf").isNotNull())
     span = F.col("__hi") - F.col("__lo")
-    raw = F.floor((F.col("__ord") - F.col("__lo")) / F.when(span > 0, span).otherwise(F.lit(1.0)) * F.col("__nb"))
-    inside = F.least(F.greatest(raw, F.lit(0)), F.col("__nb") - 1)
-    bucket = (
-        F.when(F.col("__nb").isNull(), F.lit(0))
-        .when(F.col("__ord").isNull(), F.col("__nb"))
-        .otherwise(inside)
+    raw = F.floor((F.col("__ord") - F.col("__lo")) / F.when(span > 0, span).otherwise(F.lit(1.0)) * F.col("__nf"))
+    fine = (
+        F.when(F.col("__ord").isNull(), F.col("__nf"))
+        .otherwise(F.least(F.greatest(raw, F.lit(0)), F.col("__nf") - 1))
         .cast("bigint")
     )
-    return joined.withColumn(_B, bucket).drop("__ord", "__lo", "__hi", "__nb")
+    heavy = heavy.withColumn("__fine", fine)
+    hist = heavy.groupBy(by, "__fine").agg(F.count(F.lit(1)).alias("__c"))
+    before = F.coalesce(
+        F.sum("__c").over(Window.partitionBy(by).orderBy("__fine").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0),
+    )
+    coarse = hist.select(by, "__fine", F.floor(before / F.lit(bucket_rows)).cast("bigint").alias(_B))
+    # only heavy rows meet the mapping, so no NULL join keys pile up in one partition
+    heavy = join_small(heavy, coarse, [by, "__fine"], "inner").drop("__fine")
+    out = light.unionByName(heavy)
+    return out.drop("__ord", "__lo", "__hi", "__nf")
 
 
 def ordered_sequence(

@@ -13,12 +13,21 @@ sys.path.insert(0, ROOT)
 def spark():
     from basketry.session import build_session
 
-    s = build_session("local[4]", app_name="basketry-tests", shuffle_partitions=4)
+    s = build_session(
+        "local[4]", app_name="basketry-tests", shuffle_partitions=4, extra={"spark.driver.memory": "6g"}
+    )
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
 
 
+@pytest.fixture(autouse=True)
+def _release_cache(request):
+    yield
+    if "spark" in request.fixturenames:
+        request.getfixturevalue("spark").catalog.clearCache()
+
+
 @pytest.fixture()
 def skew_conf(spark):
     """Force the heavy-key path of the skew-safe windows on tiny inputs."""

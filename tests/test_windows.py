@@ -79,3 +79,25 @@ def test_heavy_key_really_splits(spark, skew_conf):
     df = _events(spark, 3).where("k = 1 and t is not null")
     b = _with_buckets(df, "k", _order_number(F.col("t"), "timestamp"))
     assert b.select("__bkt").distinct().count() > 3
+
+
+def test_heavy_buckets_are_count_balanced(spark):
+    """Exponentially skewed times: equal-width buckets would put ~40% of rows in the first one."""
+    import math
+
+    from basketry.operators.windows import _order_number, _with_buckets
+
+    rnd = random.Random(11)
+    base = dt.datetime(2020, 1, 1)
+    data = [(i, 1, base + dt.timedelta(seconds=int(-math.log(1 - rnd.random()) * 3600))) for i in range(2000)]
+    df = spark.createDataFrame(data, "oid bigint, k bigint, t timestamp_ntz")
+    spark.conf.set("basketry.skew.heavyRows", "100")
+    spark.conf.set("basketry.skew.bucketRows", "100")
+    try:
+        b = _with_buckets(df, "k", _order_number(F.col("t"), "timestamp"))
+        sizes = [r["count"] for r in b.groupBy("__bkt").count().collect()]
+    finally:
+        spark.conf.unset("basketry.skew.heavyRows")
+        spark.conf.unset("basketry.skew.bucketRows")
+    assert sum(sizes) == 2000 and len(sizes) >= 15
+    assert max(sizes) <= 200
