@@ -25,16 +25,22 @@ def max_broadcast_rows(df: DataFrame) -> int:
 
 
 def checked_small(small: DataFrame, max_rows: int | None = None) -> tuple[DataFrame, bool]:
-    """Measure ``small``; return (frame, fits).
+    """Measure ``small``; return (frame, fits).  See ``measure_small`` for the row count.
 
     The frame is persisted (memory, spilling to disk) so the measured rows
     are the rows joined; a lost block is recomputed from lineage.  Only
     ``max_rows + 1`` rows are counted at most.
     """
+    kept, n, bound = measure_small(small, max_rows)
+    return kept, n <= bound
+
+
+def measure_small(small: DataFrame, max_rows: int | None = None) -> tuple[DataFrame, int, int]:
+    """Persist ``small`` and count at most ``bound + 1`` of its rows: (frame, rows, bound)."""
     bound = max_rows if max_rows is not None else max_broadcast_rows(small)
     kept = small.persist(StorageLevel.MEMORY_AND_DISK)
     n = kept.limit(bound + 1).count()
-    return kept, n <= bound
+    return kept, n, bound
 
 
 def join_small(

@@ -26,7 +26,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import join_small
+from .joins import join_small, measure_small
 
 DEFAULT_HEAVY_ROWS = 2_000_000
 DEFAULT_BUCKET_ROWS = 500_000
@@ -93,7 +93,10 @@ def _with_buckets(df: DataFrame, by: str, order_num: Column) -> DataFrame:
             (F.ceil(F.col("__n") / F.lit(bucket_rows)) * res).cast("bigint").alias("__nf"),
         )
     )
-    joined = join_small(tmp, stats, by, "left")
+    stats, n_heavy, bound = measure_small(stats)
+    if n_heavy == 0:  # no heavy key: one bucket per key, nothing to split
+        return df.withColumn(_B, F.lit(0).cast("bigint"))
+    joined = tmp.join(F.broadcast(stats) if n_heavy <= bound else stats, by, "left")
     light = joined.where(F.col("__nf").isNull()).withColumn(_B, F.lit(0).cast("bigint"))
     heavy = joined.where(F.col("__nf").isNotNull())
     span = F.col("__hi") - F.col("__lo")
