@@ -16,7 +16,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from .operators.quality import run_checks
+from .operators.quality import CHECKS, EXTRA_CHECKS, run_checks
 from .plans.build import MARTS, STAGING, build
 from .session import build_session
 from .sources.files import ingest_dir, load_tables, read_table
@@ -45,7 +45,9 @@ def build_and_check(spark: SparkSession, root: str, select: list[str] | None = N
     tables = {k: v for k, v in models.items() if k in MARTS}
     if "stg_order" in models:
         tables["orders"] = models["stg_order"]
-    summary = run_checks(tables).collect()
+    if "product_category_name_translation" in raw:
+        tables["product_category_name_translation"] = raw["product_category_name_translation"]
+    summary = run_checks(tables, CHECKS + EXTRA_CHECKS).collect()
     failed = [r for r in summary if r.status != "pass"]
     for r in summary:
         print(f"{r.status.upper():4} {r.test_name:<20} {r.model}.{r.column_name} failures={r.failures}")

@@ -21,7 +21,7 @@ from ..functions.labels import (
     reliability_score,
     retention_window,
 )
-from ..functions.numeric import cents, exact_sample_stddev, round_to, safe_divide
+from ..functions.numeric import exact_sample_stddev, round_to, safe_divide
 from ..functions.temporal import elapsed_days, gap_days_2dp, micros_between, month_start
 from .aggregates import (
     SUM_MONEY,

@@ -146,6 +146,14 @@ CHECKS: list[Check] = [
 ]
 
 
+# Our own additions beyond the declared suite: the translation key must be unique,
+# or the category join would multiply order items.
+EXTRA_CHECKS: list[Check] = [
+    Check("product_category_name_translation", "product_category_name", "unique"),
+    Check("product_category_name_translation", "product_category_name", "not_null"),
+]
+
+
 def _row_failure(c: Check) -> Column:
     if c.test == "not_null":
         return F.col(c.column).isNull()

@@ -15,7 +15,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import labels as L
 from ..functions.numeric import round_to, safe_divide
 from ..functions.temporal import (
     days_between,
@@ -33,7 +32,6 @@ from ..operators import marts as M
 from ..operators import metrics as K
 from ..operators import quality as Q
 from ..operators import staging as S
-from ..operators import windows as W
 from ..operators.anomaly import anomaly_features, audit_view, detect_anomalies, isolation_forest_scores, z_outliers
 from ..session import ensure_checkpoint_dir
 from ..sources import files as FS
