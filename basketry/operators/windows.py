@@ -74,8 +74,10 @@ def _with_buckets(df: DataFrame, by: str, order_num: Column) -> DataFrame:
 
     For a key with n > heavy_rows rows: an equal-width fine histogram over its
     order-value range (``ceil(n / bucket_rows) · resolution`` bins, a partial
-    aggregate), prefix counts over its bins (a window over at most that many
-    histogram rows), and bucket = rows before the bin div ``bucket_rows``.
+    aggregate); bins still holding more than a bucket are re-binned over their
+    own min..max; prefix counts over the (bin, sub-bin) histogram (a window
+    over at most that many rows per key) give bucket = rows before div
+    ``bucket_rows``.
     Buckets are monotone in the order value and tied values share a bin, so
     they share a bucket.  NULL order values go after all others.
     """
@@ -107,14 +109,39 @@ def _with_buckets(df: DataFrame, by: str, order_num: Column) -> DataFrame:
         .cast("bigint")
     )
     heavy = heavy.withColumn("__fine", fine)
-    hist = heavy.groupBy(by, "__fine").agg(F.count(F.lit(1)).alias("__c"))
+    # level 2: a fine bin still holding more than a bucket is re-binned over the
+    # actual min..max of its own values, so rows packed into a sliver of a
+    # stretched range are split as well
+    hist1 = heavy.groupBy(by, "__fine").agg(
+        F.count(F.lit(1)).alias("__c1"), F.min("__ord").alias("__mn"), F.max("__ord").alias("__mx")
+    )
+    dense = hist1.where(F.col("__c1") > bucket_rows).select(
+        by,
+        "__fine",
+        "__mn",
+        "__mx",
+        (F.ceil(F.col("__c1") / F.lit(bucket_rows)) * res).cast("bigint").alias("__ns"),
+    )
+    dense, n_dense, dbound = measure_small(dense)
+    heavy = heavy.join(F.broadcast(dense) if n_dense <= dbound else dense, [by, "__fine"], "left")
+    width = F.col("__mx") - F.col("__mn")
+    sub_raw = F.floor((F.col("__ord") - F.col("__mn")) / F.when(width > 0, width).otherwise(F.lit(1.0)) * F.col("__ns"))
+    sub = (
+        F.when(F.col("__ns").isNull() | F.col("__ord").isNull(), F.lit(0))
+        .otherwise(F.least(F.greatest(sub_raw, F.lit(0)), F.col("__ns") - 1))
+        .cast("bigint")
+    )
+    heavy = heavy.withColumn("__sub", sub).drop("__mn", "__mx", "__ns")
+    hist = heavy.groupBy(by, "__fine", "__sub").agg(F.count(F.lit(1)).alias("__c"))
     before = F.coalesce(
-        F.sum("__c").over(Window.partitionBy(by).orderBy("__fine").rowsBetween(Window.unboundedPreceding, -1)),
+        F.sum("__c").over(
+            Window.partitionBy(by).orderBy("__fine", "__sub").rowsBetween(Window.unboundedPreceding, -1)
+        ),
         F.lit(0),
     )
-    coarse = hist.select(by, "__fine", F.floor(before / F.lit(bucket_rows)).cast("bigint").alias(_B))
+    coarse = hist.select(by, "__fine", "__sub", F.floor(before / F.lit(bucket_rows)).cast("bigint").alias(_B))
     # only heavy rows meet the mapping, so no NULL join keys pile up in one partition
-    heavy = join_small(heavy, coarse, [by, "__fine"], "inner").drop("__fine")
+    heavy = join_small(heavy, coarse, [by, "__fine", "__sub"], "inner").drop("__fine", "__sub")
     out = light.unionByName(heavy)
     return out.drop("__ord", "__lo", "__hi", "__nf")
 

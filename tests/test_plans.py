@@ -52,6 +52,14 @@ def test_scans_are_pruned_and_filters_pushed(spark):
 
 
 def test_retention_window_is_bucketed(spark):
-    p = plan(E.queries()["customer_retention"](spark, SF))
+    # with no heavy key the bucket is the constant 0 and folds away (every group is then
+    # below heavyRows); force heavy keys to see the (key, bucket) partitioning
+    spark.conf.set("basketry.skew.heavyRows", "5")
+    spark.conf.set("basketry.skew.bucketRows", "3")
+    try:
+        p = plan(E.queries()["customer_retention"](spark, SF))
+    finally:
+        spark.conf.unset("basketry.skew.heavyRows")
+        spark.conf.unset("basketry.skew.bucketRows")
     assert any("__bkt" in w for w in _windows(p))
     assert "BroadcastNestedLoopJoin" in p  # the one-row dataset max, broadcast by construction

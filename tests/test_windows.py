@@ -101,3 +101,24 @@ def test_heavy_buckets_are_count_balanced(spark):
         spark.conf.unset("basketry.skew.bucketRows")
     assert sum(sizes) == 2000 and len(sizes) >= 15
     assert max(sizes) <= 200
+
+
+def test_heavy_buckets_split_a_sliver_of_a_stretched_range(spark):
+    """One far outlier stretches the range; the bulk sits in a sliver of it and is still split."""
+    from basketry.operators.windows import _order_number, _with_buckets
+
+    base = dt.datetime(2024, 1, 1)
+    data = [(0, 1, dt.datetime(1970, 1, 1))] + [(i, 1, base + dt.timedelta(seconds=i)) for i in range(1, 1000)]
+    df = spark.createDataFrame(data, "oid bigint, k bigint, t timestamp_ntz")
+    spark.conf.set("basketry.skew.heavyRows", "100")
+    spark.conf.set("basketry.skew.bucketRows", "100")
+    try:
+        b = _with_buckets(df, "k", _order_number(F.col("t"), "timestamp"))
+        sizes = [r["count"] for r in b.groupBy("__bkt").count().collect()]
+        seq = ordered_sequence(df, "k", "t", "oid", seq="seq", prev="prev", group_rows="n")
+        got = {r.oid: (r.seq, r.n) for r in seq.collect()}
+    finally:
+        spark.conf.unset("basketry.skew.heavyRows")
+        spark.conf.unset("basketry.skew.bucketRows")
+    assert max(sizes) <= 200 and len(sizes) >= 8
+    assert got[0] == (1, 1000) and got[999] == (1000, 1000) and got[500] == (501, 1000)
