@@ -91,6 +91,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     except Exception:
         d = None
     if not d:
+        if not (sc.master or "").startswith("local"):
+            raise RuntimeError(
+                "spark.checkpoint.dir is not set: on a cluster it must name a shared folder "
+                "(executors and the driver read and write it)"
+            )
         d = tempfile.mkdtemp(prefix="basketry-ckpt-", dir=os.environ.get("BASKETRY_SCRATCH", "/tmp"))
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
