@@ -170,7 +170,9 @@ def _row_failure(c: Check) -> Column:
 def run_checks(tables: dict[str, DataFrame], checks: Iterable[Check] = CHECKS) -> DataFrame:
     """One summary row per check: (model, column_name, test_name, failures, status).
 
-    One pass per table.  A table with a uniqueness check is grouped by that
+    Failures count violating rows, except ``unique`` (duplicated values) and
+    ``accepted_values`` (distinct offending values).  One pass per table for
+    the row-level checks.  A table with a uniqueness check is grouped by that
     column once; the row-level failure counts ride along in the same grouped
     aggregate and are summed afterwards, and the duplicate count is the number
     of non-NULL groups with more than one row.  When the table is already
@@ -184,8 +186,9 @@ def run_checks(tables: dict[str, DataFrame], checks: Iterable[Check] = CHECKS) -
     parts: list[DataFrame] = []
     for model, cs in by_model.items():
         df = tables[model]
-        row_checks = [c for c in cs if c.test != "unique"]
+        row_checks = [c for c in cs if c.test not in ("unique", "accepted_values")]
         uniq = [c for c in cs if c.test == "unique"]
+        valued = [c for c in cs if c.test == "accepted_values"]
         counts = [F.count_if(_row_failure(c)).alias(f"f{i}") for i, c in enumerate(row_checks)]
         if len(uniq) == 1:
             u = uniq[0].column
@@ -206,6 +209,13 @@ def run_checks(tables: dict[str, DataFrame], checks: Iterable[Check] = CHECKS) -
                 totals = e if totals is None else totals.crossJoin(e)
             order = row_checks + uniq
             names = [f"f{i}" for i in range(len(row_checks))] + [f"u{j}" for j in range(len(uniq))]
+        # accepted values: the number of distinct offending values (offending rows are
+        # filtered first, so the grouping moves only those)
+        for j, c in enumerate(valued):
+            v = check_accepted(df, c.column, c.values).agg(F.count(F.lit(1)).alias(f"v{j}"))
+            totals = v if totals is None else totals.crossJoin(v)
+            order = order + [c]
+            names = names + [f"v{j}"]
         stack = F.explode(
             F.array(
                 *[

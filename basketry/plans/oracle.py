@@ -342,11 +342,14 @@ def _check_sql(c: Check) -> str:
             f"SELECT {head}, CAST(count(*) AS BIGINT) AS failures FROM "
             f"(SELECT {col} FROM {src} WHERE {col} IS NOT NULL GROUP BY {col} HAVING count(*) > 1)"
         )
+    if c.test == "accepted_values":
+        vals = ", ".join(("true" if v else "false") if isinstance(v, bool) else f"'{v}'" for v in c.values)
+        return (
+            f"SELECT {head}, CAST(count(*) AS BIGINT) AS failures FROM "
+            f"(SELECT {col} FROM {src} WHERE {col} IS NOT NULL AND {col} NOT IN ({vals}) GROUP BY {col})"
+        )
     if c.test == "not_null":
         cond = f"{col} IS NULL"
-    elif c.test == "accepted_values":
-        vals = ", ".join(("true" if v else "false") if isinstance(v, bool) else f"'{v}'" for v in c.values)
-        cond = f"{col} IS NOT NULL AND {col} NOT IN ({vals})"
     elif c.test == "accepted_range":
         parts = []
         if c.min_value is not None:

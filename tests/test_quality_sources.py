@@ -72,3 +72,13 @@ def test_write_table_counts_during_write_and_overwrites(spark, tmp_path):
     assert os.path.isdir(os.path.join(root, "raw", "t"))
     rep = FS.load_tables({"a": spark.range(2), "b": spark.range(5)}, root)
     assert sorted(rep.collect()) == [("a", 2), ("b", 5)]
+
+
+def test_accepted_values_counts_distinct_offenders(spark):
+    pcd = spark.createDataFrame(
+        [(1, "Bad"), (2, "Bad"), (3, "Worse"), (4, "Single Sale"), (5, None)], "product_id int, reliability_score string"
+    )
+    checks = [c for c in Q.CHECKS if c.model == "product_cost_decomposition" and c.column in ("reliability_score", "product_id")]
+    out = {(r.column_name, r.test_name): r.failures for r in Q.run_checks({"product_cost_decomposition": pcd}, checks).collect()}
+    assert out[("reliability_score", "accepted_values")] == 2
+    assert out[("product_id", "unique")] == 0 and out[("product_id", "not_null")] == 0
