@@ -69,7 +69,7 @@ def _order_number(c: Column, kind: str) -> Column:
     return c.cast("double")
 
 
-def _with_buckets(df: DataFrame, by: str, order_num: Column) -> DataFrame:
+def _with_buckets(df: DataFrame, by: str, order_num: Column) -> tuple[DataFrame, bool]:
     """Add ``__bkt``: 0 for light keys, a count-balanced, order-preserving bucket for heavy keys.
 
     For a key with n > heavy_rows rows: an equal-width fine histogram over its
@@ -97,7 +97,7 @@ def _with_buckets(df: DataFrame, by: str, order_num: Column) -> DataFrame:
     )
     stats, n_heavy, bound = measure_small(stats)
     if n_heavy == 0:  # no heavy key: one bucket per key, nothing to split
-        return df.withColumn(_B, F.lit(0).cast("bigint"))
+        return df.withColumn(_B, F.lit(0).cast("bigint")), False
     joined = tmp.join(F.broadcast(stats) if n_heavy <= bound else stats, by, "left")
     light = joined.where(F.col("__nf").isNull()).withColumn(_B, F.lit(0).cast("bigint"))
     heavy = joined.where(F.col("__nf").isNotNull())
@@ -143,7 +143,7 @@ def _with_buckets(df: DataFrame, by: str, order_num: Column) -> DataFrame:
     # only heavy rows meet the mapping, so no NULL join keys pile up in one partition
     heavy = join_small(heavy, coarse, [by, "__fine", "__sub"], "inner").drop("__fine", "__sub")
     out = light.unionByName(heavy)
-    return out.drop("__ord", "__lo", "__hi", "__nf")
+    return out.drop("__ord", "__lo", "__hi", "__nf"), True
 
 
 def ordered_sequence(
@@ -162,7 +162,15 @@ def ordered_sequence(
     """
     kind = "timestamp" if dict(df.dtypes)[order].startswith("timestamp") else "number"
     base = reused(df).withColumn(_K, F.struct(by))
-    b = _with_buckets(base, _K, _order_number(F.col(order), kind))
+    b, split = _with_buckets(base, _K, _order_number(F.col(order), kind))
+    if not split:  # every key has at most heavy_rows rows: the plain window is bounded
+        wk = Window.partitionBy(_K).orderBy(F.asc_nulls_last(order), F.asc(tie))
+        return b.select(
+            *[c for c in df.columns],
+            F.row_number().over(wk).cast("bigint").alias(seq),
+            F.lag(order).over(wk).alias(prev),
+            F.count(F.lit(1)).over(Window.partitionBy(_K)).cast("bigint").alias(group_rows),
+        )
     w = Window.partitionBy(_K, _B).orderBy(F.asc_nulls_last(order), F.asc(tie))
     local = b.select(
         "*",
@@ -209,7 +217,18 @@ def running_total(
     """
     base = reused(df).withColumn(_K, F.struct(by))
     # descending order: bucket on -value so bucket order is ascending
-    b = _with_buckets(base, _K, -F.col(value).cast("double"))
+    b, split = _with_buckets(base, _K, -F.col(value).cast("double"))
+    if not split:  # every key has at most heavy_rows rows: the plain window is bounded
+        wr = (
+            Window.partitionBy(_K)
+            .orderBy(F.desc_nulls_first(value))
+            .rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        )
+        return b.select(
+            *[c for c in df.columns],
+            F.sum(value).over(wr).alias(running),
+            F.sum(value).over(Window.partitionBy(_K)).alias(total),
+        )
     b = b.withColumn(_B, F.when(F.col(value).isNull(), F.lit(-1)).otherwise(F.col(_B)))
     w = (
         Window.partitionBy(_K, _B)
