@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+import time
 
 from pyspark.sql import SparkSession
 
@@ -69,9 +70,13 @@ def main(argv: list[str] | None = None) -> int:
     if a.command in ("ingest", "run"):
         if not a.csv:
             ap.error("--csv is required")
-        ingest(spark, a.csv, a.root, a.prefix)
+        t0 = time.perf_counter()
+        n = ingest(spark, a.csv, a.root, a.prefix)
+        print(f"ingested {n} tables in {time.perf_counter() - t0:.2f} s")
     if a.command in ("build", "run"):
+        t0 = time.perf_counter()
         ok = build_and_check(spark, a.root, [s for s in a.select.split(",") if s] or None)
+        print(f"built and checked in {time.perf_counter() - t0:.2f} s")
     return 0 if ok else 1
 
 
