@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 from decimal import Decimal
+from decimal import Decimal as D
 
 from pyspark.sql import functions as F
 
@@ -102,3 +103,33 @@ def test_label_branches(spark):
     assert [r[0] for r in rw.select(L.retention_window(F.col("seq"), F.col("g"))).collect()] == [
         "First Order", "Quick Return (<30d)", "Standard (30-90d)", "Standard (30-90d)", "Delayed (>90d)",
         "Delayed (>90d)"]
+
+
+def test_exact_mean_and_stddev_property(spark):
+    """Random money lists: mean equals Decimal half-up rounding of the true mean; stddev equals
+    the sample formula."""
+    import statistics
+    from decimal import ROUND_HALF_UP
+
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    money = st.integers(min_value=-10_000_000, max_value=10_000_000).map(lambda c: D(c) / 100)
+
+    @settings(max_examples=15, deadline=None)
+    @given(st.lists(st.lists(money, min_size=1, max_size=12), min_size=1, max_size=6))
+    def check(groups):
+        rows = [(g, v) for g, vals in enumerate(groups) for v in vals]
+        df = spark.createDataFrame(rows, "g int, x decimal(18,2)")
+        got = {r.g: (r.m, r.s) for r in df.groupBy("g").agg(
+            exact_rounded_mean("x").alias("m"), exact_sample_stddev("x").alias("s")).collect()}
+        for g, vals in enumerate(groups):
+            exact = sum(vals) / len(vals)
+            want = exact.quantize(D("0.01"), rounding=ROUND_HALF_UP)
+            assert got[g][0] == want
+            if len(vals) > 1:
+                assert abs(got[g][1] - statistics.stdev([float(v) for v in vals])) <= 1e-9 * max(1.0, got[g][1])
+            else:
+                assert got[g][1] is None
+
+    check()
