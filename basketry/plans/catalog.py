@@ -210,6 +210,17 @@ def _mart_scan(m: Models) -> DataFrame:
     return FS.read_mart(m.spark, root, "monthly_revenue_by_cat", ["revenue_month", "product_category", "monthly_revenue"])
 
 
+@query("mart_category_year")
+def _mart_category_year(m: Models) -> DataFrame:
+    """Category/year selection on the year-partitioned mart: the year filter prunes folders."""
+    from .build import build
+
+    root = m.scratch("partitioned")
+    built = build(m.raw, root=root, select=["monthly_revenue_by_cat"])["monthly_revenue_by_cat"]
+    mart = FS.read_mart(m.spark, root, "monthly_revenue_by_cat", schema=built.schema)
+    return FL.in_category_year(mart, SELECTED_CATEGORIES, SELECTED_YEARS)
+
+
 # ------------------------------------------------------------------ staging
 for _name, _attr in [
     ("stg_category_translate", "stg_translate"),

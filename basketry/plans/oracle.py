@@ -380,6 +380,7 @@ FINAL: dict[str, str] = {
         UNION ALL SELECT 'product_category_name_translation', count(*) FROM raw_translation""",
     "mart_roundtrip": "SELECT * FROM fct_orders",
     "mart_scan": "SELECT revenue_month, product_category, monthly_revenue FROM monthly_revenue_by_cat",
+    "mart_category_year": f"SELECT * FROM monthly_revenue_by_cat WHERE product_category IN {SEL_CATS} AND revenue_year IN {SEL_YEARS}",
     # staging
     "stg_category_translate": "SELECT * FROM stg_category_translate",
     "stg_customer": "SELECT * FROM stg_customer",

@@ -88,28 +88,44 @@ def table_path(root: str, tier: str, name: str) -> str:
     return f"{root.rstrip('/')}/{tier}/{name}"
 
 
-def write_table(df: DataFrame, root: str, tier: str, name: str, observe: bool = True) -> int | None:
+def write_table(
+    df: DataFrame,
+    root: str,
+    tier: str,
+    name: str,
+    observe: bool = True,
+    partition_by: list[str] | None = None,
+) -> int | None:
     """Full-replace write of one table as parquet; returns the written row count.
 
     The count is taken with an ``Observation`` during the write, so the table
-    is not scanned a second time.
+    is not scanned a second time.  ``partition_by`` writes one folder per
+    value, so filters on those columns prune whole folders at read time.
     """
     target = table_path(root, tier, name)
     if observe:
         obs = Observation(f"rows_{tier}_{name}")
-        df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(target)
-        return int(obs.get["rows"])
-    df.write.mode("overwrite").parquet(target)
-    return None
+        df = df.observe(obs, F.count(F.lit(1)).alias("rows"))
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(target)
+    return int(obs.get["rows"]) if observe else None
 
 
-def read_table(spark: SparkSession, root: str, tier: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(root, tier, name))
+def read_table(
+    spark: SparkSession, root: str, tier: str, name: str, schema: T.StructType | None = None
+) -> DataFrame:
+    """Read a table; a schema keeps partition columns at their written type."""
+    r = spark.read.schema(schema) if schema is not None else spark.read
+    return r.parquet(table_path(root, tier, name))
 
 
-def read_mart(spark: SparkSession, root: str, name: str, columns: list[str] | None = None) -> DataFrame:
+def read_mart(
+    spark: SparkSession, root: str, name: str, columns: list[str] | None = None, schema: T.StructType | None = None
+) -> DataFrame:
     """Scan a mart; a column list prunes the parquet read (instead of ``SELECT *``)."""
-    df = read_table(spark, root, "analytics", name)
+    df = read_table(spark, root, "analytics", name, schema)
     return df.select(*columns) if columns else df
 
 

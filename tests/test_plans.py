@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
 
 # Queries that write or read scratch tables as part of the operator; their plans are scans.
-SIDE_EFFECT = {"ingest_csv", "raw_roundtrip", "load_report", "mart_roundtrip", "mart_scan"}
+SIDE_EFFECT = {"ingest_csv", "raw_roundtrip", "load_report", "mart_roundtrip", "mart_scan", "mart_category_year"}
 # Queries whose work is the forest (fit happens eagerly); checked in test_anomaly.
 FOREST = {"isolation_forest", "anomaly_labels", "kpi_anomalies", "audit_view", "dq_same_count"}
 
@@ -63,3 +63,8 @@ def test_retention_window_is_bucketed(spark):
         spark.conf.unset("basketry.skew.bucketRows")
     assert any("__bkt" in w for w in _windows(p))
     assert "BroadcastNestedLoopJoin" in p  # the one-row dataset max, broadcast by construction
+
+
+def test_year_selection_prunes_partitions(spark):
+    p = plan(E.queries()["mart_category_year"](spark, SF))
+    assert re.search(r"PartitionFilters: \[[^\]]*revenue_year", p)
