@@ -80,10 +80,12 @@ def exact_sample_stddev(c: Column | str) -> Column:
     return F.when(F.count(c) > 1, F.sqrt(num.cast("double") / den.cast("double")) / 100.0)
 
 
-def round_to(c: Column, places: int, type_: str | None = None) -> Column:
-    """Round half away from zero to ``places`` as DECIMAL, like SQL ``round(x::numeric, n)``."""
+def round_to(c: Column, places: int, type_: str | None = None, half_even: bool = False) -> Column:
+    """Round half away from zero to ``places`` as DECIMAL, like SQL ``round(x::numeric, n)``;
+    ``half_even=True`` rounds ties to even (the dataframe-library convention)."""
     t = type_ or f"decimal(38,{places})"
-    return F.round(c.cast("decimal(38,12)"), places).cast(t)
+    rounder = F.bround if half_even else F.round
+    return rounder(c.cast("decimal(38,12)"), places).cast(t)
 
 
 def safe_divide(a: Column, b: Column) -> Column:

@@ -141,8 +141,12 @@ def distinct_sorted(df: DataFrame, col: str, cast: str | None = None) -> DataFra
     return df.select(c).distinct().orderBy(F.asc_nulls_last(col))
 
 
-def yearly_avg_revenue(rev: DataFrame) -> DataFrame:
-    """Mean monthly revenue per (category, year), rounded to 2 (half away from zero)."""
-    return rev.groupBy("product_category", "revenue_year").agg(
-        exact_rounded_mean("monthly_revenue").alias("avg_monthly_revenue")
-    )
+def yearly_avg_revenue(rev: DataFrame, half_even: bool = False) -> DataFrame:
+    """Mean monthly revenue per (category, year), rounded to 2 places: half away from zero
+    (exact, from cents), or ties to even with ``half_even=True``."""
+    if half_even:
+        mean = F.sum("monthly_revenue").cast("decimal(38,6)") / F.count("monthly_revenue")
+        avg = round_to(mean, 2, "decimal(18,2)", half_even=True)
+    else:
+        avg = exact_rounded_mean("monthly_revenue")
+    return rev.groupBy("product_category", "revenue_year").agg(avg.alias("avg_monthly_revenue"))

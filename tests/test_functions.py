@@ -133,3 +133,16 @@ def test_exact_mean_and_stddev_property(spark):
                 assert got[g][1] is None
 
     check()
+
+
+def test_half_even_option(spark):
+    from basketry.operators.aggregates import yearly_avg_revenue
+
+    rev = spark.createDataFrame(
+        [("a", 2020, D("0.01")), ("a", 2020, D("0.02")), ("b", 2020, D("0.01")), ("b", 2020, D("0.04"))],
+        "product_category string, revenue_year bigint, monthly_revenue decimal(38,2)",
+    )
+    up = dict((r.product_category, r.avg_monthly_revenue) for r in yearly_avg_revenue(rev).collect())
+    even = dict((r.product_category, r.avg_monthly_revenue) for r in yearly_avg_revenue(rev, half_even=True).collect())
+    assert up == {"a": D("0.02"), "b": D("0.03")}  # 0.015 -> 0.02, 0.025 -> 0.03
+    assert even == {"a": D("0.02"), "b": D("0.02")}  # 0.015 -> 0.02, 0.025 -> 0.02
