@@ -75,7 +75,9 @@ def max_value(df: DataFrame, col: str, alias: str) -> DataFrame:
 def first_per_key(df: DataFrame, key: str, cols: list[str], tie: str) -> DataFrame:
     """One row per ``key`` (``DISTINCT ON``): the row with the lowest ``tie`` value.
 
-    ``min_by`` is a partial aggregate, so no sort and no whole group in one task.
+    ``min_by`` combines map-side (partial aggregate), so no whole group reaches
+    one task; Spark runs it as a sort-based aggregate because its buffer holds
+    a struct, with no window and no ordering of whole groups.
     """
     picked = df.groupBy(key).agg(F.min_by(F.struct(*cols), F.col(tie)).alias("__pick"))
     return picked.select(key, *[F.col(f"__pick.{c}").alias(c) for c in cols])
