@@ -69,7 +69,9 @@ def _order_number(c: Column, kind: str) -> Column:
     return c.cast("double")
 
 
-def _with_buckets(df: DataFrame, by: str, order_num: Column) -> tuple[DataFrame, bool]:
+def _with_buckets(
+    df: DataFrame, by: str, order_num: Column, tie_num: Column | None = None
+) -> tuple[DataFrame, bool]:
     """Add ``__bkt``: 0 for light keys, a count-balanced, order-preserving bucket for heavy keys.
 
     For a key with n > heavy_rows rows: an equal-width fine histogram over its
@@ -79,11 +81,15 @@ def _with_buckets(df: DataFrame, by: str, order_num: Column) -> tuple[DataFrame,
     over at most that many rows per key) give bucket = rows before div
     ``bucket_rows``.
     Buckets are monotone in the order value and tied values share a bin, so
-    they share a bucket.  NULL order values go after all others.
+    they share a bucket.  NULL order values go after all others.  With a
+    numeric tie-breaker (``tie_num``, for row-numbered windows), a dense bin
+    whose rows all share one order value is sub-binned on the tie-breaker.
     """
     heavy_rows, bucket_rows = skew_limits(df)
     res = _conf_int(df, "basketry.skew.resolution", DEFAULT_RESOLUTION)
-    tmp = df.withColumn("__ord", order_num)
+    tmp = df.withColumn("__ord", order_num).withColumn(
+        "__tie", tie_num.cast("double") if tie_num is not None else F.lit(None).cast("double")
+    )
     stats = (
         tmp.groupBy(by)
         .agg(F.count(F.lit(1)).alias("__n"), F.min("__ord").alias("__lo"), F.max("__ord").alias("__hi"))
@@ -113,25 +119,33 @@ def _with_buckets(df: DataFrame, by: str, order_num: Column) -> tuple[DataFrame,
     # actual min..max of its own values, so rows packed into a sliver of a
     # stretched range are split as well
     hist1 = heavy.groupBy(by, "__fine").agg(
-        F.count(F.lit(1)).alias("__c1"), F.min("__ord").alias("__mn"), F.max("__ord").alias("__mx")
+        F.count(F.lit(1)).alias("__c1"),
+        F.min("__ord").alias("__mn"),
+        F.max("__ord").alias("__mx"),
+        F.min("__tie").alias("__tmn"),
+        F.max("__tie").alias("__tmx"),
     )
+    # a bin of one repeated order value (or of NULLs) is ordered by the tie-breaker alone
+    by_tie = (F.col("__mn").isNull() | (F.col("__mn") == F.col("__mx"))) & F.col("__tmn").isNotNull()
     dense = hist1.where(F.col("__c1") > bucket_rows).select(
         by,
         "__fine",
-        "__mn",
-        "__mx",
+        F.when(by_tie, F.col("__tmn")).otherwise(F.col("__mn")).alias("__mn"),
+        F.when(by_tie, F.col("__tmx")).otherwise(F.col("__mx")).alias("__mx"),
+        by_tie.alias("__bytie"),
         (F.ceil(F.col("__c1") / F.lit(bucket_rows)) * res).cast("bigint").alias("__ns"),
     )
     dense, n_dense, dbound = measure_small(dense)
     heavy = heavy.join(F.broadcast(dense) if n_dense <= dbound else dense, [by, "__fine"], "left")
     width = F.col("__mx") - F.col("__mn")
-    sub_raw = F.floor((F.col("__ord") - F.col("__mn")) / F.when(width > 0, width).otherwise(F.lit(1.0)) * F.col("__ns"))
+    val = F.when(F.col("__bytie"), F.col("__tie")).otherwise(F.col("__ord"))
+    sub_raw = F.floor((val - F.col("__mn")) / F.when(width > 0, width).otherwise(F.lit(1.0)) * F.col("__ns"))
     sub = (
-        F.when(F.col("__ns").isNull() | F.col("__ord").isNull(), F.lit(0))
+        F.when(F.col("__ns").isNull() | val.isNull(), F.lit(0))
         .otherwise(F.least(F.greatest(sub_raw, F.lit(0)), F.col("__ns") - 1))
         .cast("bigint")
     )
-    heavy = heavy.withColumn("__sub", sub).drop("__mn", "__mx", "__ns")
+    heavy = heavy.withColumn("__sub", sub).drop("__mn", "__mx", "__ns", "__bytie")
     hist = heavy.groupBy(by, "__fine", "__sub").agg(F.count(F.lit(1)).alias("__c"))
     before = F.coalesce(
         F.sum("__c").over(
@@ -143,7 +157,7 @@ def _with_buckets(df: DataFrame, by: str, order_num: Column) -> tuple[DataFrame,
     # only heavy rows meet the mapping, so no NULL join keys pile up in one partition
     heavy = join_small(heavy, coarse, [by, "__fine", "__sub"], "inner").drop("__fine", "__sub")
     out = light.unionByName(heavy)
-    return out.drop("__ord", "__lo", "__hi", "__nf"), True
+    return out.drop("__ord", "__tie", "__lo", "__hi", "__nf"), True
 
 
 def ordered_sequence(
@@ -162,7 +176,8 @@ def ordered_sequence(
     """
     kind = "timestamp" if dict(df.dtypes)[order].startswith("timestamp") else "number"
     base = reused(df).withColumn(_K, F.struct(by))
-    b, split = _with_buckets(base, _K, _order_number(F.col(order), kind))
+    tie_num = F.col(tie) if dict(df.dtypes)[tie] in ("tinyint", "smallint", "int", "bigint") else None
+    b, split = _with_buckets(base, _K, _order_number(F.col(order), kind), tie_num)
     if not split:  # every key has at most heavy_rows rows: the plain window is bounded
         wk = Window.partitionBy(_K).orderBy(F.asc_nulls_last(order), F.asc(tie))
         return b.select(

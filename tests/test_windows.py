@@ -122,3 +122,24 @@ def test_heavy_buckets_split_a_sliver_of_a_stretched_range(spark):
         spark.conf.unset("basketry.skew.bucketRows")
     assert max(sizes) <= 200 and len(sizes) >= 8
     assert got[0] == (1, 1000) and got[999] == (1000, 1000) and got[500] == (501, 1000)
+
+
+def test_identical_timestamps_split_on_the_tie_breaker(spark):
+    """A hot person with all orders at one instant: buckets split on order id, results exact."""
+    from basketry.operators.windows import _order_number, _with_buckets
+
+    t = dt.datetime(2024, 5, 1, 12, 0)
+    data = [(i, 1, t if i % 10 else None) for i in range(1000)] + [(5000, 2, t)]
+    df = spark.createDataFrame(data, "oid bigint, k bigint, t timestamp_ntz")
+    spark.conf.set("basketry.skew.heavyRows", "100")
+    spark.conf.set("basketry.skew.bucketRows", "100")
+    try:
+        b, _ = _with_buckets(df, "k", _order_number(F.col("t"), "timestamp"), F.col("oid"))
+        sizes = [r["count"] for r in b.where("k = 1").groupBy("__bkt").count().collect()]
+        got = ordered_sequence(df, "k", "t", "oid", seq="seq", prev="prev", group_rows="n")
+        got = sorted(got.select("oid", "seq", "prev", "n").collect())
+    finally:
+        spark.conf.unset("basketry.skew.heavyRows")
+        spark.conf.unset("basketry.skew.bucketRows")
+    assert max(sizes) <= 200 and len(sizes) >= 8
+    assert got == sorted(_plain_sequence(df.withColumnRenamed("oid", "oid")).collect())
