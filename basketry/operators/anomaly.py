@@ -145,6 +145,10 @@ def fit_isolation_forest(
     psi_eff = int(min(psi, max(n, 1)))
     height = int(math.ceil(math.log2(max(psi_eff, 2))))
     sample = _sample_for_trees(feats, key, trees, psi_eff, seed, n)
+    # an explicit partition count keeps the tree builds spread over the cores
+    # (the sample is small, so adaptive coalescing would otherwise pack all trees in one task)
+    parts = max(1, min(trees, df.sparkSession.sparkContext.defaultParallelism))
+    sample = sample.repartition(parts, "tree")
     nodes = sample.groupBy("tree").applyInPandas(_tree_builder(features, key, seed, height), schema=_NODE_SCHEMA)
     return nodes.toPandas(), psi_eff
 
