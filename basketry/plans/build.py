@@ -10,6 +10,7 @@ a lineage cut that survives executor loss.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 
@@ -80,18 +81,49 @@ def _closure(select: Iterable[str]) -> list[str]:
     return [m for m in MARTS if m in need]
 
 
+def _levels(names: list[str]) -> list[list[str]]:
+    """Group marts into dependency levels: every mart's upstream marts are in earlier levels."""
+    level: dict[str, int] = {}
+    for m in names:  # ``names`` is already in a valid build order
+        deps = [d for d in MARTS[m][0] if d in MARTS]
+        level[m] = 1 + max((level[d] for d in deps), default=-1)
+    out: list[list[str]] = [[] for _ in range(max(level.values(), default=-1) + 1)]
+    for m in names:
+        out[level[m]].append(m)
+    return out
+
+
 def build(
     raw: dict[str, DataFrame],
     root: str | None = None,
     select: Iterable[str] | None = None,
+    threads: int = 4,
 ) -> dict[str, DataFrame]:
-    """Build the models; with ``root``, write each mart and continue from the written table."""
+    """Build the models; with ``root``, write each mart and continue from the written table.
+
+    Marts of one dependency level are independent, so with ``root`` they are
+    written concurrently from up to ``threads`` driver threads (separate Spark
+    jobs sharing the executors); the next level starts when its inputs are
+    written.  Without ``root`` everything stays lazy.
+    """
     models: dict[str, DataFrame] = dict(stage(raw))
     spark = next(iter(models.values())).sparkSession
-    for name in _closure(select if select is not None else MARTS):
+    names = _closure(select if select is not None else MARTS)
+    if root is None:
+        for name in names:
+            models[name] = MARTS[name][1](models)
+        return models
+
+    def materialise(name: str) -> DataFrame:
         df = MARTS[name][1](models)
-        if root is not None:
-            write_table(df, root, "analytics", name, observe=False, partition_by=MART_PARTITIONS.get(name))
-            df = read_table(spark, root, "analytics", name, schema=df.schema).select(*df.columns)
-        models[name] = df
+        write_table(df, root, "analytics", name, observe=False, partition_by=MART_PARTITIONS.get(name))
+        return read_table(spark, root, "analytics", name, schema=df.schema).select(*df.columns)
+
+    for level in _levels(names):
+        if threads > 1 and len(level) > 1:
+            with ThreadPoolExecutor(max_workers=min(threads, len(level))) as pool:
+                done = dict(zip(level, pool.map(materialise, level)))
+        else:
+            done = {name: materialise(name) for name in level}
+        models.update(done)
     return models

@@ -82,3 +82,12 @@ def test_accepted_values_counts_distinct_offenders(spark):
     out = {(r.column_name, r.test_name): r.failures for r in Q.run_checks({"product_cost_decomposition": pcd}, checks).collect()}
     assert out[("reliability_score", "accepted_values")] == 2
     assert out[("product_id", "unique")] == 0 and out[("product_id", "not_null")] == 0
+
+
+def test_build_levels_respect_dependencies():
+    from basketry.plans.build import MARTS, _closure, _levels
+
+    levels = _levels(_closure(MARTS))
+    assert levels[0] == ["fct_orders", "dim_products", "monthly_revenue_by_cat"]
+    assert set(levels[1]) == {"dim_customer", "monthly_revenue", "product_cost_decomposition", "customer_retention"}
+    assert _levels(_closure(["monthly_revenue"])) == [["fct_orders"], ["monthly_revenue"]]
