@@ -91,3 +91,18 @@ def test_build_levels_respect_dependencies():
     assert levels[0] == ["fct_orders", "dim_products", "monthly_revenue_by_cat"]
     assert set(levels[1]) == {"dim_customer", "monthly_revenue", "product_cost_decomposition", "customer_retention"}
     assert _levels(_closure(["monthly_revenue"])) == [["fct_orders"], ["monthly_revenue"]]
+
+
+def test_ingest_fails_fast_on_malformed_rows(spark, tmp_path):
+    import pytest as _pytest
+
+    d = tmp_path / "bad"
+    d.mkdir()
+    (d / "order_items.csv").write_text(
+        "order_id,order_item_id,product_id,seller_id,shipping_limit_date,price,freight_value\n"
+        "o1,1,p1,s1,2018-01-01 00:00:00,10.50,1.00\n"
+        "o2,not-a-number,p2,s1,2018-01-01 00:00:00,abc,1.00\n"
+    )
+    tables = FS.ingest_dir(spark, str(d))
+    with _pytest.raises(Exception):
+        tables["order_items"].collect()
