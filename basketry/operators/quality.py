@@ -167,6 +167,25 @@ def _row_failure(c: Check) -> Column:
     raise ValueError(f"not a row-level test: {c.test}")
 
 
+def _distinct_offenders(df: DataFrame, checks: list[Check]) -> DataFrame:
+    """One row: per accepted-values check, the number of distinct values outside its set."""
+    bad = [F.col(c.column).isNotNull() & ~_accepted(c.column, c.values) for c in checks]
+    tagged = [
+        F.when(b, F.struct(F.lit(j).alias("i"), F.col(c.column).cast("string").alias("v")))
+        for j, (b, c) in enumerate(zip(bad, checks))
+    ]
+    any_bad = bad[0]
+    for b in bad[1:]:
+        any_bad = any_bad | b
+    pairs = (
+        df.where(any_bad)
+        .select(F.explode(F.array_compact(F.array(*tagged))).alias("o"))
+        .select("o.i", "o.v")
+        .distinct()
+    )
+    return pairs.agg(*[F.count_if(F.col("i") == j).alias(f"v{j}") for j in range(len(checks))])
+
+
 def run_checks(tables: dict[str, DataFrame], checks: Iterable[Check] = CHECKS) -> DataFrame:
     """One summary row per check: (model, column_name, test_name, failures, status).
 
@@ -209,13 +228,13 @@ def run_checks(tables: dict[str, DataFrame], checks: Iterable[Check] = CHECKS) -
                 totals = e if totals is None else totals.crossJoin(e)
             order = row_checks + uniq
             names = [f"f{i}" for i in range(len(row_checks))] + [f"u{j}" for j in range(len(uniq))]
-        # accepted values: the number of distinct offending values (offending rows are
-        # filtered first, so the grouping moves only those)
-        for j, c in enumerate(valued):
-            v = check_accepted(df, c.column, c.values).agg(F.count(F.lit(1)).alias(f"v{j}"))
+        # accepted values: the number of distinct offending values, all such checks of
+        # the table in one pass over its offending rows only
+        if valued:
+            v = _distinct_offenders(df, valued)
             totals = v if totals is None else totals.crossJoin(v)
-            order = order + [c]
-            names = names + [f"v{j}"]
+            order = order + valued
+            names = names + [f"v{j}" for j in range(len(valued))]
         stack = F.explode(
             F.array(
                 *[

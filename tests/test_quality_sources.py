@@ -76,11 +76,14 @@ def test_write_table_counts_during_write_and_overwrites(spark, tmp_path):
 
 def test_accepted_values_counts_distinct_offenders(spark):
     pcd = spark.createDataFrame(
-        [(1, "Bad"), (2, "Bad"), (3, "Worse"), (4, "Single Sale"), (5, None)], "product_id int, reliability_score string"
+        [(1, "Bad", True), (2, "Bad", None), (3, "Worse", False), (4, "Single Sale", True), (5, None, False)],
+        "product_id int, reliability_score string, is_price_rebalanced boolean",
     )
-    checks = [c for c in Q.CHECKS if c.model == "product_cost_decomposition" and c.column in ("reliability_score", "product_id")]
+    cols = ("reliability_score", "product_id", "is_price_rebalanced")
+    checks = [c for c in Q.CHECKS if c.model == "product_cost_decomposition" and c.column in cols]
     out = {(r.column_name, r.test_name): r.failures for r in Q.run_checks({"product_cost_decomposition": pcd}, checks).collect()}
     assert out[("reliability_score", "accepted_values")] == 2
+    assert out[("is_price_rebalanced", "accepted_values")] == 0 and out[("is_price_rebalanced", "not_null")] == 1
     assert out[("product_id", "unique")] == 0 and out[("product_id", "not_null")] == 0
 
 
