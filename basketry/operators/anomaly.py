@@ -246,7 +246,7 @@ def isolation_forest_scores(
     """Fit on ``df`` and score it: (key, anomaly_score, is_anomaly).
 
     Rows whose −score is strictly below the ``contamination`` quantile are
-    anomalies — the cut the reference model applies to its sample scores.
+    anomalies — the standard isolation-forest prediction rule.
     """
     df = df.persist(StorageLevel.MEMORY_AND_DISK)  # counted, sampled and scored
     n = df.count()

@@ -37,7 +37,7 @@ from ..session import ensure_checkpoint_dir
 from ..sources import files as FS
 from ..sources import fixtures as FX
 
-# Fixed selections used by the dashboard-style queries (the user's choice in the reference UI).
+# Fixed selections used by the dashboard-style queries (what a dashboard user would pick).
 SELECTED_CATEGORIES = ["STANDARD goods", "ECONOMY goods", "Unknown"]
 SELECTED_YEARS = [1996, 1997, 1998]
 RECENCY_BIN_DAYS = 50

@@ -1,4 +1,4 @@
-"""End to end: source CSV files -> raw tier -> marts -> declared checks (the reference's run flow)."""
+"""End to end: source CSV files -> raw tier -> marts -> declared checks (load, build, test)."""
 
 from __future__ import annotations
 
