@@ -580,7 +580,6 @@ query("monthly_revenue")(lambda m: m.monthly_revenue)
 query("monthly_revenue_by_cat")(lambda m: m.revenue_by_cat)
 query("product_base_stats")(lambda m: m.base_stats)
 query("product_cost_decomposition")(lambda m: m.pcd)
-query("order_mapping")(lambda m: m.mapping)
 query("retention_facts")(
     lambda m: m.retention_facts.select(
         "customer_unique_id",
