@@ -10,11 +10,12 @@ heavy keys into order-preserving sub-buckets:
    about ``bucket_rows`` rows from a fine histogram of their order values
    (monotone in the order value, so ties share a bucket); light keys have
    one bucket;
-3. the window runs per (key, bucket) — bounded groups;
-4. a per-(key, bucket) summary (count, sum, last value) gets prefix offsets
-   with a window over buckets of one key (a heavy key has few buckets);
-5. offsets join back on (key, bucket), which is the partitioning the window
-   output already has.
+3. light keys run the plain window (each at most ``heavy_rows`` rows);
+   heavy keys run it per (key, bucket) — bounded groups;
+4. a per-(key, bucket) summary of the heavy keys (count, sum, last value)
+   gets prefix offsets with a window over the buckets of one key;
+5. the offsets (one row per heavy bucket, so small) join back to the heavy
+   rows only, broadcast after a size check.
 
 Only the heavy-key table is broadcast, behind a row-count check; it has at
 most N / heavy_rows rows by construction.
@@ -35,6 +36,7 @@ _EPOCH = "1970-01-01 00:00:00"
 
 _B = "__bkt"
 _K = "__key"  # struct(key): groups and joins NULL keys like a window partition does
+_H = "__heavy"  # row belongs to a heavy key
 
 
 def _conf_int(df: DataFrame, key: str, default: int) -> int:
@@ -105,8 +107,8 @@ def _with_buckets(
     if n_heavy == 0:  # no heavy key: one bucket per key, nothing to split
         return df.withColumn(_B, F.lit(0).cast("bigint")), False
     joined = tmp.join(F.broadcast(stats) if n_heavy <= bound else stats, by, "left")
-    light = joined.where(F.col("__nf").isNull()).withColumn(_B, F.lit(0).cast("bigint"))
-    heavy = joined.where(F.col("__nf").isNotNull())
+    light = joined.where(F.col("__nf").isNull()).withColumn(_B, F.lit(0).cast("bigint")).withColumn(_H, F.lit(False))
+    heavy = joined.where(F.col("__nf").isNotNull()).withColumn(_H, F.lit(True))
     span = F.col("__hi") - F.col("__lo")
     raw = F.floor((F.col("__ord") - F.col("__lo")) / F.when(span > 0, span).otherwise(F.lit(1.0)) * F.col("__nf"))
     fine = (
@@ -186,8 +188,16 @@ def ordered_sequence(
             F.lag(order).over(wk).alias(prev),
             F.count(F.lit(1)).over(Window.partitionBy(_K)).cast("bigint").alias(group_rows),
         )
+    # light keys: the plain window, bounded by heavy_rows; only heavy keys need offsets
+    wl = Window.partitionBy(_K).orderBy(F.asc_nulls_last(order), F.asc(tie))
+    light = b.where(~F.col(_H)).select(
+        *[c for c in df.columns],
+        F.row_number().over(wl).cast("bigint").alias(seq),
+        F.lag(order).over(wl).alias(prev),
+        F.count(F.lit(1)).over(Window.partitionBy(_K)).cast("bigint").alias(group_rows),
+    )
     w = Window.partitionBy(_K, _B).orderBy(F.asc_nulls_last(order), F.asc(tie))
-    local = b.select(
+    local = b.where(F.col(_H)).select(
         "*",
         F.row_number().over(w).alias("__lseq"),
         F.lag(order).over(w).alias("__lprev"),
@@ -208,13 +218,14 @@ def ordered_sequence(
         F.lag(F.when(F.col("__bnn") == F.col("__bn"), F.col("__blast"))).over(wk).alias("__pprev"),
         F.sum("__bn").over(Window.partitionBy(_K)).alias("__tot"),
     )
-    out = local.join(offsets, [_K, _B], "inner")
-    return out.select(
+    # one offsets row per bucket of a heavy key: small, broadcast after its size check
+    heavy = join_small(local, offsets, [_K, _B], "inner").select(
         *[c for c in df.columns],
         (F.col("__off") + F.col("__lseq")).cast("bigint").alias(seq),
         F.when(F.col("__lseq") == 1, F.col("__pprev")).otherwise(F.col("__lprev")).alias(prev),
         F.col("__tot").cast("bigint").alias(group_rows),
     )
+    return light.unionByName(heavy)
 
 
 def running_total(
@@ -244,13 +255,23 @@ def running_total(
             F.sum(value).over(wr).alias(running),
             F.sum(value).over(Window.partitionBy(_K)).alias(total),
         )
-    b = b.withColumn(_B, F.when(F.col(value).isNull(), F.lit(-1)).otherwise(F.col(_B)))
+    wr = (
+        Window.partitionBy(_K)
+        .orderBy(F.desc_nulls_first(value))
+        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    light = b.where(~F.col(_H)).select(
+        *[c for c in df.columns],
+        F.sum(value).over(wr).alias(running),
+        F.sum(value).over(Window.partitionBy(_K)).alias(total),
+    )
+    hb = b.where(F.col(_H)).withColumn(_B, F.when(F.col(value).isNull(), F.lit(-1)).otherwise(F.col(_B)))
     w = (
         Window.partitionBy(_K, _B)
         .orderBy(F.desc_nulls_first(value))
         .rangeBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    local = b.select("*", F.sum(value).over(w).alias("__lrun"))
+    local = hb.select("*", F.sum(value).over(w).alias("__lrun"))
     summary = local.groupBy(_K, _B).agg(F.sum(value).alias("__bs"))
     wk = Window.partitionBy(_K).orderBy(_B)
     offsets = summary.select(
@@ -259,15 +280,16 @@ def running_total(
         F.sum("__bs").over(wk.rowsBetween(Window.unboundedPreceding, -1)).alias("__off"),
         F.sum("__bs").over(Window.partitionBy(_K)).alias("__tot"),
     )
-    out = local.join(offsets, [_K, _B], "inner")
+    heavy = join_small(local, offsets, [_K, _B], "inner")
     run = F.when(F.col("__off").isNull(), F.col("__lrun")).otherwise(
         F.coalesce(F.col("__lrun"), F.lit(0)) + F.col("__off")
     )
-    return out.select(
+    heavy = heavy.select(
         *[c for c in df.columns],
         run.alias(running),
         F.col("__tot").alias(total),
     )
+    return light.unionByName(heavy)
 
 
 def with_group_stats(df: DataFrame, by: str | list[str], aggs: list[Column]) -> DataFrame:
