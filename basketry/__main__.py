@@ -24,6 +24,7 @@ from .sources.files import ingest_dir, load_tables, read_table
 
 
 def ingest(spark: SparkSession, csv_dir: str, root: str, prefix: str = "") -> int:
+    """Read every CSV in ``csv_dir`` and load it to the raw tier; returns the number of tables."""
     tables = ingest_dir(spark, csv_dir, prefix=prefix)
     if not tables:
         return 0
@@ -57,6 +58,7 @@ def build_and_check(spark: SparkSession, root: str, select: list[str] | None = N
 
 
 def main(argv: list[str] | None = None) -> int:
+    """Command-line entry point; returns the process exit code."""
     ap = argparse.ArgumentParser(prog="basketry")
     ap.add_argument("command", choices=["ingest", "build", "run"])
     ap.add_argument("--csv", help="folder with the source CSV files")

@@ -37,10 +37,12 @@ def month_start(c: Column | str) -> Column:
 
 
 def year_of(c: Column | str) -> Column:
+    """Calendar year as bigint."""
     return F.year(_c(c)).cast("bigint")
 
 
 def month_of(c: Column | str) -> Column:
+    """Month number (1-12) as bigint."""
     return F.month(_c(c)).cast("bigint")
 
 

@@ -15,6 +15,7 @@ SUM_MONEY = "decimal(38,2)"
 
 
 def money_sum(c: Column | str) -> Column:
+    """Exact sum of a money column as DECIMAL(38,2)."""
     c = F.col(c) if isinstance(c, str) else c
     return F.sum(c).cast(SUM_MONEY)
 

@@ -22,6 +22,7 @@ def exclude_status(df: DataFrame, statuses: Iterable[str], col: str = "order_sta
 
 
 def positive_amount(df: DataFrame, col: str) -> DataFrame:
+    """Rows whose amount is above zero (NULL dropped)."""
     return df.where(F.col(col) > 0)
 
 
@@ -37,6 +38,7 @@ def in_values(df: DataFrame, col: str, values: Iterable) -> DataFrame:
 
 
 def in_categories(df: DataFrame, categories: Iterable[str], col: str = "category") -> DataFrame:
+    """Rows of the selected categories; an empty selection gives an empty frame."""
     return in_values(df, col, categories)
 
 
@@ -47,6 +49,7 @@ def in_category_year(
     cat_col: str = "product_category",
     year_col: str = "revenue_year",
 ) -> DataFrame:
+    """Rows of the selected categories and years."""
     return in_values(in_values(df, cat_col, categories), year_col, years)
 
 
@@ -56,14 +59,17 @@ def reliable_only(df: DataFrame, col: str = "reliability_score") -> DataFrame:
 
 
 def workhorses(df: DataFrame, col: str = "is_revenue_workhorse") -> DataFrame:
+    """Products inside their category's top revenue share."""
     return df.where(F.col(col))
 
 
 def anomalies_only(df: DataFrame, col: str = "Result") -> DataFrame:
+    """Rows labelled as anomalies."""
     return df.where(F.col(col) == RESULT_ANOMALY)
 
 
 def repeat_orders(df: DataFrame, col: str = "order_sequence") -> DataFrame:
+    """Orders after a person's first one."""
     return df.where(F.col(col) > 1)
 
 

@@ -17,6 +17,7 @@ _CONF_KEY = "basketry.broadcast.maxRows"
 
 
 def max_broadcast_rows(df: DataFrame) -> int:
+    """Row bound for broadcast sides (``basketry.broadcast.maxRows``)."""
     try:
         v = df.sparkSession.conf.get(_CONF_KEY, None)
     except Exception:

@@ -301,6 +301,7 @@ def retention_facts(mapping: DataFrame) -> DataFrame:
 
 
 def with_retention_labels(facts: DataFrame, lapsed_days: int = 365, quick: int = 30, standard: int = 90) -> DataFrame:
+    """The published retention columns with lifecycle stage and return window."""
     seq, tot = F.col("order_sequence"), F.col("total_customer_orders")
     return facts.select(
         "customer_unique_id",

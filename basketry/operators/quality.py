@@ -33,6 +33,7 @@ def check_unique(df: DataFrame, col: str) -> DataFrame:
 
 
 def check_not_null(df: DataFrame, col: str) -> DataFrame:
+    """Rows where the column is NULL."""
     return df.where(F.col(col).isNull())
 
 
@@ -56,6 +57,7 @@ def _range_violation(col: str, min_value=None, max_value=None, inclusive: bool =
 
 
 def check_range(df: DataFrame, col: str, min_value=None, max_value=None, inclusive: bool = True) -> DataFrame:
+    """Rows outside [min, max] (inclusive by default); NULLs ignored."""
     return df.where(_range_violation(col, min_value, max_value, inclusive))
 
 
@@ -75,6 +77,8 @@ def check_same_count(a: DataFrame, b: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Check:
+    """One declared check of a model column."""
+
     model: str
     column: str
     test: str  # unique | not_null | accepted_values | accepted_range | expression_is_true

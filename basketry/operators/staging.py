@@ -12,6 +12,7 @@ from ..functions.temporal import to_timestamp_ntz
 
 
 def stg_category_translate(raw: DataFrame) -> DataFrame:
+    """Category translation with Portuguese/English column names."""
     return raw.select(
         F.col("product_category_name").alias("category_name_pt"),
         F.col("product_category_name_english").alias("category_name_en"),
@@ -44,6 +45,7 @@ def stg_order(raw: DataFrame) -> DataFrame:
 
 
 def stg_order_items(raw: DataFrame) -> DataFrame:
+    """Order items with the item total (price + freight)."""
     return raw.select(
         "order_id",
         "order_item_id",
@@ -56,6 +58,7 @@ def stg_order_items(raw: DataFrame) -> DataFrame:
 
 
 def stg_products(raw: DataFrame) -> DataFrame:
+    """Products with attribute renames (source misspellings corrected)."""
     return raw.select(
         "product_id",
         "product_category_name",

@@ -48,6 +48,7 @@ def _conf_int(df: DataFrame, key: str, default: int) -> int:
 
 
 def skew_limits(df: DataFrame) -> tuple[int, int]:
+    """(heavy_rows, bucket_rows) from the session, with defaults."""
     heavy = _conf_int(df, "basketry.skew.heavyRows", DEFAULT_HEAVY_ROWS)
     bucket = _conf_int(df, "basketry.skew.bucketRows", DEFAULT_BUCKET_ROWS)
     return heavy, max(1, min(bucket, heavy))

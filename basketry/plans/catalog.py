@@ -143,6 +143,7 @@ _REG: dict[str, QueryFn] = {}
 
 
 def query(name: str):
+    """Register a catalog query under ``name``."""
     def deco(fn: Callable[[Models], DataFrame]):
         _REG[name] = lambda spark, sf_dir, _fn=fn: _fn(Models(spark, sf_dir))
         _REG[name].__doc__ = fn.__doc__
@@ -152,6 +153,7 @@ def query(name: str):
 
 
 def queries() -> dict[str, QueryFn]:
+    """All registered queries: name -> (spark, sf_dir) -> DataFrame."""
     return dict(_REG)
 
 

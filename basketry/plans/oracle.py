@@ -22,10 +22,12 @@ def rnd(expr: str, places: int, type_: str | None = None) -> str:
 
 
 def sdiv(a: str, b: str) -> str:
+    """a / nullif(b, 0) in double."""
     return f"(CAST({a} AS DOUBLE) / nullif(CAST({b} AS DOUBLE), 0.0))"
 
 
 def hundredths(h: str) -> str:
+    """Integer hundredths -> DECIMAL(18,2)."""
     return f"CAST(CAST({h} AS DECIMAL(20,0)) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(18,2))"
 
 
@@ -38,6 +40,7 @@ def mean2(x: str) -> str:
 
 
 def stddev_exact(x: str) -> str:
+    """Sample stddev from exact integer moments of a DECIMAL(·,2) column."""
     k = f"CAST(CAST({x} * 100 AS BIGINT) AS DECIMAL(38,0))"
     n = f"CAST(count({x}) AS DECIMAL(38,0))"
     num = f"({n} * sum({k} * {k}) - sum({k}) * sum({k}))"
@@ -46,15 +49,18 @@ def stddev_exact(x: str) -> str:
 
 
 def vol4(x: str) -> str:
+    """Volatility: stddev with NULL as 0, rounded to 4 places."""
     return rnd(f"coalesce({stddev_exact(x)}, 0.0)", 4, "DECIMAL(18,4)")
 
 
 def gap2(g: str) -> str:
+    """Gap days rounded to 2 places from integer microseconds."""
     q = f"((abs({g}) * 200 + {DAY_US}) // {2 * DAY_US})"
     return hundredths(f"CASE WHEN {g} < 0 THEN -{q} ELSE {q} END")
 
 
 def whole_days(m: str) -> str:
+    """Whole elapsed days from integer microseconds."""
     return f"(CASE WHEN {m} < 0 THEN -(abs({m}) // {DAY_US}) ELSE {m} // {DAY_US} END)"
 
 
@@ -525,4 +531,5 @@ FINAL: dict[str, str] = {
 
 
 def oracle_sql() -> dict[str, str]:
+    """DuckDB SQL per query key."""
     return {k: CTES + "\n" + v for k, v in FINAL.items()}

@@ -85,6 +85,7 @@ def ingest_dir(
 
 
 def table_path(root: str, tier: str, name: str) -> str:
+    """Folder of a table: ``<root>/<tier>/<name>``."""
     return f"{root.rstrip('/')}/{tier}/{name}"
 
 

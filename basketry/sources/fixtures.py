@@ -26,6 +26,7 @@ PROMO_CATEGORY = "PROMO"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One driver table as a DataFrame."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -118,6 +119,7 @@ def raw_category_translation(spark: SparkSession) -> DataFrame:
 
 
 def raw_sellers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sellers: zip from the nation key, city from the supplier name."""
     s = read_table(spark, sf_dir, "supplier")
     return s.select(
         F.col("s_suppkey").alias("seller_id"),
