@@ -5,7 +5,8 @@ a customer or a category holding a third of all rows that task becomes the
 job.  The operators here give the same results as the plain windows but cut
 heavy keys into order-preserving sub-buckets:
 
-1. per-key row counts and the order-value range (a partial aggregate);
+1. candidate heavy keys from a sample, then exact row counts and the
+   order-value range of the candidates (partial aggregates);
 2. keys with more than ``heavy_rows`` rows get count-balanced buckets of
    about ``bucket_rows`` rows from a fine histogram of their order values
    (monotone in the order value, so ties share a bucket); light keys have
@@ -32,6 +33,8 @@ from .joins import join_small, measure_small
 DEFAULT_HEAVY_ROWS = 2_000_000
 DEFAULT_BUCKET_ROWS = 500_000
 DEFAULT_RESOLUTION = 32  # fine histogram bins per target bucket
+SAMPLE_HITS = 1000  # expected sampled rows of a key at the heavy threshold
+SAMPLE_SEED = 17
 _EPOCH = "1970-01-01 00:00:00"
 
 _B = "__bkt"
@@ -93,8 +96,26 @@ def _with_buckets(
     tmp = df.withColumn("__ord", order_num).withColumn(
         "__tie", tie_num.cast("double") if tie_num is not None else F.lit(None).cast("double")
     )
+    # Candidate heavy keys from a sample: a key with more than heavy_rows rows shows
+    # about SAMPLE_HITS sampled rows, so the per-key count shuffles a sample instead of
+    # every row.  Exact stats are then taken over the candidates' rows only.  A key the
+    # sample misses is still processed correctly, as a light key.
+    rate = min(1.0, SAMPLE_HITS / heavy_rows)
+    scope = tmp
+    if rate < 1.0:
+        hits = (
+            tmp.sample(withReplacement=False, fraction=rate, seed=SAMPLE_SEED)
+            .groupBy(by)
+            .agg(F.count(F.lit(1)).alias("__s"))
+            .where(F.col("__s") >= SAMPLE_HITS // 2)
+            .select(by)
+        )
+        cand, n_cand, cbound = measure_small(hits)
+        if n_cand == 0:
+            return df.withColumn(_B, F.lit(0).cast("bigint")), False
+        scope = tmp.join(F.broadcast(cand) if n_cand <= cbound else cand, by, "left_semi")
     stats = (
-        tmp.groupBy(by)
+        scope.groupBy(by)
         .agg(F.count(F.lit(1)).alias("__n"), F.min("__ord").alias("__lo"), F.max("__ord").alias("__hi"))
         .where(F.col("__n") > heavy_rows)
         .select(

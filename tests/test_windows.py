@@ -143,3 +143,27 @@ def test_identical_timestamps_split_on_the_tie_breaker(spark):
         spark.conf.unset("basketry.skew.bucketRows")
     assert max(sizes) <= 200 and len(sizes) >= 8
     assert got == sorted(_plain_sequence(df.withColumnRenamed("oid", "oid")).collect())
+
+
+def test_sampled_heavy_key_detection(spark):
+    """With a heavy threshold above the sample target, heavy keys are found from a sample;
+    results stay exact and the hot key is split."""
+    from basketry.operators.windows import _order_number, _with_buckets
+
+    rnd = random.Random(5)
+    base = dt.datetime(2021, 1, 1)
+    data = [(i, 0 if i % 2 == 0 else rnd.randint(1, 4000), base + dt.timedelta(minutes=rnd.randint(0, 10**6)))
+            for i in range(24000)]
+    df = spark.createDataFrame(data, "oid bigint, k bigint, t timestamp_ntz").repartition(4)
+    spark.conf.set("basketry.skew.heavyRows", "4000")  # sample rate 0.25
+    spark.conf.set("basketry.skew.bucketRows", "1000")
+    try:
+        b, split = _with_buckets(df, "k", _order_number(F.col("t"), "timestamp"))
+        hot = [r["count"] for r in b.where("k = 0").groupBy("__bkt").count().collect()]
+        got = ordered_sequence(df, "k", "t", "oid", seq="seq", prev="prev", group_rows="n").select("oid", "seq", "prev", "n")
+        got = sorted(got.collect())
+    finally:
+        spark.conf.unset("basketry.skew.heavyRows")
+        spark.conf.unset("basketry.skew.bucketRows")
+    assert split and len(hot) >= 10 and max(hot) <= 2000
+    assert got == sorted(_plain_sequence(df).collect())
