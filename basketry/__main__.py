@@ -3,6 +3,7 @@
     python -m basketry ingest --csv DATA_DIR --root WAREHOUSE
     python -m basketry build  --root WAREHOUSE [--select fct_orders,dim_customer]
     python -m basketry run    --csv DATA_DIR --root WAREHOUSE
+    python -m basketry report --root WAREHOUSE [--categories a,b] [--years 2017,2018] [--contamination 0.05]
 
 ``build`` (and ``run``) exits non-zero when a check fails, so a start-up
 script can stop on bad data.  WAREHOUSE is any Hadoop path (a shared file
@@ -57,15 +58,61 @@ def build_and_check(spark: SparkSession, root: str, select: list[str] | None = N
     return not failed
 
 
+def report(
+    spark: SparkSession,
+    root: str,
+    categories: list[str] | None = None,
+    years: list[int] | None = None,
+    contamination: float = 0.05,
+) -> dict[str, list]:
+    """The dashboards' numbers from the written marts (only KPI rows reach the driver).
+
+    Product audit: anomaly and Pareto KPIs for the selected categories (all when
+    none are given); retention: customers, repeat rates, lifecycle shares and
+    same-day orders; category revenue: yearly mean monthly revenue.
+    """
+    from .operators import aggregates as A
+    from .operators import filters as FL
+    from .operators import metrics as K
+    from .operators.anomaly import detect_anomalies
+    from .sources.files import read_mart
+
+    out: dict[str, list] = {}
+    pcd = read_mart(spark, root, "product_cost_decomposition")
+    if categories:
+        pcd = FL.in_categories(pcd, categories)
+    labelled = detect_anomalies(pcd, contamination=contamination)
+    out["anomalies"] = K.anomaly_kpis(FL.reliable_only(labelled)).collect()
+    out["pareto"] = K.pareto_kpis(pcd).collect()
+    ret = read_mart(spark, root, "customer_retention")
+    out["customers"] = K.unique_customers(ret).collect()
+    out["repeat_rate"] = K.repeat_rate(ret).collect()
+    out["customer_repeat_rate"] = K.customer_repeat_rate(ret).collect()
+    out["lifecycle"] = K.lifecycle_distribution(ret).orderBy("lifecycle_stage").collect()
+    out["same_day"] = K.same_day_kpis(ret).collect()
+    rev = read_mart(spark, root, "monthly_revenue_by_cat")
+    if categories or years:
+        rev = FL.in_category_year(
+            rev,
+            categories or [r[0] for r in A.distinct_sorted(rev, "product_category").collect()],
+            years or [r[0] for r in A.distinct_sorted(rev, "revenue_year").collect()],
+        )
+    out["yearly_avg_revenue"] = A.yearly_avg_revenue(rev).orderBy("product_category", "revenue_year").collect()
+    return out
+
+
 def main(argv: list[str] | None = None) -> int:
     """Command-line entry point; returns the process exit code."""
     ap = argparse.ArgumentParser(prog="basketry")
-    ap.add_argument("command", choices=["ingest", "build", "run"])
+    ap.add_argument("command", choices=["ingest", "build", "run", "report"])
     ap.add_argument("--csv", help="folder with the source CSV files")
     ap.add_argument("--root", required=True, help="warehouse root (raw/ and analytics/ tiers)")
     ap.add_argument("--prefix", default="", help="dataset prefix to drop from file names")
     ap.add_argument("--select", default="", help="comma-separated marts to build (default: all)")
     ap.add_argument("--master", default=None)
+    ap.add_argument("--categories", default="", help="report: comma-separated category selection")
+    ap.add_argument("--years", default="", help="report: comma-separated years")
+    ap.add_argument("--contamination", type=float, default=0.05, help="report: anomaly share (0.01-0.20)")
     a = ap.parse_args(argv)
     spark = build_session(a.master)
     ok = True
@@ -79,6 +126,13 @@ def main(argv: list[str] | None = None) -> int:
         t0 = time.perf_counter()
         ok = build_and_check(spark, a.root, [s for s in a.select.split(",") if s] or None)
         print(f"built and checked in {time.perf_counter() - t0:.2f} s")
+    if a.command == "report":
+        cats = [c for c in a.categories.split(",") if c]
+        years = [int(y) for y in a.years.split(",") if y]
+        for section, rows in report(spark, a.root, cats, years, a.contamination).items():
+            print(f"== {section}")
+            for r in rows:
+                print("  " + ", ".join(f"{k}={v}" for k, v in r.asDict().items()))
     return 0 if ok else 1
 
 

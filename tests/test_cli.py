@@ -7,7 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from basketry.__main__ import build_and_check, ingest
+from basketry.__main__ import build_and_check, ingest, report
 from basketry.sources import fixtures as FX
 from basketry.sources.files import read_mart
 
@@ -29,3 +29,8 @@ def test_ingest_build_check(spark, tmp_path):
     fct = read_mart(spark, root, "fct_orders")
     assert fct.count() == raw["orders"].count()
     assert read_mart(spark, root, "customer_retention", ["order_id"]).count() == fct.count()
+    rep = report(spark, root, categories=["STANDARD goods", "Unknown"], years=[1996, 1997], contamination=0.1)
+    assert rep["customers"][0].total_customers > 0
+    assert rep["anomalies"][0].items_analyzed > 0
+    assert {r.revenue_year for r in rep["yearly_avg_revenue"]} <= {1996, 1997}
+    assert sum(r.orders for r in rep["lifecycle"]) == fct.count()
