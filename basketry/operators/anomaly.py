@@ -251,8 +251,7 @@ def isolation_forest_scores(
     df = df.persist(StorageLevel.MEMORY_AND_DISK)  # counted, sampled and scored
     n = df.count()
     nodes, psi_eff = fit_isolation_forest(df, features, key, trees, psi, seed, n=n)
-    # scores feed the quantile and the labels: computed once
-    scored = with_forest_score(df.select(key, *features), nodes, psi_eff, features).persist(StorageLevel.MEMORY_AND_DISK)
+    scored = with_forest_score(df.select(key, *features), nodes, psi_eff, features)
     cut = contamination_cut(scored, contamination, n=n)
     j = scored.crossJoin(F.broadcast(cut))
     return j.select(key, "anomaly_score", (-F.col("anomaly_score") < F.col("__cut")).alias("is_anomaly"))
@@ -279,8 +278,9 @@ def detect_anomalies(
     if n < min_rows:
         return df.withColumn("Result", F.lit(RESULT_UNSCORED))
     nodes, psi_eff = fit_isolation_forest(reliable, features, key, seed=seed, n=n)
-    # scores feed the quantile and the labels: computed once
-    scored = with_forest_score(df, nodes, psi_eff, features).persist(StorageLevel.MEMORY_AND_DISK)
+    # the scoring UDF runs for the quantile and again for the labels; both read the
+    # persisted input, which costs less than caching a second full copy of it
+    scored = with_forest_score(df, nodes, psi_eff, features)
     cut = contamination_cut(scored.where(reliable_pred), contamination, n=n)
     label = (
         F.when(~F.coalesce(reliable_pred, F.lit(False)), F.lit(RESULT_UNSCORED))
