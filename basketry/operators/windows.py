@@ -8,8 +8,9 @@ heavy keys into order-preserving sub-buckets:
 1. candidate heavy keys from a sample, then exact row counts and the
    order-value range of the candidates (partial aggregates);
 2. keys with more than ``heavy_rows`` rows get count-balanced buckets of
-   about ``bucket_rows`` rows from a fine histogram of their order values
-   (monotone in the order value, so ties share a bucket); light keys have
+   about ``bucket_rows`` rows from a two-level histogram of their order
+   values (monotone in the order value, so ties share a bucket; a bin of one
+   repeated value may be split on a numeric tie-breaker); light keys have
    one bucket;
 3. light keys run the plain window (each at most ``heavy_rows`` rows);
    heavy keys run it per (key, bucket) — bounded groups;
@@ -18,8 +19,10 @@ heavy keys into order-preserving sub-buckets:
 5. the offsets (one row per heavy bucket, so small) join back to the heavy
    rows only, broadcast after a size check.
 
-Only the heavy-key table is broadcast, behind a row-count check; it has at
-most N / heavy_rows rows by construction.
+Every broadcast side here (candidate keys, heavy-key stats, dense bins, the
+bin → bucket map, bucket offsets) is measured first and describes heavy keys
+only, so it has at most about N / bucket_rows rows; beyond the bound the join
+stays a shuffle join.
 """
 
 from __future__ import annotations
