@@ -109,3 +109,34 @@ def test_ingest_fails_fast_on_malformed_rows(spark, tmp_path):
     tables = FS.ingest_dir(spark, str(d))
     with _pytest.raises(Exception):
         tables["order_items"].collect()
+
+
+def test_suite_catches_violations_seeded_into_built_marts(spark):
+    import os
+
+    from pyspark.sql import functions as F
+
+    from basketry.plans.catalog import Models
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        return
+    m = Models(spark, sf)
+    clean = {r.test_name + ":" + r.model + "." + r.column_name: r.failures
+             for r in Q.run_checks({"fct_orders": m.fct, "customer_retention": m.retention}).collect()}
+    assert all(v == 0 for v in clean.values())
+    fct = m.fct.unionByName(m.fct.limit(1))  # one duplicated order id
+    ret = m.retention.select(
+        F.when(F.col("order_sequence") == 1, F.lit(None)).otherwise(F.col("customer_unique_id")).alias("customer_unique_id"),
+        *[c for c in m.retention.columns if c not in ("customer_unique_id", "lifecycle_stage", "days_between_orders")],
+        F.when(F.col("order_sequence") == 2, F.lit("Oops")).otherwise(F.col("lifecycle_stage")).alias("lifecycle_stage"),
+        F.when(F.col("order_sequence") == 3, -F.col("days_between_orders")).otherwise(F.col("days_between_orders")).alias(
+            "days_between_orders"),
+    )
+    got = {r.test_name + ":" + r.model + "." + r.column_name: (r.failures, r.status)
+           for r in Q.run_checks({"fct_orders": fct, "customer_retention": ret}).collect()}
+    assert got["unique:fct_orders.order_id"] == (1, "fail")
+    assert got["not_null:customer_retention.customer_unique_id"][1] == "fail"
+    assert got["accepted_values:customer_retention.lifecycle_stage"] == (1, "fail")
+    assert got["expression_is_true:customer_retention.days_between_orders"][1] == "fail"
+    assert got["not_null:fct_orders.order_id"] == (0, "pass")
