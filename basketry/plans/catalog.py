@@ -595,6 +595,7 @@ query("retention_facts")(
     )
 )
 query("customer_retention")(lambda m: m.retention)
+query("event_retention")(lambda m: m.event_retention)  # the retention mart over purchase events
 
 
 @query("customer_segments")

@@ -485,6 +485,7 @@ FINAL: dict[str, str] = {
     "retention_facts": """SELECT customer_unique_id, order_id, purchase_at, previous_order_at, order_sequence, total_customer_orders,
         days_between_orders, recency_days FROM customer_retention_facts""",
     "customer_retention": "SELECT * FROM customer_retention",
+    "event_retention": "SELECT * FROM event_retention",
     "customer_segments": "SELECT customer_segment, count(*) AS customers FROM dim_customer GROUP BY 1",
     "reliability_score": "SELECT product_id, sales_count, reliability_score FROM product_base_stats",
     "freight_share": "SELECT product_id, avg_freight, avg_total_cost, freight_share_pct FROM cost_features",
