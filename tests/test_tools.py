@@ -1,0 +1,32 @@
+from __future__ import annotations
+
+import json
+import os
+import sys
+
+sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
+
+
+def test_stage_times_reads_plain_and_zstd_logs(tmp_path, capsys):
+    import zstandard
+
+    from stage_times import main
+
+    events = [
+        {"Event": "SparkListenerJobStart", "Job ID": 3, "Stage IDs": [7]},
+        {"Event": "SparkListenerTaskEnd", "Stage ID": 7, "Task Info": {"Launch Time": 100, "Finish Time": 350}},
+        {"Event": "SparkListenerStageCompleted",
+         "Stage Info": {"Stage ID": 7, "Stage Name": "count at x", "Number of Tasks": 1,
+                        "Submission Time": 90, "Completion Time": 400}},
+    ]
+    text = "\n".join(json.dumps(e) for e in events) + "\n"
+    d = tmp_path / "eventlog_v2_app"
+    d.mkdir()
+    (d / "events_1_app.zstd").write_bytes(zstandard.ZstdCompressor().compress(text.encode()))
+    main([str(tmp_path)])
+    out = capsys.readouterr().out
+    assert "count at x" in out and " 310 " in out and " 250 " in out
+    plain = tmp_path / "plain.json"
+    plain.write_text(text)
+    main([str(plain)])
+    assert "count at x" in capsys.readouterr().out
