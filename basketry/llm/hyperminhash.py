@@ -270,3 +270,16 @@ def _unconnected(members: DataFrame, found: DataFrame, reps: DataFrame, threshol
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return row.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
+def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each group the row of the smallest doc_id.
+
+    Columns and their order stay.  Of rows that repeat a doc_id the smallest
+    (by all columns) stays; rows with a null doc_id all stay.
+    """
+    cols = docs.columns
+    keep = near_duplicates(docs, words, percent).where("kept and doc_id is not null").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi")
+    one = named.groupBy("doc_id").agg(F.min(F.struct(*[c for c in cols if c != "doc_id"])).alias("row")).select("doc_id", "row.*")
+    return one.select(cols).unionByName(docs.where("doc_id is null"))
