@@ -11,11 +11,12 @@ set (so that short texts have 128 informative registers too).
    pivot, so a bucket of m classes gives m - 1 pairs, not m * (m - 1) / 2.
 3. Jaccard similarity is estimated from the registers, corrected for registers
    that collide by chance; pairs five standard errors below the threshold go.
-4. The remaining pairs are verified on the full shingle sets.
-5. Buckets whose classes are not yet in one component get a second round: all
-   of their pairs between different components are estimated (in blocks of
-   registers, inside the tasks), verified, and joined.  So every pair that
-   meets in any bucket is either connected already or has been decided.
+   Where the classes of a bucket are not connected by that, its other pairs are
+   estimated too (in blocks, inside the tasks).  What is likely forms groups.
+4. Groups are verified on the full shingle sets: members against the group's
+   root first; then, in groups that this leaves in several components, members
+   of different components against each other, in blocks.  So all pairs that
+   meet in any bucket are decided, and no task emits more than a spanning tree.
 
 The chance that two sets at the threshold meet in no band is below 1e-6.
 """
@@ -30,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import flat
 from .common import text_slices, texts, utf8, written
@@ -37,8 +39,10 @@ from .components import connected_components
 
 BUCKET_BITS, ZERO_BITS, MANTISSA_BITS = 7, 6, 10
 BUCKETS = 1 << BUCKET_BITS
-#: Classes of a band bucket whose registers are compared at once in the second round.
+#: Members of a bucket or group that are compared at once.
 BLOCK = 512
+#: Members of groups that are broadcast to the documents (ids and digests); beyond, the join is a shuffle.
+BROADCAST_IDS = 2_000_000
 _U = np.uint64
 
 
@@ -91,6 +95,10 @@ def band_rows(threshold: float, miss: float = 1e-6) -> int:
     return max(ok, default=1)
 
 
+def _digest(shingles: bytes) -> bytes:
+    return hashlib.blake2b(shingles, digest_size=16).digest()
+
+
 SKETCH = "doc_id long, n_shingles long, set_digest binary, sketch binary"
 
 
@@ -105,7 +113,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                     [
                         b.column(0),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                        pa.array([_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                         pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary()),
                     ],
                     ["doc_id", "n_shingles", "set_digest", "sketch"],
@@ -114,18 +122,6 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     return texts(docs).mapInArrow(run, SKETCH)
 
 
-def shingles(docs: DataFrame, words: int) -> DataFrame:
-    """(id, shingles binary): the sorted set of each row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in text_slices(whole):
-                sets = flat.shingle_sets(*utf8(b.column(1)), words)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "shingles"])
-
-    return texts(docs).mapInArrow(run, "id long, shingles binary")
-
-
 def bands(reps: DataFrame, rows: int) -> DataFrame:
     """(bucket long, id long) of every band of every class."""
 
@@ -164,33 +160,116 @@ def _likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of the pairs those with 100 * |intersection| >= percent * |union| on the full sets."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = written(_of_class(reps, docs, ids, words), "sets")
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
+def _sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """``members`` (id, class_digest, ...) with the sorted shingle set of that class.
+
+    Up to BROADCAST_IDS members the table goes to the documents, so that no
+    text is moved; beyond, documents and members are shuffled by id.
+    """
+    keep = [f for f in members.schema.fields if f.name != "id"]
+    if members.count() <= BROADCAST_IDS:
+        members = F.broadcast(members)
+    rows = texts(docs).join(members, F.col("doc_id") == F.col("id")).select("doc_id", "text", *[f.name for f in keep])
+    schema = T.StructType([T.StructField("id", T.LongType()), *keep, T.StructField("shingles", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            ok = []
-            for x, y in zip(t.column(2), t.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                ok.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        for whole in batches:
+            for b in text_slices(whole):
+                sets = [s.tobytes() for s in flat.shingle_sets(*utf8(b.column(1)), words)]
+                out = pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(sets, pa.binary())], schema.names)
+                # a doc_id may repeat with other texts: only rows of the named class count
+                own = [_digest(x) == y for x, y in zip(sets, b.column(2).to_pylist())]
+                yield out.filter(pa.array(own, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, schema)
 
 
-def _of_class(reps: DataFrame, docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """The sets of the named classes.  A repeated doc_id gives the set of its class only."""
-    named = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    return shingles(named, words).dropDuplicates(["id", "shingles"])
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+
+
+def _star_links(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+    """Verified links (a, b) between each group's root and its members.
+
+    members: (id, class_digest, root, salt, is_root); a root is in every salt of
+    its group, so a large group is spread over many tasks.
+    """
+    part = _sets(docs, members, words).repartition("root", "salt").sortWithinPartitions("root", "salt", F.desc("is_root"), "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, base = None, np.zeros(0, _U)
+        for t in batches:
+            a, b = [], []
+            cols = (t.column(t.schema.get_field_index(c)) for c in ("id", "root", "salt", "is_root", "shingles"))
+            for i, root, salt, is_root, s in zip(*(c.to_pylist() for c in cols)):
+                s = np.frombuffer(s, _U)
+                if is_root:
+                    key, base = (root, salt), s
+                elif key == (root, salt):
+                    n = _common(base, s)
+                    if 100 * n >= percent * (len(base) + len(s) - n):
+                        a.append(root)
+                        b.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return part.mapInArrow(run, "a long, b long")
+
+
+def _block_links(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+    """Verified links (a, b) between different components of a group, enough of them to connect what is connected.
+
+    members: (id, class_digest, root, component, own, i, j).  A block (root, i,
+    j) compares the members of i with those of j; the shingles that two members
+    share are numbered, each member's are bits, and intersections are counted
+    by the bits two members have in common.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id")
+        ids, comp, own = (t.column(c).to_numpy() for c in ("id", "component", "own"))
+        sets = [np.frombuffer(x.as_buffer(), _U) for x in t.column("shingles")]
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        size = np.array([len(x) for x in sets])
+        value, number = np.unique(np.concatenate(sets), return_inverse=True)
+        seen = np.bincount(number) > 1
+        number = np.where(seen, np.cumsum(seen) - 1, -1)[number]
+        owner = np.repeat(np.arange(len(sets)), size)
+        owner, number = owner[number >= 0], number[number >= 0]
+        common = np.zeros((len(left), len(right)), np.int32)
+        width = 1 << 15  # shingles in a pass
+        for lo in range(0, int(seen.sum()), width):
+            part = (number >= lo) & (number < lo + width)
+            bits = np.zeros((len(sets), width // 8), np.uint8)
+            at = number[part] - lo
+            np.bitwise_or.at(bits, (owner[part], at >> 3), (1 << (at & 7)).astype(np.uint8))
+            bits = bits.view(_U)
+            used = bits.any(axis=0)
+            bits = bits[:, used]
+            for k, x in enumerate(left):
+                common[k] += np.bitwise_count(bits[right] & bits[x]).sum(axis=1, dtype=np.int32)
+        a, b = [], []
+        place = {c: c for c in set(comp.tolist())}
+
+        def top(c: int) -> int:
+            while place[c] != c:
+                place[c] = c = place[place[c]]
+            return c
+
+        for k, x in enumerate(left):
+            hit = 100 * common[k].astype(np.int64) >= percent * (size[x] + size[right] - common[k])
+            for y in right[hit & (comp[right] != comp[x])]:
+                u, v = top(comp[x]), top(comp[y])
+                if u != v:  # the links of a block that join components, no others
+                    place[max(u, v)] = min(u, v)
+                    a.append(ids[x])
+                    b.append(ids[y])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return _sets(docs, members, words).groupBy("root", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -208,24 +287,31 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     docs = docs.select("doc_id", "text")
     rows = written(sketches(docs, words), "sketches")
     full = rows.where("set_digest is not null and doc_id is not null")
-    # a class is named by its smallest doc_id; a doc_id that names two classes gets both sets compared
-    classes = full.groupBy("set_digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
-    reps = full.join(classes.select("set_digest", F.col("id").alias("doc_id")), ["set_digest", "doc_id"], "left_semi")
-    reps = reps.select(F.col("doc_id").alias("id"), "n_shingles", "sketch").dropDuplicates(["id", "n_shingles", "sketch"])
-    copies = full.join(classes.where("copies > 1"), "set_digest").where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-
-    banded = bands(reps, band_rows(threshold)).distinct()
+    # a class is named by its smallest doc_id
+    classes = full.groupBy("set_digest").agg(F.min("doc_id").alias("id"))
+    full = full.join(classes, "set_digest")
+    first = F.col("doc_id") == F.col("id")
+    full = written(full.select("doc_id", "id", "n_shingles", "set_digest", F.when(first, F.col("sketch")).alias("sketch")), "classes")
+    reps = full.where("sketch is not null").select("id", "n_shingles", F.col("set_digest").alias("class_digest"), "sketch")
+    reps = reps.dropDuplicates(["id", "class_digest"])
+    copies = full.where("sketch is null").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+
+    banded = bands(reps, band_rows(threshold))
     pivots = banded.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     members = written(banded.join(pivots, "bucket").select("bucket", "id", "pivot"), "buckets")
-    first = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    first = written(_likely(first, reps, threshold).distinct(), "pairs")
-    links = written(_verified(first, reps, docs, words, percent).distinct(), "links")
-    found = connected_components(links).checkpoint()
-
-    second = written(_unconnected(members, found, reps, threshold), "pairs2")
-    more = written(_verified(second, reps, docs, words, percent).distinct(), "links2")
-    edges = links.unionByName(more).unionByName(copies)
-    final = connected_components(edges).select(F.col("node").alias("doc_id"), "component")
+    pairs = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = written(_likely(pairs, reps, threshold), "pairs")
+    likely = connected_components(pairs).checkpoint()
+    # groups: all pairs of classes that a bucket and their registers call likely lie within one group
+    more = written(_unconnected(members, likely, reps, threshold), "pairs2")
+    groups = connected_components(pairs.unionByName(more)).select(F.col("node").alias("id"), F.col("component").alias("root"))
+    groups = written(groups.join(reps.select("id", "class_digest"), "id"), "groups")
+
+    links = written(_star_links(docs, _salted(groups), words, percent), "links")
+    found = connected_components(links).select(F.col("node").alias("id"), "component")
+    blocks = written(_blocks(groups.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))), "blocks")
+    links = links.unionByName(written(_block_links(docs, blocks, words, percent), "links2"))
+    final = connected_components(links.unionByName(copies)).select(F.col("node").alias("doc_id"), "component")
     component = F.coalesce(F.col("component"), F.col("doc_id"))
     return (
         rows.select("doc_id", "n_shingles")
@@ -234,6 +320,34 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     )
 
 
+def _salted(groups: DataFrame) -> DataFrame:
+    """Members of each group dealt over salts of about BLOCK members, with the root in all of them."""
+    size = groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("g"))
+    rows = groups.join(size, "root")
+    root = F.col("id") == F.col("root")
+    salts = F.when(root, F.sequence(F.lit(0), F.col("g") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("g")).cast("int")))
+    return rows.select("id", "class_digest", "root", F.explode(salts).alias("salt"), root.alias("is_root"))
+
+
+def _blocks(groups: DataFrame) -> DataFrame:
+    """Blocks of the groups that hold several components.
+
+    Members of a group's largest component are compared with the others
+    ("strays") only.  Strays are dealt to s parts, the largest component to m
+    further parts; block (i, j) has i < s and i <= j.
+    """
+    sizes = groups.groupBy("root", "component").agg(F.count("*").alias("n"))
+    whole = sizes.groupBy("root").agg(F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("top"))
+    whole = whole.where("size > top.n").select("root", F.col("top.component").alias("top"), F.col("top.n").alias("n"), "size")
+    s, m = F.ceil((F.col("size") - F.col("n")) / BLOCK).cast("int"), F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = groups.join(whole.select("root", "top", s.alias("s"), m.alias("m")), "root")
+    h = F.xxhash64("id")
+    own = F.when(F.col("component") == F.col("top"), F.col("s") + F.pmod(h, F.col("m"))).otherwise(F.pmod(h, F.col("s"))).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") + F.col("m") - 1)))
+    i, j = F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+    return rows.select("id", "class_digest", "root", "component", "own", i, j, "s").where("i < s").drop("s")
+
+
 def _unconnected(members: DataFrame, found: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """Likely pairs (a, b) that share a bucket but no component yet.
 
@@ -256,18 +370,21 @@ def _unconnected(members: DataFrame, found: DataFrame, reps: DataFrame, threshol
 
     def run(t: pa.Table) -> pa.Table:
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        ids, comp, n, own = (t.column(c).to_numpy() for c in ("id", "component", "n_shingles", "own"))
+        ids, comp, n, own = (t.column(c).to_numpy().copy() for c in ("id", "component", "n_shingles", "own"))
         s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(-1, BUCKETS)
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        a, b = [], []
         for x in left:
             y = right[(comp[right] != comp[x]) & ((ids[right] > ids[x]) | (i != j))]
             y = y[np.minimum(n[y], n[x]) >= threshold * np.maximum(n[y], n[x]) - 1e-6]
             if len(y):
                 y = y[estimate(s[y], s[x][None, :], n[y], n[[x] * len(y)]) >= cut]
-                a.append(np.minimum(ids[x], ids[y]))
-                b.append(np.maximum(ids[x], ids[y]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+                # one pair to each component in reach, which then are one: a block gives fewer pairs than members
+                for c in np.unique(comp[y]):
+                    a.append(ids[x])
+                    b.append(ids[y[comp[y] == c][0]])
+                    comp[comp == c] = comp[x]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return row.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
