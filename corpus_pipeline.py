@@ -1,28 +1,74 @@
-"""A corpus pipeline over ``documents``: each stage calls one operator of basketry.llm."""
+"""A corpus pipeline over ``documents``: each stage calls one operator of basketry.llm.
+
+Every stage works on all rows that the stage before it kept, and its decisions
+take effect; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from basketry.llm.common import prepare, table, written
+
 
-from basketry.llm.common import prepare, written
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the positive-unlabelled classifier rejects (score under 0.3) go."""
+    from basketry.llm.pu_quality import accepted
+
+    prepare(spark)
+    return accepted(docs, table(spark, sf_dir, "labels"))
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays (five-word shingles, similarity 0.8)."""
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays (five-word shingles, similarity 0.8 or more)."""
     from basketry.llm.hyperminhash import deduplicated
 
     prepare(spark)
-    return deduplicated(docs)
+    return deduplicated(docs, words=5, percent=80)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced by a mark; no document goes."""
+    from basketry.llm.secrets import redacted
+
+    prepare(spark)
+    return redacted(docs)
+
 
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of its source's target weight takes it."""
+    from basketry.llm.mixing import mixed
 
-STAGES = [("minhash_near_dedup", near_dedup)]
+    prepare(spark)
+    return mixed(docs)
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, source, n_chars, ids, n_tokens): the encoded corpus."""
+    from basketry.llm.bpe import encode
+    from basketry.llm.queries import tokenizer
+
+    prepare(spark)
+    rows = encode(docs, tokenizer("byte_bpe_50k.json")).drop("text")
+    return rows.withColumn("n_tokens", F.size("ids").cast("long"))
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("secret_scans", secret_scans),
+    ("source_mixing", source_mixing),
+    ("bpe_encoding", bpe_encoding),
+]
+
+#: The classifier and the encoding have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages one after another; every stage's rows are written as Parquet and read back."""
-    prepare(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(prepare(spark), sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
     return docs
