@@ -13,8 +13,9 @@ what Spark does well:
 * **model** — at most ``trees · (2^(h+1) − 1)`` nodes (h = ⌈log2 psi⌉), a size
   fixed by the parameters, shipped to executors as a broadcast variable.
 * **scoring** — an Arrow-batched pandas UDF computes the mean path length per
-  row; the cut is the ``contamination`` quantile of the scores, exact
-  (``percentile``) up to ``exact_quantile_rows`` rows, approximate above.
+  row, once, over key and features only; the scores are checkpointed.
+* **cut** — the exact ``contamination`` quantile of the scores, found by
+  distributed histograms (``quantile.py``) at every size.
 """
 
 from __future__ import annotations
@@ -23,12 +24,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.labels import RELIABILITY_SINGLE, RESULT_ANOMALY, RESULT_NORMAL, RESULT_UNSCORED
+from ..session import ensure_checkpoint_dir
+from .quantile import exact_quantile
 
 FEATURES = ["total_cost_z_score", "total_cost_cv", "freight_share_pct"]
 EULER_GAMMA = 0.5772156649015329
@@ -201,12 +203,15 @@ def with_forest_score(
     features: list[str] = FEATURES,
     score_col: str = "anomaly_score",
 ) -> DataFrame:
-    """Add ``anomaly_score`` = 2^(−E[h]/c(psi)) to every row (higher = more isolated).
+    """Add ``anomaly_score`` = 2^(−E[h]/c) to every row (higher = more isolated); c: mean c(tree size).
 
     A narrow, Arrow-batched pandas UDF: no shuffle, every row keeps its place.
     """
     spark = df.sparkSession
-    c_psi = float(average_path_length([psi])[0]) or 1.0
+    # a tree may hold fewer than psi rows: its own size counts
+    leaves = nodes[nodes["feature"] < 0].groupby("tree")["size"].sum()
+    c_psi = float(average_path_length(leaves.to_numpy()).mean()) if len(leaves) else float(average_path_length([psi])[0])
+    c_psi = c_psi or 1.0
     model = spark.sparkContext.broadcast((_pack(nodes), c_psi))
 
     @F.pandas_udf("double")
@@ -219,19 +224,16 @@ def with_forest_score(
     return df.withColumn(score_col, score(*feats))
 
 
-def contamination_cut(
-    scored: DataFrame,
-    contamination: float,
-    exact_quantile_rows: int = 1_000_000,
-    score_col: str = "anomaly_score",
-    n: int | None = None,
-) -> DataFrame:
-    """One-row frame with the ``contamination`` quantile of −score (linear interpolation),
-    exact up to ``exact_quantile_rows`` rows, approximate beyond."""
-    n = scored.count() if n is None else n
-    neg = -F.col(score_col)
-    q = F.percentile(neg, contamination) if n <= exact_quantile_rows else F.percentile_approx(neg, contamination, 100_000)
-    return scored.agg(q.alias("__cut"))
+def contamination_cut(scored: DataFrame, contamination: float, score_col: str = "anomaly_score") -> float | None:
+    """The exact ``contamination`` quantile of −score (linear interpolation); None without rows."""
+    return exact_quantile(scored.select((-F.col(score_col)).alias("x")), "x", contamination)
+
+
+def _scored(df: DataFrame, features: list[str], key: str, trees: int, psi: int, seed: int, n: int) -> DataFrame:
+    """(key, anomaly_score) of every row of ``df``, fitted on ``df``; scored once and checkpointed."""
+    ensure_checkpoint_dir(df.sparkSession)
+    nodes, psi_eff = fit_isolation_forest(df, features, key, trees, psi, seed, n=n)
+    return with_forest_score(df.select(key, *features), nodes, psi_eff, features).select(key, "anomaly_score").checkpoint()
 
 
 def isolation_forest_scores(
@@ -248,13 +250,14 @@ def isolation_forest_scores(
     Rows whose −score is strictly below the ``contamination`` quantile are
     anomalies — the standard isolation-forest prediction rule.
     """
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)  # counted, sampled and scored
-    n = df.count()
-    nodes, psi_eff = fit_isolation_forest(df, features, key, trees, psi, seed, n=n)
-    scored = with_forest_score(df.select(key, *features), nodes, psi_eff, features)
-    cut = contamination_cut(scored, contamination, n=n)
-    j = scored.crossJoin(F.broadcast(cut))
-    return j.select(key, "anomaly_score", (-F.col("anomaly_score") < F.col("__cut")).alias("is_anomaly"))
+    ensure_checkpoint_dir(df.sparkSession)
+    feats = df.select(key, *features).checkpoint()
+    n = feats.count()
+    if not n:
+        return feats.select(key, F.lit(0.0).alias("anomaly_score"), F.lit(False).alias("is_anomaly"))
+    scored = _scored(feats, features, key, trees, psi, seed, n)
+    cut = contamination_cut(scored, contamination)
+    return scored.select(key, "anomaly_score", (-F.col("anomaly_score") < F.lit(cut)).alias("is_anomaly"))
 
 
 def detect_anomalies(
@@ -264,30 +267,26 @@ def detect_anomalies(
     features: list[str] = FEATURES,
     key: str = "product_id",
     seed: int = 42,
+    trees: int = 100,
+    psi: int = 256,
 ) -> DataFrame:
     """Label every row: Normal / Anomaly for multi-sale products, 'Single sale - No Analysis'
     for the rest.  With fewer than ``min_rows`` trainable rows nothing is scored.
 
-    Scoring is in place (a narrow UDF column, no join), so the row count is the
-    input's by construction; the cut is computed over the trainable rows only.
+    Only key and features of the trainable rows are fitted and scored; their
+    labels are joined back to all rows by ``key``.  ``psi`` rows for each of
+    ``trees`` trees are the algorithm's own subsample; every row is scored.
     """
-    reliable_pred = F.col("reliability_score") != RELIABILITY_SINGLE
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)  # counted, sampled, scored and labelled
-    reliable = df.where(reliable_pred)
-    n = reliable.count()
+    ensure_checkpoint_dir(df.sparkSession)
+    feats = df.where(F.col("reliability_score") != RELIABILITY_SINGLE).select(key, *features).checkpoint()
+    n = feats.count()
     if n < min_rows:
         return df.withColumn("Result", F.lit(RESULT_UNSCORED))
-    nodes, psi_eff = fit_isolation_forest(reliable, features, key, seed=seed, n=n)
-    # the scoring UDF runs for the quantile and again for the labels; both read the
-    # persisted input, which costs less than caching a second full copy of it
-    scored = with_forest_score(df, nodes, psi_eff, features)
-    cut = contamination_cut(scored.where(reliable_pred), contamination, n=n)
-    label = (
-        F.when(~F.coalesce(reliable_pred, F.lit(False)), F.lit(RESULT_UNSCORED))
-        .when(-F.col("anomaly_score") < F.col("__cut"), F.lit(RESULT_ANOMALY))
-        .otherwise(F.lit(RESULT_NORMAL))
-    )
-    return scored.crossJoin(F.broadcast(cut)).select(*df.columns, label.alias("Result"))
+    scored = _scored(feats, features, key, trees, psi, seed, n)
+    cut = contamination_cut(scored, contamination)
+    label = F.when(-F.col("anomaly_score") < F.lit(cut), F.lit(RESULT_ANOMALY)).otherwise(F.lit(RESULT_NORMAL))
+    labels = scored.select(key, label.alias("Result"))
+    return df.join(labels, key, "left").select(*df.columns, F.coalesce("Result", F.lit(RESULT_UNSCORED)).alias("Result"))
 
 
 AUDIT_COLUMNS = [
@@ -313,6 +312,23 @@ def audit_view(df: DataFrame, only_workhorses: bool = False, only_anomalies: boo
     return v.orderBy(F.desc_nulls_last("product_revenue_share_pct"), F.asc("product_id"))
 
 
+MAP_COLUMNS = ["product_id", "category", "Result", "avg_price", "avg_freight", "sales_count", *FEATURES]
+
+
+def outlier_map(df: DataFrame) -> DataFrame:
+    """Trained rows only, with price, freight, sales, the three features (missing: 0) and the label."""
+    missing = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) if c in FEATURES else F.col(c) for c in MAP_COLUMNS]
+    return df.where(F.col("reliability_score") != RELIABILITY_SINGLE).select(*missing)
+
+
+def above_quantile(df: DataFrame, col: str, q: float, key: str = "product_id") -> DataFrame:
+    """(key, col, is_above): rows above the exact ``q`` quantile of a column (NULL values left out)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    rows = df.where(F.col(col).isNotNull()).select(key, col).checkpoint()
+    cut = exact_quantile(rows, col, q)
+    return rows.select(key, col, (F.col(col) > F.lit(cut)).alias("is_above"))
+
+
 def z_outliers(df: DataFrame, col: str = "total_cost_z_score", cutoff: float = 3.0) -> DataFrame:
     """Rows with |z| above the cutoff (NULL z is not an outlier)."""
     return df.where(F.abs(F.col(col)) > F.lit(float(cutoff)))

@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import RELIABILITY_SINGLE, RESULT_ANOMALY
 
-# Above this many values a membership list becomes a (checked) broadcast semi join.
-_ISIN_LIMIT = 1000
-
 
 def exclude_status(df: DataFrame, statuses: Iterable[str], col: str = "order_status") -> DataFrame:
     """``status NOT IN (...)``; a NULL status is dropped, as in SQL."""
@@ -27,14 +24,8 @@ def positive_amount(df: DataFrame, col: str) -> DataFrame:
 
 
 def in_values(df: DataFrame, col: str, values: Iterable) -> DataFrame:
-    """Membership filter; an empty selection gives an empty frame."""
-    vals = list(values)
-    if len(vals) <= _ISIN_LIMIT:
-        return df.where(F.col(col).isin(vals))
-    from .joins import join_small
-
-    sel = df.sparkSession.createDataFrame([(v,) for v in vals], [col]).distinct()
-    return join_small(df, sel, col, "left_semi")
+    """Membership filter, pushed to the scan; an empty selection gives an empty frame."""
+    return df.where(F.col(col).isin(list(values)))
 
 
 def in_categories(df: DataFrame, categories: Iterable[str], col: str = "category") -> DataFrame:

@@ -1,68 +1,30 @@
-"""Joins with a checked broadcast side.
+"""Joins.
 
-A side is broadcast only when its size is proven: either it is one row by
-construction (a global aggregate), or its row count was measured and is
-under a bound.  Beyond the bound the join stays a shuffle join, where
-adaptive execution splits skewed partitions of the big side.
+No side is measured first: Catalyst broadcasts a side whose size statistics
+are under ``spark.sql.autoBroadcastJoinThreshold`` (bytes), adaptive execution
+does the same from run-time sizes and splits skewed partitions.  Only one-row
+frames (global aggregates) are broadcast by construction.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_BROADCAST_ROWS = 200_000
-_CONF_KEY = "basketry.broadcast.maxRows"
-
-
-def max_broadcast_rows(df: DataFrame) -> int:
-    """Row bound for broadcast sides (``basketry.broadcast.maxRows``)."""
-    try:
-        v = df.sparkSession.conf.get(_CONF_KEY, None)
-    except Exception:
-        v = None
-    return int(v) if v else DEFAULT_MAX_BROADCAST_ROWS
-
-
-def checked_small(small: DataFrame, max_rows: int | None = None) -> tuple[DataFrame, bool]:
-    """Measure ``small``; return (frame, fits).  See ``measure_small`` for the row count.
-
-    The frame is persisted (memory, spilling to disk) so the measured rows
-    are the rows joined; a lost block is recomputed from lineage.  Only
-    ``max_rows + 1`` rows are counted at most.
-    """
-    kept, n, bound = measure_small(small, max_rows)
-    return kept, n <= bound
-
-
-def measure_small(small: DataFrame, max_rows: int | None = None) -> tuple[DataFrame, int, int]:
-    """Persist ``small`` and count at most ``bound + 1`` of its rows: (frame, rows, bound)."""
-    bound = max_rows if max_rows is not None else max_broadcast_rows(small)
-    kept = small.persist(StorageLevel.MEMORY_AND_DISK)
-    n = kept.limit(bound + 1).count()
-    return kept, n, bound
-
 
 def join_small(
     big: DataFrame,
     small: DataFrame,
     on: str | list[str] | Column,
     how: str = "left",
-    max_rows: int | None = None,
     one_row: bool = False,
 ) -> DataFrame:
-    """Join ``big`` with a presumably small side; broadcast it only behind a size check.
+    """Join ``big`` with a presumably small side; its size decides the strategy, in bytes.
 
     ``one_row=True`` declares that ``small`` is one row by construction (an
-    aggregate without grouping); no measurement is needed then.
+    aggregate without grouping).
     """
-    if one_row:
-        return big.join(F.broadcast(small), on, how)
-    kept, fits = checked_small(small, max_rows)
-    if fits:
-        return big.join(F.broadcast(kept), on, how)
-    return big.join(kept, on, how)
+    return big.join(F.broadcast(small) if one_row else small, on, how)
 
 
 def with_global(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -78,10 +40,7 @@ def attach_order_totals(orders: DataFrame, totals: DataFrame) -> DataFrame:
 def attach_translation(df: DataFrame, translation: DataFrame, category_col: str = "product_category_name") -> DataFrame:
     """⟕ category translation on the Portuguese name; translation is a small dimension."""
     t = translation.select("category_name_pt", "category_name_en")
-    if category_col == "category_name_pt":
-        return join_small(df, t, "category_name_pt", "left")
-    joined = join_small(df, t.withColumnRenamed("category_name_pt", category_col), category_col, "left")
-    return joined
+    return join_small(df, t.withColumnRenamed("category_name_pt", category_col), category_col, "left")
 
 
 def fact_with_person(fct: DataFrame, customers: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
 """The seven marts and their named building blocks.
 
-Each function takes staged DataFrames and returns a lazy DataFrame.  Plans
-are shaped for large inputs: aggregate before joining wherever the key
-allows it, broadcast only measured small sides, and never run a window
-over a whole customer or category in one task (see ``windows.py``).
+Each function takes staged DataFrames and returns a DataFrame.  Only the
+windows (product cost, retention) run jobs of their own: they look for heavy
+keys in a sample.  Plans are shaped for large inputs: aggregate before
+joining wherever the key allows it, leave broadcasts to known sizes, and never
+run a window over a whole customer or category in one task (``windows.py``).
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from .aggregates import (
 )
 from .filters import exclude_status, positive_amount
 from .joins import attach_order_totals, join_small, with_global
-from .windows import ordered_sequence, reused, running_total
+from .windows import ordered_sequence, running_total
 
 UNKNOWN_CATEGORY = "Unknown"
 EXCLUDED_STATUSES = ("canceled", "unavailable")
@@ -202,7 +203,6 @@ def is_price_rebalanced(ratio: Decimal = Decimal("0.3")):
 
 def cost_features(base: DataFrame, corrected: bool = False) -> DataFrame:
     """Freight share, category benchmarks (group aggregate joined back), z-score, CV, revenue."""
-    base = reused(base)  # feeds the benchmark size check and the join
     bench = category_benchmarks(base)
     j = join_small(base, bench, "category", "left")
     freight_share = safe_divide(F.col("avg_freight"), F.col("avg_total_cost")) * 100.0
@@ -274,7 +274,6 @@ def retention_facts(mapping: DataFrame) -> DataFrame:
     order id so results are deterministic.  The dataset max is a one-row
     aggregate joined by broadcast.
     """
-    mapping = reused(mapping)  # read by the dataset max and by the sequence windows
     seq = ordered_sequence(
         mapping,
         "customer_unique_id",

@@ -10,7 +10,9 @@ cluster's own ``spark.checkpoint.dir``; we only pick one when it is unset
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -55,23 +57,27 @@ def build_session(
 
 
 def apply_sql_defaults(spark: SparkSession) -> None:
-    """Apply the runtime SQL settings to an existing session (e.g. the driver's)."""
+    """Set the SQL settings on a session of our own; one that cannot be set fails."""
     for k, v in SQL_DEFAULTS.items():
-        try:
-            spark.conf.set(k, v)
-        except Exception:  # static conf on a running session: keep the cluster's value
-            pass
+        spark.conf.set(k, v)
+
+
+def own_session(spark: SparkSession) -> SparkSession:
+    """A session beside the caller's, on the same context, with its settings and our defaults.
+
+    The caller's settings stay as they are.
+    """
+    own = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if spark.conf.isModifiable(k):
+            own.conf.set(k, v)
+    apply_sql_defaults(own)
+    return own
 
 
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared checkpoint folder the cluster names, if any."""
-    d = spark.sparkContext.getCheckpointDir()
-    if d:
-        return d
-    try:
-        return spark.conf.get("spark.checkpoint.dir", None)
-    except Exception:
-        return None
+    return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -85,11 +91,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
-    d = None
-    try:
-        d = spark.conf.get("spark.checkpoint.dir", None)
-    except Exception:
-        d = None
+    d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         if not (sc.master or "").startswith("local"):
             raise RuntimeError(
@@ -97,11 +99,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
                 "(executors and the driver read and write it)"
             )
         d = tempfile.mkdtemp(prefix="basketry-ckpt-", dir=os.environ.get("BASKETRY_SCRATCH", "/tmp"))
+        atexit.register(shutil.rmtree, d, ignore_errors=True)  # a folder of our own making
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
 
 
-_SHIPPED: set[int] = set()
+_SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -111,11 +114,9 @@ def ship_package(spark: SparkSession) -> None:
     ``addPyFile``, which distributes it to every executor.
     """
     sc = spark.sparkContext
-    key = id(sc._jsc)
+    key = sc.applicationId
     if key in _SHIPPED:
         return
-    import shutil
-
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     out = tempfile.mkdtemp(prefix="basketry-pyfiles-")
     archive = shutil.make_archive(

@@ -67,3 +67,25 @@ def test_min_rows_guard(spark):
     small = _products(spark, n=9, outliers=1)  # 10 trainable rows < 11
     lab = detect_anomalies(small, contamination=0.1)
     assert {r.Result for r in lab.collect()} == {"Single sale - No Analysis"}
+
+
+def test_exact_quantile_equals_percentile(spark):
+    from pyspark.sql import functions as F
+
+    from basketry.operators.quantile import exact_quantile
+
+    rnd = random.Random(5)
+    sets = [
+        [rnd.gauss(0, 1) for _ in range(5001)] + [0.25] * 900,
+        [1e300, -1e300, 1e-300, 0.0, 5.0, math.nextafter(5.0, 6.0), math.nextafter(5.0, 6.0)],
+        [3.0] * 40,
+        [7.0],
+        [rnd.expovariate(1) ** 9 for _ in range(800)],
+    ]
+    for values in sets:
+        df = spark.createDataFrame([(v,) for v in [*values, None]], "x double").repartition(4).cache()
+        for q in (0.0, 0.01, 0.05, 0.5, 0.777, 0.95, 1.0):
+            want = df.agg(F.percentile("x", q)).first()[0]
+            got = exact_quantile(df, "x", q)
+            assert math.isclose(got, want, rel_tol=1e-12, abs_tol=1e-300), (q, got, want)
+    assert exact_quantile(spark.createDataFrame([], "x double"), "x", 0.5) is None
