@@ -19,9 +19,9 @@ import time
 from pyspark.sql import SparkSession
 
 from .operators.quality import CHECKS, EXTRA_CHECKS, run_checks
-from .plans.build import MARTS, STAGING, build
+from .plans.build import MARTS, STAGING, build, buildable
 from .session import build_session
-from .sources.files import ingest_dir, load_tables, read_table
+from .sources.files import ingest_dir, load_tables, read_table, table_exists
 
 
 def ingest(spark: SparkSession, csv_dir: str, root: str, prefix: str = "") -> int:
@@ -36,14 +36,18 @@ def ingest(spark: SparkSession, csv_dir: str, root: str, prefix: str = "") -> in
 
 
 def build_and_check(spark: SparkSession, root: str, select: list[str] | None = None) -> bool:
-    """Build marts from the raw tier into the analytics tier, then run the check suite."""
-    raw = {}
-    for src, _fn in STAGING.values():
-        try:
-            raw[src] = read_table(spark, root, "raw", src)
-        except Exception:  # table not loaded: models that need it are skipped
-            continue
-    wanted = select or [m for m, (deps, _f) in MARTS.items()]
+    """Build marts from the raw tier into the analytics tier, then run the check suite.
+
+    Marts whose raw tables are not loaded are reported and left out; a table
+    that is there but cannot be read fails.
+    """
+    raw = {src: read_table(spark, root, "raw", src) for src, _fn in STAGING.values() if table_exists(spark, root, "raw", src)}
+    wanted, skipped = buildable(raw, select or list(MARTS))
+    for mart, absent in skipped.items():
+        print(f"SKIP {mart}: no raw table {', '.join(absent)}")
+    if not wanted:
+        print("nothing to build")
+        return False
     models = build(raw, root=root, select=wanted)
     tables = {k: v for k, v in models.items() if k in MARTS}
     if "stg_order" in models:
@@ -91,12 +95,10 @@ def report(
     out["lifecycle"] = K.lifecycle_distribution(ret).orderBy("lifecycle_stage").collect()
     out["same_day"] = K.same_day_kpis(ret).collect()
     rev = read_mart(spark, root, "monthly_revenue_by_cat")
-    if categories or years:
-        rev = FL.in_category_year(
-            rev,
-            categories or [r[0] for r in A.distinct_sorted(rev, "product_category").collect()],
-            years or [r[0] for r in A.distinct_sorted(rev, "revenue_year").collect()],
-        )
+    if categories:
+        rev = FL.in_values(rev, "product_category", categories)
+    if years:
+        rev = FL.in_values(rev, "revenue_year", years)
     out["yearly_avg_revenue"] = A.yearly_avg_revenue(rev).orderBy("product_category", "revenue_year").collect()
     return out
 

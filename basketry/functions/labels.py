@@ -88,3 +88,9 @@ def retention_window(seq: Column, gap_micros: Column, quick: int = 30, standard:
 def flag(pred: Column) -> Column:
     """CASE WHEN pred THEN true ELSE false: NULL becomes false."""
     return F.coalesce(pred, F.lit(False))
+
+
+def value_map(c: Column, mapping: dict) -> Column:
+    """The mapped value; NULL for a value that the mapping lacks."""
+    pairs = [F.lit(x) for kv in mapping.items() for x in kv]
+    return F.create_map(*pairs)[c]

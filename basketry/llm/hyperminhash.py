@@ -287,8 +287,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     docs = docs.select("doc_id", "text")
     rows = written(sketches(docs, words), "sketches")
     full = rows.where("set_digest is not null and doc_id is not null")
-    # a class is named by its smallest doc_id
-    classes = full.groupBy("set_digest").agg(F.min("doc_id").alias("id"))
+    # a class is named by its smallest doc_id; written first, so that the join can split a class with very many copies
+    classes = written(full.groupBy("set_digest").agg(F.min("doc_id").alias("id")), "names")
     full = full.join(classes, "set_digest")
     first = F.col("doc_id") == F.col("id")
     full = written(full.select("doc_id", "id", "n_shingles", "set_digest", F.when(first, F.col("sketch")).alias("sketch")), "classes")

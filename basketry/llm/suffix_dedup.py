@@ -436,7 +436,8 @@ def _runs(gram: int, digests: np.ndarray, first: np.ndarray, last: np.ndarray) -
 def repeated_starts(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(id, h, starts): runs (first, last) of the starts of repeated windows of each text that has any."""
     found = segments(docs)
-    twice = found.groupBy("gram").count().where("count > 1").select("gram")
+    # written first: next to a plain exchange, the join can split a k-gram with very many segments
+    twice = written(found.groupBy("gram").count().where("count > 1").select("gram"), "grams")
     found = written(found.join(twice, "gram"), "segments")
     at = F.struct("id", "h", "start", "n", "anchor")
     classes = written(found.groupBy("gram", "digest").agg(F.count("*").alias("copies"), F.min(at).alias("at")), "classes")

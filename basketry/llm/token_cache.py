@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, strings, text_slices, texts
+from .common import scratch_path, strings, text_slices, texts, written
 
 SCHEMA = "content_digest string, tokenizer_digest string, n_tokens long"
 
@@ -131,7 +131,8 @@ def token_counts(docs: DataFrame, path: str, cache: str | None = None, limit: in
         encode_misses(rows, path).write.mode("append").parquet(cache)
     else:
         _append_normalised(docs, missing, path, cache)
-    out = digests.join(stored(), "content_digest")
+    # written first, so that the join can split a content with very many copies
+    out = digests.join(written(stored(), "counts"), "content_digest")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 

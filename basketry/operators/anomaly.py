@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.labels import RELIABILITY_SINGLE, RESULT_ANOMALY, RESULT_NORMAL, RESULT_UNSCORED
+from ..functions.labels import RELIABILITY_SINGLE, RESULT_ANOMALY, RESULT_NORMAL, RESULT_UNSCORED, value_map
 from ..session import ensure_checkpoint_dir
 from .quantile import exact_quantile
 
@@ -284,8 +284,8 @@ def detect_anomalies(
         return df.withColumn("Result", F.lit(RESULT_UNSCORED))
     scored = _scored(feats, features, key, trees, psi, seed, n)
     cut = contamination_cut(scored, contamination)
-    label = F.when(-F.col("anomaly_score") < F.lit(cut), F.lit(RESULT_ANOMALY)).otherwise(F.lit(RESULT_NORMAL))
-    labels = scored.select(key, label.alias("Result"))
+    prediction = F.when(-F.col("anomaly_score") < F.lit(cut), F.lit(-1)).otherwise(F.lit(1))
+    labels = scored.select(key, value_map(prediction, {-1: RESULT_ANOMALY, 1: RESULT_NORMAL}).alias("Result"))
     return df.join(labels, key, "left").select(*df.columns, F.coalesce("Result", F.lit(RESULT_UNSCORED)).alias("Result"))
 
 

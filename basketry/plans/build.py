@@ -63,6 +63,18 @@ def stage(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return {name: fn(raw[src]) for name, (src, fn) in STAGING.items() if src in raw}
 
 
+def buildable(raw: Iterable[str], select: Iterable[str]) -> tuple[list[str], dict[str, list[str]]]:
+    """Of the selected marts those whose raw tables are all there, and the absent ones of the others."""
+    have, ok, absent = set(raw), [], {}
+    for mart in select:
+        need = {STAGING[d][0] for m in _closure([mart]) for d in MARTS[m][0] if d in STAGING}
+        if need <= have:
+            ok.append(mart)
+        else:
+            absent[mart] = sorted(need - have)
+    return ok, absent
+
+
 def _closure(select: Iterable[str]) -> list[str]:
     """Selected marts plus the marts they depend on, in a valid build order."""
     need: set[str] = set()

@@ -32,7 +32,17 @@ from ..operators import marts as M
 from ..operators import metrics as K
 from ..operators import quality as Q
 from ..operators import staging as S
-from ..operators.anomaly import anomaly_features, audit_view, detect_anomalies, isolation_forest_scores, z_outliers
+from ..functions.labels import RESULT_ANOMALY, RESULT_NORMAL, RESULT_UNSCORED, value_map
+from ..operators.anomaly import (
+    above_quantile,
+    anomaly_features,
+    audit_view,
+    detect_anomalies,
+    isolation_forest_scores,
+    outlier_map,
+    z_outliers,
+)
+from ..schemas import RAW_SCHEMAS
 from ..session import ensure_checkpoint_dir
 from ..sources import files as FS
 from ..sources import fixtures as FX
@@ -170,6 +180,62 @@ def _ingest_csv(m: Models) -> DataFrame:
     return S.stg_order(tables["orders"])
 
 
+def content_key(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(row_count, content): rows, and the sum of a 32-bit digest of each row's values as text."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in columns])
+    return df.agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.coalesce(F.sum(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")), F.lit(0)).alias("content"),
+    )
+
+
+@query("ingest_all")
+def _ingest_all(m: Models) -> DataFrame:
+    """All nine raw tables → CSV (columns in reverse order, quoted line breaks and quotes) → directory ingest by
+    header → raw tier; rows and content of the loaded tables."""
+    d, root = m.scratch("csv"), m.scratch("raw")
+    for name, df in m.raw.items():
+        text = df.select(*[F.col(c).cast("string").alias(c) for c in reversed(df.columns)])
+        text.write.option("header", True).option("escape", '"').csv(f"{d}/shop_{name}_dataset.csv")
+    tables = FS.ingest_dir(m.spark, d, FX.adapter_schemas(), prefix="shop_")
+    FS.load_tables(tables, root, "raw")
+    out = None
+    for name, schema in RAW_SCHEMAS.items():
+        loaded = FS.read_table(m.spark, root, "raw", name)
+        one = content_key(loaded, schema.fieldNames()).select(F.lit(name).alias("table_name"), "row_count", "content")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+#: Columns of each mart whose content the whole-build query reports.
+BUILD_COLUMNS = {
+    "fct_orders": ["order_id", "customer_id", "order_status", "total_items"],
+    "dim_products": ["product_id", "category_name"],
+    "dim_customer": ["customer_unique_id", "total_orders", "customer_segment"],
+    "monthly_revenue": ["order_month", "total_fullfilled_orders", "revenue"],
+    "monthly_revenue_by_cat": ["revenue_month", "product_category", "monthly_revenue", "product_sold"],
+    "product_cost_decomposition": ["product_id", "category", "sales_count", "product_revenue", "is_revenue_workhorse"],
+    "customer_retention": ["order_id", "order_sequence", "lifecycle_stage", "retention_window"],
+}
+
+
+@query("build_all")
+def _build_all(m: Models) -> DataFrame:
+    """Build of all seven marts, written and read back: rows and content of each."""
+    models = _built(m)
+    out = None
+    for name, columns in BUILD_COLUMNS.items():
+        one = content_key(models[name], columns).select(F.lit(name).alias("mart"), "row_count", "content")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _built(m: Models) -> dict[str, DataFrame]:
+    from .build import build
+
+    return build(m.raw, root=m.scratch("build"))
+
+
 @query("normalize_columns")
 def _normalize_columns(m: Models) -> DataFrame:
     """Messy source headers ('Customer Id', 'customer.unique id', …) → normalised names."""
@@ -195,7 +261,7 @@ def _load_report(m: Models) -> DataFrame:
 
 @query("mart_roundtrip")
 def _mart_roundtrip(m: Models) -> DataFrame:
-    """Full build of fct_orders with written marts; the read-back table."""
+    """Build of two marts with written tables; the read-back order fact (build_all builds all)."""
     from .build import build
 
     models = build(m.raw, root=m.scratch("build"), select=["fct_orders", "monthly_revenue"])
@@ -281,6 +347,17 @@ def _true_repeats(m: Models) -> DataFrame:
     return FL.drop_technical_splits(m.event_retention, 0.05)
 
 
+def z_labelled(m: Models) -> DataFrame:
+    """The product mart with a label from the z-score alone (stands in for the forest's)."""
+    outlier = F.coalesce(F.abs(F.col("total_cost_z_score")) > Z_CUTOFF, F.lit(False))
+    return m.pcd.withColumn("Result", F.when(outlier, RESULT_ANOMALY).otherwise(RESULT_NORMAL))
+
+
+@query("flt_anomalies")
+def _flt_anomalies(m: Models) -> DataFrame:
+    return FL.anomalies_only(z_labelled(m)).select("product_id", "category", "Result")
+
+
 # ------------------------------------------------------------------ joins
 @query("join_orders_items")
 def _join_orders_items(m: Models) -> DataFrame:
@@ -484,6 +561,32 @@ def _win_total(m: Models) -> DataFrame:
     return m.pcd.select("product_id", "category", "total_category_revenue")
 
 
+def _with_skew(m: Models, heavy_rows: int, bucket_rows: int, fn: Callable[[], DataFrame]) -> DataFrame:
+    """``fn()`` with limits so low that keys are split (they are looked for as the frame is made)."""
+    limits = {"basketry.skew.heavyRows": heavy_rows, "basketry.skew.bucketRows": bucket_rows}
+    old = {k: m.spark.conf.get(k, None) for k in limits}
+    try:
+        for k, v in limits.items():
+            m.spark.conf.set(k, str(v))
+        return fn()
+    finally:
+        for k, v in old.items():
+            m.spark.conf.unset(k) if v is None else m.spark.conf.set(k, v)
+
+
+@query("retention_split")
+def _retention_split(m: Models) -> DataFrame:
+    """The retention mart with every person of more than 15 orders cut into buckets of about 6."""
+    return _with_skew(m, 15, 6, lambda: m.retention)
+
+
+@query("pareto_split")
+def _pareto_split(m: Models) -> DataFrame:
+    """Running revenue with every category of more than 100 products cut into buckets of about 40."""
+    cols = ("product_id", "category", "product_revenue", "cumulative_category_revenue", "total_category_revenue")
+    return _with_skew(m, 100, 40, lambda: m.pcd.select(*cols))
+
+
 # ------------------------------------------------------------------ sorts
 @query("sort_month")
 def _sort_month(m: Models) -> DataFrame:
@@ -574,6 +677,12 @@ def _fn_fillna(m: Models) -> DataFrame:
     return m.retention.select("order_id", "days_between_orders").fillna({"days_between_orders": 0})
 
 
+@query("fn_value_map")
+def _fn_value_map(m: Models) -> DataFrame:
+    codes = {"delivered": "done", "shipped": "open", "canceled": "void"}
+    return m.stg_order.select("order_id", value_map(F.col("order_status"), codes).alias("state"))
+
+
 # ------------------------------------------------------------------ marts and their columns
 query("fct_orders")(lambda m: m.fct)
 query("dim_products")(lambda m: m.dim_products)
@@ -661,7 +770,8 @@ def _pareto_products(m: Models) -> DataFrame:
 @query("pareto_categories")
 def _pareto_categories(m: Models) -> DataFrame:
     cat = m.pcd.groupBy("category").agg(A.money_sum("product_revenue").alias("category_revenue"))
-    one = cat.withColumn("scope", F.lit("all"))
+    # one row per category; more of them than the heavy-key limit are cut into buckets as any heavy key is
+    one = cat.withColumn("scope", F.lit("all")).checkpoint()
     return M.pareto(one, value="category_revenue", by="scope").select(
         "category",
         "category_revenue",
@@ -710,6 +820,48 @@ def _audit_view(m: Models) -> DataFrame:
     return audit_view(detect_anomalies(m.pcd, contamination=CONTAMINATION))
 
 
+@query("anomaly_split")
+def _anomaly_split(m: Models) -> DataFrame:
+    """Which products the forest has labelled: every one but single sales, all rows kept."""
+    labelled = detect_anomalies(m.pcd, contamination=CONTAMINATION)
+    return labelled.select("product_id", (F.col("Result") != RESULT_UNSCORED).alias("is_analyzed"))
+
+
+@query("anomaly_min_rows")
+def _anomaly_min_rows(m: Models) -> DataFrame:
+    """With fewer trainable rows than asked for nothing is analysed."""
+    return detect_anomalies(m.pcd, contamination=CONTAMINATION, min_rows=10**12).select("product_id", "Result")
+
+
+@query("kpi_items_analyzed")
+def _kpi_items_analyzed(m: Models) -> DataFrame:
+    labelled = detect_anomalies(m.pcd, contamination=CONTAMINATION)
+    return K.anomaly_kpis(FL.reliable_only(labelled)).select("items_analyzed")
+
+
+@query("audit_columns")
+def _audit_columns(m: Models) -> DataFrame:
+    """The audit table of labelled products, without the label."""
+    return audit_view(detect_anomalies(m.pcd, contamination=CONTAMINATION)).drop("Result")
+
+
+@query("audit_only_anomalies")
+def _audit_only_anomalies(m: Models) -> DataFrame:
+    return audit_view(z_labelled(m), only_workhorses=True, only_anomalies=True)
+
+
+@query("outlier_map")
+def _outlier_map(m: Models) -> DataFrame:
+    """Frame of the outlier map: trained rows with price, freight, sales and features, without the label."""
+    return outlier_map(detect_anomalies(m.pcd, contamination=CONTAMINATION)).drop("Result")
+
+
+@query("cv_above_quantile")
+def _cv_above_quantile(m: Models) -> DataFrame:
+    """The contamination cut on a given column: products above the exact 0.95 quantile of cost variation."""
+    return above_quantile(FL.reliable_only(m.pcd), "total_cost_cv", 1 - CONTAMINATION)
+
+
 @query("audit_workhorses")
 def _audit_workhorses(m: Models) -> DataFrame:
     v = audit_view(m.pcd.withColumn("Result", F.lit(None).cast("string")), only_workhorses=True)
@@ -756,17 +908,8 @@ def _dq_same_count(m: Models) -> DataFrame:
 
 @query("dq_report")
 def _dq_report(m: Models) -> DataFrame:
-    tables = {
-        "orders": m.stg_order,
-        "fct_orders": m.fct,
-        "dim_products": m.dim_products,
-        "monthly_revenue": m.monthly_revenue,
-        "dim_customer": m.dim_customer,
-        "product_cost_decomposition": m.pcd,
-        "customer_retention": m.retention,
-        "monthly_revenue_by_cat": m.revenue_by_cat,
-    }
-    return Q.run_checks(tables)
+    """The declared checks over the marts of one build, as written."""
+    return Q.run_checks({"orders": m.stg_order, **{k: v for k, v in _built(m).items() if k in BUILD_COLUMNS}})
 
 
 FLAGSHIP = "customer_retention"

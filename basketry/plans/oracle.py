@@ -11,6 +11,7 @@ from integer moments, gaps from integer microseconds.
 from __future__ import annotations
 
 from ..operators.quality import CHECKS, Check
+from ..schemas import RAW_SCHEMAS
 
 DAY_US = 86_400_000_000
 
@@ -142,9 +143,36 @@ raw_products AS (
   FROM part
 ),
 raw_translation AS (
-  SELECT * FROM (VALUES ('STANDARD', 'STANDARD goods'), ('ECONOMY', 'ECONOMY goods'),
-                        ('MEDIUM', 'MEDIUM goods'), ('SMALL', 'SMALL goods'))
-         AS t(product_category_name, product_category_name_english)
+  SELECT DISTINCT p_type AS product_category_name, p_type || ' goods' AS product_category_name_english
+  FROM part WHERE p_type IN ('STANDARD', 'ECONOMY', 'MEDIUM', 'SMALL')
+),
+raw_order_payments AS (
+  SELECT o_orderkey AS order_id, n AS payment_sequential,
+         CASE WHEN n = 2 THEN 'voucher' WHEN o_orderpriority = '5-LOW' THEN 'boleto' ELSE 'credit_card' END AS payment_type,
+         CAST(o_orderkey % 12 + 1 AS INTEGER) AS payment_installments,
+         CAST(CASE WHEN n = 2 THEN voucher WHEN o_orderkey % 5 = 0 THEN total - voucher ELSE total END AS DECIMAL(18,2)) AS payment_value
+  FROM (SELECT *, CAST(o_totalprice AS DECIMAL(18,2)) AS total,
+               CAST(CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.25 AS DECIMAL(2,2)) AS DECIMAL(18,2)) AS voucher,
+               unnest(CASE WHEN o_orderkey % 5 = 0 THEN [1, 2] ELSE [1] END) AS n
+        FROM orders)
+),
+raw_order_reviews AS (
+  SELECT 'r' || CAST(o_orderkey AS VARCHAR) AS review_id, o_orderkey AS order_id,
+         CAST(o_orderkey % 5 + 1 AS INTEGER) AS review_score,
+         CASE WHEN o_orderkey % 3 = 0 THEN 'title, ' || o_orderstatus END AS review_comment_title,
+         CASE WHEN o_orderkey % 4 <> 0
+              THEN 'the "' || o_orderpriority || '" order,' || chr(10) || 'number ' || CAST(o_orderkey AS VARCHAR) || ', came' END AS review_comment_message,
+         CAST(o_orderdate AS TIMESTAMP) + INTERVAL 8 DAY AS review_creation_date,
+         CAST(o_orderdate AS TIMESTAMP) + INTERVAL 9 DAY AS review_answer_timestamp
+  FROM orders
+),
+raw_geolocation AS (
+  SELECT lpad(CAST(c_nationkey AS VARCHAR), 5, '0') AS geolocation_zip_code_prefix,
+         CAST(c_custkey % 720 AS DOUBLE) / 4.0 - 90.0 AS geolocation_lat,
+         CAST(c_custkey % 1440 AS DOUBLE) / 4.0 - 180.0 AS geolocation_lng,
+         'city_' || CAST(c_nationkey AS VARCHAR) AS geolocation_city,
+         c_mktsegment AS geolocation_state
+  FROM customer
 ),
 raw_sellers AS (
   SELECT s_suppkey AS seller_id, lpad(CAST(s_nationkey AS VARCHAR), 5, '0') AS seller_zip_code_prefix,
@@ -373,6 +401,35 @@ def _dq_report() -> str:
     return f"SELECT *, CASE WHEN failures = 0 THEN 'pass' ELSE 'fail' END AS status FROM ({body})"
 
 
+def _content(name: str, label: str, source: str, columns: list[str]) -> str:
+    text = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '?')" for c in columns)
+    digest = f"CAST('0x' || substr(md5(concat_ws('|', {text})), 1, 8) AS BIGINT)"
+    return f"SELECT '{name}' AS {label}, count(*) AS row_count, CAST(coalesce(sum({digest}), 0) AS BIGINT) AS content FROM {source}"
+
+
+def _ingest_all() -> str:
+    source = {"product_category_name_translation": "raw_translation"}
+    return "\nUNION ALL\n".join(_content(t, "table_name", source.get(t, f"raw_{t}"), s.fieldNames()) for t, s in RAW_SCHEMAS.items())
+
+
+#: Columns of each mart in the whole-build report.
+_BUILD = {
+    "fct_orders": "order_id customer_id order_status total_items",
+    "dim_products": "product_id category_name",
+    "dim_customer": "customer_unique_id total_orders customer_segment",
+    "monthly_revenue": "order_month total_fullfilled_orders revenue",
+    "monthly_revenue_by_cat": "revenue_month product_category monthly_revenue product_sold",
+    "product_cost_decomposition": "product_id category sales_count product_revenue is_revenue_workhorse",
+    "customer_retention": "order_id order_sequence lifecycle_stage retention_window",
+}
+
+
+def _build_all() -> str:
+    return "\nUNION ALL\n".join(_content(t, "mart", t, c.split()) for t, c in _BUILD.items())
+
+
+_AUDIT_COLS = "product_id, category, is_revenue_workhorse, product_revenue_share_pct, avg_price, total_cost_z_score, sales_count, is_price_rebalanced"
+
 FINAL: dict[str, str] = {
     # sources / sinks
     "ingest_csv": "SELECT * FROM stg_order",
@@ -383,7 +440,12 @@ FINAL: dict[str, str] = {
         UNION ALL SELECT 'customers', count(*) FROM raw_customers
         UNION ALL SELECT 'products', count(*) FROM raw_products
         UNION ALL SELECT 'sellers', count(*) FROM raw_sellers
-        UNION ALL SELECT 'product_category_name_translation', count(*) FROM raw_translation""",
+        UNION ALL SELECT 'product_category_name_translation', count(*) FROM raw_translation
+        UNION ALL SELECT 'order_payments', count(*) FROM raw_order_payments
+        UNION ALL SELECT 'order_reviews', count(*) FROM raw_order_reviews
+        UNION ALL SELECT 'geolocation', count(*) FROM raw_geolocation""",
+    "ingest_all": _ingest_all(),
+    "build_all": _build_all(),
     "mart_roundtrip": "SELECT * FROM fct_orders",
     "mart_scan": "SELECT revenue_month, product_category, monthly_revenue FROM monthly_revenue_by_cat",
     "mart_category_year": f"SELECT * FROM monthly_revenue_by_cat WHERE product_category IN {SEL_CATS} AND revenue_year IN {SEL_YEARS}",
@@ -517,6 +579,26 @@ FINAL: dict[str, str] = {
     "audit_workhorses": """SELECT product_id, category, is_revenue_workhorse, product_revenue_share_pct, avg_price, total_cost_z_score,
         sales_count, is_price_rebalanced FROM product_cost_decomposition WHERE is_revenue_workhorse
         ORDER BY product_revenue_share_pct DESC NULLS LAST, product_id""",
+    "anomaly_split": "SELECT product_id, reliability_score <> 'Single Sale' AS is_analyzed FROM product_cost_decomposition",
+    "anomaly_min_rows": "SELECT product_id, 'Single sale - No Analysis' AS Result FROM product_cost_decomposition",
+    "kpi_items_analyzed": "SELECT count(*) AS items_analyzed FROM product_cost_decomposition WHERE reliability_score <> 'Single Sale'",
+    "audit_columns": f"SELECT {_AUDIT_COLS} FROM product_cost_decomposition ORDER BY product_revenue_share_pct DESC NULLS LAST, product_id",
+    "audit_only_anomalies": f"""SELECT {_AUDIT_COLS}, 'Anomaly' AS Result FROM product_cost_decomposition
+        WHERE abs(total_cost_z_score) > 2.0 AND is_revenue_workhorse""",
+    "flt_anomalies": "SELECT product_id, category, 'Anomaly' AS Result FROM product_cost_decomposition WHERE abs(total_cost_z_score) > 2.0",
+    "outlier_map": """SELECT product_id, category, avg_price, avg_freight, sales_count,
+        coalesce(CAST(total_cost_z_score AS DOUBLE), 0.0) AS total_cost_z_score,
+        coalesce(CAST(total_cost_cv AS DOUBLE), 0.0) AS total_cost_cv,
+        coalesce(CAST(freight_share_pct AS DOUBLE), 0.0) AS freight_share_pct
+        FROM product_cost_decomposition WHERE reliability_score <> 'Single Sale'""",
+    "cv_above_quantile": """SELECT product_id, total_cost_cv, total_cost_cv > (
+            SELECT quantile_cont(total_cost_cv, 0.95) FROM product_cost_decomposition WHERE reliability_score <> 'Single Sale') AS is_above
+        FROM product_cost_decomposition WHERE reliability_score <> 'Single Sale' AND total_cost_cv IS NOT NULL""",
+    "fn_value_map": """SELECT order_id, CASE order_status WHEN 'delivered' THEN 'done' WHEN 'shipped' THEN 'open' WHEN 'canceled' THEN 'void' END AS state
+        FROM stg_order""",
+    "retention_split": "SELECT * FROM customer_retention",
+    "pareto_split": """SELECT product_id, category, product_revenue, cumulative_category_revenue, total_category_revenue
+        FROM product_cost_decomposition""",
     "z_outliers": "SELECT product_id, category, total_cost_z_score FROM product_cost_decomposition WHERE abs(total_cost_z_score) > 2.0",
     # data quality
     "dq_unique": "SELECT order_id, count(*) AS n_records FROM stg_order_items WHERE order_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1",

@@ -123,3 +123,6 @@ RAW_SCHEMAS: dict[str, T.StructType] = {
     "product_category_name_translation": CATEGORY_TRANSLATION,
     "geolocation": GEOLOCATION,
 }
+
+#: Tables with free text: quoted fields may hold line breaks.
+FREE_TEXT_TABLES = frozenset({"order_reviews"})

@@ -1,20 +1,23 @@
 """File sources and sinks: CSV ingest of a directory, tiered parquet tables.
 
 Ingest lists the directory on the driver (names only) and reads every file
-with its declared schema; executors read the splits in parallel.  Tables
-are written as parquet under ``<root>/<tier>/<name>`` with overwrite, which
-commits per table.
+by its header: columns are matched to the declared schema by normalised name,
+whatever their order, and cast.  Executors read the splits in parallel; only
+tables that declare free text are read whole file by file, as their quoted
+fields may hold line breaks.  Tables are written as parquet beside
+``<root>/<tier>/<name>`` and take its place when the write has succeeded.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schemas import RAW_SCHEMAS
+from ..schemas import FREE_TEXT_TABLES, RAW_SCHEMAS
 
 
 def normalize_name(name: str) -> str:
@@ -48,17 +51,24 @@ def _list_csv(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType | None, strict: bool = True
+    spark: SparkSession, path: str, schema: T.StructType | None, strict: bool = True, free_text: bool = False
 ) -> DataFrame:
-    """One CSV file/folder with header; declared schema, FAILFAST on malformed rows."""
-    r = spark.read.option("header", True).option("mode", "FAILFAST" if strict else "PERMISSIVE")
-    if schema is not None:
-        # headers may differ in case/spaces from the declared names: read by position
-        r = r.schema(schema).option("enforceSchema", True)
-    else:
-        r = r.option("inferSchema", False)
-    df = r.csv(path)
-    return normalize_columns(df)
+    """One CSV file or folder with header, by column name; malformed rows and values fail.
+
+    Names are normalised before they are matched; a declared column that the
+    file lacks raises, columns that the schema lacks are left out.  With
+    ``free_text`` quoted fields may hold line breaks (then a file is one split).
+    ``strict=False`` turns malformed values into NULL.
+    """
+    r = spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False)
+    r = r.option("mode", "FAILFAST" if strict else "PERMISSIVE").option("escape", '"').option("multiLine", free_text)
+    df = normalize_columns(r.csv(path))
+    if schema is None:
+        return df
+    missing = [f.name for f in schema.fields if f.name not in df.columns]
+    if missing:
+        raise ValueError(f"{path}: no column {', '.join(missing)} (found: {', '.join(df.columns)})")
+    return df.select(*[(F.col(f.name).cast(f.dataType) if strict else F.col(f.name).try_cast(f.dataType)).alias(f.name) for f in schema.fields])
 
 
 def ingest_dir(
@@ -80,7 +90,7 @@ def ingest_dir(
     out: dict[str, DataFrame] = {}
     for f in files:
         name = table_name_for(f, prefix)
-        out[name] = read_csv(spark, os.path.join(path, f), schemas.get(name))
+        out[name] = read_csv(spark, os.path.join(path, f), schemas.get(name), free_text=name in FREE_TEXT_TABLES)
     return out
 
 
@@ -89,6 +99,40 @@ def table_path(root: str, tier: str, name: str) -> str:
     return f"{root.rstrip('/')}/{tier}/{name}"
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) of a path on any Hadoop file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def table_exists(spark: SparkSession, root: str, tier: str, name: str) -> bool:
+    """Whether the table's folder is there."""
+    fs, p = _hadoop(spark, table_path(root, tier, name))
+    return bool(fs.exists(p))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, p = _hadoop(spark, path)
+    fs.delete(p, True)
+
+
+def _replace(spark: SparkSession, new: str, target: str) -> None:
+    """Put the written folder in the table's place: the old one steps aside, and goes last."""
+    fs, src = _hadoop(spark, new)
+    _, dst = _hadoop(spark, target)
+    aside = None
+    if fs.exists(dst):
+        _, aside = _hadoop(spark, f"{target}__old-{uuid.uuid4().hex[:12]}")
+        if not fs.rename(dst, aside):
+            raise OSError(f"cannot move {target} aside")
+    if not fs.rename(src, dst):
+        if aside is not None:
+            fs.rename(aside, dst)
+        raise OSError(f"cannot move {new} to {target}")
+    if aside is not None:
+        fs.delete(aside, True)
+
+
 def write_table(
     df: DataFrame,
     root: str,
@@ -99,7 +143,9 @@ def write_table(
 ) -> int | None:
     """Full-replace write of one table as parquet; returns the written row count.
 
-    The count is taken with an ``Observation`` during the write, so the table
+    The rows are written to a new folder, which takes the table's place once
+    the write has succeeded; a write that fails leaves the old table as it was
+    (and readers never see a half-written one).  The count is taken with an ``Observation`` during the write, so the table
     is not scanned a second time.  ``partition_by`` writes one folder per
     value, so filters on those columns prune whole folders at read time.
     """
@@ -107,10 +153,16 @@ def write_table(
     if observe:
         obs = Observation(f"rows_{tier}_{name}")
         df = df.observe(obs, F.count(F.lit(1)).alias("rows"))
-    w = df.write.mode("overwrite")
+    new = f"{target}__new-{uuid.uuid4().hex[:12]}"
+    w = df.write.mode("error")
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.parquet(target)
+    try:
+        w.parquet(new)
+    except Exception:
+        _delete(df.sparkSession, new)
+        raise
+    _replace(df.sparkSession, new, target)
     return int(obs.get["rows"]) if observe else None
 
 

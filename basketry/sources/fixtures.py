@@ -13,6 +13,7 @@ two must stay in step.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from ..schemas import MONEY
 
 # Fixed values shared with the oracle: the status mapping and the category
-# translation rows (LARGE is left untranslated on purpose).
+# translated part types (LARGE is left untranslated on purpose).
 TRANSLATED_CATEGORIES = ["STANDARD", "ECONOMY", "MEDIUM", "SMALL"]
 PROMO_CATEGORY = "PROMO"
 
@@ -110,11 +111,60 @@ def raw_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_category_translation(spark: SparkSession) -> DataFrame:
-    """Translation rows: '<x>' -> '<x> goods' for the translated categories."""
-    rows = [(c, f"{c} goods") for c in TRANSLATED_CATEGORIES]
-    return spark.createDataFrame(
-        rows, "product_category_name string, product_category_name_english string"
+def raw_category_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Translation rows: '<x>' -> '<x> goods' for the translated categories among the part types."""
+    p = read_table(spark, sf_dir, "part").where(F.col("p_type").isin(TRANSLATED_CATEGORIES))
+    return p.select(
+        F.col("p_type").alias("product_category_name"),
+        F.concat("p_type", F.lit(" goods")).alias("product_category_name_english"),
+    ).distinct()
+
+
+def raw_order_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """order_payments: one or two payments per order, which add up to its total price."""
+    o = read_table(spark, sf_dir, "orders")
+    total = F.col("o_totalprice").cast(MONEY)
+    voucher = (total * F.lit(Decimal("0.25"))).cast(MONEY)
+    split = F.col("o_orderkey") % 5 == 0
+    n = F.explode(F.when(split, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    rows = o.select("o_orderkey", "o_orderpriority", total.alias("total"), voucher.alias("voucher"), split.alias("split"), n.alias("n"))
+    kind = F.when(F.col("n") == 2, "voucher").when(F.col("o_orderpriority") == "5-LOW", "boleto").otherwise("credit_card")
+    value = F.when(F.col("n") == 2, F.col("voucher")).when(F.col("split"), F.col("total") - F.col("voucher")).otherwise(F.col("total"))
+    return rows.select(
+        F.col("o_orderkey").alias("order_id"),
+        F.col("n").alias("payment_sequential"),
+        kind.alias("payment_type"),
+        (F.col("o_orderkey") % 12 + 1).cast("int").alias("payment_installments"),
+        value.cast(MONEY).alias("payment_value"),
+    )
+
+
+def raw_order_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """order_reviews: one per order; messages hold quotes, commas and line breaks."""
+    o = read_table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    day = F.col("o_orderdate").cast("timestamp_ntz")
+    message = F.concat(F.lit('the "'), F.col("o_orderpriority"), F.lit('" order,\nnumber '), key.cast("string"), F.lit(', came'))
+    return o.select(
+        F.concat(F.lit("r"), key.cast("string")).alias("review_id"),
+        key.alias("order_id"),
+        (key % 5 + 1).cast("int").alias("review_score"),
+        F.when(key % 3 == 0, F.concat(F.lit("title, "), F.col("o_orderstatus"))).alias("review_comment_title"),
+        F.when(key % 4 != 0, message).alias("review_comment_message"),
+        (day + F.expr("INTERVAL 8 DAYS")).alias("review_creation_date"),
+        (day + F.expr("INTERVAL 9 DAYS")).alias("review_answer_timestamp"),
+    )
+
+
+def raw_geolocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """geolocation: one point per customer, at its nation's zip prefix."""
+    c = read_table(spark, sf_dir, "customer")
+    return c.select(
+        F.lpad(F.col("c_nationkey").cast("string"), 5, "0").alias("geolocation_zip_code_prefix"),
+        (F.col("c_custkey") % 720 / 4.0 - 90.0).alias("geolocation_lat"),
+        (F.col("c_custkey") % 1440 / 4.0 - 180.0).alias("geolocation_lng"),
+        F.concat(F.lit("city_"), F.col("c_nationkey").cast("string")).alias("geolocation_city"),
+        F.col("c_mktsegment").alias("geolocation_state"),
     )
 
 
@@ -152,7 +202,10 @@ class RawTables(Mapping):
         "customers": raw_customers,
         "products": raw_products,
         "sellers": raw_sellers,
-        "product_category_name_translation": lambda spark, _sf: raw_category_translation(spark),
+        "product_category_name_translation": raw_category_translation,
+        "order_payments": raw_order_payments,
+        "order_reviews": raw_order_reviews,
+        "geolocation": raw_geolocation,
     }
 
     def __init__(self, spark: SparkSession, sf_dir: str):
