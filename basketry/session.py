@@ -69,7 +69,7 @@ def own_session(spark: SparkSession) -> SparkSession:
     """
     own = spark.newSession()
     for k, v in spark.conf.getAll.items():
-        if spark.conf.isModifiable(k):
+        if spark.conf.isModifiable(k) or not k.startswith("spark."):
             own.conf.set(k, v)
     apply_sql_defaults(own)
     return own
