@@ -1,7 +1,123 @@
-"""DuckDB SQL of the registered queries that SQL can express."""
+"""DuckDB SQL of the registered queries that SQL can express.
+
+Near-duplicate groups, embedding groups and repeated strings are stated by
+brute force over all pairs or windows (no index, no sampling); the mix by the
+closed form of its water filling.  Tokenizers, trained models, entropy scans
+and fingerprints of 64-bit hashes have no SQL; their queries are tested
+against brute force in ``tests/llm``.
+"""
 
 from __future__ import annotations
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORD = r"[^\x20\x09-\x0D]+"
+
+#: Smallest reachable id over a table links(a, b) of both directions, for every id of a table ids(id).
+_COMPONENTS = """
+reach(id, root) AS (
+  SELECT id, id FROM ids
+  UNION
+  SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.id
+),
+component AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id)
+"""
+
+OP1 = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS w FROM documents
+),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s
+  FROM words
+),
+ids AS (SELECT d.doc_id AS id, count(s.s) AS n FROM documents d LEFT JOIN shingles s USING (doc_id) GROUP BY d.doc_id),
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id
+  GROUP BY x.doc_id, y.doc_id
+),
+links AS (
+  SELECT a, b FROM common JOIN ids i ON i.id = a JOIN ids j ON j.id = b WHERE 100 * c >= 85 * (i.n + j.n - c)
+),
+{_COMPONENTS}
+SELECT ids.id AS doc_id, CAST(ids.n AS BIGINT) AS n_shingles, component_id, ids.id = component_id AS kept
+FROM ids JOIN component USING (id)
+"""
+
+OP6 = rf"""
+WITH RECURSIVE sized AS (
+  SELECT doc_id, source, md5(coalesce(text, '')) AS tie, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS size FROM documents
+),
+per AS (
+  SELECT source, sum(size) AS source_size, count(*) AS docs,
+         (ARRAY[5, 2, 1])[CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS weight
+  FROM sized GROUP BY source
+),
+-- sources close in the order of bound / weight; the first whose bound is no less than its share of what is left stays open
+ranked AS (
+  SELECT *, coalesce(sum(2 * source_size) OVER w, 0) AS used, (SELECT sum(weight) FROM per) - coalesce(sum(weight) OVER w, 0) AS open_weight
+  FROM per WINDOW w AS (ORDER BY 2.0 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+level AS (
+  SELECT arg_min((1.5 * total - used) / open_weight, nth) AS share
+  FROM (SELECT *, row_number() OVER (ORDER BY 2.0 * source_size / weight, source NULLS LAST) AS nth, (SELECT sum(source_size) FROM per) AS total FROM ranked)
+  WHERE 2 * source_size * open_weight >= (1.5 * total - used) * weight
+),
+goal AS (
+  SELECT source, source_size, docs, least(2.0 * source_size, coalesce(CAST(share AS DOUBLE) * weight, 2.0 * source_size)) AS target FROM per CROSS JOIN level
+),
+rated AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate, CAST(ceil(docs / 1000.0) AS BIGINT) AS blocks FROM goal),
+placed AS (
+  SELECT s.*, r.source_size, r.target, r.rate,
+         CAST(floor(('0x' || substr(md5('mix' || chr(1) || coalesce(CAST(s.doc_id AS VARCHAR), '')), 1, 12))::BIGINT::DOUBLE / 281474976710656.0::DOUBLE * r.blocks) AS BIGINT) AS block
+  FROM sized s JOIN rated r ON s.source IS NOT DISTINCT FROM r.source
+),
+drawn AS (
+  SELECT *, row_number() OVER (PARTITION BY source, block ORDER BY size, doc_id, tie) AS k,
+         ('0x' || substr(md5('mix' || chr(1) || coalesce(source, '') || chr(1) || CASE WHEN source IS NULL THEN 'true' ELSE 'false' END || chr(1) || CAST(block AS VARCHAR)), 1, 12))::BIGINT::DOUBLE / 281474976710656.0::DOUBLE AS u,
+         rate - floor(rate) AS p
+  FROM placed
+)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, CAST(target AS DOUBLE) AS target,
+       CAST(size * (floor(rate) + floor(u + k * p) - floor(u + (k - 1) * p)) AS BIGINT) AS taken,
+       CAST(floor(rate) + floor(u + k * p) - floor(u + (k - 1) * p) AS BIGINT) AS copies
+FROM drawn
+"""
+
+OP8 = f"""
+WITH RECURSIVE ids AS (SELECT vec_id AS id FROM embeddings),
+units AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM units x JOIN units y ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.v, y.v) >= 0.9),
+{_COMPONENTS},
+degree AS (SELECT a AS id, count(*) AS n FROM links GROUP BY a)
+SELECT ids.id AS vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, ids.id = component_id AS kept, CAST(1.0 AS DOUBLE) AS audit_recall
+FROM ids JOIN component USING (id) LEFT JOIN degree USING (id)
+"""
+
+OP10 = """
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 199)) AS i FROM texts),
+windows AS (SELECT doc_id, i, md5(substr(h, CAST(2 * i + 1 AS BIGINT), 400)) AS w FROM starts),
+twice AS (SELECT doc_id, i FROM windows WHERE w IN (SELECT w FROM windows GROUP BY w HAVING count(*) > 1)),
+-- covered runs: a gap of more than 200 between starts begins a new one
+marked AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM twice),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+runs AS (SELECT doc_id, run, min(i) AS a, max(i) + 200 AS b FROM numbered GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, run, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY run), 0) AS a, a AS b FROM runs),
+kept AS (
+  SELECT g.doc_id, string_agg(substr(t.h, CAST(2 * g.a + 1 AS BIGINT), CAST(2 * (g.b - g.a) AS BIGINT)), '' ORDER BY g.run) AS head
+  FROM gaps g JOIN texts t USING (doc_id) GROUP BY g.doc_id
+),
+total AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, max(b) AS last FROM runs GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(t.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN removed IS NULL THEN t.h ELSE coalesce(head, '') || substr(t.h, CAST(2 * last + 1 AS BIGINT)) END)) AS kept_sha256
+FROM texts t LEFT JOIN total USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL per query key."""
+    return {"op1_hyperminhash": OP1, "op6_source_mix": OP6, "op8_flat_graph": OP8, "op10_suffix_dedup": OP10}

@@ -1,0 +1,55 @@
+"""Registered queries against their DuckDB SQL, and the driver's contract for this subpackage."""
+
+from __future__ import annotations
+
+import re
+import subprocess
+import sys
+from pathlib import Path
+
+import pytest
+
+import __spark_entry__ as E
+from basketry.llm import queries, sql
+from tests.oracle_compare import digest, duck, duck_rows, spark_rows
+
+from .util import SF
+
+ROOT = Path(__file__).resolve().parents[2]
+
+
+@pytest.mark.parametrize("key", sorted(sql.oracle_sql()))
+def test_query_matches_sql(spark, key):
+    sc, sr, _ = spark_rows(E.queries()[key](spark, SF))
+    dc, dr, _ = duck_rows(duck(SF), E.oracle_sql()[key])
+    assert sc == dc and len(sr) == len(dr)
+    assert digest(sr) == digest(dr)
+
+
+def test_every_operator_is_registered_once():
+    names = sorted(queries.queries(), key=lambda k: int(k[2:].split("_")[0]))
+    assert [int(k[2:].split("_")[0]) for k in names] == list(range(1, 11))
+    assert {*names, "pipeline"} <= set(E.queries()) and set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_the_entry_works_without_this_subpackage():
+    """As if the folders were deleted: the other queries stay."""
+    code = (
+        "import sys\n"
+        "class Gone:\n"
+        "    def find_spec(self, name, path=None, target=None):\n"
+        "        if name == 'corpus_pipeline' or name.startswith('basketry.llm'):\n"
+        "            raise ModuleNotFoundError(f'No module named {name!r}', name=name)\n"
+        "sys.meta_path.insert(0, Gone())\n"
+        "import __spark_entry__ as e\n"
+        "q = e.queries()\n"
+        "assert len(q) > 100 and not any(k.startswith('op') and k[2:3].isdigit() for k in q) and 'pipeline' not in q\n"
+        "assert set(e.oracle_sql()) <= set(q)\n"
+    )
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
+
+
+def test_nothing_else_imports_this_subpackage():
+    for path in (ROOT / "basketry").rglob("*.py"):
+        if "llm" not in path.parts:
+            assert not re.search(r"(import|from)\s[^\n]*\bllm\b", path.read_text()), path
