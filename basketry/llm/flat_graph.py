@@ -33,6 +33,8 @@ from .components import connected_components
 
 #: Rows that a shard may have; classes that k-means is fitted on, per shard that is split.
 SHARD_ROWS, FIT_ROWS = 2500, 8192
+#: The table of shard sizes is broadcast up to this number of shards.
+BROADCAST_SHARDS = 100_000
 #: Most clusters of one split.
 MAX_CLUSTERS = 256
 #: Clusters a class goes to at first; neighbours of a node; nearest and random candidates; robust factor.
@@ -98,19 +100,22 @@ def _seed(name: str) -> int:
 
 def shards(rows: DataFrame, overlap: int, shard_rows: int = SHARD_ROWS, max_clusters: int = MAX_CLUSTERS) -> DataFrame:
     """(shard, g, id, copies, v): each class in all of its shards; g is the number of blocks the shard is cut into."""
-    now = rows.withColumn("shard", F.lit("0")).withColumn("was", F.lit(0).cast("long"))
+    now = written(rows.withColumn("shard", F.lit("0")).withColumn("was", F.lit(0).cast("long")), "shards")
     done = None
     while True:
         size = now.groupBy("shard").agg(F.count("*").alias("n"), F.max("was").alias("parent"))
         # a split that left nearly all rows together is not tried again
         stuck = (F.col("parent") > 0) & (F.col("n") > 0.8 * F.col("parent"))
         size = size.withColumn("split", (F.col("n") > shard_rows) & ~stuck).checkpoint()
-        now = now.drop("was").join(size.select("shard", "n", "split"), "shard")
+        marks = size.select("shard", "n", "split")
+        if size.count() <= BROADCAST_SHARDS:
+            marks = F.broadcast(marks)
+        now = now.drop("was").join(marks, "shard")
         leaf = now.where("not split").withColumn("g", F.ceil(F.col("n") / shard_rows).cast("int")).drop("n", "split")
         done = leaf if done is None else done.unionByName(leaf)
         big = size.where("split").count()
         if not big:
-            return done.dropDuplicates(["shard", "id"])
+            return done
         now = written(_split(now.where("split").drop("split"), big, overlap, shard_rows, max_clusters), "shards")
 
 
@@ -122,7 +127,8 @@ def _split(rows: DataFrame, big: int, overlap: int, shard_rows: int, max_cluster
         name, n = t.column("shard")[0].as_py(), t.column("n")[0].as_py()
         t = t.sort_by("id")
         x = _stack(t.column("v"))
-        k = min(max_clusters, max(2, -(-n * overlap // shard_rows)), max(1, len(x) // 4))
+        # clusters of about 2 / 5 of the rows a shard may have: few of them are too large
+        k = min(max_clusters, max(2, -(-5 * n * overlap // (2 * shard_rows))), max(1, len(x) // 4))
         return pa.table({"shard": [name], "c": [kmeans(x, k, _seed(name)).tobytes()]})
 
     centres = part.select("shard", "n", "id", "v").groupBy("shard").applyInArrow(fit, "shard string, c binary").checkpoint()
@@ -164,11 +170,13 @@ def pruned(v: np.ndarray, seed: int, degree: int = DEGREE, alpha: float = ALPHA)
         for b in own:
             back[b].append(a)
     both = [np.union1d(own, np.array(more, np.int64)) for own, more in zip(links, back)]
-    over = [a for a in range(n) if len(both[a]) > degree]
-    width = max((len(both[a]) for a in over), default=0)
-    if over:
-        wide = np.array([np.r_[both[a], np.full(width - len(both[a]), a)] for a in over])
-        for a, own in zip(over, _robust(v, np.array(over), wide, degree, alpha)):
+    # nodes with many back edges are pruned again, those of like degree together
+    over = sorted((a for a in range(n) if len(both[a]) > degree), key=lambda a: len(both[a]))
+    for i in range(0, len(over), 128):
+        some = over[i : i + 128]
+        width = len(both[some[-1]])
+        wide = np.array([np.r_[both[a], np.full(width - len(both[a]), a)] for a in some])
+        for a, own in zip(some, _robust(v, np.array(some), wide, degree, alpha)):
             both[a] = np.unique(own)
     return _reachable(v, both)
 
@@ -176,8 +184,10 @@ def pruned(v: np.ndarray, seed: int, degree: int = DEGREE, alpha: float = ALPHA)
 def _robust(v: np.ndarray, nodes: np.ndarray, pool: np.ndarray, degree: int, alpha: float) -> list[np.ndarray]:
     """Robust pruning of each node's candidate pool, in blocks of nodes (a pool entry equal to its node is void)."""
     out = []
-    for i in range(0, len(nodes), 128):
-        a, c = nodes[i : i + 128], pool[i : i + 128]
+    # pairs of candidates held at once: about 2 million
+    block = max(1, min(128, 2_000_000 // pool.shape[1] ** 2))
+    for i in range(0, len(nodes), block):
+        a, c = nodes[i : i + block], pool[i : i + block]
         x = v[c]
         to = 1 - np.einsum("ijk,ik->ij", x, v[a])  # half the squared distance
         between = 1 - x @ x.transpose(0, 2, 1)
