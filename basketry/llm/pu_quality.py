@@ -7,7 +7,8 @@ non-negative unbiased risk (Kiryo et al., 2017)
 
     q * E_P[l(g)] + max(0, E_U[l(-g)] - q * E_P[l(-g)])
 
-with the logistic loss l, so sigmoid(g) estimates the chance of label 1.  g is
+with the logistic loss l, so sigmoid(g) grows with the chance of label 1; the
+valley between the classes is then put at the accepting score.  g is
 linear in counts of byte classes, word repetition and word lengths (and their
 square roots); the text's words, language, source and id are not used.
 """
@@ -139,7 +140,21 @@ def fit(p: np.ndarray, u: np.ndarray, prior: float, rounds: int = 600, rate: flo
         grad[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return Model(mean, scale, w[:-1], float(w[-1]), prior)
+    return Model(mean, scale, w[:-1], float(w[-1]) + _shift(ux @ w, prior), prior)
+
+
+def _shift(g: np.ndarray, prior: float, width: float = 0.05) -> float:
+    """What moves the valley between the classes to the accepting score.
+
+    The prior says which share of the unlabelled rows lies below it; the valley
+    is the widest gap between neighbouring values within ``width`` of that rank.
+    """
+    g = np.sort(g)
+    lo, hi = (int(np.clip((1 - prior + d) * len(g), 0, len(g) - 1)) for d in (-width, width))
+    if hi <= lo:
+        return 0.0
+    at = lo + int(np.argmax(np.diff(g[lo : hi + 1])))
+    return float(np.log(ACCEPT / (1 - ACCEPT)) - (g[at] + g[at + 1]) / 2)
 
 
 def _sampled(rows: DataFrame, most: int) -> DataFrame:
