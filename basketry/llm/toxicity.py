@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, strings, text_slices
+from . import flat
+from .common import checkpointed, fold, strings, text_slices, utf8
 
 #: Bounds of the training sample (documents, taken by the order of a hash of their id), and of the lexicon.
 MAX_TOXIC, MAX_CLEAN, MAX_TERMS = 2000, 4000, 5000
@@ -225,8 +226,31 @@ def _curve(rows: DataFrame, lexicon: Lexicon, rounds: int = 400) -> tuple[float,
     return float(c[0]), float(c[1]), float(c[2])
 
 
+def _without_near_copies(rows: DataFrame, hashes: int = 4) -> DataFrame:
+    """Of the sample's rows (text, toxic) one of each set of copies and (by shared least shingle hashes) near copies.
+
+    Copies would count as evidence of their own; of three in four common
+    shingles one of four hashes is shared with a chance of 0.996.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salts = flat.mix(np.arange(31, 31 + hashes, dtype=np.uint64))
+        for whole in batches:
+            for b in text_slices(whole):
+                sets = flat.shingle_sets(*utf8(b.column(0)), 3)
+                low = np.array([[flat.mix(s ^ x).min() if len(s) else 0 for x in salts] for s in sets], np.uint64).reshape(-1, hashes)
+                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(low[:, i].view(np.int64)) for i in range(hashes))], [*b.schema.names, *names])
+
+    names = [f"m{i}" for i in range(hashes)]
+    rows = rows.select("text", "toxic").mapInArrow(run, "text string, toxic int, " + ", ".join(f"{n} long" for n in names))
+    for n in names:
+        rest = [c for c in rows.columns if c != n]
+        rows = rows.groupBy(n).agg(F.min(F.struct(F.xxhash64("text").alias("k"), *rest)).alias("r")).select("r.*").drop("k")
+    return rows
+
+
 def train(docs: DataFrame, labels: DataFrame, mod: int = 3, held_out: int = 1, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Lexicon:
-    """Learn from a bounded sample of the labelled documents outside the held-out fold, equal texts counted once."""
+    """Learn from a bounded sample of the labelled documents outside the held-out fold, copies counted once."""
     ok = F.col("doc_id").isNotNull() & (fold("doc_id", mod) != held_out) & F.col("toxic").isin(0, 1)
     marked = labels.where(ok).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marked = docs.select("doc_id").distinct().join(marked, "doc_id")
@@ -234,7 +258,7 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 3, held_out: int = 1, m
     sample = marked.where("toxic = 1").orderBy(*order).limit(max_toxic).unionByName(marked.where("toxic = 0").orderBy(*order).limit(max_clean))
     # at most max_toxic + max_clean ids
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
-    rows = rows.where("text is not null").distinct().checkpoint()
+    rows = checkpointed(_without_near_copies(rows.where("text is not null")))
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     return learn(rows, n.get(1, 0), n.get(0, 0))
 
