@@ -3,7 +3,7 @@
 Alternating large-star and small-star steps (Kiveris et al., 2014): each step
 is a grouped minimum (combined before the shuffle) and a join, so a node with
 very many edges never meets in one task; the edge table is checkpointed after
-each round.  Nothing is collected but two sums that tell when to stop.
+each round.  Nothing is collected but whether only stars are left.
 """
 
 from __future__ import annotations
@@ -11,23 +11,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges: (u, v), u > v, distinct.  The same components with neighbours hung on minima."""
+    """edges: (u, v), u > v.  The same components with neighbours hung on minima; pairs may repeat."""
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # checkpointed: next to a plain exchange, the join can split a node with very many edges
+        low = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         out = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         low = edges.groupBy("u").agg(F.min("v").alias("m"))
         out = edges.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         out = out.unionByName(low.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+    return out.where("u <> v")
 
 
-def _digest(edges: DataFrame) -> tuple:
-    """Equal before and after a round: the round changed nothing."""
-    return tuple(edges.select(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1_000_003)).first())
+def _stars_only(edges: DataFrame) -> bool:
+    """Whether every node hangs on one root, and no root on another node."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("root"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("root")))
+    each = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("root").alias("root"))
+    return each.where("up > 1 or up = 1 and root = 1").isEmpty()
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -37,13 +43,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     end are ignored.  An empty table gives an empty table.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a).isNull().alias("x"), F.col(b).isNull().alias("y"))
-    e = e.where("not x and not y and u <> v").select("u", "v").distinct().checkpoint()
-    seen = _digest(e)
-    while True:
-        e = _star(_star(e, True), False).checkpoint()
-        now = _digest(e)
-        if now == seen:
-            break
-        seen = now
+    e = checkpointed(e.where("not x and not y and u <> v").select("u", "v").distinct())
+    while not _stars_only(e):
+        e = checkpointed(_star(_star(e, True), False).distinct())
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import checkpointed, fewer_files, written
 from .components import connected_components
 
 #: Rows that a shard may have; classes that k-means is fitted on, per shard that is split.
@@ -106,7 +106,7 @@ def shards(rows: DataFrame, overlap: int, shard_rows: int = SHARD_ROWS, max_clus
         size = now.groupBy("shard").agg(F.count("*").alias("n"), F.max("was").alias("parent"))
         # a split that left nearly all rows together is not tried again
         stuck = (F.col("parent") > 0) & (F.col("n") > 0.8 * F.col("parent"))
-        size = size.withColumn("split", (F.col("n") > shard_rows) & ~stuck).checkpoint()
+        size = checkpointed(size.withColumn("split", (F.col("n") > shard_rows) & ~stuck))
         marks = size.select("shard", "n", "split")
         if size.count() <= BROADCAST_SHARDS:
             marks = F.broadcast(marks)
@@ -131,7 +131,7 @@ def _split(rows: DataFrame, big: int, overlap: int, shard_rows: int, max_cluster
         k = min(max_clusters, max(2, -(-5 * n * overlap // (2 * shard_rows))), max(1, len(x) // 4))
         return pa.table({"shard": [name], "c": [kmeans(x, k, _seed(name)).tobytes()]})
 
-    centres = part.select("shard", "n", "id", "v").groupBy("shard").applyInArrow(fit, "shard string, c binary").checkpoint()
+    centres = checkpointed(part.select("shard", "n", "id", "v").groupBy("shard").applyInArrow(fit, "shard string, c binary"))
     # a row holds at most MAX_CLUSTERS vectors
     both = rows.join(F.broadcast(centres) if big <= 256 else centres, "shard")
 
@@ -365,7 +365,7 @@ def linked(vectors: DataFrame, threshold: float = 0.9, overlap: int = OVERLAP, s
     counts = counts.groupBy("vec_id").agg(F.max(F.col("n") + F.col("copies") - 1).alias("n_links"))
     out = vectors.select("vec_id").join(counts, "vec_id", "left").join(component, "vec_id", "left")
     own = F.coalesce("component", "vec_id")
-    return out.select(
+    return fewer_files(out).select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("vec_id") == own, F.lit(True)).alias("kept"), F.lit(recall).alias("audit_recall")
     )
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import flat
-from .common import text_slices, texts, utf8, written
+from .common import checkpointed, fewer_files, text_slices, texts, utf8, written
 from .components import connected_components
 
 BUCKET_BITS, ZERO_BITS, MANTISSA_BITS = 7, 6, 10
@@ -301,7 +301,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     members = written(banded.join(pivots, "bucket").select("bucket", "id", "pivot"), "buckets")
     pairs = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     pairs = written(_likely(pairs, reps, threshold), "pairs")
-    likely = connected_components(pairs).checkpoint()
+    likely = checkpointed(connected_components(pairs))
     # groups: all pairs of classes that a bucket and their registers call likely lie within one group
     more = written(_unconnected(members, likely, reps, threshold), "pairs2")
     groups = connected_components(pairs.unionByName(more)).select(F.col("node").alias("id"), F.col("component").alias("root"))
@@ -313,11 +313,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     links = links.unionByName(written(_block_links(docs, blocks, words, percent), "links2"))
     final = connected_components(links.unionByName(copies)).select(F.col("node").alias("doc_id"), "component")
     component = F.coalesce(F.col("component"), F.col("doc_id"))
-    return (
-        rows.select("doc_id", "n_shingles")
-        .join(final, "doc_id", "left")
-        .select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
-    )
+    out = rows.select("doc_id", "n_shingles").join(final, "doc_id", "left")
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
+    return fewer_files(out.select("doc_id", "n_shingles", component.alias("component_id"), kept))
 
 
 def _salted(groups: DataFrame) -> DataFrame:
@@ -399,4 +397,4 @@ def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     keep = near_duplicates(docs, words, percent).where("kept and doc_id is not null").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi")
     one = named.groupBy("doc_id").agg(F.min(F.struct(*[c for c in cols if c != "doc_id"])).alias("row")).select("doc_id", "row.*")
-    return one.select(cols).unionByName(docs.where("doc_id is null"))
+    return fewer_files(one.select(cols).unionByName(docs.where("doc_id is null")))

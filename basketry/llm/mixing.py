@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpointed, fewer_files
+
 #: Weights of the sources in code point order, repeating; share of all words that the mix takes; most repetitions.
 WEIGHTS, TAKE_PERCENT, MOST = (5, 2, 1), 150, 2
 #: The table of sources is broadcast up to this number of rows, else joined by a shuffle.
@@ -48,7 +50,7 @@ def targets(sources: DataFrame, weights: tuple = WEIGHTS, percent: int = TAKE_PE
     order = Window.orderBy(F.col("source").asc_nulls_last())
     nth = (F.row_number().over(order) - 1) % len(weights) + 1
     rows = sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), nth).cast("long"))
-    rows = rows.withColumn("bound", F.col("source_size") * most).checkpoint()
+    rows = checkpointed(rows.withColumn("bound", F.col("source_size") * most))
     total = rows.agg(F.sum("source_size")).first()[0] or 0
     closed, left, weight, n = F.lit(False), total * percent / 100, 0, -1
     while True:
@@ -91,7 +93,8 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, percent: int = TAKE_PERCENT,
     u, whole = unit(F.concat_ws("\x01", F.lit(seed), *block)), F.floor("rate")
     p = F.col("rate") - whole
     extra = F.floor(u + k * p) - F.floor(u + (k - 1) * p)
-    return rows.withColumn("copies", (whole + extra).cast("long")).drop("_source", "_blocks", "_block", "_tie")
+    out = rows.withColumn("copies", (whole + extra).cast("long")).drop("_source", "_blocks", "_block", "_tie")
+    return fewer_files(out)
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
