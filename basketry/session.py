@@ -68,8 +68,9 @@ def own_session(spark: SparkSession) -> SparkSession:
     The caller's settings stay as they are.
     """
     own = spark.newSession()
+    given = own.conf.getAll  # from the context's configuration
     for k, v in spark.conf.getAll.items():
-        if spark.conf.isModifiable(k) or not k.startswith("spark."):
+        if given.get(k) != v and (spark.conf.isModifiable(k) or not k.startswith("spark.")):
             own.conf.set(k, v)
     apply_sql_defaults(own)
     return own
