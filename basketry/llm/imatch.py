@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpointed, gathered
+
 #: Least and largest share of the documents that hold a lexicon term (and at least two documents).
 MIN_SHARE, MAX_SHARE = 0.001, 0.1
 #: One random subset for each entry r, holding a share 2**-r of the lexicon.
@@ -38,8 +40,8 @@ def terms(text: Column) -> Column:
 
 
 def _split_terms(text: Column) -> Column:
-    """As above but for one possible empty string, which the lexicon never holds."""
-    return F.array_distinct(F.split(F.lower(text), _TERM))
+    """As above and the empty string, which stands for the text itself and is in no lexicon."""
+    return F.array_distinct(F.concat(F.split(F.lower(text), _TERM), F.array(F.lit(""))))
 
 
 def lexicon(texts: DataFrame, min_share: float = MIN_SHARE, max_share: float = MAX_SHARE) -> DataFrame:
@@ -153,7 +155,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     other columns are left behind.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    words = lexicon(docs).checkpoint()
+    # the empty string joins, too, so that no text is lost; it carries what is known of the text
+    mark = docs.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("term"), F.lit(None).cast("long").alias("subsets"))
+    words = checkpointed(lexicon(docs).unionByName(mark))
     if words.count() <= BROADCAST_TERMS:
         words = F.broadcast(words)
     rows = with_next_text(docs)
@@ -162,19 +166,21 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t")), F.struct(F.lit(1).alias("side"), F.col("edit").alias("t"))))
     own = ("bucket", "_row", "ghost", "doc_id", "tie", F.length("text").cast("long").alias("n_chars"))
     two = rows.select(*own, F.unhex(F.sha2("edit", 256)).alias("sha"), F.xxhash64("edit").alias("edit_tie"), sides.alias("s"))
-    each = two.select("bucket", "_row", "ghost", "doc_id", "tie", "n_chars", "sha", "edit_tie", "s.side", F.explode(_split_terms(F.col("s.t"))).alias("_t"))
-    # an empty string is among the terms of every text that has none: no row is lost, and it is in no lexicon
-    hit = each.withColumn("term", F.xxhash64("_t")).drop("_t").join(words, "term", "left")
+    known = ("ghost", "doc_id", "tie", "n_chars", "sha", "edit_tie")
+    each = two.select("bucket", "_row", *known, "s.side", F.explode(_split_terms(F.col("s.t"))).alias("_t"))
+    own = F.col("_t") == ""
+    each = each.select("bucket", "_row", "side", F.xxhash64("_t").alias("term"), *[F.when(own, F.col(c)).alias(c) for c in known])
+    hit = each.join(words, "term")
     entry = F.struct("term", "subsets")
     keep = F.col("subsets").isNotNull()
     got = hit.groupBy("bucket", "_row").agg(
-        *[F.first(c).alias(c) for c in ("ghost", "doc_id", "tie", "n_chars", "sha", "edit_tie")],
+        *[F.first(c, ignorenulls=True).alias(c) for c in known],
         F.sort_array(F.collect_list(F.when(keep & (F.col("side") == 0), entry))).alias("found"),
         F.sort_array(F.collect_list(F.when(keep & (F.col("side") == 1), entry))).alias("edit_found"),
     )
     got = got.select("bucket", "ghost", "doc_id", "tie", "n_chars", "sha", parts(F.col("found"), F.col("tie")).alias("p"), parts(F.col("edit_found"), F.col("edit_tie")).alias("e"))
     got = got.withColumn("_next", F.when(F.col("doc_id").isNotNull(), F.lead("p").over(_in_order()))).where("ghost = 0")
-    return got.select(
+    out = got.select(
         "doc_id",
         "n_chars",
         F.lower(F.hex("sha")).alias("edited_sha256"),
@@ -183,3 +189,4 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         likeness(F.col("p"), F.col("e")).alias("near_edited"),
         likeness(F.col("p"), F.col("_next")).alias("near_next"),
     )
+    return gathered(out)
