@@ -44,7 +44,7 @@ LENGTH, GRAM = 200, 64
 #: Suffix tuples that a task sorts at once; a larger shard goes through the queue on disk.
 CHUNK = 32_768
 #: Bytes of a text that are hashed at once (a longer text is cut into overlapping pieces).
-PIECE = 1_000_000
+PIECE = 400_000
 #: Documents (ids) that are broadcast to pick out texts; beyond, texts are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 _U = np.uint64
