@@ -41,16 +41,22 @@ def byte_letters() -> list[str]:
     return letters
 
 
+def is_plain(spec: dict) -> bool:
+    """Whether a tokenizers .json is byte-level BPE without normalizer, prefix space or shortcuts."""
+    pre, model = spec["pre_tokenizer"], spec["model"]
+    plain = model["type"] == "BPE" and pre and pre["type"] == "ByteLevel" and not pre["add_prefix_space"] and pre["use_regex"]
+    return bool(plain and not spec["normalizer"] and not model.get("ignore_merges") and not model.get("dropout"))
+
+
 class Vocabulary:
     """Ids, sorted pair keys and token bytes of a tokenizers .json file of byte-level BPE."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        pre, model = spec["pre_tokenizer"], spec["model"]
-        plain = model["type"] == "BPE" and pre and pre["type"] == "ByteLevel" and not pre["add_prefix_space"] and pre["use_regex"]
-        if not plain or spec["normalizer"] or model.get("ignore_merges"):
+        if not is_plain(spec):
             raise ValueError(f"not a plain byte-level BPE vocabulary: {path}")
+        model = spec["model"]
         ids = model["vocab"]
         letters = byte_letters()
         byte_of = {c: b for b, c in enumerate(letters)}
@@ -197,7 +203,7 @@ def encode(docs: DataFrame, path: str, column: str = "text", to: str = "ids") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(vocabulary(path))
         for whole in batches:
-            for b in text_slices(whole, 1_000_000, column):
+            for b in text_slices(whole, column=column):
                 ids, counts = enc.encode(strings(b.column(b.schema.get_field_index(column))))
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(ids, pa.int32()))
                 names = [f.name for f in keep]

@@ -33,16 +33,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def fewer_files(df: DataFrame) -> DataFrame:
-    """``df`` in at most four partitions a core, for what is written: no shuffle, but fewer and larger files."""
-    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+def fewer_files(df: DataFrame, waves: int = 1) -> DataFrame:
+    """``df`` in at most ``waves`` partitions a core, for what is written by a light last stage: no shuffle, fewer and larger files."""
+    return df.coalesce(waves * df.sparkSession.sparkContext.defaultParallelism)
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """``df`` dealt evenly to one partition a core: a heavy last stage keeps its many tasks, its (smaller) rows go to few files."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` in the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    fewer_files(df).write.parquet(path)
+    gathered(df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -397,4 +397,4 @@ def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     keep = near_duplicates(docs, words, percent).where("kept and doc_id is not null").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi")
     one = named.groupBy("doc_id").agg(F.min(F.struct(*[c for c in cols if c != "doc_id"])).alias("row")).select("doc_id", "row.*")
-    return fewer_files(one.select(cols).unionByName(docs.where("doc_id is null")))
+    return fewer_files(one.select(cols).unionByName(docs.where("doc_id is null")), 2)

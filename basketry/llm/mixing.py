@@ -94,7 +94,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, percent: int = TAKE_PERCENT,
     p = F.col("rate") - whole
     extra = F.floor(u + k * p) - F.floor(u + (k - 1) * p)
     out = rows.withColumn("copies", (whole + extra).cast("long")).drop("_source", "_blocks", "_block", "_tie")
-    return fewer_files(out)
+    return fewer_files(out, 2)
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:

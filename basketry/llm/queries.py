@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, table
+from .common import gathered, prepare, table
 
 
 def op1_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def op4_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pu_quality import quality
 
     prepare(spark)
-    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return gathered(quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,13 +42,13 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import joined, scan
 
     docs = table(prepare(spark), sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = scan(docs)
+    found = scan(docs).drop("text")
 
     def n(kind: str):
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     digest = F.sha2(joined("spans", base_only=True), 256).alias("base_sha256")
-    return found.select("doc_id", n("assign"), n("access"), n("hex"), digest, joined("spans").alias("spans"), n("entropy"))
+    return gathered(found).select("doc_id", n("assign"), n("access"), n("hex"), digest, joined("spans").alias("spans"), n("entropy"))
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
     prepare(spark)
-    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return gathered(toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 def op8_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +82,8 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = decode(encode(docs, path).drop("text"), path)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    digests = rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return gathered(digests)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +91,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import without_repeats
 
     rows = without_repeats(table(prepare(spark), sf_dir, "documents"))
-    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return gathered(rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")))
 
 
 def tokenizer(name: str) -> str:

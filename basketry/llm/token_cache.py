@@ -13,14 +13,17 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, strings, text_slices, texts, written
+from . import bpe
+from .common import fewer_files, gathered, scratch_path, strings, text_slices, texts, written
 
 SCHEMA = "content_digest string, tokenizer_digest string, n_tokens long"
 
@@ -58,10 +61,58 @@ def normalise(path: str, values: list[str]) -> list[str]:
 
 
 def count_tokens(path: str, values: list[str]) -> list[int]:
+    """Tokens of each text, as the library counts them."""
     t = _tokenizer(path)
     if path.endswith(".model"):
         return [len(x) for x in t.encode(values, add_bos=False, add_eos=False, num_threads=1)]
-    return [len(x) for x in t.encode_batch_fast(values, add_special_tokens=False)]
+    words = _word_counts(path)
+    if words is None:
+        return [len(x) for x in t.encode_batch_fast(values, add_special_tokens=False)]
+    return words.count(values)
+
+
+@functools.cache
+def _word_counts(path: str) -> WordCounts | None:
+    """For plain byte-level BPE, where words are encoded one by one; None for other tokenizers."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return WordCounts(path, spec) if bpe.is_plain(spec) else None
+
+
+class WordCounts:
+    """Library counts of distinct words, added up over texts.
+
+    A text is the sequence of its words, and no token crosses a word's end, so
+    the library sees each distinct word once.  Texts with special strings or
+    letters beyond U+2FFF (whose classes depend on the Unicode version) go to
+    the library whole.
+    """
+
+    def __init__(self, path: str, spec: dict, store_words: int = bpe.STORE_WORDS):
+        self.path, self.store_words = path, store_words
+        self.words = regex.compile(bpe.PATTERN)
+        special = [regex.escape(t["content"]) for t in spec["added_tokens"]]
+        self.whole = regex.compile("|".join([r"[^\x00-\u2fff]", *special]))
+        self.stored: dict[str, int] = {}
+
+    def _library(self, values: list[str]) -> list[int]:
+        return [len(x) for x in _tokenizer(self.path).encode_batch_fast(values, add_special_tokens=False)]
+
+    def count(self, values: list[str]) -> list[int]:
+        if len(self.stored) > self.store_words:
+            self.stored = {}
+        out = [0] * len(values)
+        whole = [i for i, v in enumerate(values) if self.whole.search(v)]
+        for i, n in zip(whole, self._library([values[i] for i in whole])):
+            out[i] = n
+        rest = set(range(len(values))).difference(whole)
+        cut = {i: self.words.findall(values[i]) for i in rest}
+        new = list({w for words in cut.values() for w in words} - self.stored.keys())
+        self.stored.update(zip(new, self._library(new)))
+        get = self.stored.__getitem__
+        for i, words in cut.items():
+            out[i] = sum(map(get, words))
+        return out
 
 
 def _digests(docs: DataFrame, path: str) -> DataFrame:
@@ -87,7 +138,7 @@ def encode_misses(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in text_slices(whole, 1_000_000):
+            for b in text_slices(whole):
                 counts = count_tokens(path, strings(b.column(0)))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(1), pa.array([version] * len(counts)), pa.array(counts, pa.int64())],
@@ -128,12 +179,12 @@ def token_counts(docs: DataFrame, path: str, cache: str | None = None, limit: in
         unnamed = docs.where("doc_id is null").withColumn("content_digest", F.sha2(F.col("text").cast("binary"), 256))
         unnamed = unnamed.join(missing.where("doc_id is null").select("content_digest"), "content_digest", "left_semi")
         rows = rows.select("text", "content_digest").unionByName(unnamed.select("text", "content_digest"))
-        encode_misses(rows, path).write.mode("append").parquet(cache)
+        gathered(encode_misses(rows, path)).write.mode("append").parquet(cache)
     else:
         _append_normalised(docs, missing, path, cache)
     # written first, so that the join can split a content with very many copies
     out = digests.join(written(stored(), "counts"), "content_digest")
-    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return fewer_files(out).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def _append_normalised(docs: DataFrame, missing: DataFrame, path: str, cache: str) -> None:
@@ -142,7 +193,7 @@ def _append_normalised(docs: DataFrame, missing: DataFrame, path: str, cache: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in text_slices(whole, 1_000_000):
+            for b in text_slices(whole):
                 values = strings(b.column(0))
                 digests = [hashlib.sha256(x.encode()).hexdigest() for x in normalise(path, values)]
                 yield pa.RecordBatch.from_arrays(
@@ -153,4 +204,4 @@ def _append_normalised(docs: DataFrame, missing: DataFrame, path: str, cache: st
     ids = missing.select("doc_id").distinct()
     rows = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
     found = rows.select("text").mapInArrow(run, SCHEMA).join(missing.select("content_digest"), "content_digest", "left_semi")
-    found.select("content_digest", "tokenizer_digest", "n_tokens").write.mode("append").parquet(cache)
+    gathered(found.select("content_digest", "tokenizer_digest", "n_tokens")).write.mode("append").parquet(cache)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm.common import prepare, table, written
+from basketry.llm.common import fewer_files, prepare, table, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,7 +17,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     from basketry.llm.pu_quality import accepted
 
     prepare(spark)
-    return accepted(docs, table(spark, sf_dir, "labels"))
+    return fewer_files(accepted(docs, table(spark, sf_dir, "labels")), 2)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     from basketry.llm.secrets import redacted
 
     prepare(spark)
-    return redacted(docs)
+    return fewer_files(redacted(docs), 2)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     from basketry.llm.queries import tokenizer
 
     prepare(spark)
-    rows = encode(docs, tokenizer("byte_bpe_50k.json")).drop("text")
+    rows = fewer_files(encode(docs, tokenizer("byte_bpe_50k.json")).drop("text"), 2)
     return rows.withColumn("n_tokens", F.size("ids").cast("long"))
 
 

@@ -132,3 +132,16 @@ def test_normalised_contents_share_a_count(spark, tmp_path):
     cache = str(tmp_path / "cache")
     C.token_counts(spark.createDataFrame([row(1, "Some Text"), row(2, "some text")], SCHEMA), public_tokenizers.path("word_bpe_49k.json"), cache).collect()
     assert spark.read.parquet(cache).count() == 1
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.characters(exclude_categories=["Cs"]), max_size=60), min_size=1, max_size=4))
+def test_word_counts_equal_the_library(texts):
+    assert C.count_tokens(PATH, texts) == [len(ids(t)) for t in texts]
+
+
+def test_word_counts_on_odd_texts():
+    assert C.count_tokens(PATH, ODD) == [len(ids(t)) for t in ODD]
+    counts = C.WordCounts(PATH, {"added_tokens": []}, store_words=2)
+    plain = [t for t in ODD if "<|" not in t]
+    assert [counts.count([t])[0] for t in plain * 2] == [len(ids(t)) for t in plain * 2]
