@@ -43,11 +43,14 @@ def gathered(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` in the shared folder and read it back: cuts the lineage, survives lost executors."""
+def written(df: DataFrame, name: str, large: bool = False) -> DataFrame:
+    """Write ``df`` in the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    ``large`` tables are written by the tasks that make them, without another shuffle.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    gathered(df).write.parquet(path)
+    (fewer_files(df, 4) if large else gathered(df)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

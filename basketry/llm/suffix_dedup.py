@@ -438,9 +438,9 @@ def repeated_starts(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     found = segments(docs)
     # written first: next to a plain exchange, the join can split a k-gram with very many segments
     twice = written(found.groupBy("gram").count().where("count > 1").select("gram"), "grams")
-    found = written(found.join(twice, "gram"), "segments")
+    found = written(found.join(twice, "gram"), "segments", large=True)
     at = F.struct("id", "h", "start", "n", "anchor")
-    classes = written(found.groupBy("gram", "digest").agg(F.count("*").alias("copies"), F.min(at).alias("at")), "classes")
+    classes = written(found.groupBy("gram", "digest").agg(F.count("*").alias("copies"), F.min(at).alias("at")), "classes", large=True)
     folder = scratch_path(docs.sparkSession, "queue")
     runs = written(repeats(tuples(docs, classes), folder, chunk), "repeats")
     hit = found.join(runs, ["gram", "digest"])
