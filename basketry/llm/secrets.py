@@ -53,7 +53,8 @@ class EntropyRules:
             r"[A-Za-z]+",
             r"[0-9+/_-]+",
             r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
-            r"/?([A-Za-z]*[0-9]{0,4}[/_-]+)*[A-Za-z]*[0-9]{0,4}/?",
+            # one way to match: each repeat starts with its separator, so a failure costs linear time
+            r"[A-Za-z]*[0-9]{0,4}([/_-][A-Za-z]*[0-9]{0,4})*",
         )
     )
 

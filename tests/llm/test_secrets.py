@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import time
 from collections import Counter
 
 from basketry.llm import queries
@@ -102,3 +103,27 @@ def test_clean_documents_are_left_alone(spark):
     rows = [row(i, words(200, i)) for i in range(20)]
     out = X.scan(spark.createDataFrame(rows, SCHEMA))
     assert all(r.spans == [] for r in out.collect())
+
+
+def test_allow_list_takes_linear_time():
+    """Rulers and boundaries whose candidate matches no allow pattern in the end."""
+    slug = re.compile(X.EntropyRules().allow[-1])
+    for t in ("-" * 24 + "==", "-" * 25 + "7d81b51112482", "a-/_" * 6 + "=="):
+        began = time.monotonic()
+        assert not slug.fullmatch(t)
+        assert time.monotonic() - began < 1, t
+    scan = X.Scanner()
+    began = time.monotonic()
+    for t in ("-" * 40 + "==", "_/" * 20_000 + "+", "ab12-" * 10_000 + "12345="):
+        scan.spans(t)
+    assert time.monotonic() - began < 20
+
+
+def test_slugs_are_the_same_as_before():
+    old = re.compile(r"/?([A-Za-z]*[0-9]{0,4}[/_-]+)*[A-Za-z]*[0-9]{0,4}/?")
+    new = re.compile(X.EntropyRules().allow[-1])
+    r = random.Random(3)
+    texts = ["".join(r.choices("aZ09/_-+=", weights=(4, 2, 4, 3, 2, 1, 2, 0.2, 0.2), k=r.randint(0, 14))) for _ in range(20_000)]
+    same = [bool(old.fullmatch(t)) for t in texts]
+    assert 2000 < sum(same) < 18_000
+    assert [bool(new.fullmatch(t)) for t in texts] == same
