@@ -2,14 +2,16 @@
 
 Base spans come from three patterns (assignments, access key ids, long hex
 strings).  The entropy scan adds spans: candidates are runs of one character
-class (hex digits; letters, digits and ``+/_-``); a window slides over each
-candidate, its Shannon entropy kept up to date from the counts of the two
-characters that change, and a candidate with a window over its class's
-threshold is a secret unless the allow-list knows it.
+class (hex digits; letters, digits and ``+/_-``), without what spans found
+before cover; a window slides over each piece that is left, its Shannon entropy
+kept up to date from the counts of the two characters that change, and a piece
+with a window over its class's threshold is a secret unless the allow-list
+knows it.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections.abc import Iterator
@@ -105,6 +107,29 @@ def _has_hex(text: str) -> bool:
     return _LONG_HEX.search(text) is not None
 
 
+def _merged(spans: list[tuple]) -> list[tuple[int, int]]:
+    """Disjoint (start, end) of what the spans cover, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b, *_ in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _uncovered(a: int, b: int, covered: list[tuple[int, int]], least: int) -> Iterator[tuple[int, int]]:
+    """Pieces of [a, b) of at least ``least`` characters outside the disjoint, ordered spans ``covered``."""
+    at = bisect.bisect_right(covered, a, key=lambda s: s[1])
+    while at < len(covered) and covered[at][0] < b:
+        if covered[at][0] - a >= least:
+            yield a, covered[at][0]
+        a = covered[at][1]
+        at += 1
+    if b - a >= least:
+        yield a, b
+
+
 class Scanner:
     """Finds the spans of one text."""
 
@@ -113,17 +138,18 @@ class Scanner:
         self.allow = [re.compile(p) for p in rules.allow]
 
     def entropy_spans(self, text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Candidates over their threshold that touch no taken span and no earlier candidate."""
-        taken, found = sorted(taken), []
+        """Candidates over their threshold, without what taken spans and earlier candidates cover."""
+        covered, found = _merged(taken), []
         for c, pattern in self.classes:
+            new = []
             for m in pattern.finditer(text):
-                a, b = m.span()
-                if any(x < b and a < y for x, y, _ in taken) or any(x < b and a < y for x, y, _ in found):
-                    continue
-                if any(p.fullmatch(m[0]) for p in self.allow):
-                    continue
-                if window_entropy(m[0], c.window) >= c.bits:
-                    found.append((a, b, 3))
+                for a, b in _uncovered(m.start(), m.end(), covered, min(c.window, len(m[0]))):
+                    if any(p.fullmatch(text[a:b]) for p in self.allow):
+                        continue
+                    if window_entropy(text[a:b], c.window) >= c.bits:
+                        new.append((a, b, 3))
+            found += new
+            covered = _merged([*covered, *new])
         return found
 
     def spans(self, text: str) -> tuple[list, list]:

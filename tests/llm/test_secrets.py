@@ -127,3 +127,32 @@ def test_slugs_are_the_same_as_before():
     same = [bool(old.fullmatch(t)) for t in texts]
     assert 2000 < sum(same) < 18_000
     assert [bool(new.fullmatch(t)) for t in texts] == same
+
+
+def test_only_the_covered_part_of_a_candidate_is_left_out():
+    sha, token, upper = "3f786850e387550fdab836ed7e6dc881de23001b", "Zx9Kq2LmT8vRw4Yp7NsB", "0A1B2C3D4E5F6A7B8C9D"
+    scan = X.Scanner()
+
+    def cut(t):
+        return [(X.KINDS[k], t[a:b]) for a, b, k in scan.spans(t)[1]]
+
+    assert cut(f"/download/{sha}/{token}") == [("hex", sha), ("entropy", f"/{token}")]
+    # upper case: no base span, but an earlier candidate of the hex class
+    assert cut(f"/download/{sha.upper()}/{token}") == [("entropy", sha.upper()), ("entropy", f"/{token}")]
+    # a hex key of mixed case: the base span has its lower-case part
+    assert cut(f"{upper}9F{sha}") == [("entropy", f"{upper}9F"), ("hex", sha)]
+    assert cut(f"{token}/AKIA{'Q7' * 8}/{token}") == [("entropy", f"{token}/"), ("access", f"AKIA{'Q7' * 8}"), ("entropy", f"/{token}")]
+    # what is left is allowed, or shorter than a window
+    assert cut(f"/path/of/some/plain/words/{sha}/more/plain/words/here") == [("hex", sha)]
+    assert cut(f"{token[:19]}/{sha}") != [] and cut(f"{token[:18]}/{sha}") == [("hex", sha)]
+    assert X.replace(f"/download/{sha}/{token}", scan.spans(f"/download/{sha}/{token}")[1], "#") == "/download/##"
+
+
+def test_pieces_against_marked_characters():
+    r = random.Random(5)
+    for _ in range(500):
+        spans = [(a, a + r.randint(1, 8), 0) for a in r.choices(range(60), k=r.randint(0, 6))]
+        a, b = sorted(r.sample(range(70), 2))
+        free = "".join("." if any(x <= i < y for x, y, _ in spans) else "x" for i in range(a, b))
+        want = [(a + m.start(), a + m.end()) for m in re.finditer("x+", free) if len(m[0]) >= 3]
+        assert list(X._uncovered(a, b, X._merged(spans), 3)) == want
