@@ -3,7 +3,8 @@
 1. Equal vectors form one class; classes are dealt to overlapping cluster
    shards: k-means fitted on a bounded sample, each class going to its nearest
    clusters.  A shard with too many rows is split again; one that no split
-   makes smaller (a ball of near copies) is cut into blocks.
+   makes smaller (a ball of near copies) is cut into blocks, and each block is
+   searched for the rows of one block at a time.
 2. Each shard builds a graph of its members: candidates are the nearest members
    and some random ones, pruned by the robust rule (a candidate goes if a kept
    neighbour is alpha times nearer to it than the node is), with back edges.
@@ -274,9 +275,10 @@ def _graphs(rows: DataFrame) -> DataFrame:
 
 
 def _found(rows: DataFrame, threshold: float) -> DataFrame:
-    """(id, n, root): per class and shard the links found there first, and the smallest id they join it to.
+    """(id, n, root): per class and search the links found there first, and the smallest id they join it to.
 
-    rows: (shard, block, member, id, copies, v, shards, links).
+    rows: (shard, block, part, member, query, id, copies, v, shards, links).
+    Every class comes as often as it is a query, and where it is joined to another.
     """
 
     def run(t: pa.Table) -> pa.Table:
@@ -292,7 +294,8 @@ def _found(rows: DataFrame, threshold: float) -> DataFrame:
         start = medoid(x)
         links = _reachable(x, links)
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for q in range(len(ids)):
+        query = t.column("query").to_numpy(zero_copy_only=False)
+        for q in np.flatnonzero(query):
             hit = member[search(x, links, start, v[q], threshold)]
             hit = hit[hit != q]
             # a pair is counted in the first shard that both are in
@@ -310,9 +313,10 @@ def _found(rows: DataFrame, threshold: float) -> DataFrame:
             if (low == root).all():
                 break
             root = low
-        return pa.table({"id": ids, "n": np.bincount(a, copies[b], len(ids)).astype(np.int64), "root": ids[root]})
+        out = pa.table({"id": ids, "n": np.bincount(a, copies[b], len(ids)).astype(np.int64), "root": ids[root]})
+        return out.filter(pa.array(query | (root != np.arange(len(ids)))))
 
-    return rows.groupBy("shard", "block").applyInArrow(run, "id long, n long, root long")
+    return rows.groupBy("shard", "block", "part").applyInArrow(run, "id long, n long, root long")
 
 
 def _audit(rows: DataFrame, found: DataFrame, threshold: float, audit_rows: int) -> float:
@@ -376,6 +380,17 @@ def _links(rows: DataFrame, threshold: float, overlap: int, shard_rows: int) ->
     homes = dealt.groupBy("id").agg(F.collect_set("shard").alias("shards"))
     dealt = written(dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("g")).cast("int")), "dealt")
     lists = written(_graphs(dealt.select("shard", "block", "id", "v")), "graph")
-    at = dealt.withColumnRenamed("block", "own").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    at = at.withColumn("member", F.col("own") == F.col("block"))
-    return _found(at.join(homes, "id").join(lists, "id").select("shard", "block", "member", "id", "copies", "v", "shards", "links"), threshold)
+    return _found(_searches(dealt.join(homes, "id").join(lists, "id")), threshold)
+
+
+def _searches(dealt: DataFrame) -> DataFrame:
+    """The rows of each search: (shard, block, part) has the members of a block, and as queries the rows of block ``part``.
+
+    A shard of g blocks has g * g searches of about two blocks each, so that no
+    task holds more of it, whatever its size.  Queries come without links.
+    """
+    own, each = F.col("own"), F.sequence(F.lit(0), F.col("g") - 1)
+    as_member = F.transform(each, lambda p: F.struct(F.col("own").alias("block"), p.alias("part"), F.lit(True).alias("member"), (p == own).alias("query")))
+    as_query = F.transform(F.filter(each, lambda b: b != own), lambda b: F.struct(b.alias("block"), F.col("own").alias("part"), F.lit(False).alias("member"), F.lit(True).alias("query")))
+    at = dealt.withColumnRenamed("block", "own").withColumn("at", F.explode(F.concat(as_member, as_query)))
+    return at.select("shard", "at.*", "id", "copies", "v", "shards", F.when(F.col("at.member"), F.col("links")).alias("links"))

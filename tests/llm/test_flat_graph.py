@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from basketry.llm import flat_graph as X
 from basketry.llm import queries
@@ -137,3 +138,29 @@ def test_a_low_recall_raises_the_overlap(spark, monkeypatch):
     got = X.linked(frame(spark, range(900), v), overlap=1, shard_rows=90).collect()
     check(got, brute(list(range(900)), v), least=0.95)
     assert seen[0] == 1 and len(seen) > 1
+
+
+def test_no_search_holds_a_whole_ball(spark, monkeypatch):
+    """A ball of distinct near copies in one shard of ten blocks: queries are cut into blocks like members."""
+    sizes = []
+    real = X._found
+
+    def seen(rows, threshold):
+        keys = [c for c in ("shard", "block", "part") if c in rows.columns]
+        sizes.extend(r["count"] for r in rows.groupBy(*keys).count().collect())
+        return real(rows, threshold)
+
+    monkeypatch.setattr(X, "_found", seen)
+    monkeypatch.setattr(X, "shards", lambda rows, overlap, shard_rows: rows.withColumn("shard", F.lit("0")).withColumn("g", F.lit(10)))
+    v = planted(600, (560, 20), seed=11, noise=0.05)
+    heads, _ = X.classes(X.units(frame(spark, range(600), v).select("vec_id", "embedding")))
+    got = X._links(heads, 0.9, 4, 60).collect()
+    want = brute(list(range(600)), v)
+    n = dict.fromkeys(want, 0)
+    for r in got:
+        n[r.id] += r.n
+        assert want[r.id][1] == want[r.root][1]
+    assert all(n[i] <= m for i, (m, _) in want.items())
+    assert sum(n.values()) >= 0.98 * sum(m for m, _ in want.values())
+    # two blocks, which vary about their mean
+    assert max(sizes) <= 3 * 60
