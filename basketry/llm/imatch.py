@@ -5,8 +5,9 @@ stood for by its 64-bit hash.  The lexicon holds the terms whose document
 frequency lies in a band (neither common nor rare: a band of inverse document
 frequencies).  A fingerprint has one part per lexicon subset: the hash of the
 text's sorted terms of that subset, empty if it has none.  Subsets are random
-and of several rates (a half of the lexicon down to one in 256), so that texts
-of any length have parts with few terms, which a small edit leaves alone.
+and of several rates (a quarter of the lexicon down to one in 1024), so that
+long texts have parts with few terms, which a small edit leaves alone.  A text
+with no term in any subset is stood for by its whole text.
 
 The successor of each document in id order comes from one shuffle: rows are
 dealt to buckets of id ranges, and the first row of each bucket is also sent,
@@ -64,7 +65,7 @@ def lexicon(texts: DataFrame, min_share: float = MIN_SHARE, max_share: float = M
 def parts(found: Column, fallback: Column) -> Column:
     """Array of the fingerprint's parts from the sorted lexicon terms found (structs of term and subsets).
 
-    A text without a lexicon term has the hash of its whole text as first part.
+    A text without a lexicon term in any subset has the hash of its whole text as first part.
     """
 
     def part(bit: int) -> Column:
@@ -73,7 +74,7 @@ def parts(found: Column, fallback: Column) -> Column:
 
     each = [part(1 << j) for j in range(len(RATES))]
     whole = [F.concat(F.lit("text:"), F.hex(fallback)), *[F.lit("")] * (len(each) - 1)]
-    return F.when(F.size(found) > 0, F.array(*each)).otherwise(F.array(*whole))
+    return F.when(F.exists(found, lambda t: t["subsets"] != 0), F.array(*each)).otherwise(F.array(*whole))
 
 
 def likeness(a: Column, b: Column) -> Column:

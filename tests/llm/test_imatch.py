@@ -97,3 +97,18 @@ def test_lexicon_band_counts_every_document(spark):
 def test_terms(spark):
     df = spark.createDataFrame([("Ab ab, Ça-va 12",), ("",), ("!!",)], "text string")
     assert [sorted(r.t) for r in df.select(X.terms(df.text).alias("t")).collect()] == [["12", "ab", "va", "ça"], [], []]
+
+
+def test_texts_without_a_term_in_any_subset_have_a_part(spark):
+    """Lexicon terms alone give no part: equal texts are alike, unrelated ones are not."""
+    pairs = [f"pair{k} only{k}" for k in range(60)]
+    rows = [row(2 * k + j, t) for k, t in enumerate(pairs) for j in (0, 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    blank = X.lexicon(docs.select("text")).where("subsets = 0").count()
+    assert blank > 20
+    got = {r.doc_id: r for r in X.fingerprints(docs).collect()}
+    assert all(set(r.fingerprint) != {"."} and set(r.edited_fingerprint) != {"."} for r in got.values())
+    for k in range(60):
+        assert got[2 * k].fingerprint == got[2 * k + 1].fingerprint and got[2 * k].near_next == 1.0
+    whole = [got[2 * k].fingerprint for k in range(60) if got[2 * k].fingerprint.startswith("text:")]
+    assert len(whole) >= 5 and len(set(whole)) == len(whole)
