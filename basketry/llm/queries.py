@@ -1,4 +1,4 @@
-"""The registered queries op1 to op10: each operator over its whole table."""
+"""The registered queries op1 to op13: each operator over its whole table."""
 
 from __future__ import annotations
 
@@ -94,6 +94,28 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gathered(rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")))
 
 
+def op11_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents without those of repeated 35-word windows."""
+    from .recompression import without_repeats
+
+    rows = without_repeats(table(prepare(spark), sf_dir, "documents"))
+    return gathered(rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    from .prefix_trie import trie
+
+    return trie(table(prepare(spark), sf_dir, "conversations")).drop("k1", "k2")
+
+
+def op13_orchard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all embeddings by product quantisation with Orchard search."""
+    from .orchard import vector_codes
+
+    return vector_codes(table(prepare(spark), sf_dir, "embeddings")).drop("label")
+
+
 def tokenizer(name: str) -> str:
     import public_tokenizers
 

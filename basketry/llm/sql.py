@@ -117,7 +117,103 @@ SELECT t.doc_id, CAST(len(t.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed
 FROM texts t LEFT JOIN total USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+OP11 = rf"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM texts WHERE len(w) >= 35),
+windows AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 34], ' ')) AS h FROM starts),
+twice AS (SELECT doc_id, i FROM windows WHERE h IN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1)),
+marked AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 35 THEN 0 ELSE 1 END AS new FROM twice),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+runs AS (SELECT doc_id, run, min(i) AS a, max(i) + 34 AS b FROM numbered GROUP BY doc_id, run),
+gone AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM runs),
+each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM texts),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS words FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+total AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept USING (doc_id) LEFT JOIN total USING (doc_id)
+"""
+
+#: crc32 of a number's decimal digits, bit by bit (the polynomial 0xEDB88320).
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda ch: CAST(ord(ch) AS BIGINT))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+OP12 = rf"""
+WITH turns AS (
+  SELECT conv_id, coalesce(text, '') AS text, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS h,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+convs AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {_CRC32.format("conv_id")} % 4 AS take FROM (SELECT DISTINCT conv_id FROM turns)),
+based AS (SELECT c.*, least(take, (SELECT count(*) FROM turns t WHERE t.conv_id = c.base)) AS taken FROM convs c),
+rebuilt AS (
+  SELECT c.conv_id, t.pos, h, text FROM based c JOIN turns t ON t.conv_id = c.base AND t.pos <= c.take
+  UNION ALL
+  SELECT c.conv_id, t.pos - take + taken, h, text FROM based c JOIN turns t ON t.conv_id = c.conv_id AND t.pos > c.take
+),
+members AS (
+  SELECT conv_id, pos AS depth, string_agg(h, ',') OVER (PARTITION BY conv_id ORDER BY pos) AS node, len(regexp_extract_all(text, '{_WORD}')) AS words FROM rebuilt
+  UNION ALL
+  SELECT conv_id, 0, '', 0 FROM convs
+),
+linked AS (
+  SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS parent, lead(depth) OVER (PARTITION BY conv_id ORDER BY depth) IS NULL AS ends FROM members
+),
+nodes AS (
+  SELECT node, depth, any_value(parent) AS parent, any_value(words) AS words, min(conv_id) AS owner, count(*) AS n,
+         string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends) AS ends
+  FROM linked GROUP BY node, depth
+),
+children AS (SELECT parent AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY parent),
+full_nodes AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (node)),
+-- every node counts for all nodes on its owner's path down to it
+below AS (
+  SELECT m.node, sum((u.n - 1) * u.words) AS saved, sum(CASE WHEN u.n_children = 0 THEN 1 ELSE 0 END) AS leaves
+  FROM full_nodes u JOIN members m ON m.conv_id = u.owner AND m.depth <= u.depth GROUP BY m.node
+)
+SELECT v.owner AS conv_id, CAST(v.depth AS BIGINT) AS depth, p.owner AS parent_conv_id, CAST(v.n AS BIGINT) AS n_convs, CAST(v.n_children AS BIGINT) AS n_children,
+       CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM full_nodes v JOIN below USING (node) LEFT JOIN nodes p ON p.node = v.parent
+"""
+
+#: Parts to their nearest entry of the codebooks {0}; then the codebooks after a round.
+_ASSIGNED = """near{0} AS MATERIALIZED (
+  SELECT vec_id, copy, length, part, v, min({{'d': CAST(coalesce(list_sum(list_transform(range(1, len(v) + 1), lambda i: (v[i] - e[i]) * (v[i] - e[i]))), 0) AS BIGINT), 'entry': entry}}) AS best
+  FROM parts JOIN books{0} USING (length, part) GROUP BY vec_id, copy, length, part, v
+)"""
+_ROUND = (
+    _ASSIGNED
+    + """,
+sums{0} AS (
+  SELECT length, part, entry, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n
+  FROM (SELECT length, part, best.entry AS entry, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM near{0}) GROUP BY length, part, entry, i
+),
+moved{0} AS (SELECT length, part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS e FROM sums{0} GROUP BY length, part, entry),
+books{1} AS MATERIALIZED (SELECT length, part, entry, coalesce(m.e, b.e) AS e FROM books{0} b LEFT JOIN moved{0} m USING (length, part, entry))"""
+)
+
+OP13 = f"""
+WITH kept AS (
+  SELECT vec_id, label, row_number() OVER () AS copy, len(embedding) AS length, embedding,
+         list_transform(embedding, lambda x: CAST(greatest(least(floor(256 * CAST(x AS DOUBLE)), 67108864), -67108864) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+parts AS MATERIALIZED (SELECT vec_id, copy, length, part, v[part * length // 16 + 1 : (part + 1) * length // 16] AS v FROM kept, range(16) p(part)),
+firsts AS (SELECT copy, row_number() OVER (PARTITION BY length ORDER BY vec_id NULLS LAST, embedding) - 1 AS entry FROM kept),
+books0 AS MATERIALIZED (SELECT length, part, entry, v AS e FROM parts JOIN firsts USING (copy) WHERE entry < 64),
+{_ROUND.format(0, 1)},
+{_ROUND.format(1, 2)},
+{_ASSIGNED.format(2)},
+digests AS (
+  SELECT length, sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM books2 WHERE len(e) > 0 GROUP BY length
+),
+coded AS (
+  SELECT copy, length, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM near2 GROUP BY copy, length
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (copy, length) JOIN digests USING (length)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL per query key."""
-    return {"op1_hyperminhash": OP1, "op6_source_mix": OP6, "op8_flat_graph": OP8, "op10_suffix_dedup": OP10}
+    return {"op1_hyperminhash": OP1, "op6_source_mix": OP6, "op8_flat_graph": OP8, "op10_suffix_dedup": OP10, "op11_recompression": OP11, "op12_prefix_trie": OP12, "op13_orchard": OP13}
