@@ -114,7 +114,8 @@ def seeds(rows: DataFrame) -> Books:
     books: Books = {}
     for length in sorted(r[0] for r in rows.select("length").distinct().collect()):
         first = rows.where(F.col("length") == length).orderBy(F.col("vec_id").asc_nulls_last(), "embedding").limit(ENTRIES)
-        x = whole(np.array([r[0] for r in first.select("embedding").collect()], dtype=np.float64).reshape(-1, length))
+        got = first.select("embedding").collect()
+        x = whole(np.array([r[0] for r in got], dtype=np.float64).reshape(len(got), length))
         books[length] = [x[:, a:b] for a, b in cuts(length)]
     return books
 

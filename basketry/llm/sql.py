@@ -209,8 +209,8 @@ digests AS (
 coded AS (
   SELECT copy, length, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM near2 GROUP BY copy, length
 )
-SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
-FROM coded JOIN kept USING (copy, length) JOIN digests USING (length)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, coalesce(codebooks_sha256, sha256('')) AS codebooks_sha256
+FROM coded JOIN kept USING (copy, length) LEFT JOIN digests USING (length)
 """
 
 
