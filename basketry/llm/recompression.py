@@ -9,17 +9,22 @@ the same name, and a string has the same symbols wherever it stands, but for a
 few at its two ends: those that may have merged with what stands around it.
 
 A window is therefore described by its own words alone: each round takes off
-the end symbols that may have merged outwards, until nothing is left.  What was
-taken off, in order, names the window (equal windows and no others have equal
-names); the leftmost symbol of its last core, its highest symbol that every
-copy must share, is the anchor.
+the end symbols that may have merged outwards.  What was taken off, in order,
+and the core of high-level symbols that is left after ROUNDS rounds name the
+window (equal windows and no others have equal names).  All its copies share
+the core's symbols; the least run of GRAM of them by hash, some ten words, is
+the anchor.  (Where the core is used up before, as in long runs, the anchor is
+the leftmost symbol of the last core.)
 
 1. Consecutive windows with one anchor form a segment.  A Spark round counts
    anchors' names: segments whose anchor is nowhere else are done with.
 2. The next round names the segments left by their first and last window.  A
    segment that occurs twice is repeated as a whole.
-3. Where one anchor has different segments, one of each is cut into its
-   windows, and a last round counts the windows' names.
+3. Where one anchor has different segments, a round names what stands within
+   half a window before the anchor, and from it on: a window holds one of the
+   two, so only segments that share one with another are looked at further.
+4. Of those, one of each kind is cut into the windows that hold the shared
+   half, and a last round counts the windows' names.
 
 Symbols are 64 bits; a window is told by its name and its anchor's, 128 bits.
 No window looks beyond itself, so texts can be cut anywhere with LENGTH - 1
@@ -40,15 +45,17 @@ from .common import text_slices, utf8, written
 from .suffix_dedup import keyed
 
 LENGTH = 35
-#: Every RUN_EVERY-th round names runs first.
-RUN_EVERY = 3
+#: Rounds; every RUN_EVERY-th names runs first.  Symbols so made that an anchor holds.
+ROUNDS, RUN_EVERY, GRAM = 3, 4, 4
 #: Words that are compressed at once (more are cut into overlapping pieces); bytes of texts taken together.
 PIECE, PIECE_BYTES = 100_000, 400_000
 #: Documents (ids) that are broadcast to pick out texts; beyond, texts are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 WORD = r"[^\x20\x09-\x0D]+"
 _U = np.uint64
-_LEFT, _RIGHT, _RUN, _PAIR = (_U(x | 1) for x in (0x8F1BBCDCBFA53E0B, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
+_TOLD, _RUN, _PAIR = (_U(x) for x in (0x8F1BBCDCBFA53E0B, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
+#: Low bits of a hash that give way to a place.
+_PLACE = _U((1 << 20) - 1)
 
 
 def _named(a: np.ndarray, b: np.ndarray, kind: np.uint64) -> np.ndarray:
@@ -78,54 +85,88 @@ def _pairs(s: np.ndarray, nth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return out, np.cumsum(~second) - 1, first, right
 
 
-def windows(s: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _least(h: np.ndarray, left: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Place of the leftmost least of h[left : left + count] (count > 0), by least values of blocks of 1, 2, 4, ... places."""
+    tables = [(h & ~_PLACE) | np.arange(len(h), dtype=_U)]
+    while 2 ** len(tables) <= int(count.max(initial=1)):
+        half = 2 ** (len(tables) - 1)
+        tables.append(np.minimum(tables[-1][:-half], tables[-1][half:]))
+    out = np.zeros(len(left), _U)
+    power = np.frexp(count)[1] - 1
+    for k, table in enumerate(tables):
+        own = np.flatnonzero(power == k)
+        out[own] = np.minimum(table[left[own]], table[left[own] + count[own] - 2**k])
+    return (out & _PLACE).astype(np.int64)
+
+
+def windows(s: np.ndarray, length: int = LENGTH, rounds: int = ROUNDS, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor's name, anchor's place, window's name) of each window of ``length`` words, given the words' hashes."""
     n = max(len(s) - length + 1, 0)
     anchor, at, name = np.zeros(n, _U), np.zeros(n, np.int64), np.zeros(n, _U)
     live = np.arange(n)
     place = np.arange(len(s))  # of each symbol: its first word
-    left, right, told = live.copy(), live + length, np.zeros(n, _U)  # cores are [left, right)
-    nth = 0
+    left, right, told = live.copy(), live + length, np.full(n, _U(length))  # cores are [left, right)
 
     def settled(over: np.ndarray, core: np.ndarray) -> None:
-        """Windows whose core is used up: their anchor is the leftmost symbol of the core before."""
+        """Windows whose core is used up early: their anchor is the leftmost symbol of the core before."""
         done = live[over]
         anchor[done], at[done], name[done] = s[core[over]], place[core[over]], told[over]
 
-    while len(live):
+    for nth in range(rounds):
         if nth % RUN_EVERY == 0:
             t, to, first, size = _runs(s)
             i, j = to[left], to[right - 1]
             one = i == j
             head = np.minimum(first[i] + size[i], right) - left
             tail = np.where(one, 0, right - np.maximum(first[j], left))
-            told = flat.mix(_named(s[left], head.astype(_U), _LEFT) ^ told)
-            told = flat.mix(_named(np.where(one, _U(0), s[right - 1]), tail.astype(_U), _RIGHT) ^ told)
+            told = ((told * _TOLD + s[left]) * _TOLD + head.astype(_U)) * _TOLD
+            told = (told + np.where(one, _U(0), s[right - 1])) * _TOLD + tail.astype(_U)
             over = i + 1 >= j
-            settled(over, left)
-            go = ~over
-            live, left, right, told, s, place = live[go], i[go] + 1, j[go], told[go], t, place[first]
-            if not len(live):
-                break
+            left, right = _on(settled, over, left, i + 1, j)
+            live, told, s, place = live[~over], told[~over], t, place[first]
         t, to, first, second = _pairs(s, nth)
         off_left, off_right = second[left], ~second[right - 1]
-        told = flat.mix(np.where(off_left, s[left] * _LEFT, _U(1)) + told)
-        told = flat.mix(np.where(off_right, s[right - 1] * _RIGHT, _U(1)) + told)
+        told = told * _TOLD + np.where(off_left, s[left], _U(1))
+        told = told * _TOLD + np.where(off_right, s[right - 1], _U(1))
         i, j = left + off_left, right - off_right
         over = i >= j
-        settled(over, left)
-        go = ~over
-        live, left, right, told, s, place = live[go], to[i[go]], to[j[go] - 1] + 1, told[go], t, place[first]
-        nth += 1
-    return anchor, at, flat.mix(name + _U(length))
+        left, right = _on(settled, over, left, i, j)
+        left, right = to[left], to[right - 1] + 1
+        live, told, s, place = live[~over], told[~over], t, place[first]
+    if len(live):
+        # what is left of the core, in order; its least run of ``gram`` symbols (or all) is the anchor
+        p, inv = flat.powers(len(s))
+        sums = np.r_[_U(0), np.cumsum(s * p)]
+        told = told * _TOLD + flat.mix((sums[right] - sums[left]) * inv[left])
+        own = np.minimum(right - left, gram)
+        for k in range(1, gram + 1):
+            m = len(s) - k + 1
+            of = np.flatnonzero(own == k)
+            if len(of):
+                h = flat.mix((sums[k : k + m] - sums[:m]) * inv[:m])
+                least = _least(h, left[of], right[of] - left[of] - k + 1)
+                anchor[live[of]], at[live[of]] = h[least], place[least]
+        name[live] = told
+    return anchor, at, flat.mix(name)
+
+
+def _on(settled, over: np.ndarray, core: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The new cores of the windows that go on."""
+    if not over.any():
+        return left, right
+    settled(over, core)
+    return left[~over], right[~over]
 
 
 def _letters() -> np.ndarray:
     return flat.mix(np.arange(2001, 2257, dtype=_U))
 
 
-def pieces(col: pa.Array, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(text, start within the text, anchor's place there, anchor's name, window's name) of all windows of some texts, piece by piece."""
+def pieces(col: pa.Array, length: int = LENGTH) -> Iterator[tuple[np.ndarray, ...]]:
+    """All windows of some texts, piece by piece: (words' hashes; text, first word, anchor's place, anchor's name, window's name; first word of the piece in its text).
+
+    Places count from the start of the piece.
+    """
     data, off = utf8(col)
     a, b, doc = flat.word_bounds(data, off)
     if len(a) < length:
@@ -135,38 +176,53 @@ def pieces(col: pa.Array, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np
     origin = np.searchsorted(doc, np.arange(len(off)))  # first word of each text
     for lo in range(0, len(h) - length + 1, PIECE):
         own = doc[lo : lo + PIECE + length - 1]
-        anchor, at, name = windows(h[lo : lo + PIECE + length - 1], length)
-        whole = np.flatnonzero(own[: len(at)] == own[length - 1 :])
-        text = own[whole]
-        shift = lo - origin[text]
-        yield text, whole + shift, at[whole] + shift, anchor[whole], name[whole]
+        s = h[lo : lo + PIECE + length - 1]
+        anchor, at, name = windows(s, length)
+        start = np.flatnonzero(own[: len(at)] == own[length - 1 :])
+        text = own[start]
+        yield s, text, start, at[start], anchor[start], name[start], lo - origin[text]
 
 
-def _bounds(text: np.ndarray, start: np.ndarray, at: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+def _first(text: np.ndarray, start: np.ndarray, at: np.ndarray, anchor: np.ndarray) -> np.ndarray:
     """First window of each segment."""
     new = (text[1:] != text[:-1]) | (start[1:] != start[:-1] + 1) | (at[1:] != at[:-1]) | (anchor[1:] != anchor[:-1])
     return np.flatnonzero(np.r_[True, new])
 
 
-SEGMENT = "id long, h long, gram long, digest long, start int, n int, anchor int"
+SEGMENT = "id long, h long, gram long, digest long, prior long, later long, start int, n int, anchor int"
+
+
+def half(length: int) -> int:
+    """A window holds this many words before its anchor, or from it on."""
+    return (length + 1) // 2
 
 
 def segments(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """All segments of all texts (rows of ``keyed``): anchor's name, digest, first window, windows, anchor's place."""
+    """All segments of all texts (rows of ``keyed``): anchor's name, digest, names of the half windows at the anchor (null: held by no window of the segment), first window, windows, anchor's place."""
+    w = half(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in text_slices(batch, PIECE_BYTES):
                 ids, hs = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-                for text, start, at, anchor, name in pieces(b.column(2), length):
+                for s, text, start, at, anchor, name, shift in pieces(b.column(2), length):
                     if not len(text):
                         continue
-                    first = _bounds(text, start, at, anchor)
+                    first = _first(text, start, at, anchor)
                     n = np.diff(np.r_[first, len(text)])
                     last = first + n - 1
-                    digest = flat.mix(_named(name[first], name[last], _PAIR) + flat.mix((at[first] - start[first]).astype(_U) * _U(length + 1) + n.astype(_U)))
-                    cols = [ids[text[first]], hs[text[first]], anchor[first].view(np.int64), digest.view(np.int64), start[first].astype(np.int32), n.astype(np.int32), at[first].astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["id", "h", "gram", "digest", "start", "n", "anchor"])
+                    a, i, j, x = at[first], start[first], start[last], anchor[first]
+                    digest = flat.mix(_named(name[first], name[last], _PAIR) + flat.mix((a - i).astype(_U) * _U(length + 1) + n.astype(_U)))
+                    p, inv = flat.powers(len(s))
+                    sums = np.r_[_U(0), np.cumsum(s * p)]
+                    has = (a - i >= w, a - j < w)
+                    y, z = np.where(has[0], a - w, 0), np.where(has[1], a, 0)
+                    sides = [flat.mix((sums[u + w] - sums[u]) * inv[u]).view(np.int64) for u in (y, z)]
+                    t = text[first]
+                    cols = [ids[t], hs[t], x.view(np.int64), digest.view(np.int64), *sides, *((v + shift[first]).astype(np.int32) for v in (i, a)), n.astype(np.int32)]
+                    masks = [None] * 4 + [~m for m in has] + [None] * 3
+                    arrays = [pa.array(c, mask=m) for c, m in zip(cols, masks)]
+                    yield pa.RecordBatch.from_arrays([*arrays[:7], arrays[8], arrays[7]], ["id", "h", "gram", "digest", "prior", "later", "start", "n", "anchor"])
 
     return docs.select("id", "h", "text").mapInArrow(run, SEGMENT)
 
@@ -182,22 +238,22 @@ def _texts_of(docs: DataFrame, named: DataFrame) -> DataFrame:
 WINDOW = "gram long, digest long, name long, back int"
 
 
-def cut(docs: DataFrame, classes: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(gram, digest, name, back): the windows of each class, starting ``back`` words before its anchor."""
-    item = F.struct("gram", "digest", "at.start", "at.n", "at.anchor")
-    lists = classes.groupBy(F.col("at.id").alias("id"), F.col("at.h").alias("h")).agg(F.collect_list(item).alias("items"))
+def cut(docs: DataFrame, parts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(gram, digest, name, back): windows ``least`` to ``most`` words before the anchor of each of ``parts`` (gram, digest, at, least, most)."""
+    item = F.struct("gram", "digest", "at.anchor", "least", "most")
+    lists = parts.groupBy(F.col("at.id").alias("id"), F.col("at.h").alias("h")).agg(F.collect_list(item).alias("items"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                got = list(pieces(b.column(0).slice(k, 1), length))
                 # every start of the text has a window, in order
-                name = np.concatenate([g[4] for g in got])
+                name = np.concatenate([x[5] for x in pieces(b.column(0).slice(k, 1), length)])
                 items = pa.RecordBatch.from_struct_array(b.column(1)[k].values)
-                gram, digest, start, n, anchor = (items.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+                gram, digest, anchor, least, most = (items.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+                n = most - least + 1
                 own = np.repeat(np.arange(len(n)), n)
-                at = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + start[own]
-                cols = [gram[own], digest[own], name[at].view(np.int64), (anchor[own] - at).astype(np.int32)]
+                back = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + least[own]
+                cols = [gram[own], digest[own], name[anchor[own] - back].view(np.int64), back.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["gram", "digest", "name", "back"])
 
     # rows that repeat id and text would give their windows twice
@@ -205,6 +261,18 @@ def cut(docs: DataFrame, classes: DataFrame, length: int = LENGTH) -> DataFrame:
     return texts.select("text", "items").mapInArrow(run, WINDOW)
 
 
+def _shared_halves(classes: DataFrame, length: int) -> DataFrame:
+    """(gram, digest, at, least, most) of the classes that share half a window at their anchor with another class: the windows that hold it."""
+    w = half(length)
+    most = F.col("at.anchor") - F.col("at.start")
+    least = most - F.col("at.n") + 1
+    side = lambda c, lo, hi: F.struct(F.lit(c).alias("side"), F.col(c).alias("name"), lo.alias("least"), hi.alias("most"))
+    sides = F.explode(F.array(side("prior", F.greatest(least, F.lit(w)), most), side("later", least, F.least(most, F.lit(w - 1)))))
+    rows = classes.select("gram", "digest", "at", sides.alias("s")).select("gram", "digest", "at", "s.*").where("name is not null")
+    shared = written(rows.groupBy("gram", "side", "name").count().where("count > 1").drop("count"), "halves", large=True)
+    return rows.join(shared, ["gram", "side", "name"]).select("gram", "digest", "at", "least", "most")
+
+
 def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(id, h, starts): runs (first, last) of the starts of repeated windows of each text that has any."""
     found = segments(docs, length)
@@ -212,18 +280,18 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     twice = written(found.groupBy("gram").count().where("count > 1").select("gram"), "grams")
     found = written(found.join(twice, "gram"), "segments", large=True)
     at = F.struct("id", "h", "start", "n", "anchor")
-    classes = written(found.groupBy("gram", "digest").agg(F.count("*").alias("copies"), F.min(at).alias("at")), "classes", large=True)
-    back = (F.col("at.anchor") - F.col("at.start")).alias("first")
-    whole = classes.where("copies > 1").select("gram", "digest", back, (F.col("at.anchor") - F.col("at.start") - F.col("at.n") + 1).alias("last"))
-    mixed = written(classes.groupBy("gram").count().where("count > 1").select("gram"), "mixed")
-    parts = written(cut(docs, classes.join(mixed, "gram"), length), "windows", large=True)
-    common = written(parts.groupBy("gram", "name").count().where("count > 1").select("gram", "name"), "names")
-    parts = parts.join(common, ["gram", "name"]).select("gram", "digest", F.col("back").alias("first"), F.col("back").alias("last"))
+    classes = found.groupBy("gram", "digest").agg(F.count("*").alias("copies"), F.min(at).alias("at"), F.any_value("prior").alias("prior"), F.any_value("later").alias("later"))
+    classes = written(classes, "classes", large=True)
+    most = F.col("at.anchor") - F.col("at.start")
+    whole = classes.where("copies > 1").select("gram", "digest", most.alias("most"), (most - F.col("at.n") + 1).alias("least"))
+    parts = written(cut(docs, written(_shared_halves(classes, length), "parts", large=True), length), "windows", large=True)
+    common = written(parts.groupBy("gram", "name").count().where("count > 1").select("gram", "name"), "names", large=True)
+    parts = parts.join(common, ["gram", "name"]).select("gram", "digest", F.col("back").alias("most"), F.col("back").alias("least"))
     # of classes that occur once only: the others are repeated as a whole
     parts = parts.join(whole.select("gram", "digest"), ["gram", "digest"], "left_anti")
-    runs = written(whole.unionByName(parts), "repeats")
+    runs = written(whole.unionByName(parts), "repeats", large=True)
     hit = found.join(runs, ["gram", "digest"])
-    run = F.struct((F.col("anchor") - F.col("first")).alias("first"), (F.col("anchor") - F.col("last")).alias("last"))
+    run = F.struct((F.col("anchor") - F.col("most")).alias("first"), (F.col("anchor") - F.col("least")).alias("last"))
     return hit.select("id", "h", run.alias("run")).groupBy("id", "h").agg(F.collect_set("run").alias("starts"))
 
 

@@ -90,8 +90,6 @@ def test_short_pieces_and_shuffled_texts(spark, monkeypatch):
     monkeypatch.setattr(X, "BROADCAST_IDS", 0)
     rows = passages(40, 5)
     docs = spark.createDataFrame([row(i, t) for i, t in rows], SCHEMA)
-    h = [words(1, i) for i in range(3)]
-    assert X.PIECE == 50 and len(h) == 3
     assert rows_of(X.without_repeats(docs)) == expected(rows)
 
 
