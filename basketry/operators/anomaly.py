@@ -1,40 +1,23 @@
-"""Distributed Isolation Forest (Liu, Ting & Zhou, ICDM 2008) over the product mart.
-
-MLlib has no isolation forest, so the fit and the scoring are split along
-what Spark does well:
-
-* **sampling** — each tree gets ``psi`` rows chosen by hash rank: rows pass a
-  Bernoulli gate ``xxhash64(key, seed) < q`` (≈ ``3·trees·psi`` survive
-  whatever the input size), each (row, tree) pair a second gate on
-  ``xxhash64(key, tree, seed)`` (≈ ``3·psi`` candidates per tree), and every
-  tree keeps its ``psi`` lowest-hash candidates.  The choice depends only on
-  keys, not on partitioning.
-* **fit** — ``groupBy("tree").applyInPandas``: one small numpy build per tree.
-* **model** — at most ``trees · (2^(h+1) − 1)`` nodes (h = ⌈log2 psi⌉), a size
-  fixed by the parameters, shipped to executors as a broadcast variable.
-* **scoring** — an Arrow-batched pandas UDF computes the mean path length per
-  row, once, over key and features only; the scores are checkpointed.
-* **cut** — the exact ``contamination`` quantile of the scores, found by
-  distributed histograms (``quantile.py``) at every size.
+"""Anomalies of the product mart: isolation forest, contamination cut, labels, audit views.
+
+The forest itself is in ``forest.py``.  Rows whose score lies strictly above
+the exact ``contamination`` quantile (rows at the cut are normal) are
+anomalies.  The mart is written once; fit, score, cut and label join read that.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.labels import RELIABILITY_SINGLE, RESULT_ANOMALY, RESULT_NORMAL, RESULT_UNSCORED, value_map
+from ..functions.labels import RELIABILITY_SINGLE, RESULT_ANOMALY, RESULT_NORMAL, RESULT_UNSCORED
 from ..session import ensure_checkpoint_dir
+from . import forest
 from .quantile import exact_quantile
+from .shared import written_once
 
 FEATURES = ["total_cost_z_score", "total_cost_cv", "freight_share_pct"]
-EULER_GAMMA = 0.5772156649015329
-_U63 = float(2**63)
+TREES, PSI, SEED = 100, 256, 42
 
 
 def anomaly_features(df: DataFrame, features: list[str] = FEATURES, key: str = "product_id") -> DataFrame:
@@ -42,186 +25,24 @@ def anomaly_features(df: DataFrame, features: list[str] = FEATURES, key: str = "
     return df.select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
 
 
-def average_path_length(n):
-    """c(n): mean path length of an unsuccessful BST search among n points."""
-    n = np.asarray(n, dtype=float)
-    out = np.zeros_like(n)
-    big = n > 2
-    out[big] = 2.0 * (np.log(n[big] - 1.0) + EULER_GAMMA) - 2.0 * (n[big] - 1.0) / n[big]
-    out[n == 2] = 1.0
-    return out
-
-
-def _uniform(h) -> F.Column:
-    """xxhash64 → uniform double in [0, 1)."""
-    return F.shiftrightunsigned(h, 1).cast("double") / F.lit(_U63)
-
-
-def _sample_for_trees(feats: DataFrame, key: str, trees: int, psi: int, seed: int, n: int) -> DataFrame:
-    """Rows per tree: the ``psi`` candidates with the lowest hash rank.
-
-    Two hash gates keep every step bounded whatever ``n`` is: a row gate
-    (≈ 3·trees·psi rows survive) and a per-(row, tree) gate (≈ 3·psi
-    candidates per tree); the ranking window then sorts ≈ 3·psi rows per tree.
-    """
-    from pyspark.sql import Window
-
-    q_row = min(1.0, 3.0 * trees * psi / max(n, 1))
-    survivors = max(n * q_row, 1.0)
-    q_tree = min(1.0, 3.0 * psi / survivors)
-    gated = feats.where(_uniform(F.xxhash64(F.col(key), F.lit(seed))) < F.lit(q_row)) if q_row < 1.0 else feats
-    exploded = gated.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    ranked = exploded.withColumn("__h", F.xxhash64(F.col(key), F.col("tree"), F.lit(seed)))
-    if q_tree < 1.0:
-        ranked = ranked.where(_uniform(F.col("__h")) < F.lit(q_tree))
-    w = Window.partitionBy("tree").orderBy("__h", key)
-    return ranked.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= psi).drop("__r", "__h")
-
-
-_NODE_SCHEMA = T.StructType(
-    [
-        T.StructField("tree", T.IntegerType()),
-        T.StructField("node", T.IntegerType()),
-        T.StructField("feature", T.IntegerType()),
-        T.StructField("threshold", T.DoubleType()),
-        T.StructField("left", T.IntegerType()),
-        T.StructField("right", T.IntegerType()),
-        T.StructField("size", T.IntegerType()),
-        T.StructField("depth", T.IntegerType()),
-    ]
-)
-
-
-def _tree_builder(features: list[str], key: str, seed: int, height_limit: int):
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = int(pdf["tree"].iloc[0])
-        pdf = pdf.sort_values(key, kind="mergesort")
-        X = pdf[features].to_numpy(dtype=float)
-        rng = np.random.default_rng([seed, t])
-        rows = []
-        stack = [(0, np.arange(len(X)), 0)]
-        next_id = 1
-        while stack:
-            nid, idx, depth = stack.pop()
-            sub = X[idx]
-            split = None
-            if depth < height_limit and len(idx) > 1:
-                lo, hi = sub.min(axis=0), sub.max(axis=0)
-                cand = np.flatnonzero(hi > lo)
-                if cand.size:
-                    f = int(cand[rng.integers(cand.size)])
-                    thr = float(rng.uniform(lo[f], hi[f]))
-                    go_left = sub[:, f] < thr
-                    if go_left.any() and (~go_left).any():
-                        split = (f, thr, idx[go_left], idx[~go_left])
-            if split is None:
-                rows.append((t, nid, -1, 0.0, -1, -1, len(idx), depth))
-                continue
-            f, thr, li, ri = split
-            lid, rid = next_id, next_id + 1
-            next_id += 2
-            rows.append((t, nid, f, thr, lid, rid, len(idx), depth))
-            stack.append((rid, ri, depth + 1))
-            stack.append((lid, li, depth + 1))
-        return pd.DataFrame(rows, columns=[f.name for f in _NODE_SCHEMA.fields])
-
-    return build
-
-
 def fit_isolation_forest(
     df: DataFrame,
     features: list[str] = FEATURES,
     key: str = "product_id",
-    trees: int = 100,
-    psi: int = 256,
-    seed: int = 42,
+    trees: int = TREES,
+    psi: int = PSI,
+    seed: int = SEED,
     n: int | None = None,
-) -> tuple[pd.DataFrame, int]:
-    """Fit the forest; returns (node table, effective subsample size).
+) -> tuple[DataFrame, int]:
+    """Fit the forest; returns (node table, rows a tree).
 
-    The node table is bounded by the parameters (≤ trees · 511 rows for psi = 256).
-    ``n`` is the training row count when the caller already knows it.
+    The node table is checkpointed and bounded by the parameters (at most
+    trees * 511 rows for psi = 256).  ``n`` is the row count when known.
     """
+    ensure_checkpoint_dir(df.sparkSession)
     feats = anomaly_features(df, features, key)
     n = feats.count() if n is None else n
-    psi_eff = int(min(psi, max(n, 1)))
-    height = int(math.ceil(math.log2(max(psi_eff, 2))))
-    sample = _sample_for_trees(feats, key, trees, psi_eff, seed, n)
-    # an explicit partition count keeps the tree builds spread over the cores
-    # (the sample is small, so adaptive coalescing would otherwise pack all trees in one task)
-    parts = max(1, min(trees, df.sparkSession.sparkContext.defaultParallelism))
-    sample = sample.repartition(parts, "tree")
-    nodes = sample.groupBy("tree").applyInPandas(_tree_builder(features, key, seed, height), schema=_NODE_SCHEMA)
-    return nodes.toPandas(), psi_eff
-
-
-def _pack(nodes: pd.DataFrame):
-    """Node table → dense per-tree arrays for vectorised traversal."""
-    trees = sorted(nodes["tree"].unique())
-    width = int(nodes["node"].max()) + 1
-    shape = (len(trees), width)
-    feat = np.full(shape, -1, dtype=np.int64)
-    thr = np.zeros(shape)
-    left = np.full(shape, -1, dtype=np.int64)
-    right = np.full(shape, -1, dtype=np.int64)
-    leaf_len = np.zeros(shape)
-    pos = {t: i for i, t in enumerate(trees)}
-    ti = nodes["tree"].map(pos).to_numpy()
-    ni = nodes["node"].to_numpy()
-    feat[ti, ni] = nodes["feature"].to_numpy()
-    thr[ti, ni] = nodes["threshold"].to_numpy()
-    left[ti, ni] = nodes["left"].to_numpy()
-    right[ti, ni] = nodes["right"].to_numpy()
-    leaf_len[ti, ni] = nodes["depth"].to_numpy() + average_path_length(nodes["size"].to_numpy())
-    return feat, thr, left, right, leaf_len
-
-
-def path_lengths(X: np.ndarray, packed) -> np.ndarray:
-    """Mean path length of each row of X over all trees."""
-    feat, thr, left, right, leaf_len = packed
-    m = X.shape[0]
-    total = np.zeros(m)
-    rows = np.arange(m)
-    for t in range(feat.shape[0]):
-        node = np.zeros(m, dtype=np.int64)
-        while True:
-            f = feat[t, node]
-            inner = f >= 0
-            if not inner.any():
-                break
-            fi = np.where(inner, f, 0)
-            go_left = X[rows, fi] < thr[t, node]
-            node = np.where(inner, np.where(go_left, left[t, node], right[t, node]), node)
-        total += leaf_len[t, node]
-    return total / feat.shape[0]
-
-
-def with_forest_score(
-    df: DataFrame,
-    nodes: pd.DataFrame,
-    psi: int,
-    features: list[str] = FEATURES,
-    score_col: str = "anomaly_score",
-) -> DataFrame:
-    """Add ``anomaly_score`` = 2^(−E[h]/c) to every row (higher = more isolated); c: mean c(tree size).
-
-    A narrow, Arrow-batched pandas UDF: no shuffle, every row keeps its place.
-    """
-    spark = df.sparkSession
-    # a tree may hold fewer than psi rows: its own size counts
-    leaves = nodes[nodes["feature"] < 0].groupby("tree")["size"].sum()
-    c_psi = float(average_path_length(leaves.to_numpy()).mean()) if len(leaves) else float(average_path_length([psi])[0])
-    c_psi = c_psi or 1.0
-    model = spark.sparkContext.broadcast((_pack(nodes), c_psi))
-
-    @F.pandas_udf("double")
-    def score(*cols: pd.Series) -> pd.Series:
-        packed, c = model.value
-        X = np.column_stack([np.nan_to_num(c_.to_numpy(dtype=float, na_value=0.0)) for c_ in cols])
-        return pd.Series(np.power(2.0, -path_lengths(X, packed) / c))
-
-    feats = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]
-    return df.withColumn(score_col, score(*feats))
+    return forest.fit(feats, features, key, n, trees, psi, seed).coalesce(1).checkpoint(), min(psi, max(n, 1))
 
 
 def contamination_cut(scored: DataFrame, contamination: float, score_col: str = "anomaly_score") -> float | None:
@@ -229,11 +50,11 @@ def contamination_cut(scored: DataFrame, contamination: float, score_col: str =
     return exact_quantile(scored.select((-F.col(score_col)).alias("x")), "x", contamination)
 
 
-def _scored(df: DataFrame, features: list[str], key: str, trees: int, psi: int, seed: int, n: int) -> DataFrame:
-    """(key, anomaly_score) of every row of ``df``, fitted on ``df``; scored once and checkpointed."""
-    ensure_checkpoint_dir(df.sparkSession)
-    nodes, psi_eff = fit_isolation_forest(df, features, key, trees, psi, seed, n=n)
-    return with_forest_score(df.select(key, *features), nodes, psi_eff, features).select(key, "anomaly_score").checkpoint()
+def _scored(feats: DataFrame, features: list[str], key: str, trees: int, psi: int, seed: int, n: int) -> DataFrame:
+    """(key, anomaly_score) of every row of ``feats``, fitted on them; scored once and checkpointed."""
+    nodes, psi = fit_isolation_forest(feats, features, key, trees, psi, seed, n)
+    rows = forest.scored(anomaly_features(feats, features, key), nodes, features, key, trees, psi)
+    return rows.checkpoint()
 
 
 def isolation_forest_scores(
@@ -241,17 +62,17 @@ def isolation_forest_scores(
     contamination: float = 0.05,
     features: list[str] = FEATURES,
     key: str = "product_id",
-    trees: int = 100,
-    psi: int = 256,
-    seed: int = 42,
+    trees: int = TREES,
+    psi: int = PSI,
+    seed: int = SEED,
 ) -> DataFrame:
-    """Fit on ``df`` and score it: (key, anomaly_score, is_anomaly).
+    """Fit on ``df`` and score it: (key, anomaly_score, is_anomaly); ``key`` names a row.
 
     Rows whose −score is strictly below the ``contamination`` quantile are
-    anomalies — the standard isolation-forest prediction rule.
+    anomalies, so rows that tie at the cut are normal.  An empty frame gives
+    no rows; missing features count as 0.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    feats = df.select(key, *features).checkpoint()
+    feats = written_once(df.select(key, *features), "forest-features")
     n = feats.count()
     if not n:
         return feats.select(key, F.lit(0.0).alias("anomaly_score"), F.lit(False).alias("is_anomaly"))
@@ -266,26 +87,27 @@ def detect_anomalies(
     min_rows: int = 11,
     features: list[str] = FEATURES,
     key: str = "product_id",
-    seed: int = 42,
-    trees: int = 100,
-    psi: int = 256,
+    seed: int = SEED,
+    trees: int = TREES,
+    psi: int = PSI,
 ) -> DataFrame:
     """Label every row: Normal / Anomaly for multi-sale products, 'Single sale - No Analysis'
     for the rest.  With fewer than ``min_rows`` trainable rows nothing is scored.
 
-    Only key and features of the trainable rows are fitted and scored; their
-    labels are joined back to all rows by ``key``.  ``psi`` rows for each of
-    ``trees`` trees are the algorithm's own subsample; every row is scored.
+    ``df`` is computed once and written; key and features of the trainable rows
+    are fitted and scored, and their labels joined back to all rows by ``key``.
+    ``psi`` rows for each of ``trees`` trees are the algorithm's own subsample;
+    every row is scored.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    feats = df.where(F.col("reliability_score") != RELIABILITY_SINGLE).select(key, *features).checkpoint()
+    df = written_once(df, "product-mart")
+    feats = df.where(F.col("reliability_score") != RELIABILITY_SINGLE).select(key, *features)
     n = feats.count()
     if n < min_rows:
         return df.withColumn("Result", F.lit(RESULT_UNSCORED))
     scored = _scored(feats, features, key, trees, psi, seed, n)
     cut = contamination_cut(scored, contamination)
-    prediction = F.when(-F.col("anomaly_score") < F.lit(cut), F.lit(-1)).otherwise(F.lit(1))
-    labels = scored.select(key, value_map(prediction, {-1: RESULT_ANOMALY, 1: RESULT_NORMAL}).alias("Result"))
+    label = F.when(-F.col("anomaly_score") < F.lit(cut), RESULT_ANOMALY).otherwise(RESULT_NORMAL)
+    labels = scored.select(key, label.alias("Result"))
     return df.join(labels, key, "left").select(*df.columns, F.coalesce("Result", F.lit(RESULT_UNSCORED)).alias("Result"))
 
 

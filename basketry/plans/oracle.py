@@ -613,6 +613,76 @@ FINAL: dict[str, str] = {
 }
 
 
+# ---------------------------------------------------------------- isolation forest
+def _forest(contamination: float = 0.05, trees: int = 100, psi: int = 256, seed: int = 42) -> str:
+    """CTEs up to forest_labels(product_id, anomaly_score, is_anomaly): sample, eight levels, path lengths, cut."""
+    prime, unit = 2_147_483_647, 4_294_967_296
+    bits = lambda d, first, digits: f"CAST('0x' || substr({d}, {first}, {digits}) AS BIGINT)"
+    # c(n) in units of 2**-32
+    mean = lambda n: f"(CASE WHEN {n} > 1 THEN 2 * (SELECT sum({unit} // k) FROM range(1, 257) r(k) WHERE k < {n}) - 2 * ({n} - 1) * {unit} // {n} ELSE 0 END)"
+    out = f""",
+trained AS MATERIALIZED (
+  SELECT product_id, [coalesce(CAST(total_cost_z_score AS DOUBLE), 0.0), coalesce(CAST(total_cost_cv AS DOUBLE), 0.0), coalesce(CAST(freight_share_pct AS DOUBLE), 0.0)] AS x
+  FROM product_cost_decomposition WHERE reliability_score <> 'Single Sale'
+),
+forest AS (SELECT n, psi, CAST(ceil(log2(greatest(psi, 2))) AS INTEGER) AS height FROM (SELECT count(*) AS n, least({psi}, greatest(count(*), 1)) AS psi FROM trained)),
+gates AS (
+  SELECT least({unit}, 3 * {trees} * psi * {unit} // greatest(n, 1)) AS row_gate, least({prime}, 3 * psi * {prime} // greatest(least(n, 3 * {trees} * psi), 1)) AS tree_gate FROM forest
+),
+hashed AS (SELECT *, md5('row' || chr(1) || '{seed}' || chr(1) || CAST(product_id AS VARCHAR)) AS d FROM trained),
+candidates AS (
+  SELECT product_id, x, tree, ({bits('d', 1, 8)} % {prime} * (tree + 1) + {bits('d', 9, 8)} % {prime}) % {prime} AS h
+  FROM hashed, range({trees}) t(tree), gates WHERE {bits('d', 17, 8)} < row_gate
+),
+picked AS (SELECT tree, x, row_number() OVER (PARTITION BY tree ORDER BY h, product_id) AS r FROM candidates, gates WHERE h < tree_gate),
+level0 AS MATERIALIZED (SELECT tree, x, CAST(1 AS BIGINT) AS node FROM picked, forest WHERE r <= psi),
+level0_nodes AS (SELECT NULL::BIGINT AS tree, NULL::BIGINT AS node, NULL::INTEGER AS f, NULL::DOUBLE AS cut WHERE false)"""
+    for d in range(8):
+        out += f""",
+ranges{d} AS (
+  SELECT tree, node, [min(x[1]), min(x[2]), min(x[3])] AS lo, [max(x[1]), max(x[2]), max(x[3])] AS hi,
+         md5('node' || chr(1) || '{seed}' || chr(1) || CAST(tree AS VARCHAR) || chr(1) || CAST(node AS VARCHAR)) AS d
+  FROM level{d} GROUP BY tree, node
+),
+cuts{d} AS MATERIALIZED (
+  SELECT tree, node, f, CASE WHEN raw >= hi[f] THEN lo[f] ELSE raw END AS cut
+  FROM (SELECT *, lo[f] + {bits('d', 9, 12)}::DOUBLE / 281474976710656.0::DOUBLE * (hi[f] - lo[f]) AS raw
+        FROM (SELECT *, wide[1 + {bits('d', 1, 8)} % len(wide)] AS f
+              FROM (SELECT *, list_filter([1, 2, 3], lambda i: hi[i] > lo[i]) AS wide FROM ranges{d}, forest WHERE {d} < height) WHERE len(wide) > 0))
+),
+level{d + 1} AS MATERIALIZED (
+  SELECT tree, x, CASE WHEN f IS NULL THEN node WHEN x[f] <= cut THEN node * 2 ELSE node * 2 + 1 END AS node FROM level{d} LEFT JOIN cuts{d} USING (tree, node)
+)"""
+    walked = f"SELECT product_id, x, tree, CAST(1 AS BIGINT) AS node FROM trained, range({trees}) t(tree)"
+    for d in range(8):
+        walked = f"SELECT product_id, x, tree, CASE WHEN f IS NULL THEN node WHEN x[f] <= cut THEN node * 2 ELSE node * 2 + 1 END AS node FROM ({walked}) LEFT JOIN cuts{d} USING (tree, node)"
+    return out + f""",
+leaves AS (SELECT tree, node, CAST(floor(log2(node)) AS BIGINT) * {unit} + {mean('size')} AS length FROM (SELECT tree, node, count(*) AS size FROM level8 GROUP BY tree, node)),
+whole AS (SELECT sum({mean('size')}) AS c FROM (SELECT tree, count(*) AS size FROM level0 GROUP BY tree)),
+forest_scores AS MATERIALIZED (
+  SELECT product_id, floor(pow(2.0::DOUBLE, -(CAST(sum(length) AS DOUBLE) / CAST(greatest(any_value(c), 1) AS DOUBLE))) * 1e9::DOUBLE + 0.5::DOUBLE) / 1e9::DOUBLE AS anomaly_score
+  FROM ({walked}) JOIN leaves USING (tree, node), whole GROUP BY product_id
+),
+forest_labels AS (
+  SELECT product_id, anomaly_score, -anomaly_score < (SELECT quantile_cont(-anomaly_score, {contamination}) FROM forest_scores) AS is_anomaly FROM forest_scores
+),
+labelled AS (
+  SELECT p.*, CASE WHEN (SELECT n FROM forest) < 11 OR is_anomaly IS NULL THEN 'Single sale - No Analysis' WHEN is_anomaly THEN 'Anomaly' ELSE 'Normal' END AS Result
+  FROM product_cost_decomposition p LEFT JOIN forest_labels USING (product_id)
+)"""
+
+
+FOREST: dict[str, str] = {
+    "isolation_forest": "SELECT product_id, anomaly_score, is_anomaly FROM forest_labels",
+    "anomaly_labels": "SELECT * FROM labelled",
+    "kpi_anomalies": f"""SELECT items_analyzed, anomalies, {rnd(sdiv('anomalies', 'items_analyzed') + ' * 100.0', 1)} AS anomaly_pct
+        FROM (SELECT count(*) AS items_analyzed, count(*) FILTER (Result = 'Anomaly') AS anomalies FROM labelled WHERE reliability_score <> 'Single Sale')""",
+    "audit_view": f"SELECT {_AUDIT_COLS}, Result FROM labelled",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL per query key."""
-    return {k: CTES + "\n" + v for k, v in FINAL.items()}
+    ctes = CTES.rstrip()
+    forest = ctes + _forest()
+    return {k: CTES + "\n" + v for k, v in FINAL.items()} | {k: forest + "\n" + v for k, v in FOREST.items()}
