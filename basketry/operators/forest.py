@@ -58,36 +58,33 @@ def tree_sample(feats: DataFrame, key: str, n: int, trees: int, psi: int, seed:
     hashed = hashed.withColumns({"__a": _hex(F.col("__d"), 1, 8) % PRIME, "__b": _hex(F.col("__d"), 9, 8) % PRIME}).drop("__d")
     each = hashed.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     each = each.withColumn("__h", (F.col("__a") * (F.col("tree") + 1) + F.col("__b")) % PRIME).where(F.col("__h") < tree_gate)
+    # a number of its own: the rows are few, and adaptive coalescing would pack all trees in one task
+    each = each.repartition(min(trees, feats.sparkSession.sparkContext.defaultParallelism), "tree")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy("__h", key))
     return each.withColumn("__r", rank).where(F.col("__r") <= psi).drop("__r", "__h", "__a", "__b")
 
 
 def _grown(rows: DataFrame, features: list[str], depth: int, seed: int) -> DataFrame:
     """One level: every row moves to a child of its node, unless the node has no range to cut."""
-    at = Window.partitionBy("tree", "node")
-    ranges = {}
-    for i, x in enumerate(features):
-        ranges |= {f"__lo{i}": F.min(x).over(at), f"__hi{i}": F.max(x).over(at)}
-    out = rows.withColumns({"__size": F.count(F.lit(1)).over(at), **ranges})
-    wide = [(F.col(f"__hi{i}") > F.col(f"__lo{i}")).cast("int") for i in range(len(features))]
-    digest = _md5("node", seed, F.col("tree").cast("string"), F.col("node").cast("string"))
-    out = out.withColumns({"__wide": sum(wide[1:], wide[0]), "__d": digest})
-    nth = _hex(F.col("__d"), 1, 8) % F.col("__wide")
-    part = _hex(F.col("__d"), 9, 12).cast("double") / F.lit(float(1 << 48))
-    before, pick = F.lit(0), F.lit(None).cast("int")
-    for i in range(len(features)):
-        pick = F.when((wide[i] == 1) & (before == F.col("__nth")), F.lit(i)).otherwise(pick)
-        before = before + wide[i]
-    out = out.withColumn("__nth", F.when(F.col("__wide") > 0, nth)).withColumns({"__f": pick, "__u": part})
-    of = lambda names: F.element_at(F.array(*[F.col(c) for c in names]), F.col("__f") + 1)
-    out = out.withColumns({"__lo": of([f"__lo{i}" for i in range(len(features))]), "__hi": of([f"__hi{i}" for i in range(len(features))]), "__x": of(features)})
-    raw = F.col("__lo") + F.col("__u") * (F.col("__hi") - F.col("__lo"))
+    n = range(len(features))
+    at = "OVER (PARTITION BY tree, node)"
+    node = f"md5(concat_ws('{SEPARATOR}', 'node', '{seed}', tree, node)) AS __d"
+    out = rows.selectExpr(
+        "*", f"count(1) {at} AS __size", node, f"array({', '.join(f'min(`{x}`) {at}' for x in features)}) AS __lo", f"array({', '.join(f'max(`{x}`) {at}' for x in features)}) AS __hi"
+    )
+    wide = f"filter(array({', '.join(map(str, n))}), i -> __hi[i] > __lo[i]) AS __wide"
+    out = out.selectExpr("*", wide, f"array({', '.join(f'`{x}`' for x in features)}) AS __x")
+    hexes = lambda first, digits: f"cast(conv(substring(__d, {first}, {digits}), 16, 10) AS bigint)"
+    out = out.selectExpr("*", f"CASE WHEN size(__wide) > 0 THEN __wide[cast({hexes(1, 8)} % size(__wide) AS int)] END AS __f")
+    raw = f"__lo[__f] + cast({hexes(9, 12)} AS double) / {float(1 << 48)!r}D * (__hi[__f] - __lo[__f])"
     # a cut at the largest value would leave one side empty
-    out = out.withColumn("__cut", F.when(raw >= F.col("__hi"), F.col("__lo")).otherwise(raw))
-    step = F.struct("node", F.col("__f").alias("feature"), F.col("__cut").alias("threshold"), F.col("__size").alias("size"), F.lit(depth).alias("depth"))
-    split = F.col("__f").isNotNull()
-    moved = F.col("node") * 2 + F.when(F.col("__x") <= F.col("__cut"), 0).otherwise(1)
-    return out.select("tree", *features, F.when(split, moved).otherwise(F.col("node")).alias("node"), F.when(split, F.array_append("path", step)).otherwise(F.col("path")).alias("path"))
+    out = out.selectExpr("*", f"CASE WHEN {raw} >= __hi[__f] THEN __lo[__f] ELSE {raw} END AS __cut")
+    step = f"named_struct('node', node, 'feature', __f, 'threshold', __cut, 'size', __size, 'depth', {depth})"
+    return out.selectExpr(
+        "tree", *(f"`{x}`" for x in features),
+        "CASE WHEN __f IS NULL THEN node WHEN __x[__f] <= __cut THEN node * 2 ELSE node * 2 + 1 END AS node",
+        f"CASE WHEN __f IS NULL THEN path ELSE array_append(path, {step}) END AS path",
+    )
 
 
 def fit(feats: DataFrame, features: list[str], key: str, n: int, trees: int, psi: int, seed: int) -> DataFrame:
@@ -112,15 +109,22 @@ def scored(feats: DataFrame, nodes: DataFrame, features: list[str], key: str, tr
     mean = F.array(*[F.lit(mean_path(i)) for i in range(psi + 1)])
     c = F.element_at(mean, F.col("size").cast("int") + 1)
     total = nodes.where("node = 1").agg(F.greatest(F.sum(c), F.lit(1)).alias("__c"))
-    model = nodes.select("tree", "node", "feature", "threshold", F.when(F.col("feature") < 0, F.col("depth").cast("bigint") * UNIT + c).alias("__len"))
+    # a node's slot, tree * width + node: one whole number to look up
+    width = 2 << height_of(psi)
+    length = F.when(F.col("feature") < 0, F.col("depth").cast("bigint") * UNIT + c)
+    model = nodes.select((F.col("tree").cast("bigint") * width + F.col("node")).alias("slot"), "feature", "threshold", length.alias("__len"))
     model = F.broadcast(model)
-    rows = feats.select(key, *features, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.lit(1).cast("bigint").alias("node"))
+    # dealt by key for the sum at the end, before the work: a few rows are much work, too
+    spark = feats.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    rows = feats.repartition(parts, key).select(key, *features, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("__t"))
+    rows = rows.select(key, *features, (F.col("__t").cast("bigint") * width + 1).alias("slot"))
     x = F.element_at(F.array(*[F.col(f) for f in features]), F.col("feature") + 1)
     for _ in range(height_of(psi)):
-        child = F.col("node") * 2 + F.when(x <= F.col("threshold"), 0).otherwise(1)
-        moved = F.when(F.col("feature") < 0, F.col("node")).otherwise(child)
-        rows = rows.join(model, ["tree", "node"]).select(key, *features, "tree", moved.alias("node"))
-    paths = rows.join(model, ["tree", "node"]).groupBy(key).agg(F.sum("__len").alias("__len"))
+        child = F.col("slot") + F.col("slot") % width + F.when(x <= F.col("threshold"), 0).otherwise(1)
+        moved = F.when(F.col("feature") < 0, F.col("slot")).otherwise(child)
+        rows = rows.join(model, "slot").select(key, *features, moved.alias("slot"))
+    paths = rows.join(model, "slot").groupBy(key).agg(F.sum("__len").alias("__len"))
     raw = F.pow(F.lit(2.0), -(F.col("__len").cast("double") / F.col("__c").cast("double")))
     scale = float(10**PLACES)
     return paths.crossJoin(F.broadcast(total)).select(key, (F.floor(raw * scale + 0.5).cast("double") / scale).alias(score_col))

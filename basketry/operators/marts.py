@@ -1,8 +1,8 @@
 """The seven marts and their named building blocks.
 
-Each function takes staged DataFrames and returns a DataFrame.  Only the
-windows (product cost, retention) run jobs of their own: they look for heavy
-keys in a sample.  Plans are shaped for large inputs: aggregate before
+Each function takes staged DataFrames and returns a DataFrame.  Only product
+cost and retention run jobs of their own: they write the frame that all their
+steps read, and their windows look for heavy keys in a sample.  Plans are shaped for large inputs: aggregate before
 joining wherever the key allows it, leave broadcasts to known sizes, and never
 run a window over a whole customer or category in one task (``windows.py``).
 """
@@ -37,6 +37,7 @@ from .aggregates import (
 )
 from .filters import exclude_status, positive_amount
 from .joins import attach_order_totals, join_small, with_global
+from .shared import written_once
 from .windows import ordered_sequence, running_total
 
 UNKNOWN_CATEGORY = "Unknown"
@@ -202,7 +203,11 @@ def is_price_rebalanced(ratio: Decimal = Decimal("0.3")):
 
 
 def cost_features(base: DataFrame, corrected: bool = False) -> DataFrame:
-    """Freight share, category benchmarks (group aggregate joined back), z-score, CV, revenue."""
+    """Freight share, category benchmarks (group aggregate joined back), z-score, CV, revenue.
+
+    ``base`` is written once: the benchmarks, the join and the search for heavy categories read it.
+    """
+    base = written_once(base, "product-base")
     bench = category_benchmarks(base)
     j = join_small(base, bench, "category", "left")
     freight_share = safe_divide(F.col("avg_freight"), F.col("avg_total_cost")) * 100.0
@@ -272,8 +277,10 @@ def retention_facts(mapping: DataFrame) -> DataFrame:
 
     Ordering is (purchase_at ASC NULLS LAST, order_id): ties are broken by
     order id so results are deterministic.  The dataset max is a one-row
-    aggregate joined by broadcast.
+    aggregate joined by broadcast.  ``mapping`` is written once: the search for
+    heavy persons, the dataset max and the windows read it.
     """
+    mapping = written_once(mapping, "order-mapping")
     seq = ordered_sequence(
         mapping,
         "customer_unique_id",

@@ -1,16 +1,13 @@
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 
-import numpy as np
+import pytest
 
-from basketry.operators.anomaly import (
-    average_path_length,
-    detect_anomalies,
-    fit_isolation_forest,
-    isolation_forest_scores,
-)
+from basketry.operators import forest
+from basketry.operators.anomaly import FEATURES, detect_anomalies, fit_isolation_forest, isolation_forest_scores
 
 
 def _products(spark, n=300, outliers=5, seed=3):
@@ -29,9 +26,83 @@ def _products(spark, n=300, outliers=5, seed=3):
     )
 
 
-def test_path_length_constant():
-    assert average_path_length([1, 2])[0] == 0 and average_path_length([2])[0] == 1
-    assert math.isclose(average_path_length([256])[0], 2 * (math.log(255) + 0.5772156649) - 2 * 255 / 256)
+def brute_scores(rows, trees, psi, seed):
+    """The forest of ``rows`` {key: features}, tree by tree and node by node."""
+
+    def md5(*parts):
+        return hashlib.md5("\x01".join(map(str, parts)).encode()).hexdigest()
+
+    n, p, wanted = len(rows), 2_147_483_647, 3 * trees * psi
+    psi = min(psi, n)
+    wanted = 3 * trees * psi
+    row_gate, tree_gate = min(2**32, wanted * 2**32 // n), min(p, 3 * psi * p // min(n, wanted))
+    hashes = {}
+    for k in rows:
+        d = md5("row", seed, k)
+        if int(d[16:24], 16) < row_gate:
+            hashes[k] = (int(d[:8], 16) % p, int(d[8:16], 16) % p)
+    height = max(psi - 1, 1).bit_length()
+    total, c = dict.fromkeys(rows, 0), 0
+    for t in range(trees):
+        order = sorted((h, k) for k, (a, b) in hashes.items() if (h := (a * (t + 1) + b) % p) < tree_gate)[:psi]
+        c += forest.mean_path(len(order))
+        nodes = {}
+
+        def grow(node, own, depth):
+            wide = [i for i in range(3) if own and max(x[i] for x in own) > min(x[i] for x in own)]
+            if depth == height or not wide:
+                nodes[node] = (None, depth * 2**32 + forest.mean_path(len(own)))
+                return
+            d = md5("node", seed, t, node)
+            f = wide[int(d[:8], 16) % len(wide)]
+            lo, hi = min(x[f] for x in own), max(x[f] for x in own)
+            cut = lo + int(d[8:20], 16) / float(1 << 48) * (hi - lo)
+            cut = lo if cut >= hi else cut
+            nodes[node] = (f, cut)
+            grow(2 * node, [x for x in own if x[f] <= cut], depth + 1)
+            grow(2 * node + 1, [x for x in own if x[f] > cut], depth + 1)
+
+        grow(1, [rows[k] for _, k in order], 0)
+        for k, x in rows.items():
+            node = 1
+            while nodes[node][0] is not None:
+                node = 2 * node + (x[nodes[node][0]] > nodes[node][1])
+            total[k] += nodes[node][1]
+    return {k: math.floor(2.0 ** -(float(v) / float(max(c, 1))) * 1e9 + 0.5) / 1e9 for k, v in total.items()}
+
+
+def test_mean_path():
+    assert [forest.mean_path(n) for n in (0, 1, 2)] == [0, 0, 2**32]
+    # the usual approximation by a logarithm
+    assert math.isclose(forest.mean_path(256) / 2**32, 2 * (math.log(255) + 0.5772156649) - 2 * 255 / 256, rel_tol=1e-3)
+    assert [forest.height_of(n) for n in (1, 2, 3, 4, 5, 256, 257)] == [1, 1, 2, 2, 3, 8, 9]
+
+
+@pytest.mark.parametrize(("n", "trees", "psi"), [(120, 7, 32), (400, 3, 16), (5, 4, 256), (1, 2, 8)])
+def test_scores_equal_a_tree_by_tree_forest(spark, n, trees, psi):
+    """Few and many rows, with the gates open and half closed, and rows that repeat all features."""
+    rnd = random.Random(n)
+    rows = {i: [rnd.gauss(0, 1), float(rnd.randint(0, 2)), 0.5] if i % 5 else [0.0, 0.0, 0.5] for i in range(n)}
+    df = spark.createDataFrame([(k, *x) for k, x in rows.items()], "product_id bigint, " + ", ".join(f"{f} double" for f in FEATURES))
+    got = isolation_forest_scores(df, trees=trees, psi=psi, seed=9)
+    assert {r.product_id: r.anomaly_score for r in got.collect()} == brute_scores(rows, trees, psi, 9)
+
+
+def test_no_python_worker_in_the_plans(spark):
+    plan = detect_anomalies(_products(spark))._jdf.queryExecution().executedPlan().toString()
+    nodes, psi = fit_isolation_forest(_products(spark), trees=5, psi=32)
+    feats = _products(spark).select("product_id", *FEATURES)
+    lazy = forest.fit(feats, FEATURES, "product_id", 306, 5, 32, 1)._jdf.queryExecution().executedPlan().toString()
+    walk = forest.scored(feats, nodes, FEATURES, "product_id", 5, psi)._jdf.queryExecution().executedPlan().toString()
+    for text in (plan, lazy, walk):
+        assert "Python" not in text and "Pandas" not in text and "Arrow" not in text
+    assert lazy.count("Exchange") == 1  # the levels follow without another shuffle
+
+
+def test_ties_at_the_cut_are_normal(spark):
+    df = spark.createDataFrame([(i, 1.0, 1.0, 1.0) for i in range(40)] + [(40, 9.0, 9.0, 9.0)], "product_id bigint, " + ", ".join(f"{f} double" for f in FEATURES))
+    got = {r.product_id for r in isolation_forest_scores(df, contamination=0.3).collect() if r.is_anomaly}
+    assert got == {40}
 
 
 def test_planted_outliers_are_found(spark):
@@ -59,8 +130,8 @@ def test_same_result_under_repartitioning(spark):
 
 def test_forest_is_bounded_by_parameters(spark):
     nodes, psi = fit_isolation_forest(_products(spark), trees=10, psi=64)
-    assert psi == 64 and nodes["tree"].nunique() == 10
-    assert nodes.groupby("tree").size().max() <= 2 ** (int(np.ceil(np.log2(64))) + 1) - 1
+    assert psi == 64 and nodes.select("tree").distinct().count() == 10
+    assert max(r["count"] for r in nodes.groupBy("tree").count().collect()) <= 2**7 - 1
 
 
 def test_min_rows_guard(spark):
