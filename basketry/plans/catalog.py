@@ -278,6 +278,56 @@ def _mart_scan(m: Models) -> DataFrame:
     return FS.read_mart(m.spark, root, "monthly_revenue_by_cat", ["revenue_month", "product_category", "monthly_revenue"])
 
 
+@query("mart_reuse")
+def _mart_reuse(m: Models) -> DataFrame:
+    """The same selection of a mart read twice: the second reader scans the kept result."""
+    from ..sources.results import selection
+    from .build import build
+
+    root = m.scratch("reuse")
+    build(m.raw, root=root, select=["monthly_revenue_by_cat"])
+    read = lambda: selection(m.spark, root, "monthly_revenue_by_cat", ["revenue_month", "product_category", "monthly_revenue"], "revenue_year >= 1996")
+    read()
+    return read()
+
+
+@query("table_versions")
+def _table_versions(m: Models) -> DataFrame:
+    """A table replaced twice: the rows of its last two versions, each read by its number."""
+    from ..sources import versions as V
+
+    root, items = m.scratch("versions"), m.raw["order_items"].select("order_id", "price")
+    for least in (3, 2, 1):
+        FS.write_table(items.where(F.col("order_id") % 4 >= least), root, "raw", "order_items", observe=False)
+    out = None
+    for version in V.versions(m.spark, FS.table_path(root, "raw", "order_items")):
+        rows = FS.read_table(m.spark, root, "raw", "order_items", version=version)
+        one = rows.agg(F.count(F.lit(1)).alias("row_count"), F.sum("price").cast("decimal(38,2)").alias("price"))
+        one = one.select(F.lit(version.number).cast("bigint").alias("version"), "row_count", "price")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("ingest_rejects")
+def _ingest_rejects(m: Models) -> DataFrame:
+    """Order items as CSV, some with malformed prices or numbers, loaded with the malformed rows set aside: good rows, rejected values."""
+    d, root = m.scratch("csv"), m.scratch("checked")
+    items = m.raw["order_items"]
+    text = items.select(*[F.col(c).cast("string").alias(c) for c in items.columns])
+    key = F.col("order_id").cast("bigint")
+    text = text.withColumns({
+        "price": F.when(key % 50 == 0, F.concat(F.lit("EUR "), F.col("price"))).otherwise(F.col("price")),
+        "order_item_id": F.when(key % 75 == 0, F.lit("one, or two")).otherwise(F.col("order_item_id")),
+    })
+    text.write.option("header", True).option("escape", '"').csv(f"{d}/order_items.csv")
+    FS.load_checked(m.spark, f"{d}/order_items.csv", FX.adapter_schemas()["order_items"], root, "raw", "order_items")
+    good = FS.read_table(m.spark, root, "raw", "order_items")
+    good = content_key(good, ["order_id", "order_item_id", "product_id", "price"]).select(F.lit("(good)").alias("column"), "row_count", "content")
+    bad = FS.rejected_rows(m.spark, root, "raw", "order_items")
+    bad = bad.groupBy("column").agg(F.count(F.lit(1)).alias("row_count"), F.sum(F.length("value")).cast("bigint").alias("content"))
+    return good.unionByName(bad)
+
+
 @query("mart_category_year")
 def _mart_category_year(m: Models) -> DataFrame:
     """Category/year selection on the year-partitioned mart: the year filter prunes folders."""

@@ -447,6 +447,13 @@ FINAL: dict[str, str] = {
     "ingest_all": _ingest_all(),
     "build_all": _build_all(),
     "mart_roundtrip": "SELECT * FROM fct_orders",
+    "mart_reuse": "SELECT revenue_month, product_category, monthly_revenue FROM monthly_revenue_by_cat WHERE revenue_year >= 1996",
+    "table_versions": """SELECT CAST(4 - least AS BIGINT) AS version, count(*) AS row_count, CAST(sum(price) AS DECIMAL(38,2)) AS price
+        FROM raw_order_items JOIN (VALUES (2), (1)) t(least) ON order_id % 4 >= least GROUP BY least""",
+    "ingest_rejects": _content("(good)", '"column"', "(SELECT * FROM raw_order_items WHERE order_id % 50 <> 0 AND order_id % 75 <> 0)", ["order_id", "order_item_id", "product_id", "price"])
+    + """
+        UNION ALL SELECT 'price', count(*), CAST(sum(len('EUR ' || CAST(price AS VARCHAR))) AS BIGINT) FROM raw_order_items WHERE order_id % 50 = 0
+        UNION ALL SELECT 'order_item_id', count(*), CAST(sum(len('one, or two')) AS BIGINT) FROM raw_order_items WHERE order_id % 75 = 0""",
     "mart_scan": "SELECT revenue_month, product_category, monthly_revenue FROM monthly_revenue_by_cat",
     "mart_category_year": f"SELECT * FROM monthly_revenue_by_cat WHERE product_category IN {SEL_CATS} AND revenue_year IN {SEL_YEARS}",
     # staging

@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..schemas import FREE_TEXT_TABLES
 from ..sources.files import normalize_name, read_table, table_exists, table_path
+from ..sources.versions import current
 
 
 def stream_table(
@@ -33,8 +34,11 @@ def stream_table(
     """Start an ``availableNow`` stream from CSV files in ``landing`` into ``<root>/<tier>/<name>``.
 
     Returns the started query; call ``awaitTermination()`` to wait for the
-    files present at start to be processed.
+    files present at start to be processed.  A table that batch loads replace
+    as a whole cannot be appended to.
     """
+    if current(spark, table_path(root, tier, name)) is not None:
+        raise ValueError(f"{tier}.{name} is replaced by versions; a stream needs a table of its own")
     reader = (
         spark.readStream.schema(schema)
         .option("header", True)

@@ -1,0 +1,170 @@
+"""Versioned tables, results kept by version, malformed rows set aside."""
+
+from __future__ import annotations
+
+import os
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from basketry.schemas import SELLERS
+from basketry.sources import files as FS
+from basketry.sources import versions as V
+from basketry.sources.results import result, selection
+from basketry.streaming.ingest import ingest_available
+
+
+def ids(df):
+    return sorted(r[0] for r in df.collect())
+
+
+class Killed(Exception):
+    pass
+
+
+STEPS = {
+    "before the rows": ("basketry.sources.files.V.new_id", None),
+    "before the commit": ("basketry.sources.files.V.commit", None),
+    "before clean-up": ("basketry.sources.files.V.vacuum", None),
+    "in clean-up, before a commit file goes": ("basketry.sources.versions.delete", 0),
+    "in clean-up, before its rows go": ("basketry.sources.versions.delete", 1),
+}
+
+
+@pytest.mark.parametrize("step", STEPS)
+def test_a_writer_killed_at_any_step_leaves_a_whole_table(spark, tmp_path, monkeypatch, step):
+    root = str(tmp_path)
+    for n in (3, 5):
+        FS.write_table(spark.range(n), root, "raw", "t")
+    target, calls = STEPS[step]
+    module, name = target.rsplit(".", 1)
+    real = V.delete
+    count = [0]
+
+    def dies(*a, **k):
+        if calls is not None and count[0] < calls:
+            count[0] += 1
+            return real(*a, **k)
+        raise Killed
+
+    with monkeypatch.context() as m:
+        m.setattr(target, dies)
+        with pytest.raises(Killed):
+            FS.write_table(spark.range(7), root, "raw", "t")
+    assert ids(FS.read_table(spark, root, "raw", "t")) in (list(range(5)), list(range(7)))
+    for v in V.versions(spark, FS.table_path(root, "raw", "t")):
+        FS.read_table(spark, root, "raw", "t", version=v).count()
+    assert FS.write_table(spark.range(2), root, "raw", "t") == 2
+    assert ids(FS.read_table(spark, root, "raw", "t")) == [0, 1]
+
+
+def test_readers_stay_with_their_version(spark, tmp_path):
+    root = str(tmp_path)
+    FS.write_table(spark.range(4), root, "raw", "t")
+    old = FS.read_table(spark, root, "raw", "t")
+    FS.write_table(spark.range(9), root, "raw", "t")
+    assert old.count() == 4 and FS.read_table(spark, root, "raw", "t").count() == 9
+    FS.write_table(spark.range(1), root, "raw", "t")
+    path = FS.table_path(root, "raw", "t")
+    assert [v.number for v in V.versions(spark, path)] == [2, 3]
+    assert len([n for n in os.listdir(path) if n.startswith("data-")]) == 2
+
+
+def test_two_writers_of_one_number(spark, tmp_path):
+    """Both commits stand; all readers take the same one, and the next writer's comes after both."""
+    path = FS.table_path(str(tmp_path), "raw", "t")
+    for id_, n in (("b" * 16, 2), ("a" * 16, 3)):
+        spark.range(n).write.parquet(f"{path}/data-{id_}")
+    for id_ in ("b" * 16, "a" * 16):
+        fs, p = V.hadoop(spark, f"{path}/_commits/{V.Version(1, id_).name}")
+        fs.create(p, False).close()
+    assert FS.read_table(spark, str(tmp_path), "raw", "t").count() == 2
+    assert FS.write_frame(spark.range(6), path).number == 2
+    assert FS.read_table(spark, str(tmp_path), "raw", "t").count() == 6
+
+
+def test_folders_without_a_commit(spark, tmp_path):
+    """What a dead writer left is never read, and goes once it is old."""
+    path = FS.table_path(str(tmp_path), "raw", "t")
+    spark.range(5).write.parquet(f"{path}/data-dead")
+    assert not FS.table_exists(spark, str(tmp_path), "raw", "t")
+    FS.write_table(spark.range(2), str(tmp_path), "raw", "t")
+    assert FS.table_exists(spark, str(tmp_path), "raw", "t") and os.path.isdir(f"{path}/data-dead")
+    V.vacuum(spark, path, orphan_hours=-1)
+    assert not os.path.isdir(f"{path}/data-dead") and FS.read_table(spark, str(tmp_path), "raw", "t").count() == 2
+
+
+def test_partitioned_versions_prune_folders(spark, tmp_path):
+    root = str(tmp_path)
+    FS.write_table(spark.range(20).withColumn("year", (F.col("id") % 4).cast("int")), root, "analytics", "m", partition_by=["year"])
+    one = FS.read_table(spark, root, "analytics", "m").where("year = 2")
+    assert ids(one.select("id")) == [2, 6, 10, 14, 18]
+    assert "PartitionFilters: [isnotnull(year" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_stream_does_not_append_to_a_versioned_table(spark, tmp_path):
+    FS.write_table(spark.createDataFrame([], SELLERS), str(tmp_path), "raw", "sellers")
+    with pytest.raises(ValueError, match="versions"):
+        ingest_available(spark, str(tmp_path), "sellers", SELLERS, str(tmp_path))
+
+
+def test_a_result_is_scanned_again_until_the_mart_changes(spark, tmp_path):
+    root, calls = str(tmp_path), []
+    FS.write_table(spark.range(10), root, "analytics", "m")
+
+    def build(rows):
+        calls.append(1)
+        return rows.agg(F.sum("id").alias("s"))
+
+    first, second = (result(spark, root, "m", "sum", build) for _ in range(2))
+    assert first.first().s == second.first().s == 45 and len(calls) == 1
+    assert all("/_results/" in f for f in second.inputFiles())  # the mart is not read
+    FS.write_table(spark.range(3), root, "analytics", "m")
+    assert result(spark, root, "m", "sum", build).first().s == 3 and len(calls) == 2
+    FS.write_table(spark.range(2), root, "analytics", "m")
+    assert result(spark, root, "m", "sum", build).first().s == 1
+    assert len(os.listdir(tmp_path / "_results" / "m")) == 2  # of versions that are kept
+
+
+def test_selections_differ_by_columns_and_condition(spark, tmp_path):
+    root = str(tmp_path)
+    FS.write_table(spark.range(10).withColumn("x", F.col("id") * 2), root, "analytics", "m")
+    a, b, c = (selection(spark, root, "m", *k) for k in ((["id"], "x > 6"), (["x"], "x > 6"), (["id"], None)))
+    assert ids(a) == list(range(4, 10)) and ids(b) == list(range(8, 20, 2)) and ids(c) == list(range(10))
+
+
+def test_a_mart_without_versions_is_read_as_it_is(spark, tmp_path):
+    spark.range(4).write.parquet(str(tmp_path / "analytics" / "m"))
+    assert result(spark, str(tmp_path), "m", "n", lambda rows: rows.where("id > 1")).count() == 2
+    assert not (tmp_path / "_results").exists()
+
+
+SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("price", T.DecimalType(10, 2)), T.StructField("at", T.TimestampNTZType())])
+
+
+@pytest.mark.parametrize("free_text", [False, True])
+def test_malformed_values_are_set_aside(spark, tmp_path, free_text):
+    """Good and rejected rows are all rows; every malformed value is told, with its column and file."""
+    (tmp_path / "t.csv").write_text(
+        "At,extra,id,price\n"
+        "2018-01-01 00:00:00,x,1,10.50\n"
+        ",,2,\n"
+        "never,x,3,1.00\n"
+        '2018-01-01 00:00:00,"a, b",four,cheap\n'
+        "2018-01-01 00:00:00,x,5\n"
+        "2018-01-02 00:00:00,x,6,2.00\n"
+    )
+    root = str(tmp_path / "wh")
+    assert FS.load_checked(spark, str(tmp_path / "t.csv"), SCHEMA, root, "raw", "t", free_text) == (3, 3)
+    good = FS.read_table(spark, root, "raw", "t")
+    assert good.columns == ["id", "price", "at"] and ids(good) == [1, 2, 6]
+    bad = FS.rejected_rows(spark, root, "raw", "t")
+    assert {(r.column, r.value) for r in bad.collect()} == {("at", "never"), ("id", "four"), ("price", "cheap"), (None, "2018-01-01 00:00:00,x,5")}
+    assert all(r.file.endswith("t.csv") for r in bad.collect())
+    (tmp_path / "t.csv").write_text("id,price,at\n1,1.00,\n")
+    assert FS.load_checked(spark, str(tmp_path / "t.csv"), SCHEMA, root, "raw", "t", free_text) == (1, 0)
+    assert FS.rejected_rows(spark, root, "raw", "t").count() == 0
+    (tmp_path / "t.csv").write_text("id,price,at\nx,1.00,\n")
+    assert FS.load_checked(spark, str(tmp_path / "t.csv"), SCHEMA, root, "raw", "t", free_text) == (0, 1)
+    assert FS.read_table(spark, root, "raw", "t").count() == 0
