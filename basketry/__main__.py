@@ -16,7 +16,7 @@ import argparse
 import sys
 import time
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from .operators.quality import CHECKS, EXTRA_CHECKS, run_checks
 from .plans.build import MARTS, STAGING, build, buildable
@@ -73,22 +73,25 @@ def report(
 
     Product audit: anomaly and Pareto KPIs for the selected categories (all when
     none are given); retention: customers, repeat rates, lifecycle shares and
-    same-day orders; category revenue: yearly mean monthly revenue.
+    same-day orders; category revenue: yearly mean monthly revenue.  Labels and
+    selected columns are kept by the marts' versions: a second report of the
+    same choice scans neither product nor retention mart.
     """
     from .operators import aggregates as A
     from .operators import filters as FL
     from .operators import metrics as K
     from .operators.anomaly import detect_anomalies
     from .sources.files import read_mart
+    from .sources.results import result, selection
+
+    def labels(pcd: DataFrame) -> DataFrame:
+        return detect_anomalies(FL.in_categories(pcd, categories) if categories else pcd, contamination=contamination)
 
     out: dict[str, list] = {}
-    pcd = read_mart(spark, root, "product_cost_decomposition")
-    if categories:
-        pcd = FL.in_categories(pcd, categories)
-    labelled = detect_anomalies(pcd, contamination=contamination)
+    labelled = result(spark, root, "product_cost_decomposition", repr(("labels", sorted(categories or []), contamination)), labels)
     out["anomalies"] = K.anomaly_kpis(FL.reliable_only(labelled)).collect()
-    out["pareto"] = K.pareto_kpis(pcd).collect()
-    ret = read_mart(spark, root, "customer_retention")
+    out["pareto"] = K.pareto_kpis(labelled).collect()
+    ret = selection(spark, root, "customer_retention", ["customer_unique_id", "order_sequence", "total_customer_orders", "lifecycle_stage", "days_between_orders"])
     out["customers"] = K.unique_customers(ret).collect()
     out["repeat_rate"] = K.repeat_rate(ret).collect()
     out["customer_repeat_rate"] = K.customer_repeat_rate(ret).collect()

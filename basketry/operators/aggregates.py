@@ -5,6 +5,8 @@ never gathers its raw rows in one task.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -138,6 +140,39 @@ def histogram(df: DataFrame, col: str, width: float, start: float = 0.0) -> Data
     )
 
 
+def nice_width(df: DataFrame, col: str, most: int) -> Decimal:
+    """The least width 1, 2 or 5 times a power of ten whose aligned bins cover ``col`` in at most ``most`` bins.
+
+    One pass for the smallest and largest value; the search runs over those two
+    numbers.  A column of one value, or without any, has width 1.
+    """
+    x = F.col(col).cast("decimal(38,9)")
+    s = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
+    if s["lo"] is None or s["lo"] == s["hi"]:
+        return Decimal(1)
+    # a width of the span / most is too small by less than a factor of ten
+    exponent = ((s["hi"] - s["lo"]) / most).adjusted()
+    widths = (Decimal(step).scaleb(exponent + k) for k in range(3) for step in (1, 2, 5))
+    return next(w for w in widths if s["hi"] // w - s["lo"] // w + _below(s["lo"], w) - _below(s["hi"], w) + 1 <= most)
+
+
+def _below(x: Decimal, w: Decimal) -> int:
+    """1 where Decimal's division (towards zero) lies above the floor."""
+    return int(x < 0 and x % w != 0)
+
+
+def nice_histogram(df: DataFrame, col: str, most: int) -> DataFrame:
+    """(bin, bin_start, bin_end, count): aligned bins of a readable width, at most ``most``; NULL values are not counted.
+
+    Bins are cut in exact decimals, so a value on a border is in the bin it starts.
+    """
+    width = F.lit(nice_width(df, col, most)).cast("decimal(20,9)")
+    b = F.floor(F.col(col).cast("decimal(20,9)") / width).cast("bigint")
+    counts = df.where(F.col(col).isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    edge = lambda n: (n.cast("decimal(18,0)") * width).cast("decimal(28,9)")
+    return counts.select("bin", edge(F.col("bin")).alias("bin_start"), edge(F.col("bin") + 1).alias("bin_end"), "count")
+
+
 def distinct_sorted(df: DataFrame, col: str, cast: str | None = None) -> DataFrame:
     """Sorted distinct values of one column (a small result: the value domain)."""
     c = F.col(col).cast(cast).alias(col) if cast else F.col(col)

@@ -7,6 +7,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from decimal import Decimal
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +24,24 @@ def positive_amount(df: DataFrame, col: str) -> DataFrame:
     return df.where(F.col(col) > 0)
 
 
+#: Selections up to this many values are pushed to the scan as a predicate; longer ones are joined.
+PREDICATE_VALUES = 500
+
+
 def in_values(df: DataFrame, col: str, values: Iterable) -> DataFrame:
-    """Membership filter, pushed to the scan; an empty selection gives an empty frame."""
-    return df.where(F.col(col).isin(list(values)))
+    """Membership filter; an empty selection gives an empty frame, NULL is in none.
+
+    A short selection is a predicate that reaches the scan.  A long one becomes
+    a left semi join with the distinct values: the plan holds one relation
+    instead of a literal per value, its size in bytes decides between a broadcast
+    and a shuffle, and its values still prune partition folders at run time.
+    """
+    values = [v for v in dict.fromkeys(values) if v is not None]
+    if len(values) <= PREDICATE_VALUES:
+        return df.where(F.col(col).isin(values))
+    wanted = pa.table({"__wanted": pa.array(values)})
+    side = df.sparkSession.createDataFrame(wanted).select(F.col("__wanted").cast(df.schema[col].dataType))
+    return df.join(side, F.col(col) == F.col("__wanted"), "left_semi")
 
 
 def in_categories(df: DataFrame, categories: Iterable[str], col: str = "category") -> DataFrame:

@@ -21,6 +21,29 @@ def unique_customers(ret: DataFrame, approx: bool = False) -> DataFrame:
     return ret.agg(c.cast("bigint").alias("total_customers"))
 
 
+#: Buckets of a sketch of distinct persons (a power of two), and what an estimate may be off by: four standard errors.
+SKETCH_BITS = 14
+SKETCH_ERROR = 4 * 1.04 / 2 ** (SKETCH_BITS / 2)
+
+
+def person_sketches(ret: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
+    """(order_month, orders, persons binary): a HyperLogLog sketch of each month's distinct persons.
+
+    Sketches merge: distinct persons of any months come from their union, so a
+    selection of months is answered from a few kilobytes a month, and a new
+    month adds a row without a scan of the older ones.  Null persons are not counted.
+    """
+    month = F.date_trunc("month", F.col("most_recent_purchase_at")).cast("date").alias("order_month")
+    sketch = F.hll_sketch_agg(F.col("customer_unique_id").cast("string"), bits)
+    return ret.groupBy(month).agg(F.count(F.lit(1)).alias("orders"), sketch.alias("persons"))
+
+
+def persons_of(sketches: DataFrame, by: list | None = None) -> DataFrame:
+    """Estimated distinct persons of all rows of ``person_sketches``, or of each group of them."""
+    united = sketches.groupBy(*(by or [])).agg(F.hll_union_agg("persons").alias("persons"), F.sum("orders").alias("orders"))
+    return united.select(*[c for c in united.columns if c not in ("persons", "orders")], "orders", F.hll_sketch_estimate("persons").alias("persons"))
+
+
 def repeat_rate(ret: DataFrame) -> DataFrame:
     """Share of *orders* that are repeats, in percent (NULL on an empty mart)."""
     return ret.agg(

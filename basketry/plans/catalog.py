@@ -502,6 +502,35 @@ def _distinct_on_person(m: Models) -> DataFrame:
     return M.customers_unique(m.stg_customer)
 
 
+@query("hist_recency_nice")
+def _hist_recency_nice(m: Models) -> DataFrame:
+    """Recency of all orders in at most 50 bins of a readable width."""
+    return A.nice_histogram(m.retention, "recency_days", 50)
+
+
+@query("hist_gap_nice")
+def _hist_gap_nice(m: Models) -> DataFrame:
+    """Gaps of true repeats in at most 200 bins of a readable width."""
+    return A.nice_histogram(FL.true_repeats(m.event_retention), "days_between_orders", 200)
+
+
+@query("kpi_unique_customers_sketch")
+def _kpi_unique_sketch(m: Models) -> DataFrame:
+    """Per year: orders and distinct persons, and whether the union of the months' sketches is within its error bound."""
+    ret = m.retention
+    year = lambda c: F.year(c).cast("bigint").alias("year")
+    sketched = K.persons_of(K.person_sketches(ret).withColumn("year", year(F.col("order_month"))), ["year"]).withColumnRenamed("persons", "estimate")
+    exact = ret.groupBy(year(F.col("most_recent_purchase_at"))).agg(F.count_distinct("customer_unique_id").alias("persons"))
+    off = F.abs(F.col("estimate") - F.col("persons")) <= F.ceil(F.col("persons") * F.lit(K.SKETCH_ERROR))
+    return sketched.join(exact, "year").select("year", "orders", "persons", off.alias("within_bound"))
+
+
+@query("flt_many_products")
+def _flt_many_products(m: Models) -> DataFrame:
+    """A selection of very many values (every third key up to 300,000): joined, not spelled out."""
+    return FL.in_values(m.pcd, "product_id", range(0, 300_000, 3)).select("product_id", "category", "sales_count")
+
+
 @query("kpi_unique_customers")
 def _kpi_unique(m: Models) -> DataFrame:
     return K.unique_customers(m.retention)

@@ -407,6 +407,20 @@ def _content(name: str, label: str, source: str, columns: list[str]) -> str:
     return f"SELECT '{name}' AS {label}, count(*) AS row_count, CAST(coalesce(sum({digest}), 0) AS BIGINT) AS content FROM {source}"
 
 
+def _nice_hist(src: str, col: str, most: int) -> str:
+    """Bins of the least width 1, 2 or 5 times a power of ten that needs at most ``most`` of them, in whole billionths."""
+    nano = lambda x: f"CAST(CAST({x} AS DECIMAL(38,9)) * 1000000000 AS HUGEINT)"
+    below = lambda x: f"(({x} - (({x} % w) + w) % w) // w)"
+    edge = lambda n: f"CAST(CAST({n} * w AS DECIMAL(38,0)) * CAST(0.000000001 AS DECIMAL(9,9)) AS DECIMAL(28,9))"
+    return f"""SELECT CAST(bin AS BIGINT) AS bin, {edge('bin')} AS bin_start, {edge('(bin + 1)')} AS bin_end, count(*) AS count
+        FROM (SELECT w, {below('x')} AS bin FROM (SELECT {nano(col)} AS x FROM {src}),
+              (SELECT coalesce(min(w), 1000000000) AS w
+               FROM (SELECT CAST(step AS HUGEINT) * CAST(pow(10, power) AS HUGEINT) AS w FROM (VALUES (1), (2), (5)) s(step), range(0, 16) p(power)),
+                    (SELECT {nano(f'min({col})')} AS lo, {nano(f'max({col})')} AS hi FROM {src})
+               WHERE lo < hi AND {below('hi')} - {below('lo')} + 1 <= {most}))
+        WHERE bin IS NOT NULL GROUP BY bin, w"""
+
+
 def _ingest_all() -> str:
     source = {"product_category_name_translation": "raw_translation"}
     return "\nUNION ALL\n".join(_content(t, "table_name", source.get(t, f"raw_{t}"), s.fieldNames()) for t, s in RAW_SCHEMAS.items())
@@ -492,6 +506,11 @@ FINAL: dict[str, str] = {
     "agg_product_means": "SELECT product_id, sales_count, avg_price, avg_freight, avg_total_cost FROM product_moments",
     "agg_product_volatility": "SELECT product_id, price_volatility, freight_volatility, total_cost_volatility FROM product_moments",
     "distinct_on_person": "SELECT * FROM customers_unique",
+    "hist_recency_nice": _nice_hist("customer_retention", "recency_days", 50),
+    "hist_gap_nice": _nice_hist("(SELECT * FROM event_retention WHERE order_sequence > 1 AND days_between_orders > 0.05)", "days_between_orders", 200),
+    "kpi_unique_customers_sketch": """SELECT year(most_recent_purchase_at) AS year, count(*) AS orders, count(DISTINCT customer_unique_id) AS persons, true AS within_bound
+        FROM customer_retention GROUP BY 1""",
+    "flt_many_products": "SELECT product_id, category, sales_count FROM product_cost_decomposition WHERE product_id < 300000 AND product_id % 3 = 0",
     "kpi_unique_customers": "SELECT CAST(count(DISTINCT customer_unique_id) AS BIGINT) AS total_customers FROM customer_retention",
     "distinct_categories": "SELECT DISTINCT category FROM product_cost_decomposition",
     "distinct_years": "SELECT DISTINCT CAST(revenue_year AS INTEGER) AS revenue_year FROM monthly_revenue_by_cat",
