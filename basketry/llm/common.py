@@ -17,14 +17,19 @@ SLICE_BYTES = 500_000
 #: Rows that Spark hands to Python at once: whole texts, so far fewer than its default of 10 000.
 BATCH_ROWS = 1000
 _BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: A Python worker that neither takes nor gives anything for so many seconds is ended, and its task runs again.
+IDLE_SECONDS = 600
+_IDLE_CONF = {"spark.sql.execution.pyspark.udf.idleTimeoutSeconds": str(IDLE_SECONDS), "spark.sql.execution.pyspark.udf.killOnIdleTimeout": "true"}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Shared checkpoint folder, package on the executors, and smaller Arrow batches (memory only, no result changes)."""
+    """Shared checkpoint folder, package on the executors, smaller Arrow batches, and an end for stalled Python workers (no result changes)."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
     if not 0 < int(spark.conf.get(_BATCH_CONF)) <= BATCH_ROWS:
         spark.conf.set(_BATCH_CONF, str(BATCH_ROWS))
+    for k, v in _IDLE_CONF.items():
+        spark.conf.set(k, v)
     return spark
 
 

@@ -3,15 +3,15 @@
 Tokens (words) are summed per source; a source's target is its weight's share
 of the mix, stopped at a multiple of its size with the excess shared anew; a
 source's repetition rate is target / size.  Each document is taken floor(rate)
-times, plus once more with probability frac(rate).
-
-The extra copies are Bernoulli draws seeded by a hash, made systematic within
-blocks of one source: the documents of a block (dealt by a hash of the id) are
-ordered by size, and document k is taken once more if an integer lies in
-(u + k * p, u + (k + 1) * p], u being the hash of the block.  Every document's
-probability is p; sizes taken and not taken balance within each block, so that
-even a source of few documents comes near its target, and no window ever sees
-more than a block.
+times, plus once more by a Bernoulli draw of its own with probability
+frac(rate), seeded by a hash of the document: no window, no order, no other
+document has a say in it.
+
+A few long documents can throw a small source far off its target whatever the
+generator.  So a document has not one seed but SEEDS of them (from one digest,
+a pairwise independent family), one grouped aggregate sums what each seed would
+take of each source, and every source is drawn with the seed that comes
+nearest to its target.
 """
 
 from __future__ import annotations
@@ -19,14 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fewer_files
+from .common import checkpointed, fewer_files, written
 
 #: Weights of the sources in code point order, repeating; share of all words that the mix takes; most repetitions.
 WEIGHTS, TAKE_PERCENT, MOST = (5, 2, 1), 150, 2
 #: The table of sources is broadcast up to this number of rows, else joined by a shuffle.
 BROADCAST_SOURCES = 100_000
-#: Documents a block of the systematic draw holds on average.
-BLOCK_DOCS = 1000
+#: Seeds of a document, and the modulus of their family (a prime below 2**31).
+SEEDS, PRIME = 32, 2_147_483_647
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -35,9 +35,16 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def unit(value: Column) -> Column:
-    """A number in [0, 1) from the md5 of a string."""
-    return F.conv(F.substring(F.md5(value), 1, 12), 16, 10).cast("long").cast("double") / F.lit(float(1 << 48))
+def _numbers(doc_id: Column, text: Column, seed: str) -> tuple[Column, Column]:
+    """Two numbers below PRIME from a digest of a document (its id and text)."""
+    digest = F.md5(F.concat_ws("\x01", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")))))
+    a, b = (F.conv(F.substring(digest, i, 8), 16, 10).cast("long") % PRIME for i in (1, 9))
+    return a, b
+
+
+def unit(a: Column, b: Column, nth: Column) -> Column:
+    """A document's number in [0, 1) under one of its seeds."""
+    return ((a * nth + b) % PRIME).cast("double") / F.lit(float(PRIME))
 
 
 def targets(sources: DataFrame, weights: tuple = WEIGHTS, percent: int = TAKE_PERCENT, most: int = MOST) -> DataFrame:
@@ -73,31 +80,43 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, percent: int = TAKE_PERCENT,
     """``docs`` with size, source_size, target, rate and copies (how often the mix takes the row).
 
     Null text: size 0; null sources form one source, last in order; sources of
-    size 0 have rate 0; an empty table gives no rows.  Repeated rows are drawn
-    one by one.  All columns of ``docs`` stay, but those named like a new one,
+    size 0 have rate 0; an empty table gives no rows.  Rows that repeat id and
+    text are drawn alike, rows of one id (null, too) and different texts on
+    their own.  All columns of ``docs`` stay, but those named like a new one,
     which are replaced.
     """
-    docs = docs.drop("size", "source_size", "target", "rate", "copies")
-    sized = docs.withColumn("size", words(F.col("text")))
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_docs"))
+    keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "rate", "copies")]
+    return _mix(docs, weights, percent, most, seed).select(*[F.col(f"row.`{c}`") for c in keep], "size", "source_size", "target", "rate", "copies")
+
+
+def _mix(docs: DataFrame, weights: tuple = WEIGHTS, percent: int = TAKE_PERCENT, most: int = MOST, seed: str = "mix") -> DataFrame:
+    """(row, size, source_size, target, rate, copies): ``row`` holds all columns of ``docs``, whatever their names."""
+    a, b = _numbers(F.col("doc_id"), F.col("text"), seed)
+    small = written(docs.select("source", words(F.col("text")).alias("size"), a.alias("a"), b.alias("b")), "sizes", large=True)
+    per = small.groupBy("source").agg(F.sum("size").alias("source_size"))
     per = targets(per, weights, percent, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    per = per.select(F.col("source").alias("_source"), "source_size", "target", rate.alias("rate"), F.ceil(F.col("source_docs") / BLOCK_DOCS).alias("_blocks"))
-    if per.count() <= BROADCAST_SOURCES:
-        per = F.broadcast(per)
-    rows = sized.join(per, F.col("source").eqNullSafe(F.col("_source")))
-    name = F.concat_ws("\x01", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = rows.withColumn("_block", F.floor(unit(name) * F.col("_blocks"))).withColumn("_tie", F.xxhash64("text"))
-    k = F.row_number().over(Window.partitionBy("_source", "_block").orderBy("size", "doc_id", "_tie"))
-    block = (F.coalesce(F.col("_source"), F.lit("")), F.col("_source").isNull().cast("string"), F.col("_block").cast("string"))
-    u, whole = unit(F.concat_ws("\x01", F.lit(seed), *block)), F.floor("rate")
-    p = F.col("rate") - whole
-    extra = F.floor(u + k * p) - F.floor(u + (k - 1) * p)
-    out = rows.withColumn("copies", (whole + extra).cast("long")).drop("_source", "_blocks", "_block", "_tie")
+    per = checkpointed(per.select(F.col("source").alias("of"), "source_size", "target", rate.alias("rate")))
+    few = per.count() <= BROADCAST_SOURCES
+    side = F.broadcast(per) if few else per
+    part = F.col("rate") - F.floor("rate")
+    drawn = [F.sum(F.when(unit(F.col("a"), F.col("b"), F.lit(k)) < part, F.col("size")).otherwise(0)).alias(f"s{k}") for k in range(1, SEEDS + 1)]
+    sums = small.join(side, F.col("source").eqNullSafe(F.col("of"))).groupBy("of", "source_size", "target", "rate").agg(*drawn)
+    # the seed whose draw lies nearest to what is left of the target (the first of equals)
+    off = lambda k: F.abs(F.col(f"s{k}") + F.floor("rate") * F.col("source_size") - F.col("target"))
+    best = F.array_min(F.array(*[F.struct(off(k).alias("off"), F.lit(k).alias("k")) for k in range(1, SEEDS + 1)]))["k"]
+    per = checkpointed(sums.select("of", "source_size", "target", "rate", best.alias("seed")))
+    side = F.broadcast(per) if few else per
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.join(side, F.col("row.source").eqNullSafe(F.col("of")))
+    a, b = _numbers(F.col("row.doc_id"), F.col("row.text"), seed)
+    copies = F.floor("rate") + F.when(unit(a, b, F.col("seed")) < part, 1).otherwise(0)
+    out = rows.select("row", words(F.col("row.text")).alias("size"), "source_size", "target", "rate", copies.cast("long").alias("copies"))
     return fewer_files(out, 2)
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as ``mix`` takes it, with the columns of ``docs``."""
-    taken = mix(docs, **options).where("copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+    taken = _mix(docs, **options).where("copies > 0")
+    each = taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return each.select(*[F.col(f"row.`{c}`") for c in docs.columns])

@@ -1,14 +1,18 @@
 """Quality classifier by positive-unlabelled learning.
 
 Trusted positives are documents labelled 1; unlabelled web text is everything
-without a label; negatives are never shown to the risk.  With class prior q
-(estimated from the labelled share, smoothed) the model g minimises the
-non-negative unbiased risk (Kiryo et al., 2017)
+without a label; labels 0 are never used.  With class prior q the model g
+minimises the non-negative unbiased risk (Kiryo et al., 2017)
 
     q * E_P[l(g)] + max(0, E_U[l(-g)] - q * E_P[l(-g)])
 
 with the logistic loss l, so sigmoid(g) grows with the chance of label 1; the
-valley between the classes is then put at the accepting score.  g is
+valley between the classes is then put at the accepting score.  The prior is
+estimated from positives and unlabelled text alone: above any score lie at
+least q times as large a share of the unlabelled texts as of the positives, and
+just as large a share where no negative lies, so q is the least ratio of the
+two shares (the slope at the end of the ROC curve), over positives that the
+scoring model has not seen.  g is
 linear in counts of byte classes, word repetition and word lengths (and their
 square roots); the text's words, language, source and id are not used.
 """
@@ -110,37 +114,70 @@ class Model:
     bias: float
     prior: float
 
+    def margin(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights + self.bias
+
     def score(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights + self.bias
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(self.margin(x), -40, 40)))
+
+
+#: Positives that an estimate of the prior takes at least; shares of held-out positives that its ratios look at.
+LEAST_POSITIVES, SHARES = 20, (0.3, 0.95)
+
+
+def estimated_prior(p: np.ndarray, u: np.ndarray) -> float:
+    """Share of positives among the unlabelled rows; 0.5 where there are too few rows to tell."""
+    if len(p) < LEAST_POSITIVES or not len(u):
+        return 0.5
+    found = []
+    for own in (0, 1):  # half of the rows train, the others tell
+        half, part = np.arange(len(p)) % 2 == own, np.arange(len(u)) % 2 == own
+        if not part.any() or part.all():
+            return 0.5
+        m = _minimised(p[half], u[part], 0.5, rounds=200)
+        seen, all_ = np.sort(m.margin(p[~half])), np.sort(m.margin(u[~part]))
+        at = seen[(np.linspace(1 - SHARES[1], 1 - SHARES[0], 50) * len(seen)).astype(int)]
+        positive = 1 - np.searchsorted(seen, at) / len(seen)
+        ratio = (1 - np.searchsorted(all_, at) / len(all_)) / positive
+        # the least of ten neighbours' means: a single ratio profits from chance
+        found.append(float(np.convolve(ratio, np.full(10, 0.1), "valid").min()))
+    return float(np.clip(np.mean(found), 0.01, 0.99))
+
+
+def fit(p: np.ndarray, u: np.ndarray, prior: float | None = None) -> Model:
+    """Minimise the non-negative PU risk; ``prior`` None: estimated.  Without positives or unlabelled rows the prior is the score."""
+    prior = estimated_prior(p, u) if prior is None else float(np.clip(prior, 0.01, 0.99))
+    if not len(p) or not len(u):
+        return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), float(np.log(prior / (1 - prior))), prior)
+    m = _minimised(p, u, prior)
+    return Model(m.mean, m.scale, m.weights, m.bias + _shift(m.margin(u), prior), prior)
 
 
-def fit(p: np.ndarray, u: np.ndarray, prior: float, rounds: int = 600, rate: float = 0.02, decay: float = 1e-4) -> Model:
-    """Minimise the non-negative PU risk by full-batch Adam; without positives or unlabelled rows the prior is the score."""
-    prior = float(np.clip(prior, 0.01, 0.99))
-    bias = float(np.log(prior / (1 - prior)))
-    if not len(p) or not len(u):
-        return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), bias, prior)
+def risk(w: np.ndarray, px: np.ndarray, ux: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the risk of weights ``w``: of positives as positives, and of negatives (below 0: the model fits noise)."""
+    gp, gu = px @ w, ux @ w
+    return prior * np.logaddexp(0, -gp).mean(), np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+
+
+def _minimised(p: np.ndarray, u: np.ndarray, prior: float, rounds: int = 600, rate: float = 0.02, decay: float = 1e-4) -> Model:
+    """Full-batch Adam on the non-negative risk."""
     both = np.vstack([p, u])
     mean, scale = both.mean(0), both.std(0)
     scale[scale < 1e-9] = 1.0
-    p, u = (np.clip((x - mean) / scale, -8, 8) for x in (p, u))
-    w = np.zeros(p.shape[1] + 1)
-    w[-1] = bias
+    px, ux = (np.c_[np.clip((x - mean) / scale, -8, 8), np.ones(len(x))] for x in (p, u))
+    w = np.zeros(px.shape[1])
+    w[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
-    px, ux = np.c_[p, np.ones(len(p))], np.c_[u, np.ones(len(u))]
     for t in range(1, rounds + 1):
-        gp, gu = px @ w, ux @ w
-        sp, su = 1 / (1 + np.exp(-gp)), 1 / (1 + np.exp(-gu))
-        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+        sp, su = 1 / (1 + np.exp(-px @ w)), 1 / (1 + np.exp(-ux @ w))
         grad_negative = ux.T @ su / len(u) - prior * (px.T @ sp) / len(p)
         grad_positive = -prior * (px.T @ (1 - sp)) / len(p)
-        # where the negative risk falls below 0 the model fits noise: step back from it
-        grad = grad_positive + grad_negative if negative >= 0 else -grad_negative
+        # where the negative risk falls below 0, step back from it
+        grad = grad_positive + grad_negative if risk(w, px, ux, prior)[1] >= 0 else -grad_negative
         grad[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return Model(mean, scale, w[:-1], float(w[-1]) + _shift(ux @ w, prior), prior)
+    return Model(mean, scale, w[:-1], float(w[-1]), prior)
 
 
 def _shift(g: np.ndarray, prior: float, width: float = 0.05) -> float:
@@ -165,16 +202,17 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 5, held_out: int = 0, m
     """Fit on a bounded sample of the documents outside the held-out fold.
 
     ``labels`` has doc_id and quality (1, 0; other values and nulls count as
-    unlabelled).  Without unlabelled documents the labelled ones stand in, with
-    their labels unseen.
+    unlabelled).  Without unlabelled documents the labelled ones, of either
+    label, stand in as unlabelled.
     """
     learn = F.col("doc_id").isNotNull() & (fold("doc_id", mod) != held_out)
     marked = labels.where("quality in (0, 1)").where(learn).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    n = {r["quality"]: r["n"] for r in marked.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    prior = (n.get(1, 0) + 1) / (sum(n.values()) + 2)
     own = docs.where(learn).select("doc_id").distinct()
     positive = _sampled(own.join(marked.where("quality = 1"), "doc_id", "left_semi"), max_positives).withColumn("kind", F.lit(1))
-    unlabelled = _sampled(own.join(marked, "doc_id", "left_anti"), max_unlabelled).withColumn("kind", F.lit(0))
+    free = own.join(marked, "doc_id", "left_anti")
+    if free.isEmpty():
+        free = own
+    unlabelled = _sampled(free, max_unlabelled).withColumn("kind", F.lit(0))
     sample = positive.unionByName(unlabelled)
     # at most max_positives + max_unlabelled ids
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
@@ -190,8 +228,7 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 5, held_out: int = 0, m
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, N_FEATURES).astype(float)
     x = x[np.lexsort((*x.T[:2], kind))]
     kind = np.sort(kind)
-    u = x[kind == 0]
-    return fit(x[kind == 1], u if len(u) else x, prior)
+    return fit(x[kind == 1], x[kind == 0])
 
 
 def scored(docs: DataFrame, model: Model, to: str = "score") -> DataFrame:
@@ -223,5 +260,8 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, with the columns of ``docs``."""
-    return scored(docs, train(docs, labels), "_score").where(F.col("_score") >= ACCEPT).select(docs.columns)
+    """The rows of ``docs`` that the classifier accepts, with the columns of ``docs`` (whatever their names)."""
+    to = "score"
+    while to in docs.columns:
+        to += "_"
+    return scored(docs, train(docs, labels), to).where(F.col(to) >= ACCEPT).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -66,21 +66,23 @@ level AS (
 goal AS (
   SELECT source, source_size, docs, least(2.0 * source_size, coalesce(CAST(share AS DOUBLE) * weight, 2.0 * source_size)) AS target FROM per CROSS JOIN level
 ),
-rated AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate, CAST(ceil(docs / 1000.0) AS BIGINT) AS blocks FROM goal),
-placed AS (
-  SELECT s.*, r.source_size, r.target, r.rate,
-         CAST(floor(('0x' || substr(md5('mix' || chr(1) || coalesce(CAST(s.doc_id AS VARCHAR), '')), 1, 12))::BIGINT::DOUBLE / 281474976710656.0::DOUBLE * r.blocks) AS BIGINT) AS block
-  FROM sized s JOIN rated r ON s.source IS NOT DISTINCT FROM r.source
-),
+rated AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM goal),
+numbered AS (
+  SELECT s.*, r.source_size, r.target, rate, rate - floor(rate) AS p,
+         ('0x' || substr(d, 1, 8))::BIGINT % 2147483647 AS a, ('0x' || substr(d, 9, 8))::BIGINT % 2147483647 AS b
+  FROM (SELECT *, md5('mix' || chr(1) || coalesce(CAST(doc_id AS VARCHAR), '') || chr(1) || tie) AS d FROM sized) s JOIN rated r ON s.source IS NOT DISTINCT FROM r.source
+),
+-- what each of 32 seeds would take of each source; the nearest to the target counts
+tried AS (
+  SELECT source, k, abs(sum(CASE WHEN ((a * k + b) % 2147483647)::DOUBLE / 2147483647.0::DOUBLE < p THEN size ELSE 0 END) + any_value(floor(rate)) * any_value(source_size) - any_value(target)) AS off
+  FROM numbered, range(1, 33) t(k) GROUP BY source, k
+),
+seeds AS (SELECT source, min(struct_pack(off := off, k := k)).k AS k FROM tried GROUP BY source),
 drawn AS (
-  SELECT *, row_number() OVER (PARTITION BY source, block ORDER BY size, doc_id, tie) AS k,
-         ('0x' || substr(md5('mix' || chr(1) || coalesce(source, '') || chr(1) || CASE WHEN source IS NULL THEN 'true' ELSE 'false' END || chr(1) || CAST(block AS VARCHAR)), 1, 12))::BIGINT::DOUBLE / 281474976710656.0::DOUBLE AS u,
-         rate - floor(rate) AS p
-  FROM placed
+  SELECT n.*, CAST(floor(rate) + CASE WHEN ((a * k + b) % 2147483647)::DOUBLE / 2147483647.0::DOUBLE < p THEN 1 ELSE 0 END AS BIGINT) AS copies
+  FROM numbered n JOIN seeds s ON n.source IS NOT DISTINCT FROM s.source
 )
-SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, CAST(target AS DOUBLE) AS target,
-       CAST(size * (floor(rate) + floor(u + k * p) - floor(u + (k - 1) * p)) AS BIGINT) AS taken,
-       CAST(floor(rate) + floor(u + k * p) - floor(u + (k - 1) * p) AS BIGINT) AS copies
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, CAST(target AS DOUBLE) AS target, CAST(size * copies AS BIGINT) AS taken, copies
 FROM drawn
 """
 

@@ -17,7 +17,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     from basketry.llm.pu_quality import accepted
 
     prepare(spark)
-    return fewer_files(accepted(docs, table(spark, sf_dir, "labels")), 2)
+    return accepted(fewer_files(docs, 2), table(spark, sf_dir, "labels"))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     from basketry.llm.secrets import redacted
 
     prepare(spark)
-    return fewer_files(redacted(docs), 2)
+    return redacted(fewer_files(docs, 2))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,13 +45,17 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, n_chars, ids, n_tokens): the encoded corpus."""
-    from basketry.llm.bpe import encode
+    """(doc_id, lang, source, n_chars, ids, n_tokens, decoded_sha256): the encoded corpus, and a digest of what its ids decode to.
+
+    Rows are gathered below the Python step: every task runs one Python stream.
+    """
+    from basketry.llm.bpe import decode, encode
     from basketry.llm.queries import tokenizer
 
     prepare(spark)
-    rows = fewer_files(encode(docs, tokenizer("byte_bpe_50k.json")).drop("text"), 2)
-    return rows.withColumn("n_tokens", F.size("ids").cast("long"))
+    path = tokenizer("byte_bpe_50k.json")
+    rows = decode(encode(fewer_files(docs, 2), path).drop("text"), path)
+    return rows.withColumns({"n_tokens": F.size("ids").cast("long"), "decoded_sha256": F.sha2("decoded", 256)}).drop("decoded")
 
 
 STAGES = [

@@ -54,17 +54,13 @@ def test_query(spark):
     got = queries.op6_source_mix(spark, SF).collect()
     assert all(r.size == len(WORD.findall(docs[r.doc_id].text or "")) for r in got) and len(got) == len(docs)
     sizes, taken, want = check(got, lambda r: docs[r.doc_id].source)
-    largest = defaultdict(int)
-    for r in got:
-        s = docs[r.doc_id].source
-        largest[s] = max(largest[s], r.size)
-    assert all(abs(taken[s] - want[s]) <= largest[s] for s in sizes)
+    # ten documents a source
+    assert all(abs(taken[s] - want[s]) <= 0.15 * want[s] for s in sizes)
     again = queries.op6_source_mix(spark, SF).collect()
     assert sorted(got) == sorted(again)
 
 
-def test_many_documents_come_near_the_target(spark, monkeypatch):
-    monkeypatch.setattr(X, "BLOCK_DOCS", 50)
+def test_many_documents_come_near_the_target(spark):
     rows = [row(i, "w " * (1 + i * 7919 % 400), source="abcdefgh"[i % 8]) for i in range(1600)]
     docs = spark.createDataFrame(rows, SCHEMA)
     out = X.mix(docs).withColumn("taken", F.col("size") * F.col("copies"))
@@ -101,8 +97,9 @@ def test_sources_beyond_the_broadcast_bound(spark, monkeypatch):
     assert a == sorted((r.doc_id, r.copies) for r in queries.op6_source_mix(spark, SF).collect())
 
 
-def test_probability_of_a_copy(spark):
-    """Over many seeds a document is taken once more as often as its rate says."""
+def test_probability_of_a_copy(spark, monkeypatch):
+    """Over many seeds a document is taken once more as often as its rate says (a source of few documents prefers seeds near its target)."""
+    monkeypatch.setattr(X, "SEEDS", 1)
     docs = spark.createDataFrame([row(i, words(5 + i, i), source="ab"[i % 2]) for i in range(12)], SCHEMA)
     total, rate = defaultdict(int), {}
     n = 40
@@ -111,4 +108,41 @@ def test_probability_of_a_copy(spark):
             total[r.doc_id] += r.copies
             rate[r.doc_id] = r.rate
     assert all(abs(total[i] / n - rate[i]) < 0.35 for i in rate)
-    assert abs(sum(total.values()) / n - sum(rate.values())) < 0.6
+    assert abs(sum(total.values()) / n - sum(rate.values())) < 1.1
+
+
+def test_draws_are_independent(spark):
+    """Whether one document is taken once more says nothing about its neighbours: in size, in id, in both."""
+    n = 4000
+    docs = spark.createDataFrame([row(i, "w " * (1 + i % 40), source="a" if i % 2 else "b") for i in range(n)], SCHEMA)
+    got = sorted((r.source, r.doc_id, r.copies - int(r.rate), r.rate - int(r.rate)) for r in X.mix(docs, weights=(1, 1), percent=70).collect())
+    for s in "ab":
+        x = [(c - p) for source, _, c, p in got if source == s]
+        p = next(p for source, *_, p in got if source == s)
+        assert 0 < p < 1
+        for lag in (1, 2, 20):
+            cov = sum(u * v for u, v in zip(x, x[lag:])) / len(x) / (p * (1 - p))
+            assert abs(cov) < 4 / len(x) ** 0.5
+
+
+def test_another_document_changes_no_draw_under_the_same_seed(spark, monkeypatch):
+    monkeypatch.setattr(X, "SEEDS", 1)
+    rows = [row(i, words(10, i)) for i in range(200)]
+    a = {r.doc_id: r.copies for r in X.mix(spark.createDataFrame(rows, SCHEMA), weights=(1,), percent=50).collect()}
+    b = {r.doc_id: r.copies for r in X.mix(spark.createDataFrame(rows[::-1][:150], SCHEMA), weights=(1,), percent=50).collect()}
+    assert all(a[i] == b[i] for i in b)
+
+
+def test_columns_of_any_name_survive(spark):
+    names = ["size", "source_size", "target", "rate", "copies", "_copy", "_tie", "_block", "_blocks", "_source", "row", "a", "b", "of", "seed", "s1"]
+    docs = spark.createDataFrame([(i, f"word {i}", "x", *[77] * len(names)) for i in range(20)], "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    out = X.mixed(docs)
+    assert out.columns == docs.columns and all(r[n] == 77 for r in out.collect() for n in names)
+    new = X.mix(docs).collect()
+    assert all(r.size == 2 and r.row == 77 and r.a == 77 for r in new) and len(new) == 20
+
+
+def test_null_ids_are_drawn_one_by_one(spark):
+    docs = spark.createDataFrame([row(None, words(20, i)) for i in range(600)], SCHEMA)
+    got = X.mix(docs, weights=(1,), percent=50).collect()
+    assert 200 < sum(r.copies for r in got) < 400
