@@ -13,8 +13,11 @@
    once in range, on through every node within the range and a margin around it.
 5. Found pairs are verified by their cosine in double precision, counted once
    (in the first shard that both ends share), and joined to components.
-6. A sample of the classes is compared with all classes; if the audited recall
-   is under the target, the overlap is raised and the work done again.
+6. An unbiased sample of the classes is compared with all classes.  Where the
+   mean recall of a class, or that of all links, is under the target, the
+   overlap is raised and the work done again.  At the last overlap every shard
+   holds all rows of its parent; should the graphs still miss too much there,
+   its pairs of blocks are compared in full.
 """
 
 from __future__ import annotations
@@ -43,7 +46,11 @@ OVERLAP, DEGREE, NEAREST, RANDOM, ALPHA = 4, 32, 48, 48, 1.2
 #: Beam of the greedy search, and how far below the threshold the range expands.
 BEAM, MARGIN = 12, 0.06
 #: Classes of the audit, and the recall it must find.
-AUDIT_ROWS, TARGET = 256, 0.98
+AUDIT_ROWS, TARGET = 512, 0.98
+#: The table of components with several classes is broadcast up to this number of rows.
+BROADCAST_COMPONENTS = 1_000_000
+#: Class ids of vec_ids that name several classes lie from here on.
+EXTRA_IDS = 1 << 62
 
 
 def units(vectors: DataFrame) -> DataFrame:
@@ -66,16 +73,17 @@ def units(vectors: DataFrame) -> DataFrame:
     return vectors.mapInArrow(run, "vec_id long, key binary, v binary")
 
 
-def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, copies, v) of each distinct unit vector (id: its smallest vec_id), and (vec_id, id) of its rows.
+def classes(rows: DataFrame) -> DataFrame:
+    """(key, id, least, copies) of each distinct unit vector: a number of its own, its smallest vec_id and its rows.
 
-    Vectors of another length than the most frequent one have no class.
+    The number is the smallest vec_id; where that is the smallest of several
+    vectors (a vec_id that repeats), all but one have a number from EXTRA_IDS on.
     """
-    size = rows.where("v is not null").groupBy(F.length("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    rows = rows.where(F.length("v") == (size["d"] if size else 0))
-    named = rows.join(rows.groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "key")
-    heads = named.where("vec_id = id").select("id", "copies", "v").dropDuplicates(["id"])
-    return heads, named.select("vec_id", "id").distinct()
+    per = written(rows.where("v is not null").groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")), "keys")
+    several = written(per.groupBy("least").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "repeated-ids")
+    extra = F.xxhash64("least", "key").bitwiseAND(F.lit(EXTRA_IDS - 1)) + F.lit(EXTRA_IDS)
+    own = F.col("first").isNull() | (F.col("key") == F.col("first"))
+    return per.join(several, "least", "left").select("key", F.when(own, F.col("least")).otherwise(extra).alias("id"), "least", "copies")
 
 
 def _stack(values) -> np.ndarray:
@@ -101,7 +109,8 @@ def _seed(name: str) -> int:
 
 def shards(rows: DataFrame, overlap: int, shard_rows: int = SHARD_ROWS, max_clusters: int = MAX_CLUSTERS) -> DataFrame:
     """(shard, g, id, copies, v): each class in all of its shards; g is the number of blocks the shard is cut into."""
-    now = written(rows.withColumn("shard", F.lit("0")).withColumn("was", F.lit(0).cast("long")), "shards")
+    # vectors of different lengths have no cosine: each length is a shard to begin with
+    now = written(rows.withColumn("shard", F.concat(F.lit("d"), F.length("v").cast("string"))).withColumn("was", F.lit(0).cast("long")), "shards")
     done = None
     while True:
         size = now.groupBy("shard").agg(F.count("*").alias("n"), F.max("was").alias("parent"))
@@ -274,9 +283,11 @@ def _graphs(rows: DataFrame) -> DataFrame:
     return lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("links"))).alias("links"))
 
 
-def _found(rows: DataFrame, threshold: float) -> DataFrame:
+def _found(rows: DataFrame, threshold: float, exact: bool = False) -> DataFrame:
     """(id, n, root): per class and search the links found there first, and the smallest id they join it to.
 
+    ``exact``: each query is compared with all members instead of searched.
+
     rows: (shard, block, part, member, query, id, copies, v, shards, links).
     Every class comes as often as it is a query, and where it is joined to another.
     """
@@ -296,7 +307,7 @@ def _found(rows: DataFrame, threshold: float) -> DataFrame:
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         query = t.column("query").to_numpy(zero_copy_only=False)
         for q in np.flatnonzero(query):
-            hit = member[search(x, links, start, v[q], threshold)]
+            hit = member[np.flatnonzero(x @ v[q] >= threshold) if exact else search(x, links, start, v[q], threshold)]
             hit = hit[hit != q]
             # a pair is counted in the first shard that both are in
             mine = own[q]
@@ -320,67 +331,92 @@ def _found(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def _audit(rows: DataFrame, found: DataFrame, threshold: float, audit_rows: int) -> float:
-    """Share of the links of a sample of classes (with links, if possible) that were found; 1 without links."""
+    """Recall over an unbiased sample of classes: the mean of a class's, or of all links together, whichever is less; 1 without links.
+
+    A group of very many copies has one say in the mean, however many links it has.
+    """
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(audit_rows)
-    linked = found.where("n > 0").select("id").orderBy(F.xxhash64("id"), "id").limit(audit_rows)
-    # at most 2 * audit_rows classes, on the driver and in the tasks
-    sample = sample.unionByName(rows.join(F.broadcast(linked), "id", "left_semi")).dropDuplicates(["id"]).join(found.select("id", "n"), "id").toArrow()
+    # at most audit_rows classes, on the driver and in the tasks
+    sample = sample.join(found.select("id", "n"), "id").toArrow()
     if not sample.num_rows:
         return 1.0
-    ids, q = sample.column("id").to_numpy(), _stack(sample.column("v"))
+    all_ids, values = sample.column("id").to_numpy(), sample.column("v").to_pylist()
+    by_length = {}
+    for size in {len(v) for v in values}:
+        own = [k for k, v in enumerate(values) if len(v) == size]
+        by_length[size] = (all_ids[own], np.frombuffer(b"".join(values[k] for k in own), np.float64).reshape(len(own), -1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(ids))
+        total = {size: np.zeros(len(ids)) for size, (ids, _) in by_length.items()}
         for b in batches:
             for i in range(0, b.num_rows, 4096):
                 c = b.slice(i, 4096)
-                hit = _stack(c.column(2)) @ q.T >= threshold
-                hit &= c.column(0).to_numpy(zero_copy_only=False)[:, None] != ids[None, :]
-                total += hit.T @ c.column(1).to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["id", "n"])
-
-    true = rows.select("id", "copies", "v").mapInArrow(run, "id long, n double").agg(F.sum("n")).first()[0]
-    return 1.0 if not true else float(sample.column("n").to_numpy().sum() / true)
+                size = pc.binary_length(c.column(2)).to_numpy(zero_copy_only=False)
+                for d in set(size.tolist()) & by_length.keys():
+                    t = c.take(pa.array(np.flatnonzero(size == d)))
+                    ids, q = by_length[d]
+                    hit = _stack(t.column(2)) @ q.T >= threshold
+                    hit &= t.column(0).to_numpy(zero_copy_only=False)[:, None] != ids[None, :]
+                    total[d] += hit.T @ t.column(1).to_numpy(zero_copy_only=False)
+        for size, (ids, _) in by_length.items():
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[size])], ["id", "n"])
+
+    true = rows.select("id", "copies", "v").mapInArrow(run, "id long, n double").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    true = {r["id"]: r["n"] for r in true if r["n"]}
+    if not true:
+        return 1.0
+    got = dict(zip(all_ids.tolist(), sample.column("n").to_pylist()))
+    return min(sum(got[i] / n for i, n in true.items()) / len(true), sum(got[i] for i in true) / sum(true.values()))
 
 
 def linked(vectors: DataFrame, threshold: float = 0.9, overlap: int = OVERLAP, shard_rows: int = SHARD_ROWS, target: float = TARGET) -> DataFrame:
     """(vec_id, n_links, component_id, kept, audit_recall) of every row of ``vectors`` (vec_id, embedding).
 
-    Links are pairs of rows with a cosine of at least ``threshold``.  Defined
-    results: vectors that are null, zero, or hold null or non-finite components
-    have no links and are their own component; copies link with each other; a
-    vec_id that repeats is one node; a null vec_id has component null and is
-    kept; an empty table gives no rows; other columns are left behind.
+    Links are pairs of rows with a cosine of at least ``threshold``; vectors of
+    different lengths have none.  Defined results: vectors that are null, zero,
+    or hold null or non-finite components have no links and are their own
+    component; copies link with each other; rows that repeat a vec_id are
+    vectors of their own, each with its own links; a null vec_id has no links,
+    component null and is kept; an empty table gives no rows; other columns are
+    left behind.
     """
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    heads, named = classes(written(units(vectors), "units"))
-    rows, named = written(heads, "classes"), written(named, "rows")
+    own = written(units(vectors), "units")
+    named = written(classes(own), "classes")
+    heads = own.join(named, "key").where("vec_id = least").dropDuplicates(["key"])
+    rows = written(heads.select("id", "copies", "v"), "heads")
+    exact = False
     while True:
-        found = written(_links(rows, threshold, overlap, shard_rows), "found")
-        sums = found.groupBy("id").agg(F.sum("n").alias("n"))
+        found = written(_links(rows, threshold, overlap, shard_rows, exact), "found")
+        sums = written(found.groupBy("id").agg(F.sum("n").alias("n")), "sums")
         recall = _audit(rows, sums, threshold, AUDIT_ROWS)
-        if recall >= target or overlap >= MAX_CLUSTERS:
+        if recall >= target or exact:
             break
-        overlap *= 2
-    edges = found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
-    edges = edges.unionByName(named.where("vec_id <> id").select(F.col("vec_id").alias("a"), F.col("id").alias("b")))
-    component = connected_components(edges).select(F.col("node").alias("vec_id"), "component")
-    counts = named.join(sums, "id").join(rows.select("id", "copies"), "id")
-    counts = counts.groupBy("vec_id").agg(F.max(F.col("n") + F.col("copies") - 1).alias("n_links"))
-    out = vectors.select("vec_id").join(counts, "vec_id", "left").join(component, "vec_id", "left")
-    own = F.coalesce("component", "vec_id")
+        exact = overlap >= MAX_CLUSTERS
+        overlap = min(2 * overlap, MAX_CLUSTERS)
+    component = connected_components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
+    # classes only: their rows come by the class
+    component = written(component.select(F.col("node").alias("id"), "component"), "components")
+    parts = named.join(component, "id", "left").join(sums, "id", "left")
+    least = written(parts.where("component is not null").groupBy("component").agg(F.min("least").alias("smallest")), "smallest")
+    least = F.broadcast(least) if least.count() <= BROADCAST_COMPONENTS else least
+    parts = parts.join(least, "component", "left")
+    n = F.coalesce("n", F.lit(0)) + F.col("copies") - 1
+    parts = written(parts.select("key", n.alias("n_links"), F.coalesce("smallest", "least").alias("smallest")), "class-results")
+    out = own.select("vec_id", "key").join(parts, "key", "left")
+    top = F.coalesce("smallest", "vec_id")
     return fewer_files(out).select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("vec_id") == own, F.lit(True)).alias("kept"), F.lit(recall).alias("audit_recall")
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), top.alias("component_id"), F.coalesce(F.col("vec_id") == top, F.lit(True)).alias("kept"), F.lit(recall).alias("audit_recall")
     )
 
 
-def _links(rows: DataFrame, threshold: float, overlap: int, shard_rows: int) -> DataFrame:
+def _links(rows: DataFrame, threshold: float, overlap: int, shard_rows: int, exact: bool = False) -> DataFrame:
     """Graphs of all shards, united, and searched."""
     dealt = shards(rows, overlap, shard_rows)
     homes = dealt.groupBy("id").agg(F.collect_set("shard").alias("shards"))
     dealt = written(dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("g")).cast("int")), "dealt")
     lists = written(_graphs(dealt.select("shard", "block", "id", "v")), "graph")
-    return _found(_searches(dealt.join(homes, "id").join(lists, "id")), threshold)
+    return _found(_searches(dealt.join(homes, "id").join(lists, "id")), threshold, exact)
 
 
 def _searches(dealt: DataFrame) -> DataFrame:

@@ -87,16 +87,19 @@ FROM drawn
 """
 
 OP8 = f"""
-WITH RECURSIVE ids AS (SELECT vec_id AS id FROM embeddings),
+WITH RECURSIVE rows AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS id, vec_id, embedding FROM embeddings),
+ids AS (SELECT id FROM rows),
 units AS (
-  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+  SELECT id, CAST(embedding AS DOUBLE[]) AS v FROM rows
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+links AS (
+  SELECT x.id AS a, y.id AS b FROM units x JOIN units y ON x.id <> y.id AND len(x.v) = len(y.v) AND CASE WHEN len(x.v) = len(y.v) THEN list_cosine_similarity(x.v, y.v) >= 0.9 END
 ),
-links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM units x JOIN units y ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.v, y.v) >= 0.9),
 {_COMPONENTS},
 degree AS (SELECT a AS id, count(*) AS n FROM links GROUP BY a)
-SELECT ids.id AS vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, ids.id = component_id AS kept, CAST(1.0 AS DOUBLE) AS audit_recall
-FROM ids JOIN component USING (id) LEFT JOIN degree USING (id)
+SELECT r.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, t.vec_id AS component_id, coalesce(r.vec_id = t.vec_id, true) AS kept, CAST(1.0 AS DOUBLE) AS audit_recall
+FROM rows r JOIN component USING (id) JOIN rows t ON t.id = component_id LEFT JOIN degree ON degree.id = r.id
 """
 
 OP10 = """

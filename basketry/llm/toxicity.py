@@ -31,9 +31,10 @@ from pyspark.sql import types as T
 from . import flat
 from .common import checkpointed, fold, strings, text_slices, utf8
 
-#: Bounds of the training sample (documents, taken by the order of a hash of their id), and of the lexicon.
-MAX_TOXIC, MAX_CLEAN, MAX_TERMS = 2000, 4000, 5000
-#: Least likelihood ratio (G squared) of a term, and the least share of the toxic documents that hold it.
+#: Bounds of the training sample (documents, taken by the order of a hash of their id).
+MAX_TOXIC, MAX_CLEAN = 2000, 4000
+#: Least likelihood ratio (G squared) of a term, and the least share of the toxic documents that hold it.  These
+#: alone bound the lexicon: of at most MAX_TOXIC documents' terms at most one in 200 * (terms a document) passes.
 MIN_EVIDENCE, MIN_SHARE = 15.0, 0.005
 STEM_LENGTHS = (4, 5, 6, 7)
 TOXIC = 0.7
@@ -168,14 +169,14 @@ def _evidence(n1: int, n0: int):
     return F.log((a + 0.5) / (n1 + 1)) - F.log((b + 0.5) / (n0 + 1)), g
 
 
-def learn(rows: DataFrame, n1: int, n0: int, max_terms: int = MAX_TERMS) -> Lexicon:
+def learn(rows: DataFrame, n1: int, n0: int) -> Lexicon:
     """Lexicon from n1 toxic and n0 clean rows (text, toxic); both numbers are bounded by the sample."""
     if not n1 or not n0:
         return Lexicon({})
     weight, g = _evidence(n1, n0)
     terms = _count(rows, lambda t: _terms(t)[0])
     good = (weight >= math.log(5)) & (g >= MIN_EVIDENCE) & (F.col("toxic") >= MIN_SHARE * n1)
-    top = terms.select("term", weight.alias("w"), g.alias("g"), F.lit(True).alias("x")).where(good).orderBy(F.desc("g"), "term").limit(max_terms)
+    top = terms.select("term", weight.alias("w"), g.alias("g"), F.lit(True).alias("x")).where(good)
     found = Lexicon({}, {})
     # shortest stems first: an entry stays only if it says clearly more than the stems it starts with
     for r in sorted(top.collect(), key=lambda r: (not r["term"].endswith("*"), len(r["term"]), r["term"])):
@@ -188,7 +189,7 @@ def learn(rows: DataFrame, n1: int, n0: int, max_terms: int = MAX_TERMS) -> Lexi
     return found
 
 
-def _exceptions(rows: DataFrame, lexicon: Lexicon, n1: int, n0: int, most: int = 1000) -> tuple[str, ...]:
+def _exceptions(rows: DataFrame, lexicon: Lexicon, n1: int, n0: int) -> tuple[str, ...]:
     """Phrases of two words with a term that clean documents hold far more often than toxic ones."""
     matcher = Matcher(lexicon)
 
@@ -198,7 +199,7 @@ def _exceptions(rows: DataFrame, lexicon: Lexicon, n1: int, n0: int, most: int =
     _, g = _evidence(n1, n0)
     clean = F.col("clean") / n0 > 5 * F.col("toxic") / n1
     rows = _count(rows, of).where(clean & (F.col("clean") >= 2)).select("term", g.alias("g")).where(F.col("g") >= MIN_EVIDENCE / 3)
-    return tuple(r["term"] for r in rows.orderBy(F.desc("g"), "term").limit(most).collect())
+    return tuple(r["term"] for r in rows.orderBy(F.desc("g"), "term").collect())
 
 
 def _curve(rows: DataFrame, lexicon: Lexicon, rounds: int = 400) -> tuple[float, float, float]:
@@ -226,22 +227,27 @@ def _curve(rows: DataFrame, lexicon: Lexicon, rounds: int = 400) -> tuple[float,
     return float(c[0]), float(c[1]), float(c[2])
 
 
-def _without_near_copies(rows: DataFrame, hashes: int = 4) -> DataFrame:
-    """Of the sample's rows (text, toxic) one of each set of copies and (by shared least shingle hashes) near copies.
+def _without_near_copies(rows: DataFrame, bands: int = 5, width: int = 3) -> DataFrame:
+    """Of the sample's rows (text, toxic) one of each set of copies and (by shared bands of least shingle hashes) near copies.
 
-    Copies would count as evidence of their own; of three in four common
-    shingles one of four hashes is shared with a chance of 0.996.
+    Copies would count as evidence of their own.  Texts with three in four
+    common shingles share one of five bands of three hashes with a chance of
+    0.93, texts with a third in common with one of 0.17.
     """
+    hashes = bands * width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salts = flat.mix(np.arange(31, 31 + hashes, dtype=np.uint64))
         for whole in batches:
             for b in text_slices(whole):
                 sets = flat.shingle_sets(*utf8(b.column(0)), 3)
-                low = np.array([[flat.mix(s ^ x).min() if len(s) else 0 for x in salts] for s in sets], np.uint64).reshape(-1, hashes)
-                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(low[:, i].view(np.int64)) for i in range(hashes))], [*b.schema.names, *names])
+                low = np.array([[flat.mix(s ^ x).min() if len(s) else 0 for x in salts] for s in sets], np.uint64).reshape(-1, bands, width)
+                key = np.zeros(low.shape[:2], np.uint64)
+                for i in range(width):
+                    key = flat.mix(key + low[:, :, i])
+                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(key[:, i].view(np.int64)) for i in range(bands))], [*b.schema.names, *names])
 
-    names = [f"m{i}" for i in range(hashes)]
+    names = [f"m{i}" for i in range(bands)]
     rows = rows.select("text", "toxic").mapInArrow(run, "text string, toxic int, " + ", ".join(f"{n} long" for n in names))
     for n in names:
         rest = [c for c in rows.columns if c != n]

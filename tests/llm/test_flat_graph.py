@@ -104,6 +104,65 @@ def test_repeated_ids_and_empty_table(spark):
     assert [(r.n_links, r.component_id) for r in X.linked(frame(spark, [9], [None])).collect()] == [(0, 9)]
 
 
+def test_vectors_of_two_lengths(spark):
+    """Each length has its links, exact copies of the rarer one included."""
+    a, b = planted(60, (10, 4), seed=8, d=8), planted(25, (6, 2), seed=9, d=3, noise=0.1)
+    a += [a[0]] * 3
+    b += [b[0]] * 3
+    got = {r.vec_id: (r.n_links, r.component_id) for r in X.linked(frame(spark, range(len(a) + len(b)), a + b)).collect()}
+    want = brute(list(range(len(a))), a) | brute(list(range(len(a), len(a) + len(b))), b)
+    assert got == want and max(n for n, _ in got.values()) >= 3
+
+
+def test_a_repeated_id_names_several_vectors(spark):
+    """Rows of one vec_id are vectors of their own: near links of each are found, and their copies."""
+    v = planted(30, (5, 4), seed=12, d=8)
+    ids = [i if i % 3 else 7 for i in range(30)] + [7, 7, 40]
+    v += [v[0], v[3], v[6]]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in X.linked(frame(spark, ids, v)).collect())
+    m = np.array(v) / np.linalg.norm(v, axis=1)[:, None]
+    near = m @ m.T >= 0.9
+    want = []
+    for k in range(len(ids)):
+        seen, todo = set(), {k}
+        while todo:
+            seen |= todo
+            todo = {int(j) for i in todo for j in np.flatnonzero(near[i])} - seen
+        top = min(ids[j] for j in seen)
+        want.append((ids[k], int(near[k].sum()) - 1, top, ids[k] == top))
+    assert got == sorted(want)
+
+
+def test_the_last_overlap_ends_exact(spark, monkeypatch):
+    """Searches that find nothing: the audit says so at every overlap, and the end compares blocks in full."""
+    monkeypatch.setattr(X, "search", lambda v, links, start, q, threshold: np.zeros(0, np.int64))
+    monkeypatch.setattr(X, "MAX_CLUSTERS", 8)
+    v = planted(300, (40, 10, 3), seed=13)
+    got = X.linked(frame(spark, range(300), v), shard_rows=60).collect()
+    want = brute(list(range(300)), v)
+    assert all((r.n_links, r.component_id) == want[r.vec_id] for r in got) and got[0].audit_recall == 1.0
+
+
+def test_recall_of_every_class_beside_a_hot_group(spark):
+    """A third of all rows are near copies of one another: small groups have their links all the same."""
+    v = planted(900, (300, *[3] * 60), seed=14, noise=0.2)
+    want = brute(list(range(900)), v)
+    got = {r.vec_id: r.n_links for r in X.linked(frame(spark, range(900), v), shard_rows=150).collect()}
+    linked = [i for i, (n, _) in want.items() if n]
+    assert sum(got[i] / want[i][0] for i in linked) / len(linked) >= 0.98
+
+
+def test_the_audit_is_not_drowned_by_a_hot_group(spark):
+    """All links of the hot group found, none of the others: far below the target."""
+    v = planted(600, (300, *[2] * 60), seed=15, noise=0.1)
+    want = brute(list(range(600)), v)
+    own = X.units(frame(spark, range(600), v).select("vec_id", "embedding"))
+    rows = own.join(X.classes(own), "key").select("id", "copies", "v")
+    found = spark.createDataFrame([(i, n if n > 100 else 0) for i, (n, _) in want.items()], "id long, n long")
+    assert X._audit(rows, found, 0.9, 600) < 0.9
+    assert X._audit(rows, spark.createDataFrame([(i, n) for i, (n, _) in want.items()], "id long, n long"), 0.9, 600) == 1.0
+
+
 def test_every_node_is_reached_and_degrees_are_bounded():
     v = np.array(planted(700, (300, 40), seed=2))
     links = X.pruned(v, 1)
@@ -129,9 +188,9 @@ def test_a_low_recall_raises_the_overlap(spark, monkeypatch):
     seen = []
     real = X._links
 
-    def counted(rows, threshold, overlap, shard_rows):
+    def counted(rows, threshold, overlap, shard_rows, exact=False):
         seen.append(overlap)
-        return real(rows, threshold, overlap, shard_rows)
+        return real(rows, threshold, overlap, shard_rows, exact)
 
     monkeypatch.setattr(X, "_links", counted)
     v = planted(900, (2,) * 200, seed=7, noise=0.42)
@@ -145,15 +204,16 @@ def test_no_search_holds_a_whole_ball(spark, monkeypatch):
     sizes = []
     real = X._found
 
-    def seen(rows, threshold):
+    def seen(rows, threshold, exact=False):
         keys = [c for c in ("shard", "block", "part") if c in rows.columns]
         sizes.extend(r["count"] for r in rows.groupBy(*keys).count().collect())
-        return real(rows, threshold)
+        return real(rows, threshold, exact)
 
     monkeypatch.setattr(X, "_found", seen)
     monkeypatch.setattr(X, "shards", lambda rows, overlap, shard_rows: rows.withColumn("shard", F.lit("0")).withColumn("g", F.lit(10)))
     v = planted(600, (560, 20), seed=11, noise=0.05)
-    heads, _ = X.classes(X.units(frame(spark, range(600), v).select("vec_id", "embedding")))
+    own = X.units(frame(spark, range(600), v).select("vec_id", "embedding"))
+    heads = own.join(X.classes(own), "key").select("id", "copies", "v")
     got = X._links(heads, 0.9, 4, 60).collect()
     want = brute(list(range(600)), v)
     n = dict.fromkeys(want, 0)
