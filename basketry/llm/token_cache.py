@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basketry.sources.versions import hadoop
+
 from . import bpe
 from .common import fewer_files, gathered, scratch_path, strings, text_slices, texts, written
 
@@ -133,12 +135,18 @@ def _digests(docs: DataFrame, path: str) -> DataFrame:
 
 
 def encode_misses(docs: DataFrame, path: str) -> DataFrame:
-    """(content_digest, tokenizer_digest, n_tokens) of every given row."""
+    """(content_digest, tokenizer_digest, n_tokens) of the given rows; those of one digest that a task meets again are left out."""
     version = tokenizer_digest(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for whole in batches:
             for b in text_slices(whole):
+                keys = [int(d[:32], 16) for d in b.column(1).to_pylist()]
+                new = [i for i, k in enumerate(keys) if k not in seen and not seen.add(k)]
+                if not new:
+                    continue
+                b = b.take(pa.array(new))
                 counts = count_tokens(path, strings(b.column(0)))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(1), pa.array([version] * len(counts)), pa.array(counts, pa.int64())],
@@ -159,7 +167,9 @@ def token_counts(docs: DataFrame, path: str, cache: str | None = None, limit: in
     """
     spark: SparkSession = docs.sparkSession
     cache = cache or scratch_path(spark, "token-cache")
-    spark.createDataFrame([], SCHEMA).write.mode("append").parquet(cache)
+    fs, folder = hadoop(spark, cache)
+    if not fs.exists(folder):
+        spark.createDataFrame([], SCHEMA).write.mode("append").parquet(cache)
     version = tokenizer_digest(path)
     docs = texts(docs)
 
@@ -177,7 +187,7 @@ def token_counts(docs: DataFrame, path: str, cache: str | None = None, limit: in
         # a doc_id may repeat with other texts
         rows = rows.where(F.sha2(F.col("text").cast("binary"), 256) == F.col("content_digest"))
         unnamed = docs.where("doc_id is null").withColumn("content_digest", F.sha2(F.col("text").cast("binary"), 256))
-        unnamed = unnamed.join(missing.where("doc_id is null").select("content_digest"), "content_digest", "left_semi")
+        unnamed = unnamed.join(missing.where("doc_id is null").select("content_digest"), "content_digest", "left_semi").dropDuplicates(["content_digest"])
         rows = rows.select("text", "content_digest").unionByName(unnamed.select("text", "content_digest"))
         gathered(encode_misses(rows, path)).write.mode("append").parquet(cache)
     else:
@@ -188,20 +198,15 @@ def token_counts(docs: DataFrame, path: str, cache: str | None = None, limit: in
 
 
 def _append_normalised(docs: DataFrame, missing: DataFrame, path: str, cache: str) -> None:
-    """As above for a tokenizer with a normalizer: the digest is taken again beside the count."""
-    version = tokenizer_digest(path)
+    """As above for a tokenizer with a normalizer: texts are digested again, and only those of missing digests are encoded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in text_slices(whole):
-                values = strings(b.column(0))
-                digests = [hashlib.sha256(x.encode()).hexdigest() for x in normalise(path, values)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(digests), pa.array([version] * len(values)), pa.array(count_tokens(path, values), pa.int64())],
-                    ["content_digest", "tokenizer_digest", "n_tokens"],
-                )
+                digests = [hashlib.sha256(x.encode()).hexdigest() for x in normalise(path, strings(b.column(0)))]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests)], ["text", "content_digest"])
 
     ids = missing.select("doc_id").distinct()
     rows = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-    found = rows.select("text").mapInArrow(run, SCHEMA).join(missing.select("content_digest"), "content_digest", "left_semi")
-    gathered(found.select("content_digest", "tokenizer_digest", "n_tokens")).write.mode("append").parquet(cache)
+    rows = rows.select("text").mapInArrow(run, "text string, content_digest string").join(missing.select("content_digest"), "content_digest", "left_semi")
+    gathered(encode_misses(rows.dropDuplicates(["content_digest"]), path)).write.mode("append").parquet(cache)

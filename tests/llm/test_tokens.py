@@ -145,3 +145,23 @@ def test_word_counts_on_odd_texts():
     counts = C.WordCounts(PATH, {"added_tokens": []}, store_words=2)
     plain = [t for t in ODD if "<|" not in t]
     assert [counts.count([t])[0] for t in plain * 2] == [len(ids(t)) for t in plain * 2]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", None])
+def test_a_content_is_encoded_once(spark, tmp_path, name):
+    """Rows that repeat id and text, null ids and equal texts of other ids: one cache row a content, and none the next time."""
+    path = queries.tokenizer(name) if name else next(p for p in _with_normalizer())
+    rows = [row(i % 4, f"text number {i % 2}") for i in range(12)] + [row(None, f"text number {i % 3}") for i in range(9)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    cache = str(tmp_path / "cache")
+    for _ in range(2):
+        got = C.token_counts(docs, path, cache).collect()
+        assert len(got) == len(rows)
+        kept = spark.read.parquet(cache)
+        assert kept.count() == kept.select("content_digest").distinct().count() == 3
+
+
+def _with_normalizer():
+    import glob
+
+    return [p for p in sorted(glob.glob("/opt/tokenizers/*.json") + glob.glob("/opt/tokenizers/*.model")) if C.has_normalizer(p)]
