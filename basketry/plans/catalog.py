@@ -230,6 +230,19 @@ def _build_all(m: Models) -> DataFrame:
     return out
 
 
+@query("build_bucketed")
+def _build_bucketed(m: Models) -> DataFrame:
+    """Build with the fact and the customer bridge in buckets: rows and content of the two marts that join them."""
+    from .build import build
+
+    models = build(m.raw, root=m.scratch("bucketed"), select=["dim_customer", "customer_retention"], buckets=8)
+    out = None
+    for name in ("dim_customer", "customer_retention"):
+        one = content_key(models[name], BUILD_COLUMNS[name]).select(F.lit(name).alias("mart"), "row_count", "content")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def _built(m: Models) -> dict[str, DataFrame]:
     from .build import build
 
@@ -912,6 +925,15 @@ def _anomaly_min_rows(m: Models) -> DataFrame:
     return detect_anomalies(m.pcd, contamination=CONTAMINATION, min_rows=10**12).select("product_id", "Result")
 
 
+@query("anomaly_min_rows_bound")
+def _anomaly_min_rows_bound(m: Models) -> DataFrame:
+    """Asked for as many trainable rows as there are, products are labelled; asked for one more, none is."""
+    n = FL.reliable_only(m.pcd).count()
+    at = detect_anomalies(m.pcd, contamination=CONTAMINATION, min_rows=n).select("product_id", F.col("Result").alias("at_bound"))
+    over = detect_anomalies(m.pcd, contamination=CONTAMINATION, min_rows=n + 1).select("product_id", F.col("Result").alias("below_bound"))
+    return at.join(over, "product_id")
+
+
 @query("kpi_items_analyzed")
 def _kpi_items_analyzed(m: Models) -> DataFrame:
     labelled = detect_anomalies(m.pcd, contamination=CONTAMINATION)

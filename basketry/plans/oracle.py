@@ -461,6 +461,7 @@ FINAL: dict[str, str] = {
     "ingest_all": _ingest_all(),
     "build_all": _build_all(),
     "mart_roundtrip": "SELECT * FROM fct_orders",
+    "build_bucketed": "\nUNION ALL\n".join(_content(t, "mart", t, _BUILD[t].split()) for t in ("dim_customer", "customer_retention")),
     "mart_reuse": "SELECT revenue_month, product_category, monthly_revenue FROM monthly_revenue_by_cat WHERE revenue_year >= 1996",
     "table_versions": """SELECT CAST(4 - least AS BIGINT) AS version, count(*) AS row_count, CAST(sum(price) AS DECIMAL(38,2)) AS price
         FROM raw_order_items JOIN (VALUES (2), (1)) t(least) ON order_id % 4 >= least GROUP BY least""",
@@ -699,6 +700,7 @@ labelled AS (
 
 
 FOREST: dict[str, str] = {
+    "anomaly_min_rows_bound": "SELECT product_id, Result AS at_bound, 'Single sale - No Analysis' AS below_bound FROM labelled",
     "isolation_forest": "SELECT product_id, anomaly_score, is_anomaly FROM forest_labels",
     "anomaly_labels": "SELECT * FROM labelled",
     "kpi_anomalies": f"""SELECT items_analyzed, anomalies, {rnd(sdiv('anomalies', 'items_analyzed') + ' * 100.0', 1)} AS anomaly_pct

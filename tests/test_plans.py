@@ -14,9 +14,9 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
 
 # Queries that write or read scratch tables as part of the operator; their plans are scans.
-SIDE_EFFECT = {"ingest_csv", "ingest_all", "build_all", "raw_roundtrip", "load_report", "mart_roundtrip", "mart_scan", "mart_category_year"}
+SIDE_EFFECT = {"ingest_csv", "ingest_all", "build_all", "raw_roundtrip", "load_report", "mart_roundtrip", "mart_scan", "mart_category_year", "mart_reuse", "table_versions", "ingest_rejects", "build_bucketed"}
 # Queries whose work is the forest (fit happens eagerly); checked in test_anomaly.
-FOREST = {"isolation_forest", "anomaly_labels", "kpi_anomalies", "audit_view", "dq_same_count", "anomaly_split", "kpi_items_analyzed", "audit_columns", "outlier_map"}
+FOREST = {"isolation_forest", "anomaly_labels", "kpi_anomalies", "audit_view", "dq_same_count", "anomaly_split", "kpi_items_analyzed", "audit_columns", "outlier_map", "anomaly_min_rows_bound"}
 
 
 def plan(df) -> str:
@@ -69,3 +69,59 @@ def test_retention_window_is_bucketed(spark):
 def test_year_selection_prunes_partitions(spark):
     p = plan(E.queries()["mart_category_year"](spark, SF))
     assert re.search(r"PartitionFilters: \[[^\]]*revenue_year", p)
+
+
+def _scanned(df) -> list[str]:
+    """Tables of the driver's data that a plan scans, one entry a scan (a reused exchange scans nothing)."""
+    text = plan(df).split("== Initial Plan ==")[0]
+    return re.findall(rf"Location: InMemoryFileIndex[^\n]*?{SF}/(\w+)\.parquet", text)
+
+
+@pytest.mark.parametrize(("key", "frame", "fact"), [("customer_retention", "order-mapping", "orders"), ("product_cost_decomposition", "product-base", "lineitem")])
+def test_shared_frames_are_written_once(spark, monkeypatch, key, frame, fact):
+    """Samples, maxima, benchmarks and the mart itself read the written frame: sources are scanned for that alone."""
+    from basketry.operators import marts, shared
+
+    written, real = {}, shared.written_once
+
+    def seen(df, name):
+        written[name] = written.get(name, []) + [_scanned(df)]
+        return real(df, name)
+
+    monkeypatch.setattr(marts, "written_once", seen)
+    out = E.queries()[key](spark, SF)
+    assert len(written[frame]) == 1 and written[frame][0].count(fact) == 1
+    assert fact not in _scanned(out)
+
+
+def test_bucketed_joins_have_no_exchange(spark, tmp_path):
+    """The fact and the bridge meet bucket by bucket in both joins; the marts are those of a build without buckets."""
+    from basketry.operators import aggregates, marts
+    from basketry.plans.build import build
+    from basketry.plans.catalog import Models
+
+    m = Models(spark, SF)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        models = build(m.raw, root=str(tmp_path / "a"), select=["dim_customer", "customer_retention"], buckets=4)
+        mapping = plan(marts.order_mapping(models["fct_orders"], models["stg_customer"]))
+        assert "SortMergeJoin" in mapping and "Exchange" not in mapping and "SelectedBucketsCount: 4 out of 4" in mapping
+        stats = plan(aggregates.customer_stats(models["fct_orders"], models["stg_customer"]))
+        assert "SortMergeJoin" in stats and "Exchange hashpartitioning(customer_id" not in stats
+        plain = build(m.raw, root=str(tmp_path / "b"), select=["dim_customer", "customer_retention"])
+        for name in ("dim_customer", "customer_retention"):
+            assert sorted(map(tuple, models[name].collect()), key=str) == sorted(map(tuple, plain[name].collect()), key=str)
+        again = build(m.raw, root=str(tmp_path / "a"), select=["dim_customer"], buckets=4)
+        assert again["fct_orders"].count() == plain["fct_orders"].count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_a_table_without_buckets_is_told(spark, tmp_path):
+    from basketry.sources.bucketed import read_bucketed
+    from basketry.sources.files import write_table
+
+    write_table(spark.range(3), str(tmp_path), "raw", "t")
+    with pytest.raises(ValueError, match="no buckets"):
+        read_bucketed(spark, str(tmp_path), "raw", "t")
