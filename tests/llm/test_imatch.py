@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pytest
+import regex
+import xxhash
 
 from basketry.llm import imatch as X
 from basketry.llm import queries
@@ -112,3 +116,53 @@ def test_texts_without_a_term_in_any_subset_have_a_part(spark):
         assert got[2 * k].fingerprint == got[2 * k + 1].fingerprint and got[2 * k].near_next == 1.0
     whole = [got[2 * k].fingerprint for k in range(60) if got[2 * k].fingerprint.startswith("text:")]
     assert len(whole) >= 5 and len(set(whole)) == len(whole)
+
+
+class Plain:
+    """Fingerprints by a loop: terms, document frequencies, band, subsets and hashes without Spark."""
+
+    def __init__(self, texts: list[str]):
+        held = Counter(t for text in texts for t in self.terms(text))
+        n = len(texts)
+        band = {t for t, c in held.items() if max(2, X.MIN_SHARE * n) <= c <= max(2, X.MAX_SHARE * n)}
+        self.subsets = {}
+        for t in band:
+            h = self.string(t)
+            self.subsets[t] = (h, [j for j, r in enumerate(X.RATES) if self.number(j, 4, self.number(h, 8, 42)) % (1 << r) == 0])
+
+    @staticmethod
+    def terms(text: str) -> set[str]:
+        return set(regex.split(r"[^\p{L}\p{N}]+", text.lower())) - {""}
+
+    @staticmethod
+    def signed(h: int) -> int:
+        return h - (1 << 64) if h >> 63 else h
+
+    def string(self, s: str) -> int:
+        return self.signed(xxhash.xxh64(s.encode(), 42).intdigest())
+
+    def number(self, x: int, size: int, seed: int) -> int:
+        return self.signed(xxhash.xxh64(x.to_bytes(size, "little", signed=True), seed % (1 << 64)).intdigest())
+
+    def fingerprint(self, text: str) -> str:
+        found = sorted(self.subsets[t] for t in self.terms(text) if t in self.subsets)
+        parts = []
+        for j in range(len(X.RATES)):
+            h, any_ = 42, False
+            for term, bits in found:
+                if j in bits:
+                    any_ = True
+                    h = self.number(sum(1 << k for k in bits), 8, self.number(term, 8, h))
+            parts.append(f"{h % (1 << 64):X}" if any_ else "")
+        return ".".join(parts) if any(parts) else ".".join([f"text:{self.string(text) % (1 << 64):X}", *[""] * (len(parts) - 1)])
+
+
+def test_fingerprints_against_a_loop(spark):
+    """Every fingerprint of the query, of documents and of their edited texts, from the texts alone."""
+    docs = documents(spark)
+    plain, want = Plain(list(docs.values())), edits(docs)
+    got = queries.op3_imatch(spark, SF).collect()
+    assert len(got) == len(docs) and len(plain.subsets) > 100
+    for r in got:
+        assert r.fingerprint == plain.fingerprint(docs[r.doc_id])
+        assert r.edited_fingerprint == plain.fingerprint(want[r.doc_id][0])

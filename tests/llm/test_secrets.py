@@ -7,6 +7,9 @@ import random
 import re
 import time
 from collections import Counter
+from itertools import groupby
+
+from pyspark.sql import functions as F
 
 from basketry.llm import queries
 from basketry.llm import secrets as X
@@ -77,6 +80,64 @@ def test_query_against_brute_force(spark):
         assert [s for s in got[i].spans.split(",") if s and not s.startswith("entropy")] == base
 
 
+def brute_entropy(text: str, base: list[tuple[int, int]]) -> list[str]:
+    """Entropy spans character by character: what taken spans leave of every candidate, each window counted anew."""
+    rules, taken, found = X.EntropyRules(), [False] * len(text), []
+    for a, b in base:
+        taken[a:b] = [True] * (b - a)
+    for c in rules.classes:
+        new = []
+        for m in re.finditer(c.candidates, text):
+            a = m.start()
+            for free, own in groupby(range(m.start(), m.end()), lambda i: not taken[i]):
+                n = len(list(own))
+                piece, a = text[a : a + n], a + n
+                if not free or n < min(c.window, len(m[0])) or any(re.fullmatch(p, piece) for p in rules.allow):
+                    continue
+                w = min(c.window, n)
+                best = max(-sum(v / w * math.log2(v / w) for v in Counter(piece[i : i + w]).values()) for i in range(n - w + 1))
+                if best >= c.bits - 1e-9:
+                    new.append((a - n, a, best - c.bits))
+        for a, b, _ in new:
+            taken[a:b] = [True] * (b - a)
+        found += new
+    assert all(abs(over) > 1e-7 for *_, over in found)  # no window at the threshold, where the last bit would decide
+    return [f"entropy:{a}:{b}" for a, b, _ in sorted(found)]
+
+
+def with_secrets(text: str, seed: int) -> str:
+    """``text`` with keys, paths, hashes and base secrets between its words, some run together."""
+    r = random.Random(seed)
+    draw = lambda a, n: "".join(r.choices(a, k=n))
+    letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    words = text.split(" ")
+    for _ in range(r.randint(0, 4)):
+        piece = r.choice([
+            draw(letters + letters.upper() + digits, r.randint(15, 45)), draw(digits + "ABCDEF", r.randint(18, 40)), draw(digits + "abcdefABCDEF", r.randint(20, 40)),
+            "/" + draw(letters, 8) + "/" + draw(letters + digits + "+/_-", 30), "password=" + draw(letters + digits, 24) + "/" + draw(letters.upper() + digits, 22),
+            draw("ab", 60), draw(letters, 40), "AKIA" + draw(letters.upper() + digits, 20) + "_" + draw(letters + digits, 25) + "==", "-" * 25, draw(digits + "abcdef", 30) + "/" + draw(letters + letters.upper() + digits, 24),
+        ])
+        words.insert(r.randint(0, len(words)), piece)
+    return " ".join(words)
+
+
+def test_all_spans_against_brute_force(spark):
+    docs = {i: with_secrets(t, i) for i, t in documents(spark).items()}
+    out = X.scan(spark.createDataFrame(list(docs.items()), "doc_id long, text string"))
+    out = out.select("doc_id", X.joined("spans").alias("spans"), F.size(F.filter("spans", lambda s: s["kind"] == "entropy")).alias("n_entropy"))
+    got = {r.doc_id: r for r in out.collect()}
+    entropy = 0
+    for i, t in docs.items():
+        base = brute_base(t)
+        want = brute_entropy(t, [tuple(map(int, b.split(":")[1:])) for b in base])
+        own = [s for s in got[i].spans.split(",") if s.startswith("entropy")]
+        assert own == want and got[i].n_entropy == len(want), i
+        order = [(int(s.split(":")[1]), X.KINDS.index(s.split(":")[0])) for s in got[i].spans.split(",") if s]
+        assert order == sorted(order)
+        entropy += len(want)
+    assert entropy > 100
+
+
 def test_edge_rows(spark):
     docs = edge_docs(spark)
     out = X.scan(docs)

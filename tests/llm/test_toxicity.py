@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import random
 import zlib
+from collections import Counter
+from itertools import product
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from basketry.llm import queries
@@ -99,6 +103,63 @@ def test_learns_words_stems_and_exceptions(spark):
     assert sum(x.predicted == int(x.doc_id % 3 == 0) for x in held) > 0.97 * len(held)
 
 
+def test_lexicon_against_a_plain_count(spark):
+    """Weights, evidence, the covering rule, exceptions and the curve's inputs, term by term over a small sample."""
+    r = random.Random(3)
+    rows = []
+    for i in range(240):
+        t = words(12, 900 + i % 40).split()
+        if i % 3 == 0:
+            t.insert(r.randrange(12), r.choice(["villain", "villainy", "zzkqa", "zzkqb", "rascal"]))
+        elif i % 12 == 1:
+            t[2:2] = ["dear", "rascal"]
+        rows.append((" ".join(t), int(i % 3 == 0)))
+    n1, n0 = sum(y for _, y in rows), sum(1 - y for _, y in rows)
+    lex = X.learn(spark.createDataFrame(rows, "text string, toxic int"), n1, n0)
+
+    def g2(a, b):
+        cells = [(a, (a + b) * n1), (b, (a + b) * n0), (n1 - a, (n1 + n0 - a - b) * n1), (n0 - b, (n1 + n0 - a - b) * n0)]
+        return 2 * sum(x * math.log(x * (n1 + n0) / e) for x, e in cells if x)
+
+    held = [Counter(), Counter()]
+    pairs = [Counter(), Counter()]
+    for t, y in rows:
+        own = set(t.split())
+        held[1 - y].update(own | {w[:k] + "*" for w in own for k in (4, 5, 6, 7) if len(w) > k})
+        pairs[1 - y].update(set(map(" ".join, zip(t.split(), t.split()[1:]))))
+    good = {}
+    for t in held[0] | held[1]:
+        a, b = held[0][t], held[1][t]
+        w = math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
+        if w >= math.log(5) and g2(a, b) >= X.MIN_EVIDENCE and a >= X.MIN_SHARE * n1:
+            good[t] = w
+    terms, stems = {}, {}
+    for t in sorted(good, key=lambda t: (not t.endswith("*"), len(t), t)):
+        own = t.rstrip("*")
+        if good[t] > max((w for s, w in stems.items() if own.startswith(s)), default=0.0) + 0.3:
+            (stems if t.endswith("*") else terms)[own] = good[t]
+    assert lex.terms == pytest.approx(terms) and lex.stems == pytest.approx(stems) and stems
+    matches = lambda p: any(w in terms or any(w.startswith(s) for s in stems) for w in p.split())
+    shut = {p for p in pairs[0] | pairs[1] if matches(p) and pairs[1][p] >= 2 and pairs[1][p] / n0 > 5 * pairs[0][p] / n1 and g2(pairs[0][p], pairs[1][p]) >= X.MIN_EVIDENCE / 3}
+    assert set(lex.exceptions) == shut
+    # the curve is a stationary point of the penalised loss, or stands at the bound of its slopes
+    m = X.Matcher(lex)
+    x = np.array([[1, math.log1p(w), math.sqrt(w / max(n, 1))] for w, n in (m.evidence(t) for t, _ in rows)])
+    y, c = np.array([y for _, y in rows]), np.array([lex.bias, lex.total, lex.density])
+    grad = x.T @ (1 / (1 + np.exp(-x @ c)) - y) / len(y) + np.array([0, 1e-3, 1e-3]) * c
+    assert all(abs(g) < 1e-3 or (v == 0 and g > 0) for g, v in zip(grad, c))
+
+
+def test_no_cap_on_the_lexicon(spark):
+    """More terms than any fixed number of a smaller lexicon: each that the evidence carries is kept."""
+    r = random.Random(9)
+    letters = "bcdfghjklmnpqrstvwxz"
+    own = r.sample(["".join(w) for w in product(letters, repeat=4)], 6500)  # too short for stems
+    rows = [(" ".join(own if i < 40 else []) + " " + words(5, i), int(i < 40)) for i in range(80)]
+    lex = X.learn(spark.createDataFrame(rows, "text string, toxic int"), 40, 40)
+    assert len(lex.terms) + len(lex.stems) > 5000
+
+
 def test_edge_rows(spark):
     labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (None, 1, 0), (3, None, None), (1, 1, 1), (77, 1, 0)], "doc_id long, quality int, toxic int")
     got = X.toxicity(edge_docs(spark), labels).collect()
