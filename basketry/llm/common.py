@@ -21,15 +21,21 @@ _BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 IDLE_SECONDS = 600
 _IDLE_CONF = {"spark.sql.execution.pyspark.udf.idleTimeoutSeconds": str(IDLE_SECONDS), "spark.sql.execution.pyspark.udf.killOnIdleTimeout": "true"}
 
+#: Parquet's vectored reads take a direct buffer as large as a column chunk in every reading thread and keep it;
+#: with whole texts in a column these add up to more than the heap leaves.  A session that sets the key keeps its value.
+_VECTORED = "parquet.hadoop.vectored.io.enabled"
+
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Shared checkpoint folder, package on the executors, smaller Arrow batches, and an end for stalled Python workers (no result changes)."""
+    """Shared checkpoint folder, package on the executors, smaller Arrow batches, plain Parquet reads, and an end for stalled Python workers (no result changes)."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
     if not 0 < int(spark.conf.get(_BATCH_CONF)) <= BATCH_ROWS:
         spark.conf.set(_BATCH_CONF, str(BATCH_ROWS))
     for k, v in _IDLE_CONF.items():
         spark.conf.set(k, v)
+    if spark.conf.get(_VECTORED, None) is None:
+        spark.conf.set(_VECTORED, "false")
     return spark
 
 
