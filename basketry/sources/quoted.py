@@ -14,6 +14,11 @@ before it is even (a doubled quote inside a field adds two).  So:
    its last record may go on in the next.  These pieces, at most two a range,
    are joined by file and range.
 
+How a file is cut into ranges depends on the cores a session has, which may
+change between 1 and 3 (executors come and go).  Ranges of step 3 that start
+where one of step 1 did are right whatever their length; a range that starts
+anywhere else raises, so no line is lost or misread.
+
 Fields are RFC 4180: a quote inside a field is doubled, and such a field is
 quoted.  A file with an odd number of quotes raises.
 """
@@ -99,8 +104,10 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def records(spark: SparkSession, path: str) -> DataFrame:
     """(value, file): one row per record of all files but their headers, line breaks inside fields kept; blank lines are left out."""
     lines = lines_of(spark, path)
-    # a broadcast join leaves the lines of a range together and in order
-    placed = lines.join(F.broadcast(_starts(lines)), ["file", "block"]).select("value", "file", "block", "inside")
+    # a broadcast join leaves the lines of a range together and in order; one short row a range
+    placed = lines.join(F.broadcast(_starts(lines)), ["file", "block"], "left")
+    other = F.raise_error(F.concat(F.lit("byte ranges changed while reading "), "file", F.lit(": read it again"))).cast("boolean")
+    placed = placed.select("value", "file", "block", F.coalesce("inside", other).alias("inside"))
     pieces = placed.mapInArrow(_pieces, PIECE)
     whole = pieces.where(F.col("kind") == WHOLE).select("value", "file")
     split = pieces.where(F.col("kind") != WHOLE)

@@ -75,9 +75,12 @@ def new_id() -> str:
 
 
 def commit(spark: SparkSession, table: str, id_: str) -> Version:
-    """Make data-<id> the newest version."""
+    """Make data-<id> the newest version; a folder that is not there (taken by a vacuum meanwhile) raises."""
     last = current(spark, table)
     version = Version(last.number + 1 if last else 1, id_)
+    fs, data = hadoop(spark, data_path(table, version))
+    if not fs.exists(data):
+        raise FileNotFoundError(f"{data_path(table, version)} has no rows to commit")
     fs, p = hadoop(spark, f"{table}/_commits/{version.name}")
     fs.create(p, False).close()
     return version

@@ -62,6 +62,20 @@ def test_any_cut_gives_the_records_of_a_sequential_reader(spark, tmp_path, short
     assert got(df) == expected(rows)
 
 
+@pytest.mark.parametrize("later", [160, 320, 20])
+def test_ranges_that_change_between_the_passes(spark, tmp_path, short_ranges, later):
+    """Longer ranges at the same places read the same records, any others raise: never fewer rows."""
+    rows = table(40, 3)
+    (tmp_path / "t.csv").write_text(text_of(rows), newline="")
+    df = read_quoted(spark, str(tmp_path / "t.csv"), rows[0])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(later))
+    if later > 40:
+        assert got(df) == expected(rows)
+    else:
+        with pytest.raises(Exception, match="byte ranges changed"):
+            df.collect()
+
+
 def test_windows_line_ends_and_several_files(spark, tmp_path, short_ranges):
     folder = tmp_path / "t.csv"
     folder.mkdir()
