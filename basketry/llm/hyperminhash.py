@@ -294,7 +294,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     full = written(full.select("doc_id", "id", "n_shingles", "set_digest", F.when(first, F.col("sketch")).alias("sketch")), "classes")
     reps = full.where("sketch is not null").select("id", "n_shingles", F.col("set_digest").alias("class_digest"), "sketch")
     reps = reps.dropDuplicates(["id", "class_digest"])
-    copies = full.where("sketch is null").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
 
     banded = bands(reps, band_rows(threshold))
     pivots = banded.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
@@ -311,11 +310,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     found = connected_components(links).select(F.col("node").alias("id"), "component")
     blocks = written(_blocks(groups.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))), "blocks")
     links = links.unionByName(written(_block_links(docs, blocks, words, percent), "links2"))
-    final = connected_components(links.unionByName(copies)).select(F.col("node").alias("doc_id"), "component")
-    component = F.coalesce(F.col("component"), F.col("doc_id"))
-    out = rows.select("doc_id", "n_shingles").join(final, "doc_id", "left")
-    kept = F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
-    return fewer_files(out.select("doc_id", "n_shingles", component.alias("component_id"), kept))
+    # classes only: copies take the component of their class
+    final = connected_components(links.unionByName(_shared_ids(full))).select(F.col("node").alias("id"), "component")
+    final = written(final, "components")
+    component = F.coalesce("component", "id").alias("component")
+    named = full.select("doc_id", "id", "n_shingles").join(final, "id", "left").select("doc_id", "n_shingles", component)
+    empty = rows.where("set_digest is null or doc_id is null").select("doc_id", "n_shingles")
+    # an empty set whose doc_id has other texts is of their component
+    theirs = full.join(empty.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "id").dropDuplicates(["doc_id"])
+    theirs = theirs.join(final, "id", "left").select("doc_id", component)
+    empty = empty.join(theirs, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+    out = named.unionByName(empty)
+    kept = F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept")
+    return fewer_files(out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), kept))
+
+
+def _shared_ids(full: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of a doc_id that repeats with other texts."""
+    several = full.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("doc_id", "a")
+    return full.join(several, "doc_id").where("id <> a").select("a", F.col("id").alias("b")).distinct()
 
 
 def _salted(groups: DataFrame) -> DataFrame:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
+from basketry.llm import components as C
 from basketry.llm.components import connected_components
 
 
@@ -34,3 +37,19 @@ def test_random_chain_star_and_loops(spark):
 
 def test_no_edges(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("most", [4, 50_000])
+def test_hot_nodes_take_the_broadcast_way(spark, monkeypatch, most):
+    """Hubs above and below all their neighbours, and one in the middle of theirs, linked to each other."""
+    monkeypatch.setattr(C, "HOT", 20)
+    monkeypatch.setattr(C, "MOST", most)
+    asked = []
+    real = C.F.broadcast
+    monkeypatch.setattr(C.F, "broadcast", lambda df: asked.append(1) or real(df))
+    edges = [(0, 10 + i) for i in range(60)] + [(900, 300 + i) for i in range(60)] + [(500, 400 + 3 * i) for i in range(60)]
+    edges += [(12, 300), (2000, 2001), (2001, 2002)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    got = {r.node: r.component for r in connected_components(df).collect()}
+    assert got == brute(edges)
+    assert asked
