@@ -4,13 +4,17 @@ The symbols of all words of a batch lie in one flat array.  A round looks up
 the rank of every adjacent pair by binary search over the sorted pair keys
 ``left << 32 | right``, takes each word's lowest rank, merges all of its
 (non-overlapping, left to right) occurrences in every word at once, and leaves
-words without a known pair behind.  Texts are cut into words by the vocabulary
-file's pattern; distinct words are encoded once and kept in a bounded store.
+words without a known pair behind.  A very long word (text without spaces) has
+thousands of rounds, so there a round touches only the places where the lowest
+rank stands: places are kept by rank, and symbols linked to their neighbours.
+Texts are cut into words by the vocabulary file's pattern; distinct words are
+encoded once and kept in a bounded store.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -26,6 +30,8 @@ from .common import strings, text_slices
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Distinct words a task keeps before it starts its store anew.
 STORE_WORDS = 200_000
+#: Bytes from which on a word is merged by places instead of by passes over all its symbols.
+LONG_WORD = 4096
 _NONE = np.iinfo(np.int64).max
 
 
@@ -85,6 +91,16 @@ class Vocabulary:
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after another, and the number of each word's ids."""
         lens = np.fromiter(map(len, words), np.int64, len(words))
+        if len(words) and lens.max() >= LONG_WORD:
+            long = lens >= LONG_WORD
+            parts: list = [None] * len(words)
+            for k in np.flatnonzero(long):
+                parts[k] = self.encode_long(words[k])
+            short = np.flatnonzero(~long)
+            flat, counts = self.encode_words([words[k] for k in short])
+            for k, part in zip(short, np.split(flat, np.cumsum(counts)[:-1])):
+                parts[k] = part
+            return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
         sym = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words)), lens)
         rank = np.full(len(sym), _NONE)
@@ -123,6 +139,58 @@ class Vocabulary:
         s, w = np.concatenate(done_sym), np.concatenate(done_word)
         return s[np.argsort(w, kind="stable")], np.bincount(w, minlength=len(words))
 
+    def encode_long(self, word: bytes) -> np.ndarray:
+        """Ids of one word, in rounds that touch only the places of the lowest rank.
+
+        The work of all rounds together grows with the places that ever hold a
+        known pair, not with rounds times letters.
+        """
+        sym = self.byte_ids[np.frombuffer(word, np.uint8)]
+        n = len(sym)
+        after, before = np.arange(1, n + 1), np.arange(-1, n)  # n: no symbol behind; before[n] is never read
+        rank = np.full(n, _NONE)
+        rank[: n - 1] = self.rank(sym[:-1], sym[1:])
+        places: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def file(at: np.ndarray) -> None:
+            at = at[rank[at] != _NONE]
+            if not len(at):
+                return
+            at = at[np.argsort(rank[at], kind="stable")]
+            cuts = np.flatnonzero(np.diff(rank[at])) + 1
+            for group in np.split(at, cuts):
+                r = int(rank[group[0]])
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(queue, r)
+                places[r].append(group)
+
+        file(np.arange(n))
+        while queue:
+            r = heapq.heappop(queue)
+            hit = np.unique(np.concatenate(places.pop(r)))
+            hit = hit[rank[hit] == r]  # the others merged into a neighbour or hold another pair by now
+            if not len(hit):
+                continue
+            # in a run of overlapping pairs every other one merges, from the left
+            run = np.r_[True, after[hit[:-1]] != hit[1:]]
+            nth = np.arange(len(hit)) - np.flatnonzero(run)[np.cumsum(run) - 1]
+            hit = hit[nth % 2 == 0]
+            gone = after[hit]
+            sym[hit] = self.merged[r]
+            rank[gone] = _NONE
+            after[hit] = after[gone]
+            before[after[gone]] = hit
+            sym[gone] = -1
+            left = before[hit]
+            fresh = np.unique(np.r_[left[left >= 0], hit])
+            rank[fresh] = _NONE
+            fresh = fresh[after[fresh] < n]
+            rank[fresh] = self.rank(sym[fresh], sym[after[fresh]])
+            file(fresh)
+        return sym[sym >= 0]
+
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         """Text of each run of ids; bytes that are no UTF-8 become U+FFFD."""
         n = self.lengths[ids]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -49,6 +51,45 @@ def test_encoder_on_any_text(texts):
     check_encoder(texts)
 
 
+def long_words():
+    r = np.random.default_rng(8)
+    letters = lambda n, of: "".join(r.choice(list(of), n))
+    return [
+        letters(30_000, "etaoinshrdlu"),
+        letters(9_000, "ab"),
+        letters(6_000, "中文字é🙂"),
+        "a" * 5000 + "b" + "a" * 4097,
+        "-" * 12_345 + "=" * 4_096,
+        ("internationalization" * 500)[:9_999],
+        "7" * 4_095 + " " + "x" * 4_096 + " y",
+        "\n" * 5_000 + "end",
+    ]
+
+
+def test_words_without_spaces():
+    check_encoder([*long_words(), "short words between", *long_words()[:2], ""])
+
+
+@given(st.lists(st.text(alphabet="abcde 1é", min_size=0, max_size=60), max_size=4))
+@settings(max_examples=60, deadline=None)
+def test_merging_by_places_equals_merging_by_passes(texts):
+    v = bpe.vocabulary(PATH)
+    for w in texts:
+        word = w.encode() or b"x"
+        assert v.encode_long(word).tolist() == v.encode_words([word])[0].tolist()
+
+
+def test_a_text_of_one_word_takes_time_in_proportion():
+    """A megabyte without a space: by passes over all symbols this took 59 seconds."""
+    r = np.random.default_rng(9)
+    text = "".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 1_000_000))
+    enc = bpe.Encoder(bpe.vocabulary(PATH))
+    begin = time.process_time()
+    flat, _ = enc.encode([text])
+    assert time.process_time() - begin < 15
+    assert flat.tolist() == ids(text)
+
+
 def test_decode_of_any_ids_as_the_library():
     v = bpe.vocabulary(PATH)
     rng = np.random.default_rng(0)
