@@ -37,12 +37,14 @@ def fit_isolation_forest(
     """Fit the forest; returns (node table, rows a tree).
 
     The node table is checkpointed and bounded by the parameters (at most
-    trees * 511 rows for psi = 256).  ``n`` is the row count when known.
+    trees * 511 rows for psi = 256).  It stays dealt by tree: put together in one
+    partition, one task would fit all trees, with the sorts of all levels for
+    each of their partitions.  ``n`` is the row count when known.
     """
     ensure_checkpoint_dir(df.sparkSession)
     feats = anomaly_features(df, features, key)
     n = feats.count() if n is None else n
-    return forest.fit(feats, features, key, n, trees, psi, seed).coalesce(1).checkpoint(), min(psi, max(n, 1))
+    return forest.fit(feats, features, key, n, trees, psi, seed).checkpoint(), min(psi, max(n, 1))
 
 
 def contamination_cut(scored: DataFrame, contamination: float, score_col: str = "anomaly_score") -> float | None:

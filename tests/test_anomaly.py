@@ -134,6 +134,16 @@ def test_forest_is_bounded_by_parameters(spark):
     assert max(r["count"] for r in nodes.groupBy("tree").count().collect()) <= 2**7 - 1
 
 
+def test_trees_are_fitted_by_several_tasks(spark):
+    """The node table keeps the partitions that its trees were fitted in, each tree in one of them."""
+    from pyspark.sql import functions as F
+
+    nodes, _ = fit_isolation_forest(_products(spark), trees=40, psi=16)
+    assert nodes.rdd.getNumPartitions() == min(40, spark.sparkContext.defaultParallelism) > 1
+    at = nodes.select("tree", F.spark_partition_id().alias("p")).distinct().collect()
+    assert len(at) == 40 and len({r.p for r in at}) > 1
+
+
 def test_min_rows_guard(spark):
     small = _products(spark, n=9, outliers=1)  # 10 trainable rows < 11
     lab = detect_anomalies(small, contamination=0.1)
